@@ -167,10 +167,12 @@ def match_columns(concepts: DataFrame, catalog: DataFrame) -> DataFrame:
     top = scored.withColumn("rank", rank).filter("rank <= 3").groupBy(*key).agg(
         F.array_sort(F.collect_list(F.struct("rank", "column_name", "score"))).alias("top")
     )
-    best = top.join(exact, key, "full")
+    # A phrase no column answers keeps one row, without a dataset.
+    best = asked.select("concept", "role").join(top.join(exact, key, "full"), ["concept", "role"], "left")
     accepted = F.col("top")[0]["score"] >= ACCEPT_SCORE
     useful = F.filter("top", lambda t: t["score"] >= HINT_SCORE)
     resolved = F.col("exact_name").isNotNull() | F.coalesce(accepted, F.lit(False))
+    none = F.array().cast("array<string>")
     return best.select(
         *key,
         F.when(F.col("exact_name").isNotNull(), F.col("exact_name")).when(accepted, F.col("top")[0]["column_name"]).alias("column_name"),
@@ -179,7 +181,7 @@ def match_columns(concepts: DataFrame, catalog: DataFrame) -> DataFrame:
         .when(accepted, F.round(F.least(F.col("top")[0]["score"], F.lit(99.0)), 1))
         .otherwise(0.0)
         .alias("confidence"),
-        F.when(F.col("exact_name").isNotNull(), F.array().cast("array<string>"))
+        F.when(F.col("exact_name").isNotNull() | F.col("top").isNull(), none)
         .when(accepted, F.transform(F.filter(F.slice("top", 2, 2), lambda t: t["score"] >= HINT_SCORE), lambda t: t["column_name"]))
         .otherwise(F.transform(useful, lambda t: t["column_name"]))
         .alias("alternatives"),
