@@ -65,11 +65,12 @@ def add_versions(versions: DataFrame, uploads: DataFrame, force: bool = False) -
     return kept.select(*versions.columns).unionByName(fresh.select(*versions.columns))
 
 
-def activate_version(versions: DataFrame, user_id: Column, version_id: Column) -> DataFrame:
-    """One version of a file active, all others of that file inactive."""
-    target = versions.filter((F.col("id") == version_id) & (F.col("user_id") == user_id)).select(*LOGICAL, F.lit(True).alias("_hit"))
-    joined = versions.join(target, LOGICAL, "left")
-    flag = F.when(F.col("_hit"), F.col("id") == version_id).otherwise(F.col("is_active"))
+def activate_versions(versions: DataFrame, chosen: DataFrame) -> DataFrame:
+    """Chosen (user_id, id), at most one per file: that version active, all
+    others of its file inactive. Another user's version is left alone."""
+    target = versions.join(chosen.select("user_id", "id").distinct(), ["user_id", "id"], "left_semi")
+    joined = versions.join(target.select(*LOGICAL, F.col("id").alias("_chosen")), LOGICAL, "left")
+    flag = F.coalesce(F.col("id") == F.col("_chosen"), F.col("is_active"))
     return joined.withColumn("is_active", flag).select(*versions.columns)
 
 

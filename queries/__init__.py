@@ -25,4 +25,4 @@ def query(name: str, sql: str | None = None) -> Callable[[QueryFn], QueryFn]:
 
 
 def load_all() -> None:
-    from queries import aggregates, charts, filters, joining, profiles  # noqa: F401
+    from queries import aggregates, catalogs, charts, documents, evidence, filters, intake, joining, profiles  # noqa: F401
