@@ -82,8 +82,7 @@ def scalar(
         middle = exact_quantiles(number, [], "_x", [0.5])
         out = df.agg(rows).join(middle.select(F.col("quantiles")[0].alias("value")), how="left")
     else:
-        value = F.sum(to_number_lenient(df, metric).cast("double")) if aggregation == "sum" else measure(df, aggregation, metric)
-        out = df.agg(value.alias("value"), rows)
+        out = df.agg(_scalar_measure(df, aggregation, metric).alias("value"), rows)
     short = F.col("value").isNull() | (F.col("row_count") == 0)
     return out.select(
         "value",
@@ -92,6 +91,42 @@ def scalar(
     )
 
 
+def scalars(df: DataFrame, wanted: list[tuple[str, str | None]], filters: list[Condition] = (), dataset: str = "table") -> DataFrame:
+    """A1 for several (aggregation, metric) pairs: all but medians in one pass."""
+    for aggregation, metric in wanted:
+        require_columns(df, [metric], dataset)
+        _check(df, aggregation, metric)
+    df = apply_filters(df, filters, dataset)
+    numbers = [i for i, (aggregation, _) in enumerate(wanted) if aggregation != "median"]
+    values = {i: _scalar_measure(df, *wanted[i]).alias(f"v{i}") for i in numbers}
+    wide = df.agg(F.count(F.lit(1)).alias("row_count"), *values.values())
+    metrics = list(dict.fromkeys(metric for aggregation, metric in wanted if aggregation == "median"))
+    if metrics:
+        long = df.select(*[to_number_lenient(df, m).cast("double").alias(m) for m in metrics])
+        long = long.unpivot([], [c(m) for m in metrics], "metric", "_x")
+        middles = exact_quantiles(long, ["metric"], "_x", [0.5])
+        found = middles.agg(F.map_from_entries(F.collect_list(F.struct("metric", F.col("quantiles")[0]))).alias("medians"))
+        wide = wide.withColumn("medians", found.scalar())
+    structs = [
+        F.struct(
+            F.lit(aggregation).alias("aggregation"),
+            F.lit(metric).cast("string").alias("metric"),
+            (F.col(f"v{i}") if i in values else F.col("medians")[F.lit(metric)]).cast("double").alias("value"),
+        )
+        for i, (aggregation, metric) in enumerate(wanted)
+    ]
+    short = F.col("s.value").isNull() | (F.col("row_count") == 0)
+    return wide.select("row_count", F.explode(F.array(*structs)).alias("s")).select(
+        "s.aggregation", "s.metric", "s.value", "row_count", F.when(short, "insufficient_data").otherwise("ok").alias("status")
+    )
+
+
+def _scalar_measure(df: DataFrame, aggregation: str, metric: str | None) -> Column:
+    if aggregation == "sum":
+        return F.sum(to_number_lenient(df, metric).cast("double"))
+    return measure(df, aggregation, metric)
+
+
 def breakdown(
     df: DataFrame,
     dimension: str,

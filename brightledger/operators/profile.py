@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -43,6 +44,8 @@ TOP_VALUES = 5
 # Longer values are compared by their SHA-256, so distinct counts never
 # shuffle whole texts.
 LONG_VALUE = 64
+# Rows up to this width are compared column by column for duplicates.
+NARROW_COLUMNS = 16
 
 PROFILE_SCHEMA = T.StructType(
     [
@@ -142,17 +145,30 @@ def compact_value(df: DataFrame, name: str) -> Column:
     return text
 
 
-def long_values(df: DataFrame, names: list[str]) -> DataFrame:
-    """(column_name, value) for every non-null cell of the named columns."""
-    cells = F.array(*[F.struct(F.lit(n).alias("column_name"), compact_value(df, n).alias("value")) for n in names])
-    return df.select(F.explode(cells).alias("cell")).select("cell.column_name", "cell.value").filter("value IS NOT NULL")
-
-
 def unique_counts(df: DataFrame, names: list[str] | None = None) -> DataFrame:
-    """Exact distinct counts of all columns in one shuffle of distinct cells."""
-    names = names or df.columns
-    seen = long_values(df, names).groupBy("column_name", "value").agg(F.lit(1).alias("_one"))
-    return seen.groupBy("column_name").agg(F.count(F.lit(1)).alias("unique_count"))
+    """Exact distinct counts, one shuffle of distinct cells per type of column.
+
+    Columns of one type go through a single grouping; numbers and times are
+    compared as they are, only the rest as text.
+    """
+    classes: dict[str, list[str]] = {}
+    for name in names or df.columns:
+        dtype = type_of(df, name)
+        if isinstance(dtype, T.IntegralType):
+            kind = "bigint"
+        elif isinstance(dtype, (T.DoubleType, T.FloatType)):
+            kind = "double"
+        else:
+            kind = dtype.simpleString() if is_time(dtype) else "string"
+        classes.setdefault(kind, []).append(name)
+    parts = []
+    for kind, members in classes.items():
+        value = compact_value if kind == "string" else known
+        cells = df.select(*[value(df, n).cast(kind).alias(n) for n in members])
+        long = cells.unpivot([], [c(n) for n in members], "column_name", "value").filter("value IS NOT NULL")
+        seen = long.groupBy("column_name", "value").agg(F.lit(1).alias("_one"))
+        parts.append(seen.groupBy("column_name").agg(F.count(F.lit(1)).alias("unique_count")))
+    return reduce(DataFrame.unionAll, parts)
 
 
 def profile_counts(df: DataFrame) -> DataFrame:
@@ -260,10 +276,18 @@ def row_print(df: DataFrame) -> Column:
 def duplicate_rows(df: DataFrame) -> DataFrame:
     """Rows that repeat an earlier row, and their share.
 
-    Rows are compared by SHA-256, so 32 bytes per distinct row are shuffled
-    instead of the row; copies merge before the shuffle.
+    Copies merge before the shuffle. Narrow rows are grouped as they are, long
+    texts in them by SHA-256; of wide rows only a SHA-256 is shuffled.
     """
-    prints = df.select(F.unhex(row_print(df)).alias("p")).groupBy("p").agg(F.count(F.lit(1)).alias("n"))
+    if len(df.columns) <= NARROW_COLUMNS:
+        texts = (T.StringType, T.ArrayType, T.MapType, T.StructType)
+        keys = [
+            (compact_value(df, f.name) if isinstance(f.dataType, texts) else known(df, f.name)).alias(f"k{i}")
+            for i, f in enumerate(df.schema)
+        ]
+    else:
+        keys = [F.unhex(row_print(df)).alias("k0")]
+    prints = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
     return prints.agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("row_count"),
         F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("duplicate_row_count"),

@@ -9,7 +9,7 @@ from brightledger.functions.exprs import c
 
 # Up to this many input rows every group fits the built-in aggregate, whose
 # buffer holds one entry per distinct value of the group.
-BUILT_IN_ROWS = 4_000_000
+BUILT_IN_ROWS = 500_000
 
 
 def exact_quantiles(

@@ -1,8 +1,5 @@
 """A1-A8, T1-T7 and the flagship query."""
 
-from functools import reduce
-
-from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brightledger.operators.aggregate import (
@@ -15,6 +12,7 @@ from brightledger.operators.aggregate import (
     correlation,
     numeric_distribution,
     scalar,
+    scalars,
     trend,
 )
 from brightledger.operators.filters import Condition
@@ -54,8 +52,7 @@ def top_segments(spark, d):
 )
 def a1_scalars(spark, d):
     lines = load_table(spark, d, "lineitem")
-    parts = [scalar(lines, agg, "l_extendedprice").withColumn("aggregation", F.lit(agg)) for agg in AGGREGATIONS]
-    return _rounded(reduce(DataFrame.unionByName, parts), "value")
+    return _rounded(scalars(lines, [(agg, "l_extendedprice") for agg in AGGREGATIONS]).drop("metric"), "value")
 
 
 @query(
