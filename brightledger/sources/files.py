@@ -12,8 +12,16 @@ LEGACY_ENDING = ".xls"
 
 
 def list_files(spark: SparkSession, path_glob: str) -> DataFrame:
-    """(path, length, modificationTime); file contents are not read."""
-    return spark.read.format("binaryFile").load(path_glob).select("path", "length", "modificationTime")
+    """(path, length) of the files a glob names, from the file system's listing.
+
+    Spark's own file readers leave empty files out, and those have to be
+    reported here; no content is read.
+    """
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(path_glob)
+    found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path) or []
+    rows = [(status.getPath().toString(), status.getLen()) for status in found if status.isFile()]
+    return spark.createDataFrame(rows, "path string, length long")
 
 
 def file_ending(path: Column) -> Column:
