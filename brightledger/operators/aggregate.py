@@ -104,7 +104,7 @@ def scalars(df: DataFrame, wanted: list[tuple[str, str | None]], filters: list[C
     if metrics:
         long = df.select(*[to_number_lenient(df, m).cast("double").alias(m) for m in metrics])
         long = long.unpivot([], [c(m) for m in metrics], "metric", "_x")
-        middles = exact_quantiles(long, ["metric"], "_x", [0.5])
+        middles = exact_quantiles(long, ["metric"], "_x", [0.5], few_groups=True)
         found = middles.agg(F.map_from_entries(F.collect_list(F.struct("metric", F.col("quantiles")[0]))).alias("medians"))
         wide = wide.withColumn("medians", found.scalar())
     structs = [

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from brightledger.functions.exprs import ID_WORDS, name_parts
+from brightledger.session import small_frame
 
 # Words treated as the same concept.
 SYNONYMS = [
@@ -121,7 +122,7 @@ def fuzzy_pairs(concept_tokens: DataFrame, column_tokens: DataFrame) -> DataFram
 def word_matches(concept_tokens: DataFrame, column_tokens: DataFrame) -> DataFrame:
     """(a, b, weight): the same word 1, a synonym 0.85, a near spelling 0.7."""
     spark = concept_tokens.sparkSession
-    groups = spark.createDataFrame([(w, i) for i, ws in enumerate(SYNONYMS) for w in ws], "word string, grp int")
+    groups = small_frame(spark, [(w, i) for i, ws in enumerate(SYNONYMS) for w in ws], "word string, grp int")
     same = concept_tokens.join(column_tokens, "word").select(F.col("word").alias("a"), F.col("word").alias("b"), F.lit(EXACT).alias("weight"))
     left = concept_tokens.join(F.broadcast(groups), "word").select(F.col("word").alias("a"), "grp")
     right = column_tokens.join(F.broadcast(groups), "word").select(F.col("word").alias("b"), "grp")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from brightledger.functions.exprs import c, is_number, is_time, known, share_pct, type_of
 from brightledger.operators.filters import require_columns
+from brightledger.session import small_frame
 
 JOIN_TYPES = ("inner", "left", "right", "full")
 
@@ -209,7 +210,7 @@ def lineage_row(
 ) -> DataFrame:
     """How a derived dataset came about."""
     row = (derived_id, left_id, spec.left_key, right_id, spec.right_key, spec.how, created_by)
-    return spark.createDataFrame([row], LINEAGE_SCHEMA)
+    return small_frame(spark, [row], LINEAGE_SCHEMA)
 
 
 def find_existing_join(lineage: DataFrame, requests: DataFrame) -> DataFrame:

@@ -33,6 +33,7 @@ from brightledger.functions.exprs import (
     type_of,
 )
 from brightledger.operators.quantiles import BUILT_IN_ROWS, exact_quantiles
+from brightledger.session import small_frame
 
 HIGH_MISSING_PCT = 50.0
 HIGH_CARDINALITY_RATIO = 0.9
@@ -183,9 +184,6 @@ def profile_counts(df: DataFrame) -> DataFrame:
 
 def numeric_stats(df: DataFrame, names: list[str]) -> DataFrame:
     """P5: min, max, mean, median and sample deviation per numeric column."""
-    cells = F.array(
-        *[F.struct(F.lit(n).alias("column_name"), to_number_lenient(df, n).cast("double").alias("x")) for n in names]
-    )
     moments = df.agg(
         *[
             F.struct(
@@ -204,8 +202,9 @@ def numeric_stats(df: DataFrame, names: list[str]) -> DataFrame:
         pairs = [F.struct(F.lit(n).alias("column_name"), F.col(f"m{i}").alias("median_value")) for i, n in enumerate(names)]
         medians = wide.select(F.inline(F.array(*pairs)))
     else:
-        long = df.select(F.inline(cells))
-        medians = exact_quantiles(long, ["column_name"], "x", [0.5], "ranked").select(
+        cells = df.select(*[to_number_lenient(df, n).cast("double").alias(n) for n in names])
+        long = cells.unpivot([], [c(n) for n in names], "column_name", "x")
+        medians = exact_quantiles(long, ["column_name"], "x", [0.5], "ranked", few_groups=True).select(
             "column_name", F.col("quantiles")[0].alias("median_value")
         )
     return moments.join(medians, "column_name")
@@ -314,7 +313,7 @@ def date_layouts(df: DataFrame, names: list[str]) -> dict[str, str]:
     ]
     if not sample:
         return {}
-    small = df.sparkSession.createDataFrame(sample, "name string, v string").coalesce(1)
+    small = small_frame(df.sparkSession, sample, "name string, v string").coalesce(1)
     hits = F.array(*[parse_layout(F.col("v"), layout).isNotNull().cast("double") for layout in DATE_LAYOUTS])
     rates = (
         small.select("name", F.posexplode(hits).alias("i", "hit"))
@@ -398,7 +397,8 @@ def type_facts(df: DataFrame) -> DataFrame:
         )
         for i, f in enumerate(df.schema)
     ]
-    return df.sparkSession.createDataFrame(
+    return small_frame(
+        df.sparkSession,
         rows,
         "position int, column_name string, kind string, row_count long, non_null_count long, missing_count long,"
         " missing_percentage double, unique_count long, number_rate double, date_rate double, date_layout string",
@@ -437,7 +437,7 @@ def profile_table(
     spans = {row["column_name"]: row.asDict() for row in done["span"]}
     tops: dict[str, list] = {}
     for row in sorted(done["top"], key=lambda r: (r["column_name"], r["rank"])):
-        tops.setdefault(row["column_name"], []).append((row["value"], row["count"], row["percentage"]))
+        tops.setdefault(row["column_name"], []).append({k: row[k] for k in ("value", "count", "percentage")})
     columns = [_column(dataset_id, row, stats, spans, tops) for row in facts]
     return TableProfile(dataset_id, rows, columns, done["dup"], duplicate_headers or [])
 
@@ -471,7 +471,7 @@ def _column(dataset_id: str, row: dict, stats: dict, spans: dict, tops: dict) ->
 def profile_frame(spark: SparkSession, profiles: list[TableProfile]) -> DataFrame:
     """Profile rows of any number of tables, for the catalog operators."""
     rows = [tuple(col[f.name] for f in PROFILE_SCHEMA) for profile in profiles for col in profile.columns]
-    return spark.createDataFrame(rows, PROFILE_SCHEMA)
+    return small_frame(spark, rows, PROFILE_SCHEMA).coalesce(1)
 
 
 def quality_flags(profile_rows: DataFrame) -> DataFrame:
@@ -544,8 +544,8 @@ def quality_summary(profile_rows: DataFrame, tables: DataFrame) -> DataFrame:
 
 def table_rows(spark: SparkSession, profiles: list[TableProfile]) -> DataFrame:
     rows = [(p.dataset_id, p.row_count, p.duplicate_row_count, p.duplicate_headers) for p in profiles]
-    return spark.createDataFrame(
-        rows, "dataset_id string, row_count long, duplicate_row_count long, duplicate_headers array<string>"
+    return small_frame(
+        spark, rows, "dataset_id string, row_count long, duplicate_row_count long, duplicate_headers array<string>"
     )
 
 

@@ -18,13 +18,16 @@ def exact_quantiles(
     value: str,
     probabilities: list[float],
     method: str = "auto",
+    few_groups: bool = False,
 ) -> DataFrame:
     """keys + `quantiles ARRAY<DOUBLE>`; null values are left out.
 
     `built_in` is one aggregate. `ranked` never puts a group's values into one
     buffer: equal values are first counted together, distinct values are spread
     over value bands, and only the bands holding the wanted ranks are sorted.
-    A group holding most of the rows is thereby spread over all tasks.
+    A group holding most of the rows is thereby spread over all tasks. Set
+    `few_groups` where the number of groups is bounded, such as one per column:
+    the wanted bands, two per group and probability, are then broadcast.
     """
     data = df.select(*[c(k) for k in keys], c(value).cast("double").alias("_x")).filter("_x IS NOT NULL")
     if method == "auto":
@@ -33,7 +36,7 @@ def exact_quantiles(
         wanted = F.array(*[F.lit(float(p)) for p in probabilities])
         result = data.groupBy(*[c(k) for k in keys]).agg(F.percentile("_x", wanted).alias("quantiles"))
         return result.filter("quantiles IS NOT NULL")
-    return _ranked(data, keys, probabilities)
+    return _ranked(data, keys, probabilities, few_groups or not keys)
 
 
 def value_band(x: Column) -> Column:
@@ -41,7 +44,7 @@ def value_band(x: Column) -> Column:
     return (F.signum(x) * F.floor(F.log1p(F.abs(x) * 1e6) * 4096)).cast("bigint")
 
 
-def _ranked(data: DataFrame, keys: list[str], probabilities: list[float]) -> DataFrame:
+def _ranked(data: DataFrame, keys: list[str], probabilities: list[float], few_groups: bool) -> DataFrame:
     group = [c(k) for k in keys]
     counted = (
         data.groupBy(*group, F.col("_x"))
@@ -67,6 +70,8 @@ def _ranked(data: DataFrame, keys: list[str], probabilities: list[float]) -> Dat
         F.min(F.col("_end") - F.col("_rows")).alias("_before"),
         F.collect_list(F.struct(F.col("_s.slot").alias("slot"), F.col("_s.spot").alias("spot"), "_rank")).alias("_want"),
     )
+    if few_groups:
+        targets = F.broadcast(targets)
     on = [F.col(f"l.{_q(k)}").eqNullSafe(F.col(f"r.{_q(k)}")) for k in keys]
     on.append(F.col("l._band") == F.col("r._band"))
     condition = on[0]

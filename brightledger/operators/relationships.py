@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from brightledger.functions.exprs import bare_name, key_stem, names_a_key
 from brightledger.operators.profile import compact_value
+from brightledger.session import small_frame
 
 KEY_UNIQUENESS = 0.95
 MIN_SCORE = 45.0
@@ -111,7 +112,7 @@ def detect_relationships(
         overlaps = value_overlaps(tables, counted).toDF(*key, "common")
         pairs = pairs.unionAll(overlaps.filter("a_dataset_id <> b_dataset_id").select(*key))
     else:
-        overlaps = spark.createDataFrame([], ", ".join(f"{k} string" for k in key) + ", common long")
+        overlaps = small_frame(spark, [], ", ".join(f"{k} string" for k in key) + ", common long")
     pairs = pairs.distinct()
     if lineage is not None:
         parents = lineage.select("derived_id", F.explode(F.array("left_id", "right_id")).alias("parent_id"))

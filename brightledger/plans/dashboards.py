@@ -13,6 +13,7 @@ from brightledger.operators.aggregate import CHART_ROWS, breakdown, scalar, tren
 from brightledger.operators.joins import FanOutRefused, JoinSpec, safe_join
 from brightledger.operators.profile import TableProfile, profile_frame, profile_table
 from brightledger.operators.relationships import detect_relationships
+from brightledger.session import small_frame
 from brightledger.plans.kpis import Choice, choice_for, discover_kpis, title_case, without_currency
 
 DONUT_SLICES = 12
@@ -157,7 +158,7 @@ CHART_SCHEMA = T.StructType(
 
 
 def _no_charts(df: DataFrame) -> DataFrame:
-    return df.sparkSession.createDataFrame([], CHART_SCHEMA)
+    return small_frame(df.sparkSession, [], CHART_SCHEMA)
 
 
 # --- charts of several tables -----------------------------------------------------------
@@ -171,7 +172,7 @@ def cross_table_charts(
     if len(tables) < 2:
         return []
     spark = next(iter(tables.values())).sparkSession
-    found = detect_relationships(tables, profile_frame(spark, list(profiles.values())).coalesce(1))
+    found = detect_relationships(tables, profile_frame(spark, list(profiles.values())))
     charts, tried = [], set()
     for row in found.filter("confidence = 'HIGH'").collect():
         pair = frozenset((row["left_table"], row["right_table"]))
@@ -231,6 +232,6 @@ def kpi_dashboard(df: DataFrame, profile: TableProfile) -> DataFrame:
                 rows.select(*head, F.lit("table").alias("result_type"), c(dim).cast("string").alias("x_value"), c(value_name(agg, metric)).alias("y_value"))
             )
         else:
-            one = df.sparkSession.createDataFrame([(kpi["preview_value"],)], "y_value double")
+            one = small_frame(df.sparkSession, [(kpi["preview_value"],)], "y_value double")
             parts.append(one.select(*head, F.lit("scalar").alias("result_type"), F.lit(None).cast("string").alias("x_value"), "y_value"))
     return reduce(DataFrame.unionAll, parts)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from brightledger.functions.exprs import c, known, share_pct, to_number_lenient, to_time
 from brightledger.operators.aggregate import grouped, monthly
-from brightledger.operators.profile import TableProfile, profile_frame
+from brightledger.operators.profile import TableProfile, profile_frame, table_rows
 from brightledger.operators.quantiles import exact_quantiles
 from brightledger.plans.kpis import Choice, choice_for
 
@@ -211,7 +211,7 @@ def generate_insights(
 ) -> DataFrame:
     """All findings that hold, in one shape; no rows when none does."""
     spark = df.sparkSession
-    rows = profile_frame(spark, [profile]).coalesce(1)
+    rows = profile_frame(spark, [profile])
     choice = choice or choice_for(df, profile)
     parts: list[DataFrame] = []
     if choice.metrics and choice.dimensions:
@@ -239,11 +239,7 @@ def generate_insights(
         )
         names = ("lower_bound", "upper_bound", "outlier_count", "outlier_share_pct", "outlier_contribution_pct", "total_considered", "direction")
         parts.append(odd.select(*_finding("anomaly", F.lit(metric), sentence, **{n: F.col(n) for n in names})))
-    tables = spark.createDataFrame(
-        [(profile.dataset_id, profile.row_count, profile.duplicate_row_count)],
-        "dataset_id string, row_count long, duplicate_row_count long",
-    )
-    parts.append(quality_findings(rows, tables))
+    parts.append(quality_findings(rows, table_rows(spark, [profile])))
     if choice.dates:
         day = choice.dates[0]
         old = staleness(df, day, as_of, profile.layout(day))

@@ -6,10 +6,12 @@ import sys
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 
 def get_spark(app: str = "brightledger", master: str | None = None, **conf: str) -> SparkSession:
@@ -62,6 +64,15 @@ def load_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def small_frame(spark: SparkSession, rows: list[tuple], schema: str | T.StructType) -> DataFrame:
+    """A handful of driver rows as a local relation: no job is needed to read
+    it, and its size is known to the optimizer."""
+    schema = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    columns = list(zip(*rows)) if rows else [()] * len(schema)
+    types = to_arrow_schema(schema)
+    return spark.createDataFrame(pa.table([pa.array(c, t) for c, t in zip(columns, types.types)], schema=types))
+
+
 def nan_to_null(df: DataFrame) -> DataFrame:
     """Float columns with NaN read as missing; the projection still prunes."""
     floats = (T.DoubleType, T.FloatType)

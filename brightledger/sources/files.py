@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from brightledger.session import small_frame
+
 # Accepted endings.
 TABLE_ENDINGS = [".csv", ".xlsx"]
 DOCUMENT_ENDINGS = [".pdf", ".docx", ".pptx", ".txt", ".md", ".py", ".html", ".htm"]
@@ -21,7 +23,7 @@ def list_files(spark: SparkSession, path_glob: str) -> DataFrame:
     path = jvm.org.apache.hadoop.fs.Path(path_glob)
     found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path) or []
     rows = [(status.getPath().toString(), status.getLen()) for status in found if status.isFile()]
-    return spark.createDataFrame(rows, "path string, length long")
+    return small_frame(spark, rows, "path string, length long")
 
 
 def file_ending(path: Column) -> Column:

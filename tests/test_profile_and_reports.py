@@ -52,7 +52,7 @@ def test_profile_numbers(orders):
     assert (amount["min_value"], amount["max_value"], amount["mean_value"], amount["median_value"]) == (110.0, 300.0, 205.0, 205.0)
     assert amount["std_value"] == pytest.approx(59.1608, abs=1e-4)
     region = profile.column("region")
-    assert region["cardinality"] == 4 and region["top_values"][0] == ("East", 5, 25.0)
+    assert region["cardinality"] == 4 and region["top_values"][0] == {"value": "East", "count": 5, "percentage": 25.0}
     day = profile.column("date")
     assert (day["min_date"], day["max_date"], day["date_coverage_days"]) == ("2024-01-15T00:00:00", "2024-06-15T00:00:00", 152)
     assert profile.duplicate_row_count == 0
