@@ -276,11 +276,11 @@ def numeric_distribution(df: DataFrame, column: str, bins: int = DISTRIBUTION_BI
     """Equal-width right-closed bins, empty ones included."""
     x = df.select(known(df, column).cast("double").alias("x")).filter("x IS NOT NULL")
     span = x.agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
-    lo, hi = span.select("lo").scalar(), span.select("hi").scalar()
+    lo, hi = F.col("ends.lo"), F.col("ends.hi")
     width = (hi - lo) / bins
     place = F.ceil(F.try_divide(F.col("x") - lo, width)).cast("int")
     number = F.coalesce(F.least(F.lit(bins), F.greatest(F.lit(1), place)), F.lit(1)).alias("bin")
-    counts = x.groupBy(number).agg(F.count(F.lit(1)).alias("n"))
+    counts = x.withColumn("ends", span.select(F.struct("lo", "hi")).scalar()).groupBy(number).agg(F.count(F.lit(1)).alias("n"))
     edges = (
         span.filter("lo IS NOT NULL")
         .select("lo", "hi", F.explode(F.sequence(F.lit(1), F.lit(bins))).alias("bin"))

@@ -47,44 +47,50 @@ def _keys(left: DataFrame, right: DataFrame, spec: JoinSpec) -> tuple[Column, Co
     return tuple(F.concat(F.lit(kind + ":"), key.cast("string")) for kind, key in zip(kinds, (lk, rk)))
 
 
-def key_counts(df: DataFrame, key: Column) -> DataFrame:
-    """(k, n): rows per key, null included. Merges before the shuffle."""
-    return df.groupBy(key.alias("k")).agg(F.count(F.lit(1)).alias("n"))
+def key_counts(left: DataFrame, right: DataFrame, lk: Column, rk: Column) -> DataFrame:
+    """(k, ln, rn): rows per key on both sides, null included, 0 where absent.
+
+    One grouping over both sides: rows merge before the single shuffle, and
+    null keys meet in one group.
+    """
+    zero, one = F.lit(0).cast("bigint"), F.lit(1).cast("bigint")
+    both = left.select(lk.alias("k"), one.alias("ln"), zero.alias("rn")).unionAll(
+        right.select(rk.alias("k"), zero.alias("ln"), one.alias("rn"))
+    )
+    return both.groupBy("k").agg(F.sum("ln").alias("ln"), F.sum("rn").alias("rn"))
 
 
 def join_stats(left: DataFrame, right: DataFrame, spec: JoinSpec) -> DataFrame:
     """Everything a join would do, from the key counts alone.
 
-    The joined rows are never built: each side shrinks to one row per key
+    The joined rows are never built: both sides shrink to one row per key
     first, so a key holding a third of a table is one row here.
     """
     if spec.how not in JOIN_TYPES:
         raise ValueError(f"unknown join type '{spec.how}'")
-    lk, rk = _keys(left, right, spec)
-    l, r = key_counts(left, lk).alias("l"), key_counts(right, rk).alias("r")
-    same = F.col("l.k").eqNullSafe(F.col("r.k")) if spec.null_keys == "match" else F.col("l.k") == F.col("r.k")
-    both = l.join(r, same, "full").select(
-        F.col("l.n").alias("ln"),
-        F.col("r.n").alias("rn"),
-        (F.col("l.n").isNotNull() & F.col("l.k").isNotNull()).alias("l_key"),
-        (F.col("r.n").isNotNull() & F.col("r.k").isNotNull()).alias("r_key"),
-    )
-    paired = F.col("ln").isNotNull() & F.col("rn").isNotNull()
-    real = F.col("l_key") & F.col("r_key") & paired
-    zero = F.lit(0)
+    both = key_counts(left, right, *_keys(left, right, spec))
+    ln, rn = F.col("ln"), F.col("rn")
+    real = F.col("k").isNotNull()
+    pairs = ln * rn if spec.null_keys == "match" else F.when(real, ln * rn).otherwise(0)
+    lonely_left = F.when(pairs == 0, ln).otherwise(0)
+    lonely_right = F.when(pairs == 0, rn).otherwise(0)
     sums = both.agg(
-        F.coalesce(F.sum("ln"), zero).alias("_l_seen"),
-        F.coalesce(F.sum(F.when(paired, F.col("ln") * F.col("rn"))), zero).alias("matched_both"),
-        F.coalesce(F.sum(F.when(F.col("rn").isNull(), F.col("ln"))), zero).alias("unmatched_left"),
-        F.coalesce(F.sum(F.when(F.col("ln").isNull(), F.col("rn"))), zero).alias("unmatched_right"),
-        F.coalesce(F.sum("ln"), zero).alias("rows_before_left"),
-        F.coalesce(F.sum("rn"), zero).alias("rows_before_right"),
-        F.coalesce(F.max("ln") > 1, F.lit(False)).alias("l_dup"),
-        F.coalesce(F.max("rn") > 1, F.lit(False)).alias("r_dup"),
-        F.count_if("l_key").alias("left_keys"),
-        F.count_if("r_key").alias("right_keys"),
-        F.count_if(real).alias("common_keys"),
-        F.coalesce(F.sum(F.when(real, F.col("ln") * F.col("rn"))), zero).alias("fan_out"),
+        *[
+            F.coalesce(F.sum(x), F.lit(0)).alias(name)
+            for name, x in {
+                "matched_both": pairs,
+                "unmatched_left": lonely_left,
+                "unmatched_right": lonely_right,
+                "rows_before_left": ln,
+                "rows_before_right": rn,
+                "fan_out": F.when(real, ln * rn),
+            }.items()
+        ],
+        F.coalesce(F.max(ln) > 1, F.lit(False)).alias("l_dup"),
+        F.coalesce(F.max(rn) > 1, F.lit(False)).alias("r_dup"),
+        F.count_if(real & (ln > 0)).alias("left_keys"),
+        F.count_if(real & (rn > 0)).alias("right_keys"),
+        F.count_if(real & (ln > 0) & (rn > 0)).alias("common_keys"),
     )
     smaller = F.greatest(F.least("left_keys", "right_keys"), F.lit(1))
     rows_after = F.col("matched_both")

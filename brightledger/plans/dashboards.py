@@ -10,10 +10,11 @@ from pyspark.sql import types as T
 
 from brightledger.functions.exprs import c
 from brightledger.operators.aggregate import CHART_ROWS, breakdown, scalar, trend, value_name
-from brightledger.operators.joins import FanOutRefused, JoinSpec, safe_join
+from brightledger.operators.joins import FanOutRefused, JoinSpec
 from brightledger.operators.profile import TableProfile, profile_frame, profile_table
 from brightledger.operators.relationships import detect_relationships
-from brightledger.session import small_frame
+from brightledger.plans.derived import derive_dataset
+from brightledger.session import small_frame, work_folder
 from brightledger.plans.kpis import Choice, choice_for, discover_kpis, title_case, without_currency
 
 DONUT_SLICES = 12
@@ -165,14 +166,20 @@ def _no_charts(df: DataFrame) -> DataFrame:
 
 
 def cross_table_charts(
-    tables: dict[str, DataFrame], profiles: dict[str, TableProfile], max_joins: int = MAX_AUTO_JOINS
+    tables: dict[str, DataFrame],
+    profiles: dict[str, TableProfile],
+    root: str | None = None,
+    lineage: DataFrame | None = None,
+    max_joins: int = MAX_AUTO_JOINS,
 ) -> list[DataFrame]:
     """Charts of inner joins over the best HIGH relationships; pairs whose
-    keys both repeat are skipped."""
+    keys both repeat are skipped. Each join is written under `root` (by default
+    a folder of the shared work area) unless the lineage already has it."""
     if len(tables) < 2:
         return []
     spark = next(iter(tables.values())).sparkSession
     found = detect_relationships(tables, profile_frame(spark, list(profiles.values())))
+    root = root or work_folder(spark, "joined")
     charts, tried = [], set()
     for row in found.filter("confidence = 'HIGH'").collect():
         pair = frozenset((row["left_table"], row["right_table"]))
@@ -184,7 +191,7 @@ def cross_table_charts(
         left, right = row["left_table"], row["right_table"]
         spec = JoinSpec(row["left_column"], row["right_column"], "inner", left, right)
         try:
-            wide = safe_join(tables[left], tables[right], spec)
+            wide, _ = derive_dataset(tables[left], tables[right], spec, root, f"join-{len(tried)}", "dashboard", lineage)
         except FanOutRefused:
             continue
         charts.append(default_charts(wide, profile_table(wide, f"{left} ⋈ {right}")))

@@ -44,14 +44,14 @@ def _finding(category: Column | str, subject: Column, finding: Column, **values:
 def top_group(df: DataFrame, dimension: str, metric: str) -> DataFrame:
     """The largest group by sum (ties by key), with its share of the total."""
     groups = grouped(df, {"top_group": known(df, dimension)}, "sum", metric)
-    sums = groups.agg(F.sum("value").alias("total"), F.count(F.lit(1)).alias("groups"))
+    sums = groups.agg(F.struct(F.sum("value").alias("total"), F.count(F.lit(1)).alias("groups"))).scalar()
     return (
         groups.orderBy(F.col("value").desc(), F.col("top_group")).limit(1)
         .select(
             F.col("top_group").cast("string").alias("top_group"),
             F.col("value").alias("top_value"),
-            sums.select("total").scalar().alias("total"),
-            sums.select("groups").scalar().alias("group_count"),
+            sums["total"].alias("total"),
+            sums["groups"].alias("group_count"),
         )
         .filter("total <> 0")
         .withColumn("share_pct", share_pct(F.col("top_value"), F.col("total")))
@@ -91,24 +91,28 @@ def significant_change(df: DataFrame, date_column: str, metric: str, layout: str
 
 
 def iqr_bounds(df: DataFrame, metric: str) -> DataFrame:
-    """One row: exact quartiles and the 1.5 IQR bounds."""
+    """One row with one struct: exact quartiles and the 1.5 IQR bounds. As a
+    single value it enters other plans as one subquery in one column."""
     x = df.select(to_number_lenient(df, metric).cast("double").alias("x"))
     q = exact_quantiles(x, [], "x", [0.25, 0.75]).select(F.col("quantiles")[0].alias("q1"), F.col("quantiles")[1].alias("q3"))
     iqr = F.col("q3") - F.col("q1")
-    return q.select(
-        "q1", "q3", iqr.alias("iqr"), (F.col("q1") - 1.5 * iqr).alias("lower_bound"), (F.col("q3") + 1.5 * iqr).alias("upper_bound")
-    )
+    low, high = F.col("q1") - 1.5 * iqr, F.col("q3") + 1.5 * iqr
+    return q.select(F.struct("q1", "q3", iqr.alias("iqr"), low.alias("lower_bound"), high.alias("upper_bound")).alias("bounds"))
+
+
+def _with_bounds(df: DataFrame, metric: str) -> DataFrame:
+    x = df.select(to_number_lenient(df, metric).cast("double").alias("x")).filter("x IS NOT NULL")
+    return x.withColumn("b", iqr_bounds(df, metric).scalar())
 
 
 def iqr_anomalies(df: DataFrame, metric: str) -> DataFrame:
     """I4: outlier counts outside the bounds; empty below ten values, without
     spread or without outliers. The one row of bounds enters as a subquery."""
-    bounds = iqr_bounds(df, metric)
-    x = df.select(to_number_lenient(df, metric).cast("double").alias("x")).filter("x IS NOT NULL")
-    low, high = bounds.select("lower_bound").scalar(), bounds.select("upper_bound").scalar()
-    above, below = F.col("x") > high, F.col("x") < low
+    x = _with_bounds(df, metric)
+    above, below = F.col("x") > F.col("b.upper_bound"), F.col("x") < F.col("b.lower_bound")
     return (
         x.agg(
+            F.any_value("b").alias("b"),
             F.count(F.lit(1)).alias("total_considered"),
             F.count_if(above | below).alias("outlier_count"),
             F.count_if(above).alias("high_count"),
@@ -117,7 +121,7 @@ def iqr_anomalies(df: DataFrame, metric: str) -> DataFrame:
             F.coalesce(F.sum(F.when(above | below, F.col("x"))), F.lit(0.0)).alias("outlier_sum"),
         )
         .select(
-            *[F.round(bounds.select(n).scalar(), 2).alias(n) for n in ("q1", "q3", "iqr", "lower_bound", "upper_bound")],
+            *[F.round(F.col(f"b.{n}"), 2).alias(n) for n in ("q1", "q3", "iqr", "lower_bound", "upper_bound")],
             "total_considered",
             "outlier_count",
             share_pct(F.col("outlier_count"), F.col("total_considered")).alias("outlier_share_pct"),
@@ -131,9 +135,8 @@ def iqr_anomalies(df: DataFrame, metric: str) -> DataFrame:
 
 def outlier_sample(df: DataFrame, metric: str, k: int = OUTLIER_SAMPLE) -> DataFrame:
     """I4: up to 20 outlier values, the most extreme first."""
-    bounds = iqr_bounds(df, metric)
-    low, high = bounds.select("lower_bound").scalar(), bounds.select("upper_bound").scalar()
-    x = df.select(to_number_lenient(df, metric).cast("double").alias("x"))
+    x = _with_bounds(df, metric)
+    low, high = F.col("b.lower_bound"), F.col("b.upper_bound")
     far = F.greatest(F.col("x") - high, low - F.col("x"))
     return (
         x.filter((F.col("x") > high) | (F.col("x") < low))

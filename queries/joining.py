@@ -16,7 +16,7 @@ from brightledger.operators.joins import (
 from brightledger.operators.profile import batch_reprofile, infer_types, profile_frame
 from brightledger.operators.relationships import detect_relationships, key_candidates, value_overlaps
 from brightledger.session import load_table, work_folder
-from brightledger.sources.datasets import read_dataset, write_dataset
+from brightledger.plans.derived import derive_dataset
 from queries import query
 
 
@@ -199,13 +199,13 @@ def j9_type_mismatch(spark, d):
        FROM nation JOIN customer ON n_nationkey = c_nationkey GROUP BY 1""",
 )
 def j10_derived_dataset(spark, d):
-    """The join written as a dataset of its own, read back with its lineage."""
+    """The join written as a dataset of its own; asked for again, it is reused."""
     nations, customers = _t(spark, d, "nation", "customer")
     spec = JoinSpec("n_nationkey", "c_nationkey", "inner", "nations", "customers")
     root = work_folder(spark, "derived")
-    write_dataset(safe_join(nations, customers, spec), root, "d1")
-    lineage = lineage_row(spark, "d1", "nations", "customers", spec, "u1")
-    counts = read_dataset(spark, root, "d1").groupBy("n_name").agg(F.count(F.lit(1)).alias("customers"))
+    _, lineage = derive_dataset(nations, customers, spec, root, "d1", "u1")
+    again, _ = derive_dataset(nations, customers, spec, root, "d2", "u1", lineage)
+    counts = again.groupBy("n_name").agg(F.count(F.lit(1)).alias("customers"))
     return counts.withColumn("derived_id", F.lit("d1")).join(lineage, "derived_id").select(
         "n_name", "customers", "left_id", "right_id", "join_type"
     )
