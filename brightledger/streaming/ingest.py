@@ -47,6 +47,17 @@ def monthly_stream(stream: DataFrame, time_column: str, metric: str, late: str =
     )
 
 
+def keep_totals(totals: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
+    """Writes the running totals after every batch; a batch run again after a
+    failure writes the same folder again. Stops when nothing new is left."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(target)
+
+    writer = totals.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", checkpoint)
+    return writer.trigger(availableNow=True).start()
+
+
 def months_of(days: DataFrame) -> DataFrame:
     """Monthly totals of the days a stream has written."""
     return days.groupBy("period").agg(F.sum("value").alias("value"), F.sum("row_count").alias("row_count"))

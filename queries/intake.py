@@ -6,7 +6,7 @@ from brightledger.session import load_table, work_folder
 from brightledger.sources.datasets import incremental_ingest, plan_sync, read_dataset, sample_rows, write_dataset
 from brightledger.sources.delimited import duplicate_headers, read_delimited, rename_headers
 from brightledger.sources.files import validate_files
-from brightledger.streaming.ingest import file_stream, ingest_new_files, monthly_stream, months_of
+from brightledger.streaming.ingest import file_stream, ingest_new_files, keep_totals, monthly_stream, months_of
 from queries import query
 
 
@@ -146,7 +146,6 @@ def a4_stream_months(spark, d):
     schema = load_table(spark, d, "orders").schema
     stream = file_stream(spark, d, schema, "orders.parquet")
     days = monthly_stream(stream, "o_orderdate", "o_totalprice")
-    name = "a4_days_" + work_folder(spark, "q").rsplit("-", 1)[1]
-    writer = days.writeStream.outputMode("complete").format("memory").queryName(name)
-    writer.option("checkpointLocation", work_folder(spark, "progress")).trigger(availableNow=True).start().awaitTermination()
-    return months_of(spark.table(name)).select("period", "row_count", F.round("value", 2).alias("value"))
+    target = work_folder(spark, "days")
+    keep_totals(days, target, work_folder(spark, "progress")).awaitTermination()
+    return months_of(spark.read.parquet(target)).select("period", "row_count", F.round("value", 2).alias("value"))
