@@ -132,7 +132,8 @@ def j4_key_overlap(spark, d):
 
 @query(
     "j5_fan_out",
-    "SELECT count(*) AS estimated_fan_out_rows FROM customer JOIN supplier ON c_nationkey = s_nationkey",
+    f"""SELECT CASE WHEN {_DUP.format(c='c_nationkey', t='customer')} AND {_DUP.format(c='s_nationkey', t='supplier')} THEN count(*) END AS estimated_fan_out_rows
+        FROM customer JOIN supplier ON c_nationkey = s_nationkey""",
 )
 def j5_fan_out(spark, d):
     return join_stats(*_t(spark, d, "customer", "supplier"), JoinSpec("c_nationkey", "s_nationkey")).select("estimated_fan_out_rows")
@@ -140,7 +141,8 @@ def j5_fan_out(spark, d):
 
 @query(
     "j6_fan_out_allowed",
-    """SELECT s_suppkey, count(*) AS customers, true AS refused_by_default FROM customer JOIN supplier ON c_nationkey = s_nationkey GROUP BY 1""",
+    f"""SELECT s_suppkey, count(*) AS customers, {_DUP.format(c='c_nationkey', t='customer')} AND {_DUP.format(c='s_nationkey', t='supplier')} AS refused_by_default
+        FROM customer JOIN supplier ON c_nationkey = s_nationkey GROUP BY 1""",
 )
 def j6_fan_out_allowed(spark, d):
     customers, suppliers = _t(spark, d, "customer", "supplier")
