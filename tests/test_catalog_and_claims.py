@@ -34,27 +34,57 @@ def resolve(spark, columns, concept, role="any"):
     return match_columns(spark.createDataFrame([(concept, role)], "concept string, role string"), catalog).first()
 
 
-@pytest.mark.parametrize(
-    "concept, role, column",
-    [
-        ("product", "dimension", "product_name"),
-        ("prodcut", "dimension", "product_name"),
-        ("product id", "dimension", "product_id"),
-        ("revenue", "measure", "sales_amount"),
-        ("average sales", "measure", "sales_amount"),
-        ("Region", "dimension", "region"),
-        ("territory", "dimension", "region"),
-        ("region", "measure", None),
-        ("order date", "date", "order_date"),
-        ("return rate", "any", None),
-        ("marketing spend", "measure", None),
-        ("xyz", "any", None),
-        ("total", "measure", None),
-    ],
-)
-def test_resolution(spark, concept, role, column):
-    row = resolve(spark, SALES, concept, role)
-    assert row["column_name"] == column and row["resolved"] == (column is not None)
+def resolve_all(spark, columns, concepts):
+    catalog = spark.createDataFrame([("d", i, n, k) for i, (n, k) in enumerate(columns)], "dataset_id string, position int, column_name string, inferred_type string")
+    asked = spark.createDataFrame(concepts, "concept string, role string")
+    return {(r["concept"], r["role"]): r for r in match_columns(asked, catalog).collect()}
+
+
+def test_resolution(spark):
+    expected = {
+        ("product", "dimension"): "product_name",
+        ("product name", "dimension"): "product_name",
+        ("product-name", "dimension"): "product_name",
+        ("ProductName", "dimension"): "product_name",
+        ("productname", "dimension"): "product_name",
+        ("PRODUCT NAME", "dimension"): "product_name",
+        ("prodcut", "dimension"): "product_name",
+        ("prduct name", "dimension"): "product_name",
+        ("product id", "dimension"): "product_id",
+        ("product", "measure"): None,
+        ("sales", "measure"): "sales_amount",
+        ("revenue", "measure"): "sales_amount",
+        ("average sales", "measure"): "sales_amount",
+        ("Region", "dimension"): "region",
+        ("territory", "dimension"): "region",
+        ("region", "measure"): None,
+        ("order date", "date"): "order_date",
+        ("zorblaxian quantum flux", "dimension"): None,
+        ("return rate", "any"): None,
+        ("xyz", "any"): None,
+        ("total", "measure"): None,
+    }
+    found = resolve_all(spark, SALES, list(expected))
+    assert {key: row["column_name"] for key, row in found.items()} == expected
+    assert all(row["resolved"] == (row["column_name"] is not None) for row in found.values())
+
+
+def test_phrases_of_other_domains_stay_unresolved(spark):
+    columns = [("order_id", "identifier"), ("price", "numeric"), ("late_delivery_risk", "numeric"), ("department", "categorical"), ("rating", "numeric")]
+    phrases = [
+        "marketing ROI", "campaign adspend", "stockout rate", "excess inventory", "delivery partner rating", "employee revenue",
+        "employee profitability", "target attainment", "return rate",
+    ]
+    found = resolve_all(spark, columns, [(p, "measure") for p in phrases])
+    assert len(found) == len(phrases) and not any(row["resolved"] for row in found.values())
+
+
+def test_short_name_is_not_lost_in_a_long_one(spark):
+    columns = [("product_price_history_id", "identifier"), ("price", "numeric")]
+    assert resolve(spark, columns, "price", "measure")["column_name"] == "price"
+    names = [("customer_id", "identifier"), ("amount", "numeric")]
+    found = resolve_all(spark, names, [(c, "dimension") for c in ("customer id", "customer-id", "CustomerID", "customerid")])
+    assert {row["column_name"] for row in found.values()} == {"customer_id"}
 
 
 def test_exact_name_has_full_confidence(spark):

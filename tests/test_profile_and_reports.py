@@ -132,6 +132,8 @@ def test_metric_ranking(spark):
         ("sum", "Realized_Revenue_NGN", "Total Realized Revenue"),
         ("mean", "Average_Unit_Cost_NGN", "Average Unit Cost"),
         ("nunique", "city", "Distinct City"),
+        ("sum", "Total_Sales_NGN", "Total Sales"),
+        ("mean", "Unit_Cost_NGN", "Average Unit Cost"),
     ],
 )
 def test_labels(spark, agg, name, label):
@@ -147,6 +149,21 @@ def test_kpis_of_orders(orders):
     assert {"Total Amount by Region", "Amount Trend"} <= by_name.keys()
 
 
+def test_given_aggregations_win(spark):
+    rows = [(f"E{i}", 25 + i % 30, 50000.0 + i * 1000, ["Engineering", "Sales"][i % 2]) for i in range(20)]
+    df = spark.createDataFrame(rows, "employee_id string, age int, salary double, department string")
+    profile = profile_table(df, "hr")
+    names = {r["name"] for r in as_dicts(discover_kpis(df, profile))}
+    assert {"Total Salary", "Average Age"} <= names
+    names = {r["name"] for r in as_dicts(discover_kpis(df, profile, overrides={"salary": "mean", "age": "exclude"}))}
+    assert "Average Salary" in names and not any("Age" in n.split() for n in names)
+
+
+def test_record_count_without_usable_columns(spark):
+    df = spark.createDataFrame([(f"a very long unique description {i}",) for i in range(30)], "free_text string")
+    assert [(r["name"], r["preview_value"]) for r in as_dicts(discover_kpis(df, profile_table(df, "t")))] == [("Record Count", 30.0)]
+
+
 def test_similar_amount_dropped_after_sales(spark):
     df = spark.createDataFrame([(1.0, 2.0, "a"), (2.0, 3.0, "b")], "sales double, extended_amount double, k string")
     names = [r["name"] for r in as_dicts(discover_kpis(df, profile_table(df, "t"))) if r["aggregation"] == "sum"]
