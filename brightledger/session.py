@@ -5,6 +5,7 @@ from __future__ import annotations
 import sys
 import tempfile
 import uuid
+from types import ModuleType
 
 import pyarrow as pa
 from pyspark import cloudpickle
@@ -39,9 +40,11 @@ def get_spark(app: str = "brightledger", master: str | None = None, **conf: str)
     return spark
 
 
-def ship_package() -> None:
-    """Pickle this package's functions by value, so executors need no install."""
-    cloudpickle.register_pickle_by_value(sys.modules["brightledger"])
+def ship_package(*others: ModuleType) -> None:
+    """Pickle the functions of this package (and others) by value, so executors
+    need no install."""
+    for module in (sys.modules["brightledger"], *others):
+        cloudpickle.register_pickle_by_value(module)
 
 
 def load_texts(spark: SparkSession, folder: str, name: str) -> DataFrame:
