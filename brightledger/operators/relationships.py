@@ -14,6 +14,8 @@ from brightledger.session import small_frame
 KEY_UNIQUENESS = 0.95
 MIN_SCORE = 45.0
 NULL_PENALTY_PCT = 20.0
+# Columns per 64-bit word of a column set.
+SET_BITS = 62
 
 
 def key_candidates(profile_rows: DataFrame) -> DataFrame:
@@ -39,23 +41,36 @@ def value_overlaps(tables: dict[str, DataFrame], columns: list[tuple[str, str]])
     """(a_table, a_column, b_table, b_column, common) for columns sharing values.
 
     All pairs in one job and without pairing inside a value: each value is
-    reduced to the set of columns holding it, equal sets are counted together,
-    and only the distinct sets are spread out into pairs.
+    reduced to the set of columns holding it, as bits, which merge before the
+    shuffle; equal sets are counted together, and only the distinct sets are
+    spread out into pairs.
     """
+    words = [f"w{i}" for i in range((len(columns) - 1) // SET_BITS + 1)]
+
+    def bits(i: int) -> list[Column]:
+        return [F.lit(1 << i % SET_BITS if w == i // SET_BITS else 0).cast("bigint").alias(name) for w, name in enumerate(words)]
+
     parts = []
     for table in dict.fromkeys(t for t, _ in columns):
         df = tables[table]
         cells = [
-            F.struct(F.lit(i).alias("col"), compact_value(df, name).alias("value"))
-            for i, (t, name) in enumerate(columns)
-            if t == table
+            F.struct(compact_value(df, name).alias("value"), *bits(i)) for i, (t, name) in enumerate(columns) if t == table
         ]
         parts.append(df.select(F.inline(F.array(*cells))).filter("value IS NOT NULL"))
     cells = reduce(DataFrame.unionAll, parts)
-    holders = cells.groupBy("value").agg(F.array_sort(F.collect_set("col")).alias("cols"))
-    sets = holders.filter(F.size("cols") > 1).groupBy("cols").agg(F.count(F.lit(1)).alias("n"))
+    holders = cells.groupBy("value").agg(*[F.bit_or(w).alias(w) for w in words])
+    sets = holders.groupBy(*words).agg(F.count(F.lit(1)).alias("n"))
+    members = F.array_compact(
+        F.array(
+            *[
+                F.when(F.col(words[i // SET_BITS]).bitwiseAND(F.lit(1 << i % SET_BITS)) != 0, F.lit(i))
+                for i in range(len(columns))
+            ]
+        )
+    )
     pairs = (
-        sets.select("n", "cols", F.explode("cols").alias("a"))
+        sets.select("n", members.alias("cols"))
+        .select("n", "cols", F.explode("cols").alias("a"))
         .select("n", "a", F.explode("cols").alias("b"))
         .filter("a < b")
         .groupBy("a", "b")

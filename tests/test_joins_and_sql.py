@@ -14,7 +14,7 @@ from brightledger.operators.joins import (
     unmatched_rows,
 )
 from brightledger.operators.profile import batch_reprofile, profile_frame
-from brightledger.operators.relationships import detect_relationships
+from brightledger.operators.relationships import detect_relationships, value_overlaps
 from brightledger.operators.sql import SqlRefused, read_only, sql_query, view_names
 from tests.conftest import as_dicts
 
@@ -112,6 +112,16 @@ def test_stem_match_and_value_cap(spark):
     assert capped["value_overlap_percentage"] is None and capped["confidence_score"] == 65.0
 
 
+def test_overlaps_of_more_columns_than_one_word_holds(spark):
+    wide = spark.range(6).select(*[(F.col("id") * (i + 1)).alias(f"c{i}") for i in range(70)])
+    other = spark.range(4).select((F.col("id") * 3).alias("k"))
+    columns = [("wide", f"c{i}") for i in range(70)] + [("other", "k")]
+    got = {(r["a_column"], r["b_column"]): r["common"] for r in as_dicts(value_overlaps({"wide": wide, "other": other}, columns))}
+    sets = [{j * (i + 1) for j in range(6)} for i in range(70)] + [{0, 3, 6, 9}]
+    names = [n for _, n in columns]
+    assert got == {(names[a], names[b]): len(sets[a] & sets[b]) for a in range(71) for b in range(a + 1, 71)}
+
+
 # --- SQL ----------------------------------------------------------------------------
 
 
