@@ -52,8 +52,10 @@ def measure(df: DataFrame, aggregation: str, metric: str | None) -> Column:
     }[aggregation]
 
 
-def grouped(df: DataFrame, keys: dict[str, Column], aggregation: str, metric: str | None) -> DataFrame:
-    """key columns + `value`. Rows with a null key are dropped first."""
+def grouped(
+    df: DataFrame, keys: dict[str, Column], aggregation: str, metric: str | None, value_as: str = "value"
+) -> DataFrame:
+    """key columns + the value. Rows with a null key are dropped first."""
     _check(df, aggregation, metric)
     needed = {name: expr for name, expr in keys.items()}
     kept = df
@@ -63,9 +65,9 @@ def grouped(df: DataFrame, keys: dict[str, Column], aggregation: str, metric: st
         number = to_number_lenient(df, metric).cast("double").alias("_metric")
         flat = kept.select(*[expr.alias(name) for name, expr in needed.items()], number)
         out = exact_quantiles(flat, list(needed), "_metric", [0.5])
-        return out.select(*[c(k) for k in needed], F.col("quantiles")[0].alias("value"))
+        return out.select(*[c(k) for k in needed], F.col("quantiles")[0].alias(value_as))
     return kept.groupBy(*[expr.alias(name) for name, expr in needed.items()]).agg(
-        measure(df, aggregation, metric).alias("value")
+        measure(df, aggregation, metric).alias(value_as)
     )
 
 
@@ -146,18 +148,18 @@ def breakdown(
     require_columns(df, [dimension, metric], dataset)
     df = apply_filters(df, filters, dataset)
     name = value_name(aggregation, metric)
-    groups = grouped(df, {dimension: known(df, dimension)}, aggregation, metric).filter("value IS NOT NULL")
-    order = [F.col("value").asc() if sort == "asc" else F.col("value").desc(), c(dimension).asc()]
+    groups = grouped(df, {dimension: known(df, dimension)}, aggregation, metric, "_value").filter("_value IS NOT NULL")
+    order = [F.col("_value").asc() if sort == "asc" else F.col("_value").desc(), c(dimension).asc()]
     shown = groups.orderBy(*order).limit(top_n) if top_n else groups
     if aggregation in ("sum", "count", "nunique"):
         if top_n and pct_base == "shown":
             # At most top_n rows: a single-task window is enough.
-            total = F.sum("value").over(Window.partitionBy())
+            total = F.sum("_value").over(Window.partitionBy())
         else:
             # Not a window: that would pull every group into one task.
-            total = groups.agg(F.sum("value")).scalar()
-        shown = shown.withColumn("percentage_of_total", share_pct(F.col("value"), total))
-    return shown.orderBy(*order).withColumnRenamed("value", name)
+            total = groups.agg(F.sum("_value")).scalar()
+        shown = shown.withColumn("percentage_of_total", share_pct(F.col("_value"), total))
+    return shown.orderBy(*order).withColumnRenamed("_value", name)
 
 
 def breakdown2(
@@ -173,12 +175,12 @@ def breakdown2(
     """A3: two dimensions, largest first whatever the sort, at most top_n or 100 rows."""
     require_columns(df, [first, second, metric], dataset)
     df = apply_filters(df, filters, dataset)
-    groups = grouped(df, {first: known(df, first), second: known(df, second)}, aggregation, metric)
+    groups = grouped(df, {first: known(df, first), second: known(df, second)}, aggregation, metric, "_value")
     return (
-        groups.filter("value IS NOT NULL")
-        .orderBy(F.col("value").desc(), c(first).asc(), c(second).asc())
+        groups.filter("_value IS NOT NULL")
+        .orderBy(F.col("_value").desc(), c(first).asc(), c(second).asc())
         .limit(top_n or CHART_ROWS)
-        .withColumnRenamed("value", value_name(aggregation, metric))
+        .withColumnRenamed("_value", value_name(aggregation, metric))
     )
 
 

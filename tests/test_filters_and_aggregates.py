@@ -150,6 +150,13 @@ def test_two_dimensions_descending_and_capped(spark):
     assert [(r["region"], r["category"], r["sum_revenue"]) for r in out] == [("South", "B", 30.0), ("North", "B", 20.0), ("North", "A", 11.0)]
 
 
+def test_dimension_called_value_or_with_a_dot(spark):
+    df = spark.createDataFrame([("a", 1.0, "x"), ("a", 2.0, "y"), ("b", 4.0, "x")], ["value", "net.price", "my dim"])
+    assert [tuple(r) for r in breakdown(df, "value", "sum", "net.price").collect()] == [("b", 4.0, 57.14), ("a", 3.0, 42.86)]
+    assert [tuple(r) for r in breakdown2(df, "my dim", "value", "median", "net.price", top_n=1).collect()] == [("x", "b", 4.0)]
+    assert scalar(df, "mean", "net.price", [Condition("my dim", "eq", "x")]).first()["value"] == 2.5
+
+
 def test_trend_by_text_dates(orders):
     expected = {}
     for _, day, _, amount, _ in order_rows(20):
