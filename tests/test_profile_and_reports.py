@@ -262,3 +262,15 @@ def test_countries(spark):
     assert [r["value"] for r in as_dicts(unmatched_places(df, "country"))] == ["Wakanda"]
     names = profile_rows(spark, ("Country_Code", "categorical"), ("county", "categorical"))
     assert [r["column_name"] for r in as_dicts(country_columns(names))] == ["Country_Code"]
+
+
+def test_columns_with_dots_and_blanks(spark):
+    rows = [(float(i), "ab"[i % 2], f"2024-0{i % 3 + 1}-01", f"{i}") for i in range(12)]
+    df = spark.createDataFrame(rows, ["net.price", "my dim", "order date", "line.no"])
+    profile = profile_table(df, "odd")
+    assert {c["column_name"]: c["inferred_type"] for c in profile.columns} == {
+        "net.price": "numeric", "my dim": "categorical", "order date": "date", "line.no": "identifier",
+    }
+    assert profile.column("net.price")["median_value"] == 5.5
+    titles = {r["title"] for r in as_dicts(default_charts(df, profile))}
+    assert len(titles) == 2 and generate_insights(df, profile, date(2024, 3, 2)).count() >= 1
