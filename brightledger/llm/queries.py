@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from brightledger.llm.decontaminate import contamination
 from brightledger.llm.packing import pack
+from brightledger.llm.quality import judge_quality
 from brightledger.llm.token_counts import count_tokens
 from brightledger.llm.url_filter import judge_urls
 from brightledger.llm.warc_zip import read_archives, write_archives
@@ -28,6 +30,12 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+@query("op2_decontamination")
+def op2_decontamination(spark, d):
+    """Words of every document in ten-word windows of benchmark items."""
+    return contamination(load_table(spark, d, "documents"), load_table(spark, d, "benchmark"))
+
+
 _ARCHIVE_SQL = """WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
   hashed AS (SELECT page_id, octet_length(payload) AS payload_bytes, sha1(payload) AS hex, max(page_id) OVER (PARTITION BY payload) AS keeper FROM p),
   bits AS (SELECT *, list_aggregate(list_transform(range(40), lambda i: lpad(bin(CAST('0x' || hex[i + 1] AS INTEGER)), 4, '0')), 'string_agg', '') AS b FROM hashed)
@@ -49,6 +57,13 @@ def op4_packing(spark, d):
     return pack(load_table(spark, d, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+@query("op5_quality")
+def op5_quality(spark, d):
+    """Base counts and verdict of every document."""
+    columns = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "p_good", "kept"]
+    return judge_quality(load_table(spark, d, "documents")).select(*columns)
+
+
 #: Rules of the URL query: host, path, action (fixed values).
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 
