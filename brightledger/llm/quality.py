@@ -60,6 +60,7 @@ def text_facts(docs: DataFrame, id_column: str = "doc_id", text_column: str = "t
         _repeated_words(F.col("words"), WINDOW).alias("n_repeat_words"),
         number(F.size("lines")).alias("n_lines"),
         number(F.size(F.array_distinct("words"))).alias("n_distinct_words"),
+        number(F.size(F.filter("words", lambda w, i: w == F.get(F.col("words"), i - 1)))).alias("n_stutters"),
         number(F.length("text") - F.length(F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", ""))).alias("n_upper"),
         number(F.length("text") - F.length(F.translate("text", "0123456789", ""))).alias("n_digits"),
         number(F.length("text") - F.length(F.translate("text", ".!?", ""))).alias("n_stops"),
@@ -79,45 +80,60 @@ def rules() -> dict[str, Column]:
         "symbols": _vote(c("n_symbols") <= 0.02 * n, c("n_symbols") > 0.1 * n),
         "word_length": _vote(chars.between(4 * n, 8 * n), ~chars.between(2.5 * n, 12 * n)),
         "capitals": _vote(c("n_upper") <= 0.1 * chars, c("n_upper") > 0.3 * chars),
-        "repeats": _vote(c("n_repeat_words") <= 0.02 * n, c("n_repeat_words") > 0.1 * n),
-        "lines": _vote((c("n_lines") >= 3) & (c("n_dup_lines") == 0), c("n_dup_lines") > 0.3 * c("n_lines")),
+        "repeats": _vote(c("n_repeat_words") <= 0.02 * n, c("n_repeat_words") > 0.2 * n),
+        "lines": _vote((c("n_lines") >= 3) & (c("n_dup_lines") == 0), c("n_dup_lines") > 0.5 * c("n_lines")),
         "variety": _vote(c("n_distinct_words") >= 0.5 * n, (c("n_words") >= 50) & (c("n_distinct_words") < 0.15 * n)),
         "sentences": _vote(c("n_stops").between(0.03 * n, 0.3 * n), (c("n_words") >= 30) & (c("n_stops") < 0.005 * n)),
         "exclaims": _vote(c("n_exclaims") <= 0.01 * n, c("n_exclaims") > 0.2 * n),
         "digits": _vote(c("n_digits") <= 0.05 * chars, c("n_digits") > 0.3 * chars),
+        "stutter": _vote(c("n_stutters") <= 0.02 * n, c("n_stutters") > 0.15 * n),
         "length": _vote(c("n_words") >= 50, c("n_words") < 10),
     }
 
 
-def fit_votes(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 50) -> tuple[float, list[dict[int, tuple[float, float]]]]:
-    """The share of good documents, and for each rule the probability of each
-    vote among good and among bad ones, by expectation-maximisation.
+#: Least and greatest probability that a vote on a good, and on a bad document
+#: is right. A rule is written so that it seldom speaks against a good one.
+GOOD_RANGE, BAD_RANGE = (0.99, 0.9999), (0.02, 0.98)
 
-    `patterns` are distinct tuples of votes with counts. Pseudo-counts say that
-    bad votes are rare among good documents and that good votes are common, so
-    the two classes can't change places; they also give the result for no rows.
+
+def fit_votes(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 50) -> tuple[float, list[tuple[float, float]]]:
+    """The share of good documents, and for each rule its accuracy on good and
+    on bad documents (how likely its vote is right where it votes), by
+    expectation-maximisation. Abstaining says nothing about a document.
+
+    `patterns` are distinct tuples of votes with counts. The start takes
+    documents with a vote against them for bad; the ranges keep the two classes
+    from changing places, and with one doubtful document of each kind they give
+    the result for no rows.
     """
     k = len(patterns[0][0]) if patterns else 0
-    prior = ({1: 9.0, 0: 2.0, -1: 0.1}, {1: 4.0, 0: 4.0, -1: 2.0})
     weights = [0.05 if -1 in votes else 0.95 for votes, _ in patterns]
-    share, tables = 0.9, [{v: tuple(p[v] / sum(p.values()) for p in prior) for v in (1, 0, -1)} for _ in range(k)]
+    share, accuracies = 0.5, [(0.99, 0.5)] * k
+    total = sum(n for _, n in patterns)
     for _ in range(rounds):
-        good = sum(w * n for w, (_, n) in zip(weights, patterns))
-        total = sum(n for _, n in patterns)
-        share = (good + 9) / (total + 10)
+        share = (sum(w * n for w, (_, n) in zip(weights, patterns)) + 1) / (total + 2)
+        accuracies = []
         for j in range(k):
-            sums = {v: [prior[0][v], prior[1][v]] for v in (1, 0, -1)}
+            right = [1.0, 1.0]
+            voted = [2.0, 2.0]
             for w, (votes, n) in zip(weights, patterns):
-                sums[votes[j]][0] += w * n
-                sums[votes[j]][1] += (1 - w) * n
-            all_good, all_bad = sum(s[0] for s in sums.values()), sum(s[1] for s in sums.values())
-            tables[j] = {v: (s[0] / all_good, s[1] / all_bad) for v, s in sums.items()}
-        weights = [_posterior(share, tables, votes) for votes, _ in patterns]
-    return share, tables
+                if votes[j]:
+                    voted[0] += w * n
+                    voted[1] += (1 - w) * n
+                    right[votes[j] < 0] += (1 - w if votes[j] < 0 else w) * n
+            accuracies.append(tuple(min(high, max(low, r / v)) for r, v, (low, high) in zip(right, voted, (GOOD_RANGE, BAD_RANGE))))
+        weights = [_posterior(share, accuracies, votes) for votes, _ in patterns]
+    return share, accuracies
+
+
+def vote_weights(accuracy: tuple[float, float]) -> dict[int, float]:
+    """What a vote adds to the log-odds of a good document."""
+    good, bad = accuracy
+    return {1: math.log(good / (1 - bad)), -1: math.log((1 - good) / bad), 0: 0.0}
 
 
-def _posterior(share: float, tables: list[dict[int, tuple[float, float]]], votes: tuple[int, ...]) -> float:
-    odds = math.log(share / (1 - share)) + sum(math.log(t[v][0] / t[v][1]) for t, v in zip(tables, votes))
+def _posterior(share: float, accuracies: list[tuple[float, float]], votes: tuple[int, ...]) -> float:
+    odds = math.log(share / (1 - share)) + sum(vote_weights(a)[v] for a, v in zip(accuracies, votes))
     return 1 / (1 + math.exp(-max(-500.0, min(500.0, odds))))
 
 
@@ -137,10 +153,10 @@ def judge_quality(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     voted = settled(facts.withColumns({f"vote_{k}": v for k, v in rules().items()} | {"base_failed": failed}), "votes")
     votes = [f"vote_{k}" for k in names]
     counted = voted.where(~F.col("base_failed")).groupBy(*votes).count().collect()
-    share, tables = fit_votes(sorted((tuple(r[:-1]), r[-1]) for r in counted))
+    share, accuracies = fit_votes(sorted((tuple(r[:-1]), r[-1]) for r in counted))
     odds = F.lit(math.log(share / (1 - share)))
-    for name, table in zip(votes, tables):
-        weight = {v: math.log(p / q) for v, (p, q) in table.items()}
-        odds = odds + F.when(F.col(name) == 1, weight[1]).when(F.col(name) == -1, weight[-1]).otherwise(weight[0])
+    for name, accuracy in zip(votes, accuracies):
+        weights = vote_weights(accuracy)
+        odds = odds + F.when(F.col(name) == 1, weights[1]).when(F.col(name) == -1, weights[-1]).otherwise(weights[0])
     good = 1 / (1 + F.exp(-odds))
     return voted.withColumn("p_good", good).withColumn("kept", ~F.col("base_failed") & (F.col("p_good") >= keep_from))
