@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brightledger.llm.decontaminate import contamination
+from brightledger.llm.near_dup import near_duplicates
 from brightledger.llm.packing import pack
 from brightledger.llm.quality import judge_quality
 from brightledger.llm.token_counts import count_tokens
@@ -89,3 +90,9 @@ def op7_url_filter(spark, d):
 def op9_token_counts(spark, d):
     """Tokens of every document by a unigram vocabulary."""
     return count_tokens(load_table(spark, d, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query("op10_near_duplicates")
+def op10_near_duplicates(spark, d):
+    """Component of every document by its four-word shingles."""
+    return near_duplicates(load_table(spark, d, "documents"), size=4)
