@@ -12,6 +12,7 @@ from brightledger.llm.decontaminate import contamination
 from brightledger.llm.near_dup import near_duplicates
 from brightledger.llm.packing import pack
 from brightledger.llm.quality import judge_quality
+from brightledger.llm.suffix_dedup import repeat_counts
 from brightledger.llm.token_counts import count_tokens
 from brightledger.llm.url_filter import judge_urls
 from brightledger.llm.warc_zip import read_archives, write_archives
@@ -31,6 +32,12 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+@query("op1_suffix_dedup")
+def op1_suffix_dedup(spark, d):
+    """Bytes of every document in 100-byte strings that start earlier, too."""
+    return repeat_counts(load_table(spark, d, "documents"))
+
+
 @query("op2_decontamination")
 def op2_decontamination(spark, d):
     """Words of every document in ten-word windows of benchmark items."""

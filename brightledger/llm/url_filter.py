@@ -66,15 +66,16 @@ def bloom_blocks(keys: DataFrame, key: str, max_blocks: int = MAX_BLOCKS) -> Dat
     )
 
 
-def possible(rows: DataFrame, key: str, blocks: DataFrame, max_blocks: int = MAX_BLOCKS) -> DataFrame:
-    """The rows whose key may be in the filter."""
+def possible(rows: DataFrame, key: str, blocks: DataFrame, max_blocks: int = MAX_BLOCKS, without: bool = False) -> DataFrame:
+    """The rows whose key may be in the filter; `without`: those whose key is
+    surely not."""
     block, *words = _bits(F.col(key), max_blocks)
     mine = rows.withColumns({"_block": block, **{f"_b{i}": w for i, w in enumerate(words)}})
     hit = mine["_block"] == blocks["block"]
     for i in range(len(SALTS)):
         hit = hit & (blocks[f"w{i}"].bitwiseAND(mine[f"_b{i}"]) != 0)
     # Its size is bounded by max_blocks rows of nine numbers.
-    return mine.join(F.broadcast(blocks), hit, "left_semi").select(*[rows[c] for c in rows.columns])
+    return mine.join(F.broadcast(blocks), hit, "left_anti" if without else "left_semi").select(*[rows[c] for c in rows.columns])
 
 
 def listed(rows: DataFrame, key: str, keys: DataFrame, max_blocks: int = MAX_BLOCKS) -> DataFrame:
