@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from brightledger.llm.class_lm import score_documents
 from brightledger.llm.decontaminate import contamination
 from brightledger.llm.near_dup import near_duplicates
 from brightledger.llm.packing import pack
@@ -72,6 +73,12 @@ def op5_quality(spark, d):
     return judge_quality(load_table(spark, d, "documents")).select(*columns)
 
 
+@query("op6_class_lm")
+def op6_class_lm(spark, d):
+    """Scores of all documents by a class model of those not held out."""
+    return score_documents(load_table(spark, d, "documents"))
+
+
 #: Rules of the URL query: host, path, action (fixed values).
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 
