@@ -13,6 +13,7 @@ from brightledger.llm.decontaminate import contamination
 from brightledger.llm.near_dup import near_duplicates
 from brightledger.llm.packing import pack
 from brightledger.llm.quality import judge_quality
+from brightledger.llm.quotes import link_quotes
 from brightledger.llm.suffix_dedup import repeat_counts
 from brightledger.llm.token_counts import count_tokens
 from brightledger.llm.url_filter import judge_urls
@@ -110,3 +111,26 @@ def op9_token_counts(spark, d):
 def op10_near_duplicates(spark, d):
     """Component of every document by its four-word shingles."""
     return near_duplicates(load_table(spark, d, "documents"), size=4)
+
+
+_MAIL_SQL = r"""WITH c AS (SELECT conv_id, turn, role, text, trim(regexp_replace(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '\s+', ' ', 'g')) AS norm FROM conversations),
+  o AS (SELECT conv_id, norm, min(turn) AS original FROM c GROUP BY ALL),
+  p AS (SELECT c.*, o.original AS parent_turn FROM c LEFT JOIN c AS q ON q.conv_id = c.conv_id AND q.turn = c.turn - CASE WHEN c.turn % 3 = 0 THEN 3 ELSE 1 END
+        LEFT JOIN o ON o.conv_id = q.conv_id AND o.norm = q.norm AND o.original < c.turn)
+  SELECT conv_id, turn, role, text, parent_turn FROM p"""
+
+
+@query("op8_quotation_links", _MAIL_SQL)
+def op8_quotation_links(spark, d):
+    """Conversations as mail (each message quotes the one it answers, and what
+    that one quotes) and back: texts without quotes, and what each answers."""
+    turns = load_table(spark, d, "conversations")
+    step = F.when(F.col("turn") % 3 == 0, 3).otherwise(1)
+    said = turns.select("conv_id", F.col("turn").alias("before"), F.col("text").alias("quoted"))
+    mail = turns.withColumn("before", F.col("turn") - step).join(said, ["conv_id", "before"], "left")
+    above = said.select("conv_id", F.col("before").alias("earlier"), F.col("quoted").alias("deeper"))
+    earlier = F.col("before") - F.when(F.col("before") % 3 == 0, 3).otherwise(1)
+    mail = mail.withColumn("earlier", earlier).join(above, ["conv_id", "earlier"], "left")
+    quote = lambda c, mark: F.when(F.col(c).isNotNull(), F.concat(F.regexp_replace(c, "(?m)^", mark), F.lit("\n"))).otherwise("")
+    mail = mail.select("conv_id", "turn", "role", F.concat(quote("deeper", ">> "), quote("quoted", "> "), F.col("text")).alias("text"))
+    return link_quotes(mail).select("conv_id", "turn", "role", "text", "parent_turn")
