@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brightledger.llm.arrays import ALPHANUMERIC, LOWER, shingle_hashes, slices, text_bytes, word_bounds, word_hashes
-from brightledger.llm.tables import settled
+from brightledger.llm.tables import settled, whole_row
 
 WINDOW, SHINGLE = 10, 5
 #: Windows that are broadcast at once (about 200 bytes each).
@@ -97,9 +97,10 @@ def windows_of(items: DataFrame, window: int = WINDOW, id_column: str = "item_id
     return texts.mapInArrow(cut, "window string, item long").groupBy("window").agg(F.sort_array(F.collect_set("item")).alias("items"))
 
 
-def find_windows(docs: DataFrame, items: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, block_windows: int = BLOCK_WINDOWS, id_column: str = "doc_id", text_column: str = "text", item_column: str = "item_id", item_text: str = "text") -> DataFrame:
+def find_windows(docs: DataFrame, items: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, block_windows: int = BLOCK_WINDOWS, id_column: str = "doc_id", text_column: str = "text", item_column: str = "item_id", item_text: str = "text", carry: bool = False) -> DataFrame:
     """doc id, text, n_words, spans (first word, end; merged where they touch)
-    and items of each document, one row for each input row.
+    and items of each document, one row for each input row; with `carry` the
+    input row as the struct `row`.
 
     Words are lower-cased `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`; null texts and
     items have none. Windows are broadcast in blocks of bounded size; documents
@@ -112,6 +113,7 @@ def find_windows(docs: DataFrame, items: DataFrame, window: int = WINDOW, shingl
     found = docs.select(
         F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"), F.lit(0).cast("long").alias("n_words"),
         F.array().cast("array<struct<start:long,end:long>>").alias("spans"), F.array().cast("array<long>").alias("items"),
+        *([whole_row(docs)] if carry else []),
     )
     texts = docs.select(F.col(text_column).alias("text"))
     for block in range(blocks):
@@ -177,10 +179,8 @@ def _searcher(index: Index):
             for d, found in hits.items():
                 spans[d] = _merged([(x["start"], x["end"]) for x in spans[d]] + [(s, e) for s, e, _ in found])
                 items[d] = sorted(set(items[d]) | {i for _, _, w in found for i in index.items[w]})
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(counts, pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(items, pa.list_(pa.int64()))],
-                ["doc_id", "text", "n_words", "spans", "items"],
-            )
+            spans = pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(counts, pa.int64()), spans, pa.array(items, pa.list_(pa.int64())), *batch.columns[5:]], batch.schema.names)
 
     return search
 

@@ -14,7 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from brightledger.llm.tables import settled
+from brightledger.llm.tables import settled, whole_row
 
 WINDOW = 5
 #: White space between words (fixed values).
@@ -43,12 +43,13 @@ def _repeated_words(words: Column, window: int) -> Column:
     return F.when(F.size(words) <= window, F.lit(0).cast("long")).otherwise(_let(windows, covered))
 
 
-def text_facts(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """Counts of every whole text (null: no words), one row for each input row."""
+def text_facts(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", carry: bool = False) -> DataFrame:
+    """Counts of every whole text (null: no words), one row for each input row;
+    with `carry` the input row as the struct `row`."""
     text = F.coalesce(F.col(text_column), F.lit(""))
     words = F.filter(F.split(text, "[ \\t-\\r]+"), lambda w: w != "")
     lines = F.filter(F.split(text, "\n"), lambda line: F.translate(line, BLANK, "") != "")
-    cut = docs.select(F.col(id_column).alias("doc_id"), text.alias("text"), words.alias("words"), lines.alias("lines"))
+    cut = docs.select(F.col(id_column).alias("doc_id"), text.alias("text"), words.alias("words"), lines.alias("lines"), *_carried(docs, carry))
     bare = F.translate("text", BLANK, "")
     number = lambda c: c.cast("long")
     return cut.select(
@@ -65,9 +66,14 @@ def text_facts(docs: DataFrame, id_column: str = "doc_id", text_column: str = "t
         number(F.length("text") - F.length(F.translate("text", "0123456789", ""))).alias("n_digits"),
         number(F.length("text") - F.length(F.translate("text", ".!?", ""))).alias("n_stops"),
         number(F.length("text") - F.length(F.translate("text", "!", ""))).alias("n_exclaims"),
+        *(["row"] if carry else []),
     )
 
 
+def _carried(docs: DataFrame, carry: bool) -> list[Column]:
+    return [whole_row(docs)] if carry else []
+
+
 def _vote(good: Column, bad: Column) -> Column:
     return F.when(bad, -1).when(good, 1).otherwise(0)
 
@@ -137,9 +143,10 @@ def _posterior(share: float, accuracies: list[tuple[float, float]], votes: tuple
     return 1 / (1 + math.exp(-max(-500.0, min(500.0, odds))))
 
 
-def judge_quality(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", keep_from: float = 0.5) -> DataFrame:
+def judge_quality(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", keep_from: float = 0.5, carry: bool = False) -> DataFrame:
     """The counts of each document, its votes, base_failed, the posterior
-    probability `p_good`, and kept. One row for each input row.
+    probability `p_good`, and kept; with `carry` the input row as the struct
+    `row`. One row for each input row.
 
     Words are `[^\\x20\\x09-\\x0D]+`. A document fails the base rules with fewer
     than ten words or more than a fifth of its words in windows of five words
@@ -148,7 +155,7 @@ def judge_quality(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     3 ** rules rows reach the driver, whatever the input.
     """
     names = list(rules())
-    facts = text_facts(docs, id_column, text_column)
+    facts = text_facts(docs, id_column, text_column, carry)
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     voted = settled(facts.withColumns({f"vote_{k}": v for k, v in rules().items()} | {"base_failed": failed}), "votes")
     votes = [f"vote_{k}" for k in names]

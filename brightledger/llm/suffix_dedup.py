@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brightledger.llm.arrays import mix, slices, text_bytes
-from brightledger.llm.tables import settled
+from brightledger.llm.tables import settled, whole_row
 from brightledger.llm.url_filter import bloom_blocks, possible
 
 LENGTH = 100
@@ -364,15 +364,17 @@ def _remove(length: int):
                 # As text, a character goes if one of its bytes does.
                 whole = [p.decode("utf-8", "ignore") for p in parts]
                 clean.append("".join(whole))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(kept, pa.binary()), pa.array(clean, pa.string())], ["doc", "spans", "kept", "kept_text"])
+            spans = pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))
+            yield pa.RecordBatch.from_arrays([batch.column(0), spans, pa.array(kept, pa.binary()), pa.array(clean, pa.string()), *batch.columns[3:]], ["doc", "spans", "kept", "kept_text", *batch.schema.names[3:]])
 
     return remove
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, id_column: str = "doc_id", text_column: str = "text", carry: bool = False) -> DataFrame:
     """doc_id, n_bytes, spans (start, end; maximal removed runs of bytes), kept
     (the remaining bytes), kept_text (as text, without characters of which a
-    byte was removed) of each row.
+    byte was removed) of each row; with `carry` the input's other columns as the
+    struct `row`.
 
     A byte is removed if a `length`-byte string over it also starts earlier: in
     a document of smaller id, or earlier in the same one; strings are judged on
@@ -384,6 +386,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_column: str = "doc_
     """
     least = F.lit(-(2**63)).cast("long")
     keyed = docs.select(F.coalesce(F.col(id_column).cast("long"), least).alias("doc"), F.col(text_column).alias("text"))
+    whole = docs.select(F.coalesce(F.col(id_column).cast("long"), least).alias("doc"), F.col(text_column).alias("text"), whole_row(docs.drop(text_column))) if carry else keyed
+    row = ["row"] if carry else []
     cut = keyed.mapInArrow(_cut(length), _PIECES)
     # What is covered already goes anywhere, so hot pieces don't meet.
     place = F.when(F.col("covered"), F.xxhash64("doc", "start")).otherwise(F.col("bucket"))
@@ -401,13 +405,14 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_column: str = "doc_
     runs = settled(covered.groupBy("doc").agg(F.collect_list(F.struct("start", "n")).alias("runs")), "runs")
     # Documents that surely have no repeat are not shuffled.
     touched = bloom_blocks(runs.select("doc"), "doc")
-    maybe = possible(keyed, "doc", touched)
-    free = possible(keyed, "doc", touched, without=True).withColumn("runs", F.lit(None).cast("array<struct<start:long,n:long>>"))
-    joined = maybe.join(runs, "doc", "left").select("doc", "text", "runs")
+    none = F.lit(None).cast("array<struct<start:long,n:long>>").alias("runs")
+    free = possible(whole, "doc", touched, without=True).select("doc", "text", none, *row)
+    joined = possible(whole, "doc", touched).join(runs, "doc", "left").select("doc", "text", "runs", *row)
     schema = "doc long, spans array<struct<start:long,end:long>>, kept binary, kept_text string"
+    schema += f", row {joined.schema['row'].dataType.simpleString()}" if carry else ""
     done = joined.unionByName(free).mapInArrow(_remove(length), schema)
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
-    return done.select(F.when(F.col("doc") != least, F.col("doc")).alias("doc_id"), (F.octet_length("kept") + removed).cast("long").alias("n_bytes"), "spans", "kept", "kept_text")
+    return done.select(F.when(F.col("doc") != least, F.col("doc")).alias("doc_id"), (F.octet_length("kept") + removed).cast("long").alias("n_bytes"), "spans", "kept", "kept_text", *row)
 
 
 def repeat_counts(docs: DataFrame, **options) -> DataFrame:

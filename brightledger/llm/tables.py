@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from brightledger.session import work_folder
 
@@ -13,3 +14,8 @@ def settled(df: DataFrame, purpose: str, compression: str = "zstd") -> DataFrame
     folder = work_folder(df.sparkSession, purpose)
     df.write.option("compression", compression).parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
+def whole_row(df: DataFrame) -> Column:
+    """All columns as one struct `row`, whatever their names are."""
+    return F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in df.columns]).alias("row")

@@ -85,6 +85,14 @@ def listed(rows: DataFrame, key: str, keys: DataFrame, max_blocks: int = MAX_BLO
     return possible(rows, key, bloom_blocks(keys, key, max_blocks), max_blocks).join(keys, key, "left_semi")
 
 
+def not_listed(rows: DataFrame, key: str, keys: DataFrame, max_blocks: int = MAX_BLOCKS) -> DataFrame:
+    """The rows whose key is not in `keys` (nulls never are), exactly. Rows that
+    the filter clears are not shuffled."""
+    keys = settled(keys.select(key).where(F.col(key).isNotNull()).distinct(), "listed")
+    blocks = bloom_blocks(keys, key, max_blocks)
+    return possible(rows, key, blocks, max_blocks, without=True).unionByName(possible(rows, key, blocks, max_blocks).join(keys, key, "left_anti").select(*rows.columns))
+
+
 def match_rules(urls: DataFrame, rules: DataFrame, max_blocks: int = MAX_BLOCKS) -> DataFrame:
     """(url, rule, action) of the longest rule that fits each distinct url.
 
