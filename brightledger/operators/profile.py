@@ -32,22 +32,15 @@ from brightledger.functions.exprs import (
     to_time,
     type_of,
 )
-from brightledger.operators.quantiles import BUILT_IN_ROWS, exact_quantiles
+from brightledger.operators.quantiles import exact_quantiles
 from brightledger.session import small_frame
 
 HIGH_MISSING_PCT = 50.0
 HIGH_CARDINALITY_RATIO = 0.9
 HIGH_CARDINALITY_ROWS = 20
-DATE_SAMPLE_ROWS = 200
-DATE_SAMPLE_FLOOR = 0.05
+DATE_FLOOR = 0.05
 PARSE_RATE = 0.9
 TOP_VALUES = 5
-# Longer values are compared by their SHA-256, so distinct counts never
-# shuffle whole texts.
-LONG_VALUE = 64
-# Rows up to this width are compared column by column for duplicates.
-NARROW_COLUMNS = 16
-
 PROFILE_SCHEMA = T.StructType(
     [
         T.StructField("dataset_id", T.StringType()),
@@ -136,13 +129,14 @@ def counts(df: DataFrame) -> DataFrame:
 
 
 def compact_value(df: DataFrame, name: str) -> Column:
-    """A short text standing for the value: itself, or its SHA-256 when long."""
+    """A short text standing for the value: texts and nested values by their
+    SHA-256, so distinct counts never shuffle whole texts."""
     dtype = type_of(df, name)
     if isinstance(dtype, (T.DoubleType, T.FloatType)):
         return (known(df, name) + F.lit(0.0).cast(dtype)).cast("string")
     text = as_text(df, name)
     if isinstance(dtype, (T.StringType, T.ArrayType, T.MapType, T.StructType)):
-        return F.when(F.length(text) > LONG_VALUE, F.sha2(text, 256)).otherwise(text)
+        return F.sha2(text, 256)
     return text
 
 
@@ -197,16 +191,11 @@ def numeric_stats(df: DataFrame, names: list[str]) -> DataFrame:
         ]
     ).select(F.inline(F.array(*[F.col(f"s{i}") for i in range(len(names))])))
     moments = moments.filter("min_value IS NOT NULL")
-    if df.count() <= BUILT_IN_ROWS:
-        wide = df.agg(*[F.median(to_number_lenient(df, n).cast("double")).alias(f"m{i}") for i, n in enumerate(names)])
-        pairs = [F.struct(F.lit(n).alias("column_name"), F.col(f"m{i}").alias("median_value")) for i, n in enumerate(names)]
-        medians = wide.select(F.inline(F.array(*pairs)))
-    else:
-        cells = df.select(*[to_number_lenient(df, n).cast("double").alias(n) for n in names])
-        long = cells.unpivot([], [c(n) for n in names], "column_name", "x")
-        medians = exact_quantiles(long, ["column_name"], "x", [0.5], "ranked", few_groups=True).select(
-            "column_name", F.col("quantiles")[0].alias("median_value")
-        )
+    cells = df.select(*[to_number_lenient(df, n).cast("double").alias(n) for n in names])
+    long = cells.unpivot([], [c(n) for n in names], "column_name", "x")
+    medians = exact_quantiles(long, ["column_name"], "x", [0.5], few_groups=True).select(
+        "column_name", F.col("quantiles")[0].alias("median_value")
+    )
     return moments.join(medians, "column_name")
 
 
@@ -275,17 +264,9 @@ def row_print(df: DataFrame) -> Column:
 def duplicate_rows(df: DataFrame) -> DataFrame:
     """Rows that repeat an earlier row, and their share.
 
-    Copies merge before the shuffle. Narrow rows are grouped as they are, long
-    texts in them by SHA-256; of wide rows only a SHA-256 is shuffled.
+    Copies merge before the shuffle, and of each row only a SHA-256 is shuffled.
     """
-    if len(df.columns) <= NARROW_COLUMNS:
-        texts = (T.StringType, T.ArrayType, T.MapType, T.StructType)
-        keys = [
-            (compact_value(df, f.name) if isinstance(f.dataType, texts) else known(df, f.name)).alias(f"k{i}")
-            for i, f in enumerate(df.schema)
-        ]
-    else:
-        keys = [F.unhex(row_print(df)).alias("k0")]
+    keys = [F.unhex(row_print(df)).alias("k0")]
     prints = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
     return prints.agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("row_count"),
@@ -300,30 +281,24 @@ def duplicate_rows(df: DataFrame) -> DataFrame:
 
 
 def date_layouts(df: DataFrame, names: list[str]) -> dict[str, str]:
-    """Per text column the layout with the best hit rate on 200 sampled
-    values, if at least 5 % of them parse.
-
-    `take` reads one partition after another, so the check costs next to
-    nothing on a large table; the sampled values are judged in one small job.
+    """Per text column the layout with the best hit rate over all its
+    values, if at least 5 % of them parse. One aggregate for all columns; only
+    values with a digit are parsed.
     """
-    sample = [
-        (name, row[0])
-        for name in names
-        for row in df.select(c(name)).filter(c(name).isNotNull()).take(DATE_SAMPLE_ROWS)
-    ]
-    if not sample:
+    if not names:
         return {}
-    small = small_frame(df.sparkSession, sample, "name string, v string").coalesce(1)
-    hits = F.array(*[parse_layout(F.col("v"), layout).isNotNull().cast("double") for layout in DATE_LAYOUTS])
-    rates = (
-        small.select("name", F.posexplode(hits).alias("i", "hit"))
-        .groupBy("name", "i")
-        .agg(F.avg("hit").alias("rate"))
-        .filter(F.col("rate") >= DATE_SAMPLE_FLOOR)
-        .groupBy("name")
-        .agg(F.max_by(F.col("i"), F.struct(F.col("rate"), -F.col("i"))).alias("best"))
-    )
-    return {row["name"]: DATE_LAYOUTS[row["best"]] for row in rates.collect()}
+    hits = []
+    for i, name in enumerate(names):
+        text = F.when(c(name).rlike("[0-9]"), c(name))
+        hits.append(F.count(c(name)).alias(f"n{i}"))
+        hits += [F.count(parse_layout(text, layout)).alias(f"h{i}_{k}") for k, layout in enumerate(DATE_LAYOUTS)]
+    row = df.agg(*hits).first()
+    found = {}
+    for i, name in enumerate(names):
+        best = max(range(len(DATE_LAYOUTS)), key=lambda k: (row[f"h{i}_{k}"], -k))
+        if row[f"n{i}"] and row[f"h{i}_{best}"] >= DATE_FLOOR * row[f"n{i}"]:
+            found[name] = DATE_LAYOUTS[best]
+    return found
 
 
 def semantic_types(facts: DataFrame, strict: bool = False) -> DataFrame:

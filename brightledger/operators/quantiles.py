@@ -2,91 +2,55 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from brightledger.functions.exprs import c
 
-# Up to this many input rows every group fits the built-in aggregate, whose
-# buffer holds one entry per distinct value of the group.
-BUILT_IN_ROWS = 500_000
+# Equal-width parts into which a wanted band's own range is cut again.
+PARTS = 4096
 
 
 def exact_quantiles(
-    df: DataFrame,
-    keys: list[str],
-    value: str,
-    probabilities: list[float],
-    method: str = "auto",
-    few_groups: bool = False,
+    df: DataFrame, keys: list[str], value: str, probabilities: list[float], few_groups: bool = False
 ) -> DataFrame:
     """keys + `quantiles ARRAY<DOUBLE>`; null values are left out.
 
-    `built_in` is one aggregate. `ranked` never puts a group's values into one
-    buffer: equal values are first counted together, distinct values are spread
-    over value bands, and only the bands holding the wanted ranks are sorted.
-    A group holding most of the rows is thereby spread over all tasks. Set
-    `few_groups` where the number of groups is bounded, such as one per column:
-    the wanted bands, two per group and probability, are then broadcast.
+    No group's values meet in one task: equal values are first counted
+    together, and distinct values are spread over value bands of a fixed
+    relative width. A band holding a wanted rank is cut into equal parts between
+    its own least and greatest value, and only parts holding a rank are sorted.
+    Set `few_groups` where the number of groups is bounded, such as one per
+    column: the wanted bands, two per group and probability, are then broadcast.
     """
-    data = df.select(*[c(k) for k in keys], c(value).cast("double").alias("_x")).filter("_x IS NOT NULL")
-    if method == "auto":
-        method = "built_in" if df.count() <= BUILT_IN_ROWS else "ranked"
-    if method == "built_in":
-        wanted = F.array(*[F.lit(float(p)) for p in probabilities])
-        result = data.groupBy(*[c(k) for k in keys]).agg(F.percentile("_x", wanted).alias("quantiles"))
-        return result.filter("quantiles IS NOT NULL")
-    return _ranked(data, keys, probabilities, few_groups or not keys)
-
-
-def value_band(x: Column) -> Column:
-    """A band number that never decreases with x, of about 0.02 % relative width."""
-    return (F.signum(x) * F.floor(F.log1p(F.abs(x) * 1e6) * 4096)).cast("bigint")
-
-
-def _ranked(data: DataFrame, keys: list[str], probabilities: list[float], few_groups: bool) -> DataFrame:
     group = [c(k) for k in keys]
-    counted = (
-        data.groupBy(*group, F.col("_x"))
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_band", value_band(F.col("_x")))
-    )
-    bands = counted.groupBy(*group, "_band").agg(F.sum("_n").alias("_rows"))
-    in_group = Window.partitionBy(*group)
-    upto = in_group.orderBy("_band").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    bands = bands.withColumn("_end", F.sum("_rows").over(upto)).withColumn("_total", F.sum("_rows").over(in_group))
+    data = df.select(*group, c(value).cast("double").alias("_x")).filter("_x IS NOT NULL")
+    rows = data.groupBy(*group, "_x").agg(F.count(F.lit(1)).alias("_n")).withColumn("_band", value_band(F.col("_x")))
+    names, small = [*keys, "_band"], few_groups or not keys
+    bands = _totals(rows, names)
+    total = F.sum("_rows").over(Window.partitionBy(*group))
     spots = F.array(
         *[
-            F.struct(F.lit(i).alias("slot"), (F.lit(float(p)) * (F.col("_total") - 1)).alias("spot"))
+            F.struct(F.lit(i).alias("slot"), spot.alias("spot"), rank.cast("bigint").alias("rank"))
             for i, p in enumerate(probabilities)
+            for spot in [F.lit(float(p)) * (total - 1)]
+            for rank in (F.floor(spot), F.ceil(spot))
         ]
     )
-    ranks = (
-        bands.withColumn("_s", F.explode(spots))
-        .withColumn("_rank", F.explode(F.array(F.floor("_s.spot"), F.ceil("_s.spot"))))
-        .filter((F.col("_rank") >= F.col("_end") - F.col("_rows")) & (F.col("_rank") < F.col("_end")))
-    )
-    targets = ranks.groupBy(*group, "_band").agg(
-        F.min(F.col("_end") - F.col("_rows")).alias("_before"),
-        F.collect_list(F.struct(F.col("_s.slot").alias("slot"), F.col("_s.spot").alias("spot"), "_rank")).alias("_want"),
-    )
-    if few_groups:
-        targets = F.broadcast(targets)
-    on = [F.col(f"l.{_q(k)}").eqNullSafe(F.col(f"r.{_q(k)}")) for k in keys]
-    on.append(F.col("l._band") == F.col("r._band"))
-    condition = on[0]
-    for part in on[1:]:
-        condition = condition & part
-    kept = (
-        counted.alias("l")
-        .join(targets.alias("r"), condition)
-        .select(*[F.col(f"l.{_q(k)}").alias(k) for k in keys], "l._x", "l._n", "l._band", "r._before", "r._want")
-    )
-    in_band = Window.partitionBy(*group, "_band").orderBy("_x").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = _wanted(rows, bands.withColumn("_all", spots), names, small)
+    width = F.col("_top") - F.col("_least")
+    part = F.when(width > 0, F.floor((F.col("_x") - F.col("_least")) / width * (PARTS - 1))).otherwise(0).cast("bigint")
+    rows = rows.withColumn("_part", part)
+    parts = _totals(rows, [*names, "_part"]).withColumnRenamed("_want", "_all")
+    rows = _wanted(rows.drop("_want", "_least", "_top"), parts, [*names, "_part"], small)
+    in_part = Window.partitionBy(*group, "_band", "_part").orderBy("_x").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    last = F.sum("_n").over(in_part)
     picked = (
-        kept.withColumn("_last", F.col("_before") + F.sum("_n").over(in_band))
+        rows.withColumn("_last", last)
         .withColumn("_w", F.explode("_want"))
-        .filter((F.col("_w._rank") < F.col("_last")) & (F.col("_w._rank") >= F.col("_last") - F.col("_n")))
+        .filter((F.col("_w.rank") < F.col("_last")) & (F.col("_w.rank") >= F.col("_last") - F.col("_n")))
         .groupBy(*group, F.col("_w.slot").alias("_slot"))
         .agg(F.min("_x").alias("_lo"), F.max("_x").alias("_hi"), F.max("_w.spot").alias("_spot"))
     )
@@ -95,8 +59,38 @@ def _ranked(data: DataFrame, keys: list[str], probabilities: list[float], few_gr
         picked.groupBy(*group)
         .agg(F.array_sort(F.collect_list(F.struct("_slot", between.alias("_v")))).alias("_q"))
         .select(*group, F.transform("_q", lambda s: s["_v"]).alias("quantiles"))
+        .filter(F.size("quantiles") > 0)
     )
 
 
+def value_band(x: Column) -> Column:
+    """A band number that never decreases with x: about 0.02 % relative width at
+    every magnitude, zero a band of its own."""
+    size = F.floor(F.log(F.abs(x)) * 4096) + 4_000_000
+    return F.when(x == 0, 0).when(x > 0, size).otherwise(-size).cast("bigint")
+
+
+def _totals(rows: DataFrame, names: list[str]) -> DataFrame:
+    """Rows, least and greatest value of each band, the rows up to it within
+    what is common to its neighbours, and the ranks wanted there."""
+    carried = [F.first("_want").alias("_want")] if "_want" in rows.columns else []
+    bands = rows.groupBy(*[c(n) for n in names]).agg(F.sum("_n").alias("_rows"), F.min("_x").alias("_least"), F.max("_x").alias("_top"), *carried)
+    upto = Window.partitionBy(*[c(n) for n in names[:-1]]).orderBy(c(names[-1])).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return bands.withColumn("_end", F.sum("_rows").over(upto))
+
+
+def _wanted(rows: DataFrame, bands: DataFrame, names: list[str], small: bool) -> DataFrame:
+    """The rows of bands that hold a wanted rank, with ranks counted from the
+    band's first row."""
+    before = F.col("_end") - F.col("_rows")
+    mine = F.filter("_all", lambda s: (s["rank"] >= before) & (s["rank"] < F.col("_end")))
+    mine = F.transform(mine, lambda s: F.struct(s["slot"].alias("slot"), s["spot"].alias("spot"), (s["rank"] - before).alias("rank")))
+    targets = bands.select(*[c(n) for n in names], "_least", "_top", mine.alias("_want")).filter(F.size("_want") > 0)
+    if small:
+        targets = F.broadcast(targets)
+    on = [F.col(f"l.{_q(n)}").eqNullSafe(F.col(f"r.{_q(n)}")) for n in names]
+    return rows.alias("l").join(targets.alias("r"), reduce(lambda a, b: a & b, on)).select("l.*", "r._want", "r._least", "r._top")
+
+
 def _q(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"

@@ -208,9 +208,8 @@ def merge_charts(charts: list[DataFrame]) -> DataFrame:
     # Each chart has one row here; a report has few charts, so one task may rank them.
     heads = points.groupBy(*shape).agg(F.min(F.struct("set_no", "chart_no")).alias("first")).withColumn("kind", kinds)
     rank = F.row_number().over(Window.orderBy("kind", "first.set_no", "first.chart_no"))
-    visual = F.sum(F.when(F.col("kind") < 2, 1).otherwise(0)).over(Window.partitionBy())
     room = F.when(F.col("kind") < 2, MAX_MERGED).otherwise(2)
-    kept = heads.withColumn("place", rank).withColumn("visual", visual).filter(F.col("place") <= room)
+    kept = heads.withColumn("place", rank).filter(F.col("place") <= room)
     on = [F.col(f"p.{n}").eqNullSafe(F.col(f"h.{n}")) for n in shape]
     on += [F.col("p.set_no") == F.col("h.first.set_no"), F.col("p.chart_no") == F.col("h.first.chart_no")]
     return (

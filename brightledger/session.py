@@ -47,17 +47,6 @@ def ship_package(*others: ModuleType) -> None:
         cloudpickle.register_pickle_by_value(module)
 
 
-def load_texts(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """A table whose rows are expensive to work through (texts, pages).
-
-    A scan with fewer splits than the cluster has cores, such as one small
-    file, is spread over all of them; a scan of many files stays as it is.
-    """
-    scan = load_table(spark, folder, name)
-    cores = spark.sparkContext.defaultParallelism
-    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
-
-
 def load_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """One parquet table, lazily, so filters and column pruning reach the scan.
 

@@ -71,6 +71,6 @@ def incremental_ingest(
         "item_id",
         F.when(taken, F.col("modified_at")).otherwise(F.col("synced_modified_at")).alias("synced_modified_at"),
         F.when(failed, "error").otherwise("synced").alias("status"),
-        F.substring("error", 1, 500).alias("last_error"),
+        F.col("error").alias("last_error"),
         "action",
     )

@@ -11,7 +11,7 @@ from brightledger.operators.search import (
     with_fallback,
 )
 from brightledger.operators.text import chunk, document_summary, extract_html, segment_text
-from brightledger.session import load_table, load_texts
+from brightledger.session import load_table
 from queries import query
 
 # --- segments and chunks -------------------------------------------------------------
@@ -30,7 +30,7 @@ _BLOCKS = f"""lines AS (SELECT doc_id, i, string_split(t, chr(10))[i] AS line FR
 )
 def x7_text_segments(spark, d):
     """Blocks of texts whose sentences are set apart by blank lines."""
-    docs = load_texts(spark, d, "documents").withColumn("text", F.regexp_replace("text", r"\. ", ".\n\n"))
+    docs = load_table(spark, d, "documents").withColumn("text", F.regexp_replace("text", r"\. ", ".\n\n"))
     segments = segment_text(docs, "doc_id", "text").select("doc_id", F.inline("segments"))
     return segments.select("doc_id", "text", "line_start", "line_end")
 
@@ -42,7 +42,7 @@ def x7_text_segments(spark, d):
        UNION ALL SELECT doc_id, 'From ' || source, CAST(n + 3 AS INTEGER), CAST(2 * n + 2 AS INTEGER) FROM t""",
 )
 def x7_markdown_segments(spark, d):
-    docs = load_texts(spark, d, "documents").select(
+    docs = load_table(spark, d, "documents").select(
         "doc_id",
         F.concat(F.lit("# "), "lang", F.lit("\n"), "text", F.lit("\n### From "), "source", F.lit("\n"), "text").alias("text"),
     )
@@ -52,7 +52,7 @@ def x7_markdown_segments(spark, d):
 
 @query("x8_html_segments")
 def x8_html_segments(spark, d):
-    return extract_html(load_texts(spark, d, "pages"), "page_id", "html").select("page_id", F.inline("segments"))
+    return extract_html(load_table(spark, d, "pages"), "page_id", "html").select("page_id", F.inline("segments"))
 
 
 _STRIP = "regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
@@ -62,7 +62,7 @@ _CHUNKS = f"""base AS (SELECT doc_id, {_STRIP.format(x='text')} AS t FROM docume
 
 
 def _chunks(spark, d):
-    return chunk(segment_text(load_texts(spark, d, "documents"), "doc_id", "text"), "doc_id")
+    return chunk(segment_text(load_table(spark, d, "documents"), "doc_id", "text"), "doc_id")
 
 
 @query("x9_chunks", f"WITH {_CHUNKS} SELECT doc_id, chunk_index, chunk_id, text FROM chunks")
@@ -73,7 +73,7 @@ def x9_chunks(spark, d):
 @query("x9_html_chunks")
 def x9_html_chunks(spark, d):
     """Neighbours under one heading merge up to 800 characters."""
-    return chunk(extract_html(load_texts(spark, d, "pages"), "page_id", "html"), "page_id")
+    return chunk(extract_html(load_table(spark, d, "pages"), "page_id", "html"), "page_id")
 
 
 @query(
@@ -91,7 +91,7 @@ PHRASES = [(8, "thble reed onwhor the"), (9, "keit schein lich"), (10, "eaux tio
 
 _TERMS = f"""w AS (SELECT chunk_id, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]{{2,}}')) AS term FROM src),
   tf AS (SELECT chunk_id, term, count(*) AS tf FROM w WHERE term NOT IN ({', '.join(f"'{s}'" for s in STOP_WORDS)}) GROUP BY 1, 2),
-  vocab AS (SELECT term, count(*) AS df, ln((1.0 + (SELECT count(*) FROM src)) / (1 + count(*))) + 1 AS idf FROM tf GROUP BY 1 ORDER BY sum(tf) DESC, term LIMIT 20000),
+  vocab AS (SELECT term, count(*) AS df, ln((1.0 + (SELECT count(*) FROM src)) / (1 + count(*))) + 1 AS idf FROM tf GROUP BY 1),
   raw AS (SELECT chunk_id, term, tf * idf AS w FROM tf JOIN vocab USING (term)),
   norms AS (SELECT chunk_id, sqrt(sum(w * w)) AS norm FROM raw GROUP BY 1),
   post AS (SELECT chunk_id, term, w / norm AS weight FROM raw JOIN norms USING (chunk_id))"""
@@ -99,7 +99,7 @@ _SRC = "src AS (SELECT doc_id AS chunk_id, text FROM documents)"
 
 
 def _index(spark, d):
-    docs = load_texts(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
+    docs = load_table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
     return tfidf_index(docs, "chunk_id", "text", STOP_WORDS)
 
 
@@ -172,7 +172,7 @@ def _letter_counts(texts):
 )
 def e4_embed_missing(spark, d):
     """Documents without a stored vector (the labelled ones count as stored)."""
-    vectors = embed_missing(load_texts(spark, d, "documents"), "doc_id", "text", load_table(spark, d, "labels"), _letter_counts)
+    vectors = embed_missing(load_table(spark, d, "documents"), "doc_id", "text", load_table(spark, d, "labels"), _letter_counts)
     return vectors.select("doc_id", *[F.col("embedding")[i].cast("double").alias(f"v{i}") for i in range(3)])
 
 

@@ -220,11 +220,25 @@ def test_ranked_quantiles_with_one_hot_group(spark):
     for k, v in rows:
         if v is not None:
             groups.setdefault(k, []).append(v)
-    for method in ("ranked", "built_in"):
-        got = {r["k"]: r["quantiles"] for r in exact_quantiles(df, ["k"], "v", points, method).collect()}
+    for few in (False, True):
+        got = {r["k"]: r["quantiles"] for r in exact_quantiles(df, ["k"], "v", points, few).collect()}
         assert got.keys() == groups.keys()
         for k, values in groups.items():
-            assert got[k] == pytest.approx([linear_quantile(values, p) for p in points], rel=1e-12, abs=1e-12), (method, k)
+            assert got[k] == pytest.approx([linear_quantile(values, p) for p in points], rel=1e-12, abs=1e-12), (few, k)
+
+
+def test_quantiles_of_narrow_and_tiny_values(spark):
+    rng = random.Random(11)
+    rows = [("time", 1.7e9 + rng.random() / 100) for _ in range(2000)] + [("tiny", rng.uniform(1, 1000) * 1e-13) for _ in range(1000)]
+    rows += [("wide", rng.choice([-1, 1]) * 10 ** rng.uniform(-300, 300)) for _ in range(500)] + [("same", 7.5)] * 300
+    df = spark.createDataFrame(rows, "k string, v double")
+    points = [0.0, 0.01, 0.3, 0.5, 0.95, 1.0]
+    got = {r["k"]: r["quantiles"] for r in exact_quantiles(df, ["k"], "v", points).collect()}
+    for k in ("time", "tiny", "wide", "same"):
+        values = [v for name, v in rows if name == k]
+        assert got[k] == pytest.approx([linear_quantile(values, p) for p in points], rel=1e-12), k
+    bands = df.filter("k = 'tiny'").select(value_band(F.col("v")).alias("b")).distinct().count()
+    assert bands > 500
 
 
 def test_bands_keep_the_order(spark):
