@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import hashlib
 import re
+import zlib
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -156,12 +156,10 @@ def unmatched_rows(left: DataFrame, right: DataFrame, left_key: str, right_key:
 
 
 def column_suffix(dataset_name: str) -> str:
-    """Readable token of the name plus six hex digits of its SHA-256."""
-    readable = dataset_name.split(" — ")[-1]
-    token = re.sub(r"[^a-zA-Z0-9]+", "_", readable).strip("_").lower()
-    if not token:
-        return "_src"
-    return f"_{token[:20]}_{hashlib.sha256(dataset_name.encode()).hexdigest()[:6]}"
+    """Up to three words of the name's last part, and a checksum that tells
+    datasets with the same words apart."""
+    words = re.findall("[0-9a-z]+", dataset_name.rpartition("—")[2].lower())[:3]
+    return "_".join(["", *words, f"{zlib.crc32(dataset_name.encode()):08x}"])
 
 
 def safe_join(left: DataFrame, right: DataFrame, spec: JoinSpec) -> DataFrame:

@@ -2,23 +2,30 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
+import uuid
+from collections import Counter
 from collections.abc import Iterator
-from contextlib import contextmanager
 from dataclasses import dataclass
+from typing import Any
 
+from py4j.protocol import Py4JError
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 
 from brightledger.operators.aggregate import capped
 
 MAX_ROWS = 500
-# Functions that run code outside SQL from inside a SELECT.
-FOREIGN_CALLS = r"(?i)\b(?:java_method|reflect|try_reflect)\s*\("
+# Functions that run code outside SQL from inside a SELECT, and the
+# expressions they become.
+FOREIGN_FUNCTIONS = {"reflect", "java_method", "try_reflect"}
+FOREIGN_EXPRESSIONS = {"CallMethodViaReflection", "TryReflect"}
 
 
 class SqlRefused(ValueError):
-    """The text is not one read-only statement, or Spark rejects it."""
+    """The text is not one read-only statement over the given tables, or Spark
+    rejects it."""
 
 
 @dataclass
@@ -30,68 +37,108 @@ class SqlResult:
 
 
 def view_names(names: list[str]) -> dict[str, str]:
-    """Q2: a valid and unique view name per dataset name."""
-    views: dict[str, str] = {}
-    used: set[str] = set()
-    for name in names:
-        base = re.sub(r"[^A-Za-z0-9_]+", "_", name).strip("_") or "dataset"
-        base = f"t_{base}" if base[0].isdigit() else base
-        view, n = base, 2
-        while view.lower() in used:
-            view, n = f"{base}_{n}", n + 1
-        used.add(view.lower())
-        views[name] = view
-    return views
-
-
-def read_only(text: str) -> str:
-    """Q3: the one SELECT or WITH statement, or a refusal. String literals are
-    blanked first, so a semicolon inside one is no second statement."""
-    query = text.strip()
-    query = query[:-1].strip() if query.endswith(";") else query
-    blank = re.sub(r"'(?:[^']|'')*'", "''", query)
-    if not query:
-        raise SqlRefused("the query is empty")
-    if ";" in blank:
-        raise SqlRefused("only one statement is allowed")
-    if not re.match(r"(?i)(?:select|with)\b", blank):
-        raise SqlRefused("only SELECT and WITH are allowed")
-    if re.search(FOREIGN_CALLS, blank):
-        raise SqlRefused("calls into the JVM are not allowed")
-    return query
-
-
-@contextmanager
-def _no_files(spark: SparkSession) -> Iterator[None]:
-    """Paths cannot be read as tables while the query is analysed."""
-    key = "spark.sql.runSQLOnFiles"
-    before = spark.conf.get(key, "true")
-    spark.conf.set(key, "false")
+    """Q2: a valid name per dataset name; where two read alike, both carry a
+    checksum of the dataset's name."""
+    words = {name: "_".join(re.findall("[A-Za-z0-9]+", name)) or "dataset" for name in names}
+    plain = {name: f"t_{text}" if text[0].isdigit() else text for name, text in words.items()}
+    alike = Counter(text.lower() for text in plain.values())
+    mark = {name: hashlib.sha256(name.encode()).hexdigest()[:8] for name in names}
+    return {name: text if alike[text.lower()] == 1 else f"{text}_{mark[name]}" for name, text in plain.items()}
+
+
+def _items(seq: Any) -> Iterator[Any]:
+    each = seq.iterator()
+    while each.hasNext():
+        yield each.next()
+
+
+def _asked(node: Any, member: str) -> Any:
+    """A member of a JVM node, or None if its class has no such member."""
     try:
-        yield
-    finally:
-        spark.conf.set(key, before)
+        return getattr(node, member)()
+    except Py4JError:
+        return None
+
+
+def _nodes(plan: Any) -> Iterator[Any]:
+    """Plans and expressions of a query plan, subqueries and WITH parts included."""
+    todo = [plan]
+    while todo:
+        node = todo.pop()
+        yield node
+        todo += _items(node.children())
+        inner = _asked(node, "expressions")
+        if inner is not None:  # a plan
+            todo += _items(inner)
+            todo += (r._2() for r in _items(_asked(node, "cteRelations") or _EMPTY))
+            todo += _items(_asked(node, "cteDefs") or _EMPTY)
+        elif "Subquery" in (kind := node.getClass().getSimpleName()) or kind in ("Exists", "InSubquery", "ListQuery"):
+            todo += [x for x in (_asked(node, "plan"), _asked(node, "query")) if x is not None]
+
+
+class _Empty:
+    """A sequence without items."""
+
+    def iterator(self) -> _Empty:
+        return self
+
+    def hasNext(self) -> bool:  # noqa: N802
+        return False
+
+
+_EMPTY = _Empty()
+
+
+def refuse_unsafe(spark: SparkSession, query: str, allowed: set[str]) -> None:
+    """Q3: refuses what is not one query over the allowed names. The parsed
+    plan is searched, so comments, quotes and nesting hide nothing."""
+    try:
+        plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(f"SELECT * FROM (\n{query}\n) AS result")
+    except PySparkException as error:
+        raise SqlRefused(f"not one SELECT or WITH statement: {error}") from error
+    names = {n.lower() for n in allowed}
+    relations = []
+    for node in _nodes(plan):
+        kind = node.getClass().getSimpleName()
+        if kind == "UnresolvedWith":
+            names |= {r._1().lower() for r in _items(node.cteRelations())}
+        elif kind == "UnresolvedRelation":
+            relations.append([str(p) for p in _items(node.multipartIdentifier())])
+        elif kind == "UnresolvedFunction" and [str(p) for p in _items(node.nameParts())][-1].lower() in FOREIGN_FUNCTIONS:
+            raise SqlRefused("calls into the JVM are not allowed")
+    for parts in relations:
+        if len(parts) != 1 or parts[0].lower() not in names:
+            raise SqlRefused(f"{'.'.join(parts)} is not one of the given tables: {', '.join(sorted(allowed))}")
 
 
 def sql_frame(tables: dict[str, DataFrame], text: str) -> DataFrame:
-    """The query as a lazy DataFrame.
+    """The query as a lazy DataFrame over the given tables alone.
 
-    The text becomes a subquery, so anything but a query (INSERT after WITH,
-    DDL, commands) does not even parse.
+    Tables are registered under names of this call and dropped once the query
+    is analysed, so no view of the session is replaced, seen or left behind.
     """
     if not tables:
         raise SqlRefused("no tables given")
     spark = next(iter(tables.values())).sparkSession
-    query = read_only(text)
     views = view_names(list(tables))
+    query = text.strip().removesuffix(";")
+    refuse_unsafe(spark, query, set(views.values()))
+    own = {name: f"q{uuid.uuid4().hex}" for name in tables}
     for name, df in tables.items():
-        df.createOrReplaceTempView(views[name])
+        df.createOrReplaceTempView(own[name])
+    given = ", ".join(f"`{views[n]}` AS (SELECT * FROM {own[n]})" for n in tables)
     try:
-        with _no_files(spark):
-            return spark.sql(f"SELECT * FROM (\n{query}\n) AS result")
+        df = spark.sql(f"WITH {given} SELECT * FROM (\n{query}\n) AS result")
+        analysed = df._jdf.queryExecution().analyzed()
+        if any(node.getClass().getSimpleName() in FOREIGN_EXPRESSIONS for node in _nodes(analysed)):
+            raise SqlRefused("calls into the JVM are not allowed")
+        return df
     except PySparkException as error:
-        known = "; ".join(f"{views[n]} ({', '.join(df.columns)})" for n, df in tables.items())
+        known = "; ".join(f"{views[n]} ({', '.join(t.columns)})" for n, t in tables.items())
         raise SqlRefused(f"{error}; available tables: {known}") from error
+    finally:
+        for view in own.values():
+            spark.catalog.dropTempView(view)
 
 
 def sql_query(tables: dict[str, DataFrame], text: str, max_rows: int = MAX_ROWS) -> SqlResult:

@@ -6,9 +6,9 @@ until the last step spreads them out.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -19,9 +19,9 @@ OVERLAP_CHARS = 100
 
 SEGMENTS = "array<struct<text:string,heading:string,line_start:int,line_end:int>>"
 
-# Heading lines of markdown and of Python code.
-MARKDOWN_HEADING = re.compile(r"^(#{1,6})\s+(.*)$")
-CODE_HEADING = re.compile(r"^(def|class)\s+(\w+)")
+# Heading lines of markdown and of Python code, ends of lines.
+TITLES = {"txt": None, "md": r"(?U)^#{1,6}\s+(.*)$", "py": r"(?U)^(def|class)\s+(\w+)"}
+LINE_END = r"\r\n|[\n\r\x0B\f\x1C-\x1E\x85\u2028\u2029]"
 
 
 def _map_texts(df: DataFrame, id_column: str, text_column: str, split: Callable[[str], list[tuple]]) -> DataFrame:
@@ -44,54 +44,63 @@ def segment_text(df: DataFrame, id_column: str, text_column: str, kind: str = "t
     """Blocks between blank lines with line range and heading, as an array.
 
     kind: "txt", "md" (# lines are headings) or "py" (def and class lines
-    start a block). Documents without text get an empty array.
+    start a block). Documents without text get an empty array. A block's range
+    starts right after the block or heading before it and one line between.
     """
-    if kind not in ("txt", "md", "py"):
+    if kind not in TITLES:
         raise ValueError(f"unknown text kind '{kind}'")
-    return _map_texts(df, id_column, text_column, lambda text: text_blocks(text, kind))
+    text = F.coalesce(F.col(text_column), F.lit(""))
+    lines = F.split(F.regexp_replace(text, f"(?:{LINE_END})$", ""), LINE_END)
+    shape = TITLES[kind]
+    numbered = F.transform(
+        lines,
+        lambda line, i: F.struct(
+            (i + 1).alias("n"),
+            line.alias("line"),
+            (F.lit(kind == "py") | ~line.rlike(shape)).alias("own") if shape else F.lit(True).alias("own"),
+            (_strip(line) != "").alias("filled"),
+            _title(line, kind).alias("title"),
+        ),
+    )
+    cut = df.select(id_column, numbered.alias("lines"))
+    in_block = lambda x: x["own"] & x["filled"]
+    opens = lambda x: x["title"].isNotNull() if kind == "py" else F.lit(False)
+    at = lambda i: F.get("lines", i)
+    first = F.filter("lines", lambda x, i: in_block(x) & (opens(x) | ~F.coalesce(in_block(at(i - 1)), F.lit(False))))
+    last = F.filter("lines", lambda x, i: in_block(x) & (F.coalesce(opens(at(i + 1)), F.lit(False)) | ~F.coalesce(in_block(at(i + 1)), F.lit(False))))
+    cut = cut.select(
+        id_column,
+        F.transform("lines", lambda x: x["line"]).alias("texts"),
+        F.transform(first, lambda x: x["n"]).alias("first"),
+        F.transform(last, lambda x: x["n"]).alias("last"),
+        F.filter("lines", lambda x: x["title"].isNotNull()).alias("titles"),
+    )
 
+    def block(n: Column, i: Column) -> Column:
+        before = F.coalesce(F.get("last", i - 1) + 2, F.lit(1))
+        end = F.get("last", i)
+        title = F.get(F.slice(F.reverse(F.filter("titles", lambda t: t["n"] <= n)), 1, 1), F.lit(0)) if shape else None
+        start = before
+        if kind == "md":
+            start = F.greatest(before, F.coalesce(title["n"] + 1, F.lit(1)))
+        elif kind == "py":
+            start = F.when(title["n"] == n, n).otherwise(before)
+        return F.struct(
+            _strip(F.array_join(F.slice("texts", n, end - n + 1), "\n")).alias("text"),
+            (title["title"] if shape else F.lit(None).cast("string")).alias("heading"),
+            start.cast("int").alias("line_start"),
+            end.cast("int").alias("line_end"),
+        )
 
-def text_blocks(text: str, kind: str) -> list[tuple]:
-    """(text, heading, first line, last line) per block.
+    return cut.select(id_column, F.transform("first", block).alias("segments"))
 
-    A block starts right after the blank line or heading that ended the one
-    before; further blank lines in between do not move its start.
-    """
-    blocks: list[tuple] = []
-    lines = text.splitlines()
-    heading, start, body = None, 1, []
-
-    def close(last: int) -> None:
-        joined = "\n".join(body).strip()
-        if joined:
-            blocks.append((joined, heading, start, last))
-        body.clear()
-
-    for number, line in enumerate(lines, 1):
-        title = _heading(line, kind)
-        if title is not None:
-            close(number - 1)
-            heading, start = title, number + 1
-            if kind == "py":
-                body.append(line)
-                start = number
-        elif line.strip():
-            body.append(line)
-        elif body:
-            close(number - 1)
-            start = number + 1
-    close(len(lines))
-    return blocks
-
-
-def _heading(line: str, kind: str) -> str | None:
+
+def _title(line: Column, kind: str) -> Column:
     if kind == "md":
-        found = MARKDOWN_HEADING.match(line)
-        return found.group(2).strip() if found else None
+        return F.when(line.rlike(TITLES[kind]), _strip(F.regexp_extract(line, TITLES[kind], 1)))
     if kind == "py":
-        found = CODE_HEADING.match(line)
-        return f"{found.group(1)} {found.group(2)}" if found else None
-    return None
+        return F.when(line.rlike(TITLES[kind]), F.concat_ws(" ", F.regexp_extract(line, TITLES[kind], 1), F.regexp_extract(line, TITLES[kind], 2)))
+    return F.lit(None).cast("string")
 
 
 # --- HTML ---------------------------------------------------------------------------
@@ -127,6 +136,13 @@ class _Element:
     def text(self) -> str:
         return " ".join(self.texts)
 
+    def content(self) -> str:
+        """The text; of a table its filled rows, a line each."""
+        if self.name != "table":
+            return self.text()
+        rows = ([cell.text() for cell in row.cells] for row in self.rows)
+        return "\n".join("  |  ".join(cells) for cells in rows if any(cells))
+
 
 class _Blocks(HTMLParser):
     """Collects block elements in document order.
@@ -194,24 +210,14 @@ class _Blocks(HTMLParser):
 
 
 def html_blocks(html: str) -> list[tuple]:
+    """(text, heading, element number twice where there is no heading)."""
     parser = _Blocks()
     parser.feed(html)
     parser.close()
-    blocks: list[tuple] = []
-    heading, number = None, 0
-    for element in parser.found:
-        if element.name in _HEADINGS:
-            heading = element.text() or heading
-            continue
-        if element.name == "table":
-            rows = [[cell.text() for cell in row.cells] for row in element.rows]
-            text = "\n".join("  |  ".join(cells) for cells in rows if any(cells))
-        else:
-            text = element.text()
-        if text.strip():
-            number += 1
-            blocks.append((text, heading, None, None) if heading else (text, None, number, number))
-    return blocks
+    titles = accumulate((e.text() if e.name in _HEADINGS else "" for e in parser.found), lambda last, new: new or last)
+    under = [(e.content(), title) for e, title in zip(parser.found, titles) if e.name not in _HEADINGS]
+    filled = [(text, title) for text, title in under if text.strip()]
+    return [(text, title, None, None) if title else (text, None, n, n) for n, (text, title) in enumerate(filled, 1)]
 
 
 # --- chunks --------------------------------------------------------------------------

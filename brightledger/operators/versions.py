@@ -47,20 +47,31 @@ def next_versions(versions: DataFrame) -> DataFrame:
 
 
 def add_versions(versions: DataFrame, uploads: DataFrame, force: bool = False) -> DataFrame:
-    """Uploads (id, user_id, filename, content_hash, created_at), one per file;
-    changed content becomes the active version and older ones are kept inactive.
-    Unchanged content adds nothing unless forced."""
-    checked = check_duplicates(uploads, versions)
+    """Uploads (id, user_id, filename, content_hash, created_at), any number
+    per file, taken in order of created_at and id. Content that differs from the
+    version before it becomes a version; the last one of a file is active, older
+    ones are kept inactive. Unchanged content adds nothing unless forced.
+
+    One shuffle by file: a file's uploads are ordered in one window and never
+    meet its versions, of which only the active hash and the greatest number are
+    joined.
+    """
+    before = versions.groupBy(*LOGICAL).agg(
+        F.max(F.when(F.col("is_active"), F.col("content_hash"))).alias("_hash"), F.max("version").alias("_top")
+    )
+    in_order = Window.partitionBy(*LOGICAL).orderBy("created_at", "id")
+    batch = uploads.join(before, LOGICAL, "left")
     if not force:
-        checked = checked.filter("status <> 'exact_duplicate'")
-    fresh = (
-        checked.select(*uploads.columns)
-        .join(next_versions(versions), LOGICAL, "left")
-        .withColumn("version", F.coalesce("next_version", F.lit(1)))
-        .drop("next_version")
-        .withColumn("is_active", F.lit(True))
+        batch = batch.withColumn("_before", F.lag("content_hash").over(in_order))
+        same = F.col("content_hash").eqNullSafe(F.coalesce("_before", "_hash"))
+        batch = batch.filter(~same | F.coalesce("_before", "_hash").isNull())
+    last = F.row_number().over(Window.partitionBy(*LOGICAL).orderBy(F.col("created_at").desc(), F.col("id").desc()))
+    fresh = batch.select(
+        *uploads.columns,
+        (F.coalesce("_top", F.lit(0)) + F.row_number().over(in_order)).cast(versions.schema["version"].dataType).alias("version"),
+        (last == 1).alias("is_active"),
     )
-    replaced = fresh.select(*LOGICAL, F.lit(True).alias("_replaced"))
+    replaced = fresh.select(*LOGICAL).distinct().withColumn("_replaced", F.lit(True))
     kept = versions.join(replaced, LOGICAL, "left").withColumn("is_active", F.col("is_active") & F.col("_replaced").isNull())
     return kept.select(*versions.columns).unionByName(fresh.select(*versions.columns))
 

@@ -15,7 +15,7 @@ from brightledger.operators.joins import (
 )
 from brightledger.operators.profile import batch_reprofile, profile_frame
 from brightledger.operators.relationships import detect_relationships, value_overlaps
-from brightledger.operators.sql import SqlRefused, read_only, sql_query, view_names
+from brightledger.operators.sql import SqlRefused, sql_query, view_names
 from tests.conftest import as_dicts
 
 
@@ -68,8 +68,8 @@ def test_different_kinds_never_match(spark):
 
 def test_suffixes_differ_for_sheets_of_one_file():
     a, b = column_suffix("A very long report name.xlsx — Facts"), column_suffix("A very long report name.xlsx — Dims")
-    assert a != b and a.startswith("_facts_") and len(a.rsplit("_", 1)[1]) == 6
-    assert column_suffix("—") == "_src"
+    assert a != b and a.startswith("_facts_") and len(a.rsplit("_", 1)[1]) == 8
+    assert column_suffix("Facts") != column_suffix("facts") and len(column_suffix("—")) == 9
 
 
 def test_existing_join_is_found(spark):
@@ -141,16 +141,35 @@ def test_row_cap(orders):
 
 
 def test_view_names():
-    assert view_names(["a b", "a-b", "1x", "—"]) == {"a b": "a_b", "a-b": "a_b_2", "1x": "t_1x", "—": "dataset"}
+    names = view_names(["a b", "a-b", "1x", "—"])
+    assert names["1x"] == "t_1x" and names["—"] == "dataset"
+    assert names["a b"] != names["a-b"] and all(n.startswith("a_b_") for n in (names["a b"], names["a-b"]))
 
 
 @pytest.mark.parametrize(
     "text",
-    ["", ";", "DROP TABLE o", "SELECT 1; SELECT 2", "INSERT INTO o VALUES (1)", "selection", "SELECT reflect('java.lang.System', 'exit', 0)"],
-)
-def test_refused_texts(text):
+    [
+        "", ";", "DROP TABLE o", "SELECT 1; SELECT 2", "INSERT INTO o VALUES (1)", "selection",
+        "SELECT reflect('java.lang.System', 'exit', 0)", "SELECT `reflect`('java.lang.System', 'exit', 0)",
+        "SELECT reflect /* x */ ('java.lang.System', 'exit', 0)", "SELECT * FROM o WHERE amount IN (SELECT java_method('a', 'b'))",
+        "WITH a AS (SELECT try_reflect('a', 'b')) SELECT * FROM a", "SELECT * FROM other", "SELECT * FROM o JOIN parquet.`/x` USING (a)",
+        "SELECT (SELECT max(x) FROM other) FROM o", "SELECT * FROM spark_catalog.default.o", "WITH a AS (SELECT * FROM other) SELECT * FROM o",
+    ],
+)
+def test_refused_texts(orders, text):
+    frame = orders(3)
+    frame.createOrReplaceTempView("other")
     with pytest.raises(SqlRefused):
-        read_only(text)
+        sql_query({"o": frame}, text)
+    frame.sparkSession.catalog.dropTempView("other")
+
+
+def test_views_are_neither_replaced_nor_left(spark, orders):
+    spark.range(3).createOrReplaceTempView("o")
+    before = {t.name for t in spark.catalog.listTables()}
+    assert len(sql_query({"o": orders(5)}, "SELECT * FROM o WHERE region <> 'reflect(;)'").rows) == 5
+    assert {t.name for t in spark.catalog.listTables()} == before and spark.table("o").count() == 3
+    spark.catalog.dropTempView("o")
 
 
 @pytest.mark.parametrize(

@@ -15,16 +15,21 @@ from brightledger.operators.search import (
     tfidf_index,
     with_fallback,
 )
-from brightledger.operators.text import chunk, document_summary, extract_html, html_blocks, merge_neighbours, segment_text, text_blocks
+from brightledger.operators.text import chunk, document_summary, extract_html, html_blocks, merge_neighbours, segment_text
 from tests.conftest import as_dicts
 
 
-def test_blocks_and_line_ranges():
-    assert text_blocks("a\nb\n\n\nc\n", "txt") == [("a\nb", None, 1, 2), ("c", None, 4, 5)]
-    assert text_blocks("\n\n", "txt") == []
-    assert text_blocks("intro\n# One\n\nx\n## Two\ny", "md") == [("intro", None, 1, 1), ("x", "One", 3, 4), ("y", "Two", 6, 6)]
-    assert text_blocks("import os\n\ndef f():\n    return 1\nclass A:\n    x = 1", "py") == [
-        ("import os", None, 1, 1), ("def f():\n    return 1", "def f", 3, 4), ("class A:\n    x = 1", "class A", 5, 6),
+def test_blocks_and_line_ranges(spark):
+    def blocks(text, kind):
+        df = spark.createDataFrame([(1, text)], "id long, text string")
+        return [tuple(x) for x in segment_text(df, "id", "text", kind).first()["segments"]]
+
+    assert blocks("a\nb\n\n\nc\n", "txt") == [("a\nb", None, 1, 2), ("c", None, 4, 5)]
+    assert blocks("\n\n", "txt") == blocks(None, "txt") == blocks("", "md") == []
+    assert blocks("a\r\n \u2003\nb", "txt") == [("a", None, 1, 1), ("b", None, 3, 3)]
+    assert blocks("intro\n# One\n\nx\n## Two\ny", "md") == [("intro", None, 1, 1), ("x", "One", 3, 4), ("y", "Two", 6, 6)]
+    assert blocks("import os\n\ndef f():\n    return 1\nclass A:\n    x = 1\n\n    y = 2", "py") == [
+        ("import os", None, 1, 1), ("def f():\n    return 1", "def f", 3, 4), ("class A:\n    x = 1", "class A", 5, 6), ("y = 2", "class A", 8, 8),
     ]
 
 
