@@ -62,37 +62,45 @@ def segment_text(df: DataFrame, id_column: str, text_column: str, kind: str = "t
             _title(line, kind).alias("title"),
         ),
     )
-    cut = df.select(id_column, numbered.alias("lines"))
     in_block = lambda x: x["own"] & x["filled"]
     opens = lambda x: x["title"].isNotNull() if kind == "py" else F.lit(False)
-    at = lambda i: F.get("lines", i)
-    first = F.filter("lines", lambda x, i: in_block(x) & (opens(x) | ~F.coalesce(in_block(at(i - 1)), F.lit(False))))
-    last = F.filter("lines", lambda x, i: in_block(x) & (F.coalesce(opens(at(i + 1)), F.lit(False)) | ~F.coalesce(in_block(at(i + 1)), F.lit(False))))
-    cut = cut.select(
-        id_column,
-        F.transform("lines", lambda x: x["line"]).alias("texts"),
-        F.transform(first, lambda x: x["n"]).alias("first"),
-        F.transform(last, lambda x: x["n"]).alias("last"),
-        F.filter("lines", lambda x: x["title"].isNotNull()).alias("titles"),
-    )
 
-    def block(n: Column, i: Column) -> Column:
-        before = F.coalesce(F.get("last", i - 1) + 2, F.lit(1))
-        end = F.get("last", i)
-        title = F.get(F.slice(F.reverse(F.filter("titles", lambda t: t["n"] <= n)), 1, 1), F.lit(0)) if shape else None
-        start = before
-        if kind == "md":
-            start = F.greatest(before, F.coalesce(title["n"] + 1, F.lit(1)))
-        elif kind == "py":
-            start = F.when(title["n"] == n, n).otherwise(before)
+    def parts(lines: Column) -> Column:
+        beside = lambda i, test: F.coalesce(test(F.get(lines, i)), F.lit(False))
+        first = F.filter(lines, lambda x, i: in_block(x) & (opens(x) | ~beside(i - 1, in_block)))
+        last = F.filter(lines, lambda x, i: in_block(x) & (beside(i + 1, opens) | ~beside(i + 1, in_block)))
         return F.struct(
-            _strip(F.array_join(F.slice("texts", n, end - n + 1), "\n")).alias("text"),
-            (title["title"] if shape else F.lit(None).cast("string")).alias("heading"),
-            start.cast("int").alias("line_start"),
-            end.cast("int").alias("line_end"),
+            F.transform(lines, lambda x: x["line"]).alias("texts"),
+            F.transform(first, lambda x: x["n"]).alias("first"),
+            F.transform(last, lambda x: x["n"]).alias("last"),
+            F.filter(lines, lambda x: x["title"].isNotNull()).alias("titles"),
         )
 
-    return cut.select(id_column, F.transform("first", block).alias("segments"))
+    def blocks(p: Column) -> Column:
+        def block(n: Column, i: Column) -> Column:
+            before = F.coalesce(F.get(p["last"], i - 1) + 2, F.lit(1))
+            end = F.get(p["last"], i)
+            start, title = before, F.lit(None).cast("string")
+            if shape:
+                above = F.filter(p["titles"], lambda t: t["n"] <= n)
+                found = F.get(above, F.size(above) - 1)
+                title = found["title"]
+                start = F.greatest(before, F.coalesce(found["n"] + 1, F.lit(1))) if kind == "md" else F.when(found["n"] == n, n).otherwise(before)
+            return F.struct(
+                _strip(F.array_join(F.slice(p["texts"], n, end - n + 1), "\n")).alias("text"),
+                title.alias("heading"),
+                start.cast("int").alias("line_start"),
+                end.cast("int").alias("line_end"),
+            )
+
+        return F.transform(p["first"], block)
+
+    return df.select(id_column, _once(_once(numbered, parts), blocks).alias("segments"))
+
+
+def _once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` of a value that is computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def _title(line: Column, kind: str) -> Column:

@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import csv
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from brightledger.functions.exprs import c
+
 SEPARATORS = [",", ";", "\t", "|"]
-SAMPLE_CHARS = 8192
 
 
 class UnreadableFile(ValueError):
@@ -26,21 +28,22 @@ class DelimitedTable:
     duplicate_columns: list[str] = field(default_factory=list)
 
 
-def sniff_separator(sample: str) -> str:
-    """By the csv module's guess, else by the most frequent candidate in the first line."""
-    try:
-        return csv.Sniffer().sniff(sample, delimiters="".join(SEPARATORS)).delimiter
-    except csv.Error:
-        first = sample.splitlines()[0] if sample.splitlines() else ""
-        best = max(SEPARATORS, key=first.count)
-        return best if first.count(best) else ","
+def separator_of(header: str) -> str:
+    """The candidate that cuts a header into most cells, quotes kept together;
+    the first of equal ones, a comma if none cuts it."""
+    return max(SEPARATORS, key=lambda sep: (len(next(csv.reader([header], delimiter=sep), [])), -SEPARATORS.index(sep)))
 
 
-def sniff_encoding(spark: SparkSession, path: str) -> str:
-    """UTF-8 if every line is valid UTF-8, else Latin-1; one distributed pass."""
-    lines = spark.read.text(path)
-    valid = lines.agg(F.bool_and(F.expr("is_valid_utf8(value)")).alias("ok")).first()["ok"]
-    return "UTF-8" if valid in (True, None) else "ISO-8859-1"
+def file_heads(spark: SparkSession, path: str) -> DataFrame:
+    """(file, header, valid) per file: its first line as bytes, and whether all
+    its lines are UTF-8. One distributed pass; lines of a file's first split
+    are numbered in their order."""
+    line = F.col("value").cast("binary")
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("n"), "value", line.alias("line"))
+    return lines.groupBy("file").agg(
+        F.min_by(F.when(F.col("at") == 0, F.col("line")), F.when(F.col("at") == 0, F.col("n"))).alias("header"),
+        F.bool_and(F.expr("is_valid_utf8(value)")).alias("valid"),
+    )
 
 
 def unique_headers(names: list[str]) -> tuple[list[str], list[str]]:
@@ -74,39 +77,62 @@ def read_delimited(
     schema: T.StructType | str | None = None,
     multiline: bool = False,
 ) -> DelimitedTable:
-    """IO1: separator, encoding and header are found from the file unless given.
-
-    Only the first 8 KB reach the driver. Files are split among tasks; set
-    `multiline` for quoted line breaks, which reads each file in one task.
-    Without a schema Spark infers the types in a pass over the data.
+    """IO1: separator, encoding and header of each file are found from the file
+    unless given; the files of a folder are brought together by column name.
+
+    One line and two flags per kind of file reach the driver. Files are split
+    among tasks; set `multiline` for quoted line breaks, which reads each file
+    in one task. Without a schema Spark infers the types in a pass over the
+    data; columns whose types differ between files are read as numbers if all
+    are numbers, else as text.
     """
-    encoding = encoding or sniff_encoding(spark, path)
-    # `take` reads one partition after another, until it has enough lines.
-    head = spark.read.option("encoding", encoding).csv(path, sep="\u0001", quote="", escape="")
-    lines = [row[0] or "" for row in head.select(head.columns[0]).take(100)] if head.columns else []
-    sample = "\n".join(lines)[:SAMPLE_CHARS].lstrip("\ufeff")
-    if not sample.strip():
+    code = F.lit(encoding) if encoding else F.when(F.col("valid"), "UTF-8").otherwise("ISO-8859-1")
+    heads = file_heads(spark, path).groupBy(code.alias("code"), "header").agg(F.sort_array(F.collect_list("file")).alias("files"))
+    kinds = []
+    for row in heads.collect():
+        header = bytes(row["header"] or b"").decode(row["code"], "replace").lstrip("\ufeff").rstrip("\r")
+        if header.strip():
+            kinds.append((row["files"], row["code"], sep or separator_of(header), header))
+    if not kinds:
         raise UnreadableFile(f"{path}: no data")
-    sep = sep or sniff_separator(sample)
-    raw = next(csv.reader([sample.splitlines()[0]], delimiter=sep))
-    names, repeated = unique_headers(raw)
-    reader = spark.read.option("header", True).option("sep", sep).option("encoding", encoding)
-    reader = reader.option("multiLine", multiline).option("enforceSchema", True).option("ignoreTrailingWhiteSpace", True)
-    if schema is None:
-        frame = reader.option("inferSchema", True).csv(path)
-        if len(frame.columns) != len(names):
-            names = [n.strip() for n in frame.columns]
-        frame = frame.toDF(*names)
-    else:
-        frame = reader.schema(schema).csv(path)
-    warnings = []
-    if encoding.upper() not in ("UTF-8", "UTF8"):
-        warnings.append(f"not valid UTF-8: read as {encoding}")
+    kinds.sort(key=lambda k: k[0][0])
+    frames, repeated = [], set()
+    for files, code, mark, header in kinds:
+        names, twice = unique_headers(next(csv.reader([header], delimiter=mark)))
+        repeated.update(twice)
+        reader = spark.read.option("header", True).option("sep", mark).option("encoding", code)
+        reader = reader.option("multiLine", multiline).option("enforceSchema", True).option("ignoreTrailingWhiteSpace", True)
+        if schema is None:
+            frame = reader.option("inferSchema", True).csv(files)
+            names = names if len(frame.columns) == len(names) else [n.strip() for n in frame.columns]
+            frames.append(frame.toDF(*names))
+        else:
+            frames.append(reader.schema(schema).csv(files))
+    frame = _by_name(frames)
+    codes, marks = sorted({k[1] for k in kinds}), sorted({k[2] for k in kinds})
+    warnings = [f"not valid UTF-8: read as {code}" for code in codes if code.upper() not in ("UTF-8", "UTF8")]
+    if len(marks) > 1:
+        warnings.append("files with different separators")
+    if len({tuple(sorted(f.columns)) for f in frames}) > 1:
+        warnings.append("files with different columns")
     if repeated:
         warnings.append("repeated headers renamed: " + ", ".join(sorted(repeated)))
     if not frame.take(1):
         warnings.append("a header but no data rows")
-    return DelimitedTable(frame, sep, encoding, warnings, sorted(repeated))
+    return DelimitedTable(frame, "".join(marks), ", ".join(codes), warnings, sorted(repeated))
+
+
+def _by_name(frames: list[DataFrame]) -> DataFrame:
+    """The rows of all frames, columns brought together by name."""
+    if len(frames) == 1:
+        return frames[0]
+    kinds: dict[str, set] = {}
+    for frame in frames:
+        for f in frame.schema:
+            kinds.setdefault(f.name, set()).add(f.dataType)
+    mixed = {n: "double" if all(isinstance(t, T.NumericType) for t in types) else "string" for n, types in kinds.items() if len(types) > 1}
+    alike = [frame.select(*[c(f.name).cast(mixed[f.name]).alias(f.name) if f.name in mixed else c(f.name) for f in frame.schema]) for frame in frames]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), alike)
 
 
 def duplicate_headers(headers: DataFrame) -> DataFrame:

@@ -1,5 +1,7 @@
 """A1-A8, T1-T7 and the flagship query."""
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from brightledger.operators.aggregate import (
@@ -18,7 +20,7 @@ from brightledger.operators.aggregate import (
 from brightledger.operators.filters import Condition
 from brightledger.operators.joins import JoinSpec, joined, key_difference, key_intersection
 from brightledger.operators.quantiles import exact_quantiles
-from brightledger.operators.sql import sql_frame, sql_query
+from brightledger.operators.sql import SqlRefused, sql_frame, sql_query, view_names
 from brightledger.operators.versions import next_versions, recent_turns
 from brightledger.plans.insights import last_change
 from brightledger.session import load_table
@@ -204,6 +206,18 @@ def a_quantiles(spark, d):
     return q.select("l_returnflag", *[F.round(F.col("quantiles")[i], 4).alias(n) for i, n in enumerate(("q1", "q2", "q999"))])
 
 
+@query(
+    "a_quantiles_narrow",
+    """SELECT l_returnflag, round(quantile_cont(v, 0.25) - 1.7e9, 5) AS q1, round(quantile_cont(v, 0.5) - 1.7e9, 5) AS q2 FROM
+         (SELECT l_returnflag, 1.7e9 + l_extendedprice / 1e6 AS v FROM lineitem) GROUP BY 1""",
+)
+def a_quantiles_narrow(spark, d):
+    """Values within a tenth of a second of 1.7 billion."""
+    near = load_table(spark, d, "lineitem").select("l_returnflag", (F.lit(1.7e9) + F.col("l_extendedprice") / 1e6).alias("v"))
+    q = exact_quantiles(near, ["l_returnflag"], "v", [0.25, 0.5])
+    return q.select("l_returnflag", *[F.round(F.col("quantiles")[i] - 1.7e9, 5).alias(n) for i, n in enumerate(("q1", "q2"))])
+
+
 @query(
     "t1_bottom_n",
     """SELECT p_brand, v AS sum_l_quantity, round(100 * v / sum(v) OVER (), 2) AS percentage_of_total FROM (
@@ -284,6 +298,55 @@ def q1_sql_query(spark, d):
     return sql_frame({n: load_table(spark, d, n) for n in names}, _JOIN_SQL + ";")
 
 
+@query(
+    "q2_view_names",
+    """SELECT n_name || '.csv' AS dataset, regexp_replace(n_name || '.csv', '[^A-Za-z0-9]+', '_', 'g') AS view_name, count(c_custkey) AS row_count
+       FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY ALL""",
+)
+def q2_view_names(spark, d):
+    """A dataset per nation under the name of its file, each asked by its view."""
+    customers = load_table(spark, d, "customer")
+    tables = {f"{r.n_name}.csv": customers.filter(F.col("c_nationkey") == r.n_nationkey) for r in load_table(spark, d, "nation").collect()}
+    views = view_names(list(tables))
+    text = " UNION ALL ".join(f"SELECT '{n}' AS dataset, '{v}' AS view_name, count(*) AS row_count FROM {v}" for n, v in views.items())
+    return sql_frame(tables, text)
+
+
+# Label, text, and whether it is allowed.
+_TEXTS = [
+    ("plain", "SELECT * FROM orders", True),
+    ("literal", "SELECT * FROM orders WHERE o_orderstatus <> 'reflect(;)'", True),
+    ("with", "WITH a AS (SELECT * FROM orders) SELECT * FROM a", True),
+    ("delete", "DELETE FROM orders", False),
+    ("insert after with", "WITH a AS (SELECT 1) INSERT INTO orders SELECT * FROM a", False),
+    ("two statements", "SELECT * FROM orders; SELECT 1", False),
+    ("file", "SELECT * FROM parquet.`/tmp/x`", False),
+    ("foreign call", "SELECT reflect('java.lang.System', 'getProperty', 'java.version') FROM orders", False),
+    ("backquoted", "SELECT `reflect`('java.lang.System', 'getProperty', 'java.version') FROM orders", False),
+    ("commented", "SELECT java_method /* x */ ('java.lang.System', 'getProperty', 'java.version') FROM orders", False),
+    ("other table", "SELECT * FROM customer", False),
+    ("other table inside", "SELECT * FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer)", False),
+]
+
+
+@query(
+    "q3_refused",
+    "SELECT label, allowed, CASE WHEN allowed THEN n END AS row_count FROM (VALUES "
+    + ", ".join(f"('{label}', {str(allowed).lower()})" for label, _, allowed in _TEXTS)
+    + ") AS t(label, allowed), (SELECT count(*) AS n FROM orders)",
+)
+def q3_refused(spark, d):
+    """What is taken as one read-only query over orders, and its rows."""
+    tables, parts = {"orders": load_table(spark, d, "orders")}, []
+    for label, text, _ in _TEXTS:
+        try:
+            count = sql_frame(tables, text).agg(F.count(F.lit(1)).alias("n")).select(F.lit(True).alias("allowed"), F.col("n").alias("row_count"))
+        except SqlRefused:
+            count = spark.range(1).select(F.lit(False).alias("allowed"), F.lit(None).cast("long").alias("row_count"))
+        parts.append(count.select(F.lit(label).alias("label"), "allowed", "row_count"))
+    return reduce(lambda a, b: a.unionAll(b), parts)
+
+
 _RANGE_SQL = """
     SELECT a.p_brand AS brand, count(*) AS dearer_pairs FROM brands a JOIN brands b ON a.avg_price > b.avg_price GROUP BY a.p_brand"""
 

@@ -73,6 +73,27 @@ def c2_new_versions(spark, d):
     return add_versions(_versions(spark, d), _uploads(spark, d)).select("id", "user_id", "filename", "version", "is_active")
 
 
+@query(
+    "c2_repeated_uploads",
+    f"""WITH {_VERSIONS}, {_UPLOADS},
+        w AS (SELECT * FROM u UNION ALL SELECT id + 1000000, user_id, filename, content_hash, created_at + 1000000 FROM u
+              UNION ALL SELECT id + 2000000, user_id, filename, sha256(content_hash), created_at + 2000000 FROM u),
+        b AS (SELECT user_id, filename, max(version) AS top, max(CASE WHEN is_active THEN content_hash END) AS hash FROM v GROUP BY 1, 2),
+        x AS (SELECT w.*, b.top, coalesce(lag(content_hash) OVER (PARTITION BY user_id, filename ORDER BY created_at, id), b.hash) AS before FROM w LEFT JOIN b USING (user_id, filename)),
+        f AS (SELECT *, coalesce(top, 0) + row_number() OVER (PARTITION BY user_id, filename ORDER BY created_at, id) AS version,
+              row_number() OVER (PARTITION BY user_id, filename ORDER BY created_at DESC, id DESC) = 1 AS is_active FROM x WHERE before IS DISTINCT FROM content_hash)
+        SELECT id, user_id, filename, version, is_active AND (user_id || '/' || filename) NOT IN (SELECT user_id || '/' || filename FROM f) AS is_active FROM v
+        UNION ALL SELECT id, user_id, filename, version, is_active FROM f""",
+)
+def c2_repeated_uploads(spark, d):
+    """Each file comes three times: unchanged the second time, changed the third."""
+    first = _uploads(spark, d)
+    again = lambda n: first.withColumns({"id": F.col("id") + n, "created_at": F.col("created_at") + n})
+    changed = again(2000000).withColumn("content_hash", content_hash(F.col("content_hash")))
+    uploads = first.unionByName(again(1000000)).unionByName(changed)
+    return add_versions(_versions(spark, d), uploads).select("id", "user_id", "filename", "version", "is_active")
+
+
 @query(
     "c3_activate_older",
     f"WITH {_VERSIONS} SELECT id, filename, version = min(version) OVER (PARTITION BY user_id, filename) AS is_active FROM v",

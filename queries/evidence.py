@@ -120,5 +120,4 @@ def v5_comparisons(spark, d):
 def v6_relabelled(spark, d):
     """Cited turns become document evidence or fall; others keep their label."""
     claims, citations = _turns(spark, d)
-    no_numbers = claims.withColumn("text", F.regexp_replace("text", "[0-9]", ""))
-    return relabel_cited(no_numbers, citations, _evidence(spark, d))
+    return relabel_cited(claims, citations, _evidence(spark, d))

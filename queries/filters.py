@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from brightledger.functions.exprs import to_number_lenient
 from brightledger.operators.aggregate import breakdown, scalar
-from brightledger.operators.filters import Condition, DrillStep, apply_filters, drill_filters, next_dimension, result_status
+from brightledger.operators.filters import Condition, DrillStep, UnknownColumn, apply_filters, drill_filters, next_dimension, result_status
 from brightledger.session import load_table
 from queries import query
 
@@ -121,3 +121,20 @@ def f_all_operators(spark, d):
         Condition("o_orderstatus", "in", ["F", "O"]),
     ]
     return scalar(load_table(spark, d, "orders"), "sum", "o_totalprice", conditions).withColumn("value", F.round("value", 2))
+
+
+@query(
+    "f9_unknown_column",
+    "SELECT 'o_orderstatus' AS asked, count(*) FILTER (o_orderstatus = 'F') AS row_count, CAST(NULL AS VARCHAR) AS refusal FROM orders"
+    " UNION ALL SELECT 'nope', NULL, 'no column ''nope'' in dataset ''orders' || chr(39)",
+)
+def f9_unknown_column(spark, d):
+    """Rows kept, or the refusal naming column and dataset."""
+    orders, parts = load_table(spark, d, "orders"), []
+    for asked in ("o_orderstatus", "nope"):
+        try:
+            rows = apply_filters(orders, [Condition(asked, "eq", "F")], "orders").agg(F.count(F.lit(1)).alias("row_count"))
+            parts.append(rows.select(F.lit(asked).alias("asked"), "row_count", F.lit(None).cast("string").alias("refusal")))
+        except UnknownColumn as error:
+            parts.append(spark.range(1).select(F.lit(asked).alias("asked"), F.lit(None).cast("long").alias("row_count"), F.lit(str(error)).alias("refusal")))
+    return parts[0].unionAll(parts[1])

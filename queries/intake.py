@@ -27,6 +27,23 @@ def io1_read_delimited(spark, d):
     return groups.withColumn("sep", F.lit(table.separator)).withColumn("encoding", F.lit(table.encoding))
 
 
+@query(
+    "io1_mixed_files",
+    """SELECT o_orderstatus AS status, note, count(*) AS row_count, round(sum(o_totalprice), 2) AS total FROM
+       (SELECT *, CASE o_orderstatus WHEN 'F' THEN 'Größe' ELSE 'plain, x' END AS note FROM orders) GROUP BY 1, 2""",
+)
+def io1_mixed_files(spark, d):
+    """Files with two encodings, two separators and their columns in two orders."""
+    path = work_folder(spark, "delimited")
+    note = F.when(F.col("o_orderstatus") == "F", "Größe").otherwise("plain, x")
+    orders = load_table(spark, d, "orders").select("o_orderstatus", "o_totalprice", note.alias("note"))
+    one, other = orders.filter("o_orderstatus = 'F'"), orders.filter("o_orderstatus <> 'F'").select("note", "o_orderstatus", "o_totalprice")
+    one.write.option("header", True).option("sep", ";").option("encoding", "ISO-8859-1").csv(f"{path}/a")
+    other.write.option("header", True).csv(f"{path}/b")
+    frame = read_delimited(spark, f"{path}/*").frame
+    return frame.groupBy(F.col("o_orderstatus").alias("status"), "note").agg(F.count(F.lit(1)).alias("row_count"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+
+
 _FIRST = "string_split(string_split(text, chr(10))[1], ' ')"
 _CELLS = f"cells AS (SELECT doc_id AS file, i, trim({_FIRST}[i]) AS name FROM (SELECT *, unnest(range(1, len({_FIRST}) + 1)) AS i FROM documents))"
 

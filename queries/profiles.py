@@ -150,6 +150,17 @@ def p4_date_layouts(spark, d):
     return spark.createDataFrame(list(found.items()), "column_name string, date_layout string")
 
 
+@query(
+    "p4_late_days",
+    """SELECT 'day' AS column_name, CASE WHEN max(day(o_orderdate)) > 12 THEN 'd/M/yyyy' ELSE 'M/d/yyyy' END AS date_layout, count(*) AS row_count FROM orders""",
+)
+def p4_late_days(spark, d):
+    """The first thousands of values fit two layouts; only later ones tell."""
+    orders = load_table(spark, d, "orders").orderBy(F.dayofmonth("o_orderdate")).select(F.date_format("o_orderdate", "dd/MM/yyyy").alias("day"))
+    layout = F.lit(date_layouts(orders, ["day"])["day"])
+    return orders.agg(F.count("day").alias("row_count")).select(F.lit("day").alias("column_name"), layout.alias("date_layout"), "row_count")
+
+
 @query(
     "p5_numeric_stats",
     _union(

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from brightledger.session import work_folder
 from brightledger.sources.datasets import incremental_ingest, read_dataset, sample_rows, write_dataset
-from brightledger.sources.delimited import UnreadableFile, read_delimited, sniff_separator, unique_headers
+from brightledger.sources.delimited import UnreadableFile, read_delimited, separator_of, unique_headers
 from brightledger.sources.files import list_files, split_files, validate_files
 from brightledger.streaming.ingest import file_stream, ingest_new_files, keep_totals, monthly_stream, months_of
 from tests.conftest import as_dicts
@@ -50,7 +50,7 @@ def test_quoted_line_breaks(spark, tmp_path):
 
 
 def test_single_column():
-    assert sniff_separator("name\nx\n") == ","
+    assert separator_of("name") == "," and separator_of('"a;b",c') == "," and separator_of("a;b,c;d") == ";"
 
 
 def test_dataset_round_trip(spark, tmp_path):
@@ -116,3 +116,20 @@ def test_work_folder_follows_the_session(spark):
 
     assert work_folder(Session, "x").startswith("/shared/place/x-")
     assert work_folder(spark, "x") != work_folder(spark, "x")
+
+
+def test_a_folder_of_different_files(spark, tmp_path):
+    (tmp_path / "a.csv").write_bytes("id;name\n1;Größe\n".encode())
+    (tmp_path / "b.csv").write_bytes("name,id\nMaß,2\n".encode("latin-1"))
+    (tmp_path / "c.csv").write_bytes(b"\xef\xbb\xbfid|name|more\n3|x|y\n")
+    (tmp_path / "d.csv").write_bytes(b"")
+    table = read_delimited(spark, str(tmp_path))
+    assert sorted((r["id"], r["name"], r["more"]) for r in table.frame.collect()) == [(1, "Größe", None), (2, "Maß", None), (3, "x", "y")]
+    assert len(table.warnings) == 3 and table.encoding == "ISO-8859-1, UTF-8"
+
+
+def test_a_long_header(spark, tmp_path):
+    names = [f"a_rather_long_column_name_{i}" for i in range(600)] + ["dup", "dup"]
+    (tmp_path / "a.csv").write_text(",".join(names) + "\n" + ",".join(["1"] * 602) + "\n")
+    table = read_delimited(spark, str(tmp_path))
+    assert table.duplicate_columns == ["dup"] and table.frame.columns[-2:] == ["dup", "dup.1"] and len(table.frame.columns) == 602
