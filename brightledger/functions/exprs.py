@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -87,8 +89,17 @@ def known(df: DataFrame, name: str) -> Column:
     return c(name)
 
 
+def layout_shape(layout: str) -> str:
+    """A pattern that every text of a date layout matches, from its letters."""
+    shapes = {"yyyy": r"[+-]?\d{4,}", "MMM": r"\p{L}+\.?", "SSSSSS": r"\d{1,9}", "'T'": "T"}
+    parts = re.findall(r"yyyy|MMM|SSSSSS|'T'|[MdHms]|.", layout)
+    return "(?i)^" + "".join(shapes.get(p, r"\d{1,2}" if p in "MdHms" else re.escape(p)) for p in parts) + "$"
+
+
 def parse_layout(text: Column, layout: str) -> Column:
-    return F.try_to_timestamp(F.trim(text), F.lit(layout)).cast("timestamp_ntz")
+    """The text as a time of this layout; texts of another shape are not parsed."""
+    bare = F.trim(text)
+    return F.when(bare.rlike(layout_shape(layout)), F.try_to_timestamp(bare, F.lit(layout)).cast("timestamp_ntz"))
 
 
 def to_time(df: DataFrame, name: str, layout: str | None = None) -> Column:
