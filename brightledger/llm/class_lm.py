@@ -101,7 +101,7 @@ def _chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _tokens(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Words, tokens, tokens of each document, and which documents are held out."""
-    words = np.array(row["words"], np.int64).view(np.uint64)
+    words = row["words"].view(np.uint64)
     return words, np.frombuffer(row["tokens"], "<u4").astype(np.int64), np.frombuffer(row["n_tokens"], np.int64), np.frombuffer(row["held"], bool)
 
 
@@ -139,9 +139,15 @@ def _neighbours(frequent: Frequent, classes: int):
 
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """Rows as dicts; lists stay arrays."""
     for batch in batches:
         for i in range(batch.num_rows):
-            yield batch.slice(i, 1).to_pylist()[0]
+            values = {name: batch.column(k)[i] for k, name in enumerate(batch.schema.names)}
+            yield {name: _array(v) if isinstance(v, pa.ListScalar) else v.as_py() for name, v in values.items()}
+
+
+def _array(value: pa.ListScalar) -> np.ndarray:
+    return value.values.to_numpy(zero_copy_only=False) if value.is_valid else np.zeros(0, np.int64)
 
 
 def _exchange(chunks: DataFrame, frequent: Frequent, classes: int, turn: int) -> Frequent:
@@ -268,7 +274,7 @@ def score_documents(docs: DataFrame, classes: int = CLASSES, rounds: int = ROUND
             state, _ = _states(frequent, words, tokens, classes)
             n = np.zeros(len(words) + 1, np.int64)
             n[-1] = ends
-            n[np.array(row["place"] or [], np.int64)] = row["n"] or []
+            n[row["place"]] = row["n"]
             found = frequent.find(words)
             common = np.flatnonzero(found >= 0)
             n[common] = frequent.counts[found[common]]
