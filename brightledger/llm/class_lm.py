@@ -29,7 +29,7 @@ CLASSES, ROUNDS = 32, 6
 #: Words with a smaller share of the training tokens are rare.
 EXCHANGED = 200_000
 #: Tokens in a chunk at least, but for a task's last.
-CHUNK_TOKENS = 1 << 21
+CHUNK_TOKENS = 1 << 20
 #: Added to each count of a word, and of a class after another.
 ADDED, ADDED_CLASS = 0.1, 0.1
 
