@@ -80,11 +80,14 @@ def link_quotes(messages: DataFrame, conv_column: str = "conv_id", turn_column:
 
 
 def _paths(nodes: DataFrame) -> DataFrame:
-    """The turns from the root to each message. Each round joins paths that
-    begin where others end, so they double: a chain of n answers takes log n."""
+    """The turns from the root to each message. Each round joins the paths that
+    have not reached a root with those that end where they begin, so paths
+    double: a chain of n answers takes log n rounds, and a round costs as many
+    rows as are still open. A path is as long as its chain of answers."""
     paths = settled(nodes.withColumn("path", F.array("turn")).withColumn("next", F.col("parent_turn")), "paths")
     while paths.where("next is not null").limit(1).count():
         above = paths.select("conv_id", F.col("turn").alias("next"), F.col("path").alias("head"), F.col("next").alias("further"))
-        joined = paths.join(above, ["conv_id", "next"], "left")
-        paths = settled(joined.select("conv_id", "turn", "parent_turn", "n_linked", F.concat(F.coalesce("head", F.array().cast("array<long>")), "path").alias("path"), F.col("further").alias("next")), "paths")
+        longer = paths.where("next is not null").join(above, ["conv_id", "next"])
+        longer = longer.select("conv_id", "turn", "parent_turn", "n_linked", F.concat("head", "path").alias("path"), F.col("further").alias("next"))
+        paths = settled(paths.where("next is null").unionByName(longer), "paths")
     return paths.drop("next")
