@@ -13,7 +13,9 @@ from brightledger.llm.quality import judge_quality
 from brightledger.llm.suffix_dedup import remove_repeats
 from brightledger.llm.tables import settled
 from brightledger.llm.url_filter import not_listed
-from brightledger.session import load_table
+from brightledger.session import load_table, ship_package
+
+ship_package()  # executors need no install
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
