@@ -8,12 +8,13 @@ reaches the driver is one row per column.
 
 from __future__ import annotations
 
+from collections.abc import Collection
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from functools import reduce
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -41,6 +42,8 @@ HIGH_CARDINALITY_ROWS = 20
 DATE_FLOOR = 0.05
 PARSE_RATE = 0.9
 TOP_VALUES = 5
+# What a profile can hold beyond types, counts and distinct counts.
+PARTS = ("stats", "top", "span", "dup")
 PROFILE_SCHEMA = T.StructType(
     [
         T.StructField("dataset_id", T.StringType()),
@@ -86,7 +89,7 @@ class TableProfile:
     dataset_id: str
     row_count: int
     columns: list[dict[str, Any]]
-    duplicate_row_count: int
+    duplicate_row_count: int | None
     duplicate_headers: list[str] = field(default_factory=list)
 
     def of_type(self, inferred_type: str) -> list[str]:
@@ -280,27 +283,36 @@ def duplicate_rows(df: DataFrame) -> DataFrame:
 # --- types --------------------------------------------------------------------
 
 
-def date_layouts(df: DataFrame, names: list[str]) -> dict[str, str]:
-    """Per text column the layout with the best hit rate over all its
-    values, if at least 5 % of them parse. One aggregate for all columns; only
-    values with a digit are parsed.
-    """
-    if not names:
-        return {}
+def layout_hits(df: DataFrame, names: list[str]) -> list[Column]:
+    """Aggregates counting, per text column and layout, the values of all
+    rows that parse; only values with a digit are tried."""
     hits = []
     for i, name in enumerate(names):
         text = F.when(c(name).rlike("[0-9]"), c(name))
-        hits.append(F.count(c(name)).alias(f"n{i}"))
         hits += [F.count(parse_layout(text, layout)).alias(f"h{i}_{k}") for k, layout in enumerate(DATE_LAYOUTS)]
-    row = df.agg(*hits).first()
+    return hits
+
+
+def best_layouts(row: Row, names: list[str], filled: dict[str, int]) -> dict[str, tuple[str, int]]:
+    """Per column the layout most values parse with (the first among equals) and
+    how many do, if at least 5 % of its values."""
     found = {}
     for i, name in enumerate(names):
         best = max(range(len(DATE_LAYOUTS)), key=lambda k: (row[f"h{i}_{k}"], -k))
-        if row[f"n{i}"] and row[f"h{i}_{best}"] >= DATE_FLOOR * row[f"n{i}"]:
-            found[name] = DATE_LAYOUTS[best]
+        if filled[name] and row[f"h{i}_{best}"] >= DATE_FLOOR * filled[name]:
+            found[name] = (DATE_LAYOUTS[best], row[f"h{i}_{best}"])
     return found
 
 
+def date_layouts(df: DataFrame, names: list[str]) -> dict[str, str]:
+    """The layouts of text columns, from all their values in one aggregate."""
+    if not names:
+        return {}
+    row = df.agg(*[F.count(c(n)).alias(f"n{i}") for i, n in enumerate(names)], *layout_hits(df, names)).first()
+    best = best_layouts(row, names, {n: row[f"n{i}"] for i, n in enumerate(names)})
+    return {name: layout for name, (layout, _) in best.items()}
+
+
 def semantic_types(facts: DataFrame, strict: bool = False) -> DataFrame:
     """The semantic type per column, decided from its facts.
 
@@ -339,23 +351,21 @@ def kind_of(dtype: T.DataType) -> str:
 
 
 def type_facts(df: DataFrame) -> DataFrame:
-    """The facts P2 decides on: P1 counts plus parse rates of the text columns."""
+    """The facts P2 decides on, in two jobs at any width: one aggregate for
+    counts, number hits and layout hits, one for distinct counts."""
     texts = [f.name for f in df.schema if isinstance(f.dataType, T.StringType)]
     filled = [F.count(known(df, f.name)).alias(f"c{i}") for i, f in enumerate(df.schema)]
     numbers = [F.count(text_to_number(c(n))).alias(f"x{i}") for i, n in enumerate(texts)]
-    with ThreadPoolExecutor(3) as pool:
-        first = pool.submit(lambda: df.agg(F.count(F.lit(1)).alias("n"), *filled, *numbers).first())
+    with ThreadPoolExecutor(2) as pool:
+        hits = layout_hits(df, texts)
+        first = pool.submit(lambda: df.agg(F.count(F.lit(1)).alias("n"), *filled, *numbers, *hits).first())
         distinct = pool.submit(lambda: dict(map(tuple, unique_counts(df).collect())))
-        layouts = date_layouts(df, texts)
         row, uniques = first.result(), distinct.result()
     non_null = {f.name: row[f"c{i}"] for i, f in enumerate(df.schema)}
     number_rate = {n: row[f"x{i}"] / non_null[n] if non_null[n] else 0.0 for i, n in enumerate(texts)}
-    layouts = {n: layout for n, layout in layouts.items() if number_rate[n] < PARSE_RATE}
-    date_rate = {}
-    if layouts:
-        parsed = df.agg(*[F.count(parse_layout(c(n), layout)).alias(f"x{i}") for i, (n, layout) in enumerate(layouts.items())])
-        found = parsed.first()
-        date_rate = {n: found[f"x{i}"] / non_null[n] for i, n in enumerate(layouts)}
+    best = {n: found for n, found in best_layouts(row, texts, non_null).items() if number_rate[n] < PARSE_RATE}
+    layouts = {n: layout for n, (layout, _) in best.items()}
+    date_rate = {n: parsed / non_null[n] for n, (_, parsed) in best.items()}
     rows = [
         (
             i,
@@ -389,9 +399,18 @@ def infer_types(df: DataFrame, strict: bool = False) -> DataFrame:
 
 
 def profile_table(
-    df: DataFrame, dataset_id: str, duplicate_headers: list[str] | None = None, strict: bool = False
+    df: DataFrame,
+    dataset_id: str,
+    duplicate_headers: list[str] | None = None,
+    strict: bool = False,
+    parts: Collection[str] = PARTS,
 ) -> TableProfile:
-    """P1-P9 for one table, brought to the driver as one dict per column."""
+    """P1-P9 for one table, brought to the driver as one dict per column.
+
+    `parts` names what is computed beyond types and counts: numeric figures,
+    top values, date spans, repeated rows. What is left out stays None (the
+    number of repeated rows too), and its passes over the table are saved.
+    """
     facts = [row.asDict() for row in infer_types(df, strict).collect()]
     rows = facts[0]["row_count"] if facts else 0
     by_name = {row["column_name"]: row for row in facts}
@@ -400,24 +419,25 @@ def profile_table(
     dates = {n: row["date_layout"] for n, row in by_name.items() if row["inferred_type"] == "date"}
     # A complete column without repeats proves that no row repeats.
     keyed = any(row["unique_count"] == rows for row in facts)
-    with ThreadPoolExecutor(4) as pool:
-        jobs = {
-            "stats": pool.submit(lambda: numeric_stats(df, numeric).collect() if numeric else []),
-            "top": pool.submit(lambda: top_values(df, categorical).collect() if categorical else []),
-            "span": pool.submit(lambda: date_ranges(df, dates).collect() if dates else []),
-            "dup": pool.submit(lambda: 0 if keyed or not rows else duplicate_rows(df).first()["duplicate_row_count"]),
-        }
+    measures = {
+        "stats": lambda: numeric_stats(df, numeric).collect() if numeric else [],
+        "top": lambda: top_values(df, categorical).collect() if categorical else [],
+        "span": lambda: date_ranges(df, dates).collect() if dates else [],
+        "dup": lambda: 0 if keyed or not rows else duplicate_rows(df).first()["duplicate_row_count"],
+    }
+    with ThreadPoolExecutor(len(PARTS)) as pool:
+        jobs = {name: pool.submit(measures[name]) for name in PARTS if name in parts}
         done = {name: job.result() for name, job in jobs.items()}
-    stats = {row["column_name"]: row.asDict() for row in done["stats"]}
-    spans = {row["column_name"]: row.asDict() for row in done["span"]}
-    tops: dict[str, list] = {}
-    for row in sorted(done["top"], key=lambda r: (r["column_name"], r["rank"])):
+    stats = {row["column_name"]: row.asDict() for row in done.get("stats", [])}
+    spans = {row["column_name"]: row.asDict() for row in done.get("span", [])}
+    tops: dict[str, list] | None = {} if "top" in parts else None
+    for row in sorted(done.get("top", []), key=lambda r: (r["column_name"], r["rank"])):
         tops.setdefault(row["column_name"], []).append({k: row[k] for k in ("value", "count", "percentage")})
     columns = [_column(dataset_id, row, stats, spans, tops) for row in facts]
-    return TableProfile(dataset_id, rows, columns, done["dup"], duplicate_headers or [])
+    return TableProfile(dataset_id, rows, columns, done.get("dup"), duplicate_headers or [])
 
 
-def _column(dataset_id: str, row: dict, stats: dict, spans: dict, tops: dict) -> dict[str, Any]:
+def _column(dataset_id: str, row: dict, stats: dict, spans: dict, tops: dict | None) -> dict[str, Any]:
     name, kind = row["column_name"], row["inferred_type"]
     flags = []
     if row["numeric_stored_as_text"]:
@@ -437,7 +457,7 @@ def _column(dataset_id: str, row: dict, stats: dict, spans: dict, tops: dict) ->
         dataset_id=dataset_id,
         quality_flags=flags,
         cardinality=row["unique_count"] if kind == "categorical" else None,
-        top_values=tops.get(name, []) if kind == "categorical" else None,
+        top_values=tops.get(name, []) if kind == "categorical" and tops is not None else None,
         date_layout=row["date_layout"] if kind == "date" else None,
     )
     return column
@@ -535,7 +555,9 @@ def typed_columns(profile_rows: DataFrame) -> DataFrame:
     return profile_rows.groupBy("dataset_id").agg(*[named(k).alias(f"{k}_columns") for k in kinds])
 
 
-def batch_reprofile(tables: dict[str, DataFrame], parallel: int = 4) -> list[TableProfile]:
+def batch_reprofile(
+    tables: dict[str, DataFrame], parallel: int = 4, parts: Collection[str] = PARTS
+) -> list[TableProfile]:
     """IO8: profiles of many tables; their jobs share the cluster."""
     with ThreadPoolExecutor(parallel) as pool:
-        return list(pool.map(lambda item: profile_table(item[1], item[0]), tables.items()))
+        return list(pool.map(lambda item: profile_table(item[1], item[0], parts=parts), tables.items()))

@@ -194,7 +194,7 @@ def cross_table_charts(
             wide, _ = derive_dataset(tables[left], tables[right], spec, root, f"join-{len(tried)}", "dashboard", lineage)
         except FanOutRefused:
             continue
-        charts.append(default_charts(wide, profile_table(wide, f"{left} ⋈ {right}")))
+        charts.append(default_charts(wide, profile_table(wide, f"{left} ⋈ {right}", parts=["span"])))
     return charts
 
 

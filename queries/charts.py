@@ -44,9 +44,9 @@ from queries.joining import _plain_names
 AS_OF = date(2024, 6, 1)
 
 
-def _profiled(spark, d, table):
+def _profiled(spark, d, table, *parts):
     df = load_table(spark, d, table)
-    return df, profile_table(df, table)
+    return df, profile_table(df, table, parts=parts)
 
 
 def _round(df, *names, digits=2):
@@ -121,14 +121,14 @@ def k5_entity_count(spark, d):
 def k6_kpi_companions(spark, d):
     names = ["order_key", "customer_key", "status", "total_price", "order_date", "priority"]
     orders = load_table(spark, d, "orders").toDF(*names)
-    out = discover_kpis(orders, profile_table(orders, "orders"))
+    out = discover_kpis(orders, profile_table(orders, "orders", parts=()))
     return _round(out, "preview_value").select("kpi_no", "name", "aggregation", "preview_value")
 
 
 @query("k6_record_count", "SELECT 'Record Count' AS name, 'count' AS aggregation, CAST(count(*) AS DOUBLE) AS preview_value FROM conversations")
 def k6_record_count(spark, d):
     turns = load_table(spark, d, "conversations").select("conv_id", "role")
-    return discover_kpis(turns, profile_table(turns, "turns")).select("name", "aggregation", "preview_value")
+    return discover_kpis(turns, profile_table(turns, "turns", parts=())).select("name", "aggregation", "preview_value")
 
 
 _CAP = "upper(string_split(p_name, ' ')[{i}][1]) || string_split(p_name, ' ')[{i}][2:]"
@@ -218,7 +218,7 @@ def i5_anomaly(spark, d):
 )
 def i6_data_quality(spark, d):
     docs = load_table(spark, d, "documents").select("lang", F.when(F.col("n_chars") > 2000, F.col("source")).alias("far_source"))
-    profile = profile_table(docs, "docs")
+    profile = profile_table(docs, "docs", parts=["dup"])
     found = quality_findings(profile_frame(spark, [profile]), table_rows(spark, [profile]))
     return found.select("category", "subject", F.col("supporting_values")["percentage"].cast("double").alias("percentage"))
 
@@ -248,7 +248,7 @@ _FINDINGS = f"""SELECT 'top_performer' AS category, top_group AS subject, share_
 
 
 def _event_findings(spark, d):
-    df, profile = _profiled(spark, d, "events")
+    df, profile = _profiled(spark, d, "events", "dup")
     found = generate_insights(df, profile, AS_OF)
     values = F.col("supporting_values")
     figure = F.coalesce(values["share_pct"], values["outlier_share_pct"], values["days_old"]).cast("double")
@@ -282,7 +282,7 @@ _BY = "SELECT {k} AS x_value, round({a}, 2) AS y_value FROM {t} GROUP BY 1"
         UNION ALL SELECT 3, 'donut', 'Average O Totalprice by O Orderpriority', x_value, y_value FROM ({_BY.format(k='o_orderpriority', a='avg(o_totalprice)', t='orders')})""",
 )
 def d1_default_charts(spark, d):
-    charts = default_charts(*_profiled(spark, d, "orders"))
+    charts = default_charts(*_profiled(spark, d, "orders", "span"))
     return _round(charts, "y_value").select("chart_no", "chart_type", "title", "x_value", "y_value")
 
 
@@ -299,7 +299,7 @@ _CO = "orders JOIN customer ON o_custkey = c_custkey"
 def d2_cross_table_charts(spark, d):
     tables = _plain_names(spark, d)
     tables.pop("lines")
-    profiles = dict(zip(tables, batch_reprofile(tables)))
+    profiles = dict(zip(tables, batch_reprofile(tables, parts=())))
     out = None
     for chart in cross_table_charts(tables, profiles):
         out = chart if out is None else out.unionByName(chart)
@@ -315,8 +315,8 @@ def d2_cross_table_charts(spark, d):
 )
 def t8_merged_charts(spark, d):
     """D3: the charts of several tables, repeats dropped, trends first."""
-    orders = default_charts(*_profiled(spark, d, "orders"))
-    events = default_charts(*_profiled(spark, d, "events"))
+    orders = default_charts(*_profiled(spark, d, "orders", "span"))
+    events = default_charts(*_profiled(spark, d, "events", "span"))
     return _round(merge_charts([orders, events, orders]), "y_value").select("place", "dataset_id", "chart_type", "x_value", "y_value")
 
 

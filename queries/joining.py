@@ -307,7 +307,7 @@ _SCORED = f"""WITH vals AS ({_VALUES}), names AS ({_NAMES}), facts AS ({_FACTS})
 @query("r5_relationships", _SCORED)
 def r5_relationships(spark, d):
     tables = _plain_names(spark, d)
-    rows = profile_frame(spark, batch_reprofile(tables))
+    rows = profile_frame(spark, batch_reprofile(tables, parts=()))
     return detect_relationships(tables, rows).drop("reasons")
 
 
@@ -315,6 +315,6 @@ def r5_relationships(spark, d):
 def r6_derived_pairs_left_out(spark, d):
     """A table derived from another is not suggested against its parent."""
     tables = _plain_names(spark, d)
-    rows = profile_frame(spark, batch_reprofile(tables))
+    rows = profile_frame(spark, batch_reprofile(tables, parts=()))
     lineage = lineage_row(spark, "customers", "nations", "elsewhere", JoinSpec("k", "k"), "u1")
     return detect_relationships(tables, rows, lineage).drop("reasons")
