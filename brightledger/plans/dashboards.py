@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -10,10 +11,10 @@ from pyspark.sql import types as T
 
 from brightledger.functions.exprs import c
 from brightledger.operators.aggregate import CHART_ROWS, breakdown, scalar, trend, value_name
-from brightledger.operators.joins import FanOutRefused, JoinSpec
+from brightledger.operators.joins import FanOutRefused, JoinSpec, join_identity
 from brightledger.operators.profile import TableProfile, profile_frame, profile_table
 from brightledger.operators.relationships import detect_relationships
-from brightledger.plans.derived import derive_dataset
+from brightledger.plans.derived import derive_dataset, read_lineage
 from brightledger.session import small_frame, work_folder
 from brightledger.plans.kpis import Choice, choice_for, discover_kpis, title_case, without_currency
 
@@ -174,12 +175,14 @@ def cross_table_charts(
 ) -> list[DataFrame]:
     """Charts of inner joins over the best HIGH relationships; pairs whose
     keys both repeat are skipped. Each join is written under `root` (by default
-    a folder of the shared work area) unless the lineage already has it."""
+    a new folder of the shared work area) unless the lineage, by default that of
+    `root`, already has it; tables derived from each other are not joined."""
     if len(tables) < 2:
         return []
     spark = next(iter(tables.values())).sparkSession
-    found = detect_relationships(tables, profile_frame(spark, list(profiles.values())))
     root = root or work_folder(spark, "joined")
+    lineage = read_lineage(spark, root) if lineage is None else lineage
+    found = detect_relationships(tables, profile_frame(spark, list(profiles.values())), lineage)
     charts, tried = [], set()
     for row in found.filter("confidence = 'HIGH'").collect():
         pair = frozenset((row["left_table"], row["right_table"]))
@@ -191,7 +194,8 @@ def cross_table_charts(
         left, right = row["left_table"], row["right_table"]
         spec = JoinSpec(row["left_column"], row["right_column"], "inner", left, right)
         try:
-            wide, _ = derive_dataset(tables[left], tables[right], spec, root, f"join-{len(tried)}", "dashboard", lineage)
+            identity = hashlib.sha256(join_identity(left, spec, right).encode()).hexdigest()
+            wide, _ = derive_dataset(tables[left], tables[right], spec, root, f"join-{identity[:16]}", "dashboard", lineage)
         except FanOutRefused:
             continue
         charts.append(default_charts(wide, profile_table(wide, f"{left} ⋈ {right}", parts=["span"])))

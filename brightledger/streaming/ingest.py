@@ -34,7 +34,7 @@ def ingest_new_files(
 
 
 def monthly_stream(stream: DataFrame, time_column: str, metric: str, late: str = "7 days") -> DataFrame:
-    """A4 over a stream: sums per calendar month; months close with the watermark.
+    """A4 over a stream: sums per day and calendar month; days close with the watermark.
 
     Days are the windows (months are no fixed length); the month goes along as
     a key, so state stays one row per open day.
@@ -48,16 +48,20 @@ def monthly_stream(stream: DataFrame, time_column: str, metric: str, late: str =
 
 
 def keep_totals(totals: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
-    """Writes the running totals after every batch; a batch run again after a
-    failure writes the same folder again. Stops when nothing new is left."""
+    """Writes the days whose totals a batch has changed, each batch to a folder
+    of its own; a batch run again after a failure replaces itself and touches no
+    earlier one. Days behind the watermark leave the state. Stops when nothing
+    new is left."""
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(target)
+        batch.write.mode("overwrite").parquet(f"{target}/batch={number}")
 
-    writer = totals.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", checkpoint)
+    writer = totals.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint)
     return writer.trigger(availableNow=True).start()
 
 
 def months_of(days: DataFrame) -> DataFrame:
-    """Monthly totals of the days a stream has written."""
-    return days.groupBy("period").agg(F.sum("value").alias("value"), F.sum("row_count").alias("row_count"))
+    """Monthly totals of the days a stream has written, each as its last batch
+    left it."""
+    last = days.groupBy("period", "day").agg(F.max_by(F.struct("value", "row_count"), "batch").alias("last"))
+    return last.groupBy("period").agg(F.sum("last.value").alias("value"), F.sum("last.row_count").alias("row_count"))

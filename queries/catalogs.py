@@ -190,7 +190,26 @@ def x1_match_columns(spark, d):
     return out.withColumn("alternatives", F.array_join("alternatives", ","))
 
 
-@query("x2_similar_words")
+# Matching blocks: the longest common run of letters of two parts (the earliest
+# among equals, in b first), then the same on its left and on its right.
+_SIMILAR = r"""WITH RECURSIVE words AS (SELECT DISTINCT unnest(list_filter(regexp_split_to_array(lower(regexp_replace(p_name || '_' || p_type, '([a-z0-9])([A-Z])', '\1_\2', 'g')), '[^a-z0-9]+'), lambda x: x <> '')) AS b FROM part),
+  twisted AS (SELECT DISTINCT reverse(substring(b, 1, 2)) || substring(b, 3) AS a FROM words),
+  pairs AS (SELECT a, b FROM twisted, words WHERE a <> b AND 2.0 * least(length(a), length(b)) >= 0.72 * (length(a) + length(b))),
+  spots AS (SELECT a, b, i, unnest(range(1, length(a) + 1)) AS j FROM (SELECT a, b, unnest(range(1, length(b) + 1)) AS i FROM pairs)),
+  runs AS (SELECT * FROM (SELECT a, b, i, j, unnest(range(1, least(length(b) - i, length(a) - j) + 2)) AS k FROM spots) WHERE substring(b, i, k) = substring(a, j, k)),
+  part_of(a, b, ilo, ihi, jlo, jhi, i, j, k) AS (
+    SELECT a, b, 1, length(b) + 1, 1, length(a) + 1, best.i, best.j, best.k FROM (SELECT a, b, max_by({'i': i, 'j': j, 'k': k}, k * 10000 - i * 100 - j) AS best FROM runs GROUP BY a, b)
+    UNION ALL
+    SELECT a, b, ilo, ihi, jlo, jhi, best.i, best.j, best.k FROM (
+      SELECT s.a, s.b, s.ilo, s.ihi, s.jlo, s.jhi, max_by({'i': r.i, 'j': r.j, 'k': r.k}, r.k * 10000 - r.i * 100 - r.j) AS best
+      FROM (SELECT a, b, CASE side WHEN 0 THEN ilo ELSE i + k END AS ilo, CASE side WHEN 0 THEN i ELSE ihi END AS ihi,
+              CASE side WHEN 0 THEN jlo ELSE j + k END AS jlo, CASE side WHEN 0 THEN j ELSE jhi END AS jhi FROM part_of, (VALUES (0), (1)) AS sides(side)) s
+      JOIN runs r ON r.a = s.a AND r.b = s.b AND r.i >= s.ilo AND r.i + r.k <= s.ihi AND r.j >= s.jlo AND r.j + r.k <= s.jhi
+      GROUP BY ALL))
+  SELECT a, b FROM part_of GROUP BY a, b HAVING 2.0 * sum(k) / (length(a) + length(b)) >= 0.72"""
+
+
+@query("x2_similar_words", _SIMILAR)
 def x2_similar_words(spark, d):
     """Word pairs of similarity 0.72 or more among brand, type and part words."""
     parts = load_table(spark, d, "part")

@@ -298,7 +298,6 @@ _CO = "orders JOIN customer ON o_custkey = c_custkey"
 )
 def d2_cross_table_charts(spark, d):
     tables = _plain_names(spark, d)
-    tables.pop("lines")
     profiles = dict(zip(tables, batch_reprofile(tables, parts=())))
     out = None
     for chart in cross_table_charts(tables, profiles):

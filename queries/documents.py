@@ -76,6 +76,49 @@ def x9_html_chunks(spark, d):
     return chunk(extract_html(load_table(spark, d, "pages"), "page_id", "html"), "page_id")
 
 
+def _built_pages(spark, d):
+    """Documents as pages: a paragraph before the heading, then a paragraph, a
+    list, a table, parts that are dropped, and the text."""
+    text = F.coalesce("text", F.lit(""))
+    for plain, written in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+        text = F.replace(text, F.lit(plain), F.lit(written))
+    html = F.concat(
+        F.lit("<html><head><title>none</title><style>p{}</style></head><body><p>"), "source", F.lit("</p><h2>"), "lang", F.lit("</h2><p>"), "source",
+        F.lit("</p><script>var x = '<p>none</p>';</script><ul><li>"), F.col("doc_id").cast("string"), F.lit("</li></ul><!-- none --><table><tr><th>n</th><td>"),
+        F.col("n_chars").cast("string"), F.lit("</td></tr><tr><td></td></tr></table><noscript><p>none</p></noscript><p>"), text, F.lit("</p></body></html>"),
+    )
+    return load_table(spark, d, "documents").select("doc_id", html.alias("html"))
+
+
+@query(
+    "x8_html_parts",
+    f"""WITH p AS (SELECT doc_id, lang, source, n_chars, {_STRIP.format(x="coalesce(text, '')")} AS t FROM documents)
+        SELECT doc_id, NULL AS heading, source AS text, 1::INTEGER AS line_start, 1::INTEGER AS line_end FROM p
+        UNION ALL SELECT doc_id, lang, source, NULL, NULL FROM p
+        UNION ALL SELECT doc_id, lang, doc_id::VARCHAR, NULL, NULL FROM p
+        UNION ALL SELECT doc_id, lang, 'n  |  ' || n_chars, NULL, NULL FROM p
+        UNION ALL SELECT doc_id, lang, t, NULL, NULL FROM p WHERE t <> ''""",
+)
+def x8_html_parts(spark, d):
+    segments = extract_html(_built_pages(spark, d), "doc_id", "html").select("doc_id", F.inline("segments"))
+    return segments.select("doc_id", "heading", "text", "line_start", "line_end")
+
+
+@query(
+    "x9_html_part_chunks",
+    f"""WITH p AS (SELECT doc_id, lang, source, source || chr(10) || doc_id || chr(10) || 'n  |  ' || n_chars AS head, {_STRIP.format(x="coalesce(text, '')")} AS t FROM documents),
+          m AS (SELECT *, t = '' OR length(head) + 1 + length(t) <= 800 AS one FROM p),
+          w AS (SELECT doc_id, lang, t, unnest(range(0, greatest(0, CAST(ceil((length(t) - 800) / 700.0) AS BIGINT)) + 1)) AS i FROM m WHERE NOT one)
+        SELECT doc_id, 0::INTEGER AS chunk_index, source AS text, NULL AS heading, 1::INTEGER AS line_start FROM m
+        UNION ALL SELECT doc_id, 1, CASE WHEN one AND t <> '' THEN head || chr(10) || t ELSE head END, lang, NULL FROM m
+        UNION ALL SELECT doc_id, CAST(i + 2 AS INTEGER), {_STRIP.format(x='substring(t, CAST(i * 700 + 1 AS BIGINT), 800)')}, lang, NULL FROM w""",
+)
+def x9_html_part_chunks(spark, d):
+    """Neighbours under one heading merge up to 800 characters; longer texts are cut."""
+    chunks = chunk(extract_html(_built_pages(spark, d), "doc_id", "html"), "doc_id")
+    return chunks.select("doc_id", "chunk_index", "text", "heading", "line_start")
+
+
 @query(
     "x10_document_summary",
     f"WITH {_CHUNKS} SELECT doc_id, count(*) AS chunk_count, CAST(sum(length(text)) AS BIGINT) AS char_count FROM chunks GROUP BY 1",

@@ -16,7 +16,7 @@ from brightledger.operators.joins import (
 from brightledger.operators.profile import batch_reprofile, infer_types, profile_frame
 from brightledger.operators.relationships import detect_relationships, key_candidates, value_overlaps
 from brightledger.session import load_table, work_folder
-from brightledger.plans.derived import derive_dataset
+from brightledger.plans.derived import derive_dataset, derive_profiled
 from queries import query
 
 
@@ -213,6 +213,28 @@ def j10_derived_dataset(spark, d):
     )
 
 
+_NC = "nation JOIN customer ON n_nationkey = c_nationkey"
+
+
+@query(
+    "j10_derived_profile",
+    " UNION ALL ".join(
+        f"""SELECT '{column}' AS column_name, '{kind}' AS inferred_type, count(*) AS row_count, count({column}) AS non_null_count,
+            count(DISTINCT {column}) AS unique_count FROM {_NC}"""
+        for column, kind in [
+            ("n_nationkey", "identifier"), ("n_name", "categorical"), ("n_regionkey", "identifier"), ("c_custkey", "identifier"),
+            ("c_name", "text"), ("c_nationkey", "identifier"), ("c_acctbal", "numeric"), ("c_mktsegment", "categorical"),
+        ]
+    ),
+)
+def j10_derived_profile(spark, d):
+    """The profile that a derived dataset gets once it is written."""
+    nations, customers = _t(spark, d, "nation", "customer")
+    spec = JoinSpec("n_nationkey", "c_nationkey", "inner", "nations", "customers")
+    _, _, profile = derive_profiled(nations, customers, spec, work_folder(spark, "derived"), "d1", "u1")
+    return profile_frame(spark, [profile]).select("column_name", "inferred_type", "row_count", "non_null_count", "unique_count")
+
+
 @query(
     "j11_reuse_join",
     """SELECT lang AS left_id, source AS left_column, max(doc_id) AS n, min(doc_id) FILTER (n_chars > 5000) IS NOT NULL AS reused FROM documents GROUP BY 1, 2""",
@@ -240,7 +262,9 @@ def _plain_names(spark, d):
         "nations": nations.toDF("nation_key", "name", "region_key"),
         "customers": customers.toDF("cust_key", "name", "nation_key", "balance", "segment"),
         "orders": orders.toDF("order_key", "cust_key", "status", "total_price", "order_date", "priority"),
-        "lines": lines.select("l_orderkey", "l_partkey", "l_linenumber", "l_quantity").toDF("order_key", "part_no", "line_number", "quantity"),
+        "lines": lines.toDF(
+            "order_key", "part_no", "supp_key", "line_number", "quantity", "extended_price", "discount", "tax", "return_flag", "line_status", "ship_date"
+        ),
     }
 
 
@@ -254,6 +278,7 @@ _KEYS = [
     ("orders", "cust_key", "orders", "o_custkey", "cust", "identifier"),
     ("lines", "order_key", "lineitem", "l_orderkey", "order", "identifier"),
     ("lines", "part_no", "lineitem", "l_partkey", "part", "numeric"),
+    ("lines", "supp_key", "lineitem", "l_suppkey", "supp", "identifier"),
     ("lines", "line_number", "lineitem", "l_linenumber", "line", "numeric"),
 ]
 _TABLE_NO = {"nations": 0, "customers": 1, "orders": 2, "lines": 3}

@@ -16,9 +16,11 @@ from brightledger.operators.profile import (
     top_values,
     unique_counts,
 )
-from brightledger.plans.dashboards import chart_label, chart_title, default_charts, kpi_dashboard, merge_charts
+from brightledger.plans.dashboards import chart_label, chart_title, cross_table_charts, default_charts, kpi_dashboard, merge_charts
+from brightledger.plans.derived import read_lineage
 from brightledger.plans.insights import generate_insights, order_findings, outlier_sample, iqr_anomalies
 from brightledger.plans.kpis import discover_kpis, kpi_label, rank_metrics
+from brightledger.sources.datasets import read_dataset
 from tests.conftest import as_dicts, order_rows
 
 
@@ -274,3 +276,29 @@ def test_columns_with_dots_and_blanks(spark):
     assert profile.column("net.price")["median_value"] == 5.5
     titles = {r["title"] for r in as_dicts(default_charts(df, profile))}
     assert len(titles) == 2 and generate_insights(df, profile, date(2024, 3, 2)).count() >= 1
+
+
+def test_joins_of_a_dashboard_are_written_once(spark, orders, customers, tmp_path):
+    tables = {"orders": orders(40), "customers": customers}
+    profiles = {name: profile_table(df, name, parts=()) for name, df in tables.items()}
+    first = cross_table_charts(tables, profiles, str(tmp_path))
+    made = sorted(p.name for p in tmp_path.iterdir())
+    again = cross_table_charts(tables, profiles, str(tmp_path))
+    assert len(first) == 1 and sorted(p.name for p in tmp_path.iterdir()) == made and len(made) == 2
+    assert as_dicts(first[0].orderBy("chart_no", "x_value")) == as_dicts(again[0].orderBy("chart_no", "x_value"))
+    lineage = as_dicts(read_lineage(spark, str(tmp_path)))
+    assert [(r["left_id"], r["right_id"], r["created_by"]) for r in lineage] == [("orders", "customers", "dashboard")]
+    # A table derived from another is not joined with it again.
+    wide = read_dataset(spark, str(tmp_path), lineage[0]["derived_id"])
+    tables = {lineage[0]["derived_id"]: wide, "orders": tables["orders"]}
+    assert cross_table_charts(tables, {name: profile_table(df, name, parts=()) for name, df in tables.items()}, str(tmp_path)) == []
+
+
+def test_profile_in_parts(orders):
+    df = orders(20)
+    whole, bare = profile_table(df, "o"), profile_table(df, "o", parts=())
+    measured = {"min_value", "max_value", "mean_value", "median_value", "std_value", "top_values", "min_date", "max_date", "date_coverage_days"}
+    assert bare.duplicate_row_count is None and whole.duplicate_row_count == 0
+    for a, b in zip(whole.columns, bare.columns):
+        assert {k: v for k, v in a.items() if k not in measured} == {k: v for k, v in b.items() if k not in measured}
+        assert all(b[k] is None for k in measured)

@@ -107,6 +107,18 @@ def test_monthly_stream(spark, tmp_path):
     assert {r["period"]: r["value"] for r in as_dicts(months_of(spark.read.parquet(str(tmp_path / "days"))))} == {"2024-01": 3.0, "2024-02": 4.0}
 
 
+def test_later_batches_replace_the_totals_of_their_days(spark, tmp_path):
+    source, target, progress = (str(tmp_path / n) for n in ("in", "days", "p"))
+    shape = "ts timestamp_ntz, v double"
+    for n, rows in enumerate([[(datetime(2024, 1, 30), 1.0), (datetime(2024, 1, 31), 2.0)], [(datetime(2024, 1, 31), 4.0), (datetime(2024, 2, 1), 8.0)]]):
+        spark.createDataFrame(rows, shape).write.parquet(f"{source}/{n}.parquet")
+        stream = file_stream(spark, f"{source}/*", spark.read.parquet(f"{source}/0.parquet").schema)
+        keep_totals(monthly_stream(stream, "ts", "v"), target, progress).awaitTermination()
+    days = spark.read.parquet(target)
+    assert days.filter("day = DATE '2024-01-30'").count() == 1 and days.filter("day = DATE '2024-01-31'").count() == 2
+    assert {r["period"]: (r["value"], r["row_count"]) for r in as_dicts(months_of(days))} == {"2024-01": (7.0, 3), "2024-02": (8.0, 1)}
+
+
 def test_work_folder_follows_the_session(spark):
     class Session:
         class conf:

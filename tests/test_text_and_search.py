@@ -166,8 +166,8 @@ def test_vector_search_against_numpy(spark, monkeypatch):
     queries = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(asked)], "query_id int, vector array<double>")
     data32 = data.astype(np.float32).astype(float)
     cos = (asked / np.linalg.norm(asked, axis=1, keepdims=True)) @ (data32 / np.linalg.norm(data32, axis=1, keepdims=True)).T
-    for block in (1024, 3):
-        monkeypatch.setattr(search, "QUERY_BLOCK", block)
+    for block in (1 << 20, 100):
+        monkeypatch.setattr(search, "BLOCK_BYTES", block)
         out = as_dicts(search_embeddings(vectors, "id", "v", queries, 4))
         for q in range(7):
             got = [r["chunk_id"] for r in sorted(out, key=lambda r: r["rank"]) if r["query_id"] == q]
