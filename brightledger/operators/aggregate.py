@@ -215,9 +215,11 @@ def trend(
 ) -> DataFrame:
     """A4: monthly trend in period order; empty below two result rows."""
     groups = monthly(df, date_column, aggregation, metric, dimension, filters, date_layout, dataset)
-    enough = groups.agg(F.count(F.lit(1))).scalar() >= 2
+    # One row or none. It reads the values too, so that it has the columns of the
+    # groups and reuses their shuffle; a filter would move below the grouping.
+    enough = groups.agg(F.count(F.lit(1)).alias("_rows"), F.max(F.struct("value")).alias("_top")).filter("_rows >= 2 AND _top IS NOT NULL")
     order = [F.col("period")] + ([c(dimension)] if dimension else [])
-    return groups.filter(enough).orderBy(*order)
+    return groups.crossJoin(F.broadcast(enough)).drop("_rows", "_top").orderBy(*order)
 
 
 def compare_periods(

@@ -42,6 +42,8 @@ GUARDS = [
 ]
 
 EXACT, SYNONYM, FUZZY = 1.0, 0.85, 0.7
+# Letters from rare to frequent in English names, the order of the blocking keys.
+RARE_FIRST = "zqxjkvbpygfwmucldrhsnioate"
 FUZZY_FLOOR = 0.72
 ACCEPT_SCORE = 35.0
 HINT_SCORE = 1.0
@@ -87,14 +89,16 @@ def _letter_keys(words: DataFrame, own: str) -> DataFrame:
     """Blocking keys that lose no pair above the fuzzy floor.
 
     Two words of lengths m and n can only reach the floor when they share
-    t = ceil(floor * (m + n) / 2) letters. Sorted by one fixed letter order,
+    t = ceil(floor * (m + n) / 2) letters. Sorted by one fixed letter order, rare letters first,
     the first m - t + 1 letters of one and n - t + 1 of the other must then
     have a letter in common (prefix filter), for each possible pair of lengths.
     """
     low, high = FUZZY_FLOOR / (2 - FUZZY_FLOOR), (2 - FUZZY_FLOOR) / FUZZY_FLOOR
     length = F.length("word")
-    # Each letter numbered by occurrence, so repeats count; ordered a to z.
-    letters = F.array_sort(F.filter(F.split("word", ""), lambda x: x != ""))
+    # Each letter numbered by occurrence, so repeats count; another letter in its
+    # place gives the order.
+    ordered = F.translate("word", RARE_FIRST, "".join(sorted(RARE_FIRST)))
+    letters = F.array_sort(F.filter(F.split(ordered, ""), lambda x: x != ""))
     numbered = F.transform(letters, lambda x, i: F.concat(x, (i - F.array_position(letters, x)).cast("string")))
     others = F.sequence(F.ceil(length * low).cast("int"), F.floor(length * high).cast("int"))
     spread = words.select("word", length.alias("len"), numbered.alias("letters"), F.explode(others).alias("other"))

@@ -189,7 +189,12 @@ def joined(left: DataFrame, right: DataFrame, spec: JoinSpec) -> DataFrame:
     l = left.select(lk.alias("_lk"), *[c(n).alias(f"l.{n}") for n in left.columns])
     r = right.select(rk.alias("_rk"), *[c(n).alias(f"r.{n}") for n in right.columns])
     same = F.col("_lk").eqNullSafe(F.col("_rk")) if spec.null_keys == "match" else F.col("_lk") == F.col("_rk")
-    out = l.join(r, same, spec.how)
+    if spec.how == "full":
+        # Hot and null keys of a full join meet in one task; those of a left and
+        # an anti join are split at run time.
+        out = l.join(r, same, "left").unionByName(r.join(l.select("_lk").distinct(), same, "left_anti"), allowMissingColumns=True)
+    else:
+        out = l.join(r, same, spec.how)
     picked = [
         F.coalesce(c(f"l.{n}"), c(f"r.{n}")).alias(n) if n == shared else c(f"l.{n}").alias(new) for n, new in l_names.items()
     ]
