@@ -102,7 +102,7 @@ def _chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _tokens(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Words, tokens, tokens of each document, and which documents are held out."""
     words = row["words"].view(np.uint64)
-    return words, np.frombuffer(row["tokens"], "<u4").astype(np.int64), np.frombuffer(row["n_tokens"], np.int64), np.frombuffer(row["held"], bool)
+    return words, np.frombuffer(row["tokens"], "<u4"), np.frombuffer(row["n_tokens"], np.int64), np.frombuffer(row["held"], bool)
 
 
 def _states(frequent: Frequent, words: np.ndarray, tokens: np.ndarray, classes: int) -> tuple[np.ndarray, np.ndarray]:
@@ -110,7 +110,7 @@ def _states(frequent: Frequent, words: np.ndarray, tokens: np.ndarray, classes:
     place among the frequent words or -1."""
     found = frequent.find(words)
     of_word = np.append(np.where(found >= 0, frequent.classes[found] if len(frequent.classes) else 0, classes), classes + 1)
-    return of_word[tokens], np.append(found, -1)[tokens]
+    return of_word.astype(np.int32)[tokens], np.append(found, -1).astype(np.int32)[tokens]
 
 
 def _neighbours(frequent: Frequent, classes: int):
@@ -124,8 +124,8 @@ def _neighbours(frequent: Frequent, classes: int):
         for row in _rows(batches):
             words, tokens, sizes, held = _tokens(row)
             state, place = _states(frequent, words, tokens, classes)
-            before = np.append(classes + 1, state[:-1])
-            after = np.append(state[1:], classes + 1)
+            end = np.array([classes + 1], np.int32)
+            before, after = np.concatenate([end, state[:-1]]), np.concatenate([state[1:], end])
             use = (place >= 0) & ~np.repeat(held, sizes)
             total[0] += np.bincount(place[use] * wide + before[use], minlength=total.shape[1])
             total[1] += np.bincount(place[use] * wide + after[use], minlength=total.shape[1])
@@ -198,9 +198,9 @@ def _exchange(chunks: DataFrame, frequent: Frequent, classes: int, turn: int) ->
 def _contexts(state: np.ndarray, classes: int) -> np.ndarray:
     """What stands before each token: the last class that is not rare, and
     whether rare words stand between. A document begins after an end."""
-    places = np.arange(len(state))
-    last = np.maximum.accumulate(np.where(state != classes, places, -1))
-    before = np.append(-1, last[:-1])
+    places = np.arange(len(state), dtype=np.int32)
+    last = np.maximum.accumulate(np.where(state != classes, places, np.int32(-1)))
+    before = np.concatenate([np.array([-1], np.int32), last[:-1]])
     kind = np.where(before >= 0, state[np.maximum(before, 0)], classes + 1)
     kind = np.where(kind == classes + 1, classes, kind)
     return 2 * kind + (before < places - 1)
