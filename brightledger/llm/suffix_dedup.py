@@ -75,12 +75,13 @@ def pieces(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH) -> tuple
     # A run ends before the next one, or where strings would cross texts.
     ends = np.minimum(np.append(starts[1:], strings), offsets[text[starts] + 1] - length + 1)
     counts = ends - starts
-    # Within a piece, equal strings need the least substring twice within one string.
+    # Within a piece, equal strings need the least substring again at most `span`
+    # later: at just `span`, each string holds one, and the run goes on.
     own = np.flatnonzero(whole_string & (hashes[:strings] == least))
     again = np.zeros(len(own), bool)
-    for k in range(1, span):
-        at = own + k
-        again |= hashes[at] == hashes[own]
+    for k in range(1, span + 1):
+        at = np.minimum(own + k, len(hashes) - 1)
+        again |= (hashes[at] == hashes[own]) & (at > own)
     twice = np.zeros(len(starts), bool)
     twice[np.searchsorted(starts, own[again], side="right") - 1] = True
     if (counts > PIECE).any():

@@ -163,3 +163,13 @@ def test_pieces_hold_every_string_once():
     places = sorted((t, s - offsets[t] + k) for t, s, n in zip(text, starts, counts) for k in range(n))
     assert places == [(t, k) for t, r in enumerate(rows) for k in range(len(r) - 99)]
     assert counts.max() <= suffix_dedup.PIECE and twice[text == 5].all()
+
+
+def test_removed_repeats_of_every_period(spark):
+    rng = random.Random(12)
+    rows = []
+    for period in range(1, 111):
+        for size in (period + 99, period + 100, 3 * period + 130):  # a unit of its own, so that its pieces meet no others
+            unit = "".join(rng.choices("abcdefghijklmnop", k=period))
+            rows.append((len(rows), (unit * (size // period + 1))[:size]))
+    assert sorted(map(tuple, repeat_counts(documents(spark, rows)).collect())) == sorted(_removed(rows))
