@@ -1,20 +1,21 @@
 """Class-based n-gram scores: classes by exchange, smoothed by counts.
 
 Texts become chunks of word numbers with a dictionary each, so a word is sent
-once for a chunk and not once for a token. Words of at least one in
-`EXCHANGED` training tokens (so at most that many words, whatever the input) are
-assigned to classes by exchange: each round counts every word's neighbours by
-class over all training tokens, and moves the word to the class that gains most.
-All other words are one class of rare words, with room for unknown ones. A
-token's probability is that of its class after the classes before it, times that
-of the word in its class.
+once for a chunk and not once for a token. Every word of at least `LEAST`
+training tokens is assigned to a class by exchange: each round counts every
+word's neighbours by class over all training tokens, and moves the word to the
+class that gains most, until few words move. Counts, classes
+and neighbours of words are tables, packed by ranges of word hashes; each chunk
+gets the classes of its dictionary by a join, so no task and not the driver
+holds the vocabulary. Words below `LEAST` are one class of rare words, with room
+for unknown ones. A token's probability is that of its class after the classes
+before it, times that of the word in its class.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -24,10 +25,15 @@ from pyspark.sql import functions as F
 
 from brightledger.llm.arrays import LOWER, SPACED, slices, text_bytes, word_bounds, word_hashes
 from brightledger.llm.tables import settled
-
-CLASSES, ROUNDS = 32, 6
-#: Words with a smaller share of the training tokens are rare.
-EXCHANGED = 200_000
+from brightledger.session import work_folder
+
+CLASSES = 32
+#: Words of fewer training tokens, at any size of the input, are rare.
+LEAST = 2
+#: Rounds end when two (each word has one turn) move less than one word in `FEW`.
+FEW = 10
+#: Words in a bucket, about.
+BUCKET_WORDS = 8192
 #: Tokens in a chunk at least, but for a task's last.
 CHUNK_TOKENS = 1 << 20
 #: Added to each count of a word, and of a class after another.
@@ -36,19 +42,13 @@ ADDED, ADDED_CLASS = 0.1, 0.1
 _CHUNKS = "chunk long, doc_id binary, known_id binary, held binary, n_tokens binary, words array<long>, counts array<long>, tokens binary, ends long"
 
 
-class Frequent(NamedTuple):
-    """Words of the exchange, sorted by hash: their counts and classes."""
+_STATE = "bucket long, words binary, counts binary, classes binary, moved long"
+_MET = "bucket long, kind int, chunk long, words binary, one binary, two binary, three binary"
+_SUMS = "bucket long, words binary, counts binary, classes binary, per binary, codes binary, sums binary"
 
-    words: np.ndarray
-    counts: np.ndarray
-    classes: np.ndarray
 
-    def find(self, words: np.ndarray) -> np.ndarray:
-        """The place of each word, or -1."""
-        if not len(self.words):
-            return np.full(len(words), -1)
-        at = np.minimum(np.searchsorted(self.words, words), len(self.words) - 1)
-        return np.where(self.words[at] == words, at, -1)
+def _names(schema: str) -> list[str]:
+    return [c.split()[0] for c in schema.split(", ")]
 
 
 def held_out(doc_id: int | None) -> bool:
@@ -105,94 +105,231 @@ def _tokens(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     return words, np.frombuffer(row["tokens"], "<u4").astype(np.int64), np.frombuffer(row["n_tokens"], np.int64), np.frombuffer(row["held"], bool)
 
 
-def _states(frequent: Frequent, words: np.ndarray, tokens: np.ndarray, classes: int) -> tuple[np.ndarray, np.ndarray]:
-    """Each token's class (rare words: `classes`, ends: `classes` + 1), and its
-    place among the frequent words or -1."""
-    found = frequent.find(words)
-    of_word = np.append(np.where(found >= 0, frequent.classes[found] if len(frequent.classes) else 0, classes), classes + 1)
-    return of_word[tokens], np.append(found, -1)[tokens]
-
-
-def _neighbours(frequent: Frequent, classes: int):
-    """For each frequent word, how often each class stands before and after it
-    in the training tokens of a task."""
-    wide = classes + 2
-    names = ["word", *[f"l{k}" for k in range(wide)], *[f"r{k}" for k in range(wide)]]
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((2, len(frequent.words) * wide), np.int64)
-        for row in _rows(batches):
-            words, tokens, sizes, held = _tokens(row)
-            state, place = _states(frequent, words, tokens, classes)
-            before = np.append(classes + 1, state[:-1])
-            after = np.append(state[1:], classes + 1)
-            use = (place >= 0) & ~np.repeat(held, sizes)
-            total[0] += np.bincount(place[use] * wide + before[use], minlength=total.shape[1])
-            total[1] += np.bincount(place[use] * wide + after[use], minlength=total.shape[1])
-        table = np.concatenate([t.reshape(-1, wide) for t in total], axis=1)
-        seen = np.flatnonzero(table.any(axis=1))
-        for low in range(0, len(seen), 50_000):
-            part = seen[low : low + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part), *[pa.array(np.ascontiguousarray(table[part, k])) for k in range(2 * wide)]], names)
-
-    return count, ", ".join(f"{n} long" for n in names)
-
-
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
     """Rows as dicts; lists stay arrays."""
     for batch in batches:
         for i in range(batch.num_rows):
             values = {name: batch.column(k)[i] for k, name in enumerate(batch.schema.names)}
-            yield {name: _array(v) if isinstance(v, pa.ListScalar) else v.as_py() for name, v in values.items()}
+            yield {name: _array(v) if isinstance(v, pa.ListScalar) and pa.types.is_integer(v.type.value_type) else v.as_py() for name, v in values.items()}
 
 
 def _array(value: pa.ListScalar) -> np.ndarray:
     return value.values.to_numpy(zero_copy_only=False) if value.is_valid else np.zeros(0, np.int64)
 
 
-def _exchange(chunks: DataFrame, frequent: Frequent, classes: int, turn: int) -> Frequent:
-    """One round: half of the words, another half each time, may change."""
-    wide = classes + 2
-    count, schema = _neighbours(frequent, classes)
-    sums = [F.sum(c).alias(c) for c in (*[f"l{k}" for k in range(wide)], *[f"r{k}" for k in range(wide)])]
-    counted = settled(chunks.select("words", "tokens", "n_tokens", "held").mapInArrow(count, schema).groupBy("word").agg(*sums), "neighbours")
-    of_class, names = frequent.classes, counted.columns
+def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
+    columns = zip(*rows) if rows else [()] * len(_names(schema))
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[f.split()[1]]) for c, f in zip(columns, schema.split(", "))], _names(schema))
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((classes, 2 * wide), np.int64)
+
+def _ranges(bucket: np.ndarray) -> list[tuple[int, int]]:
+    """Bounds of the runs of equal buckets."""
+    cuts = np.flatnonzero(bucket[1:] != bucket[:-1]) + 1
+    return list(zip([0, *cuts.tolist()], [*cuts.tolist(), len(bucket)])) if len(bucket) else []
+
+
+def _bucket(words: np.ndarray, bits: int) -> np.ndarray:
+    return (words >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def _packed(classes: int, least: int):
+    """One row for each bucket, of rows ordered by (bucket, word), with a first
+    class for each word by its hash."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, []
+
+        def close() -> pa.RecordBatch:
+            words, n = (np.concatenate(c) for c in zip(*held))
+            held.clear()
+            first = np.where(n >= least, (words >> np.uint64(7)) % np.uint64(classes), classes)
+            return _batch([(key, words.tobytes(), n.tobytes(), first.astype("<i2").tobytes(), 0)], _STATE)
+
+        for batch in batches:
+            bucket, word, n = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            for low, high in _ranges(bucket):
+                if held and bucket[low] != key:
+                    yield close()
+                key = int(bucket[low])
+                held.append((word[low:high].astype(np.int64).view(np.uint64), n[low:high].astype(np.int64)))
+        if held:
+            yield close()
+
+    return pack
+
+
+def _met(state: DataFrame, rows: DataFrame) -> DataFrame:
+    """The words of each bucket, and after them the rows that ask for them."""
+    none = F.lit(None)
+    words = state.select("bucket", F.lit(0).alias("kind"), none.cast("long").alias("chunk"), "words", F.col("counts").alias("one"), F.col("classes").alias("two"), none.cast("binary").alias("three"))
+    return words.unionByName(rows).repartition("bucket").sortWithinPartitions("bucket", "kind")
+
+
+def _answers(chunks: DataFrame, state: DataFrame, bits: int, classes: int, counts: bool = False) -> DataFrame:
+    """For each chunk, bucket by bucket, the classes (and counts) of its words;
+    words without training tokens are rare."""
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in _rows(batches):
+            words = row["words"].view(np.uint64)
+            bucket = _bucket(words, bits)
+            yield _batch([(int(bucket[i]), 1, row["chunk"], words[i:j].tobytes(), None, None, None) for i, j in _ranges(bucket)], _MET)
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key = None
         for batch in batches:
-            np.add.at(total, of_class[batch.column(0).to_numpy()], np.stack([c.to_numpy() for c in batch.columns[1:]], axis=1))
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(classes)), *[pa.array(np.ascontiguousarray(total[:, k])) for k in range(2 * wide)]], names)
+            out = []
+            for row in _rows([batch]):
+                words = np.frombuffer(row["words"], "<u8")
+                if row["kind"] == 0:
+                    key, known = row["bucket"], words
+                    n, of_word = np.frombuffer(row["one"], "<i8"), np.frombuffer(row["two"], "<i2")
+                    continue
+                if row["bucket"] == key:
+                    at = np.minimum(np.searchsorted(known, words), len(known) - 1)
+                    there = known[at] == words
+                    mine, uses = np.where(there, of_word[at], classes), np.where(there, n[at], 0)
+                else:
+                    mine, uses = np.full(len(words), classes), np.zeros(len(words), np.int64)
+                out.append((row["chunk"], row["bucket"], mine.astype("<i2").tobytes(), uses.astype("<i8").tobytes() if counts else None))
+            yield _batch(out, schema)
+
+    schema = "chunk long, bucket long, classes binary, uses binary"
+    sent = _met(state, chunks.select("chunk", "words").mapInArrow(ask, _MET)).mapInArrow(answer, schema)
+    return sent.groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("bucket", "classes", "uses"))).alias("answers"))
+
+
+def _classes(row: dict, classes: int) -> np.ndarray:
+    """The class of each word of a chunk; last, that of an end."""
+    found = [np.frombuffer(a["classes"], "<i2") for a in row["answers"] or ()]
+    return np.concatenate([*found, np.array([classes + 1], "<i2")])
+
+
+def _neighbours(classes: int, bits: int):
+    """For each word that has a class, how often each class stands before and
+    after it in the training tokens of a chunk, packed by bucket."""
+    wide, block = classes + 2, 1 << 15
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in _rows(batches):
+            words, tokens, sizes, held = _tokens(row)
+            state = _classes(row, classes)[tokens]
+            use = (state < classes) & ~np.repeat(held, sizes)
+            place = tokens[use]
+            before = np.append(np.int16(classes + 1), state[:-1])[use]
+            after = np.append(state[1:], np.int16(classes + 1))[use] + np.int16(wide)
+            del tokens, state, use
+            parts = []
+            for low in range(0, len(words), block):
+                here = (place >= low) & (place < low + block)
+                at = (place[here] - low) * (2 * wide)
+                seen = np.bincount(at + before[here], minlength=2 * wide * min(block, len(words) - low))
+                seen += np.bincount(at + after[here], minlength=len(seen))
+                found = np.flatnonzero(seen)
+                parts.append((found // (2 * wide) + low, (found % (2 * wide)).astype("<u2"), seen[found].astype("<u4")))
+            if not parts:
+                continue
+            at, codes, n = (np.concatenate(c) for c in zip(*parts))
+            seen, first = np.unique(at, return_index=True)
+            first = np.append(first, len(at))
+            per = np.diff(first).astype("<u2")
+            yield _batch(
+                [
+                    (b, 1, None, words[seen[i:j]].tobytes(), per[i:j].tobytes(), codes[first[i] : first[j]].tobytes(), n[first[i] : first[j]].tobytes())
+                    for b, i, j in ((int(_bucket(words[seen[i : i + 1]], bits)[0]), i, j) for i, j in _ranges(_bucket(words[seen], bits)))
+                ],
+                _MET,
+            )
+
+    return count
+
+
+def _summed(classes: int):
+    """Each bucket's words with the sums of their neighbours; in the bucket -1,
+    those of a task's words class by class."""
+    wide = classes + 2
+
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pairs, row, table = np.zeros((classes, 2 * wide), np.int64), None, None
+
+        def close() -> pa.RecordBatch:
+            mine = np.frombuffer(row["two"], "<i2")
+            for k in range(classes):
+                pairs[k] += table[mine == k].sum(axis=0)
+            at, codes = np.nonzero(table)
+            per = np.bincount(at, minlength=len(mine)).astype("<u2")
+            return _batch([(row["bucket"], row["words"], row["one"], row["two"], per.tobytes(), codes.astype("<u2").tobytes(), table[at, codes].astype("<i8").tobytes())], _SUMS)
+
+        for each in _rows(batches):
+            words = np.frombuffer(each["words"], "<u8")
+            if each["kind"] == 0:
+                if row is not None:
+                    yield close()
+                row, known, table = each, words, np.zeros((len(words), 2 * wide), np.int64)
+            else:
+                at = np.repeat(np.searchsorted(known, words), np.frombuffer(each["one"], "<u2"))
+                table[at, np.frombuffer(each["two"], "<u2")] += np.frombuffer(each["three"], "<u4")
+        if row is not None:
+            yield close()
+        yield _batch([(-1, None, None, None, None, None, pairs.tobytes())], _SUMS)
+
+    return total
+
 
+def _exchange(chunks: DataFrame, state: DataFrame, bits: int, classes: int, turn: int) -> tuple[DataFrame, float, int]:
+    """One round: half of the words, another half each time, may change. Also
+    the log likelihood of the classes before it, and how many words moved."""
+    wide, spark = classes + 2, chunks.sparkSession
+    asking = chunks.select("chunk", "words", "tokens", "n_tokens", "held").join(_answers(chunks, state, bits, classes), "chunk", "left")
+    folder = work_folder(spark, "neighbours")
+    _met(state, asking.mapInArrow(_neighbours(classes, bits), _MET)).mapInArrow(_summed(classes), _SUMS).write.option("compression", "zstd").parquet(folder)
+    summed = spark.read.schema(_SUMS).parquet(folder)
     pairs = np.zeros((classes, 2 * wide))  # class by class
-    for row in counted.mapInArrow(add, schema).groupBy("word").agg(*sums).collect():
-        pairs[row[0]] = row[1:]
+    for row in summed.where("bucket < 0").select("sums").toLocalIterator():
+        pairs += np.frombuffer(row[0], np.int64).reshape(pairs.shape)
     before, after = pairs[:, :wide], pairs[:, wide:]
     size = after.sum(axis=1)
-    # Of all classes, rare words and ends too, as neighbours.
-    near = np.append(size, [max(before[:, k].sum(), after[:, k].sum()) for k in (classes, classes + 1)])
+    logs = lambda x: float((x * np.log(np.maximum(x, 1))).sum())
+    likelihood = logs(after) + logs(before[:, classes:]) - 2 * logs(size)
 
     def move(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            word = batch.column(0).to_numpy()
-            own = np.stack([c.to_numpy() for c in batch.columns[1:]], axis=1).astype(float)
-            left, right = own[:, :wide], own[:, wide:]
-            mine, n = of_class[word], right.sum(axis=1)
-            gains = np.empty((len(word), classes))
-            for k in range(classes):
-                here = (mine == k)[:, None]
-                # Without the word itself in its present class.
-                b, a, s = before[k] - here * left, after[k] - here * right, size[k] - here[:, 0] * n
-                rate = np.log(np.maximum(s, 0) + 1)[:, None] + np.log(near + 1)
-                gains[:, k] = (left * (np.log(np.maximum(b, 0) + 0.5) - rate)).sum(axis=1) + (right * (np.log(np.maximum(a, 0) + 0.5) - rate)).sum(axis=1)
-            best = gains.argmax(axis=1)
-            free = (frequent.words[word] >> np.uint64(17)) % np.uint64(2) == turn % 2
-            yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(np.where(free, best, mine))], ["word", "class"])
-
-    new = frequent.classes.copy()
-    for word, k in counted.mapInArrow(move, "word long, class long").collect():
-        new[word] = k
-    return frequent._replace(classes=new)
+        for row in _rows(batches):
+            words, mine = np.frombuffer(row["words"], "<u8"), np.frombuffer(row["classes"], "<i2").astype(np.int64)
+            own = np.zeros((len(words), 2 * wide))
+            own[np.repeat(np.arange(len(words)), np.frombuffer(row["per"], "<u2")), np.frombuffer(row["codes"], "<u2")] = np.frombuffer(row["sums"], "<i8")
+            free = np.flatnonzero((mine < classes) & ((words >> np.uint64(17)) % np.uint64(2) == turn % 2))
+            own, k = own[free], mine[free]
+            n, uses = own[:, wide:].sum(axis=1), own.sum(axis=1)
+            gains = own @ np.log(pairs + 0.5).T - uses[:, None] * np.log(size + 1)
+            # Without the word itself in its present class.
+            rest = np.log(np.maximum(pairs[k] - own, 0) + 0.5)
+            gains[np.arange(len(k)), k] = (own * rest).sum(axis=1) - uses * np.log(np.maximum(size[k] - n, 0) + 1)
+            new = mine.copy()
+            new[free] = gains.argmax(axis=1) if len(free) else k
+            yield _batch([(row["bucket"], row["words"], row["counts"], new.astype("<i2").tobytes(), int(np.count_nonzero(new != mine)))], _STATE)
+
+    new = settled(summed.where("bucket >= 0").mapInArrow(move, _STATE), "classes")
+    moved = new.agg(F.sum("moved")).first()[0] or 0
+    # Neither the sums nor the shuffles of this round are read again.
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    spark._jvm.System.gc()
+    return new, likelihood, moved
+
+
+def _exchanged(chunks: DataFrame, state: DataFrame, bits: int, classes: int, rounds: int | None) -> DataFrame:
+    """Rounds until two move less than one word in `FEW`, or gain nothing (words
+    that move at once may undo each other); at most `rounds`, if given."""
+    words = state.agg(F.sum(F.octet_length("words") / 8)).first()[0] or 0
+    seen, moves = [], []
+    while rounds is None or len(seen) < rounds:
+        state, likelihood, moved = _exchange(chunks, state, bits, classes, len(seen))
+        seen.append(likelihood)
+        moves.append(moved)
+        if len(seen) > 2 and (sum(moves[-2:]) * FEW < words or likelihood <= seen[-3]):
+            break
+    return state
 
 
 def _contexts(state: np.ndarray, classes: int) -> np.ndarray:
@@ -206,14 +343,14 @@ def _contexts(state: np.ndarray, classes: int) -> np.ndarray:
     return 2 * kind + (before < places - 1)
 
 
-def _transitions(frequent: Frequent, classes: int):
+def _transitions(classes: int):
     wide, contexts = classes + 2, 2 * (classes + 1)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(contexts * wide, np.int64)
         for row in _rows(batches):
             words, tokens, sizes, held = _tokens(row)
-            state, _ = _states(frequent, words, tokens, classes)
+            state = _classes(row, classes)[tokens].astype(np.int64)
             use = ~np.repeat(held, sizes)
             total += np.bincount((_contexts(state, classes) * wide + state)[use], minlength=len(total))
         seen = np.flatnonzero(total)
@@ -222,7 +359,21 @@ def _transitions(frequent: Frequent, classes: int):
     return count
 
 
-def score_documents(docs: DataFrame, classes: int = CLASSES, rounds: int = ROUNDS, exchanged: int = EXCHANGED, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def _class_sums(classes: int):
+    """Words and training tokens of each class among a task's buckets."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds, total = np.zeros(classes + 1, np.int64), np.zeros(classes + 1, np.int64)
+        for row in _rows(batches):
+            mine = np.frombuffer(row["classes"], "<i2")
+            kinds += np.bincount(mine, minlength=classes + 1)
+            np.add.at(total, mine, np.frombuffer(row["counts"], "<i8"))
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(classes + 1)), pa.array(kinds), pa.array(total)], ["class", "kinds", "n"])
+
+    return add
+
+
+def score_documents(docs: DataFrame, classes: int = CLASSES, rounds: int | None = None, least: int = LEAST, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score (smoothed
     unigrams) and score (the class model), both log10 probabilities of the whole
     text and its end. One row for each input row.
@@ -231,7 +382,7 @@ def score_documents(docs: DataFrame, classes: int = CLASSES, rounds: int = ROUND
     64-bit hashes; null texts have only an end. Training documents are those
     whose crc32 of the id as text isn't divisible by ten. Without training
     tokens every score is that of an empty model, never an error. The driver
-    gets at most `exchanged` frequent words and tables of class pairs.
+    gets tables of class pairs, no words.
     """
     texts = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
     chunks = settled(texts.mapInArrow(_chunked, _CHUNKS), "chunks")
@@ -241,46 +392,35 @@ def score_documents(docs: DataFrame, classes: int = CLASSES, rounds: int = ROUND
     words, in_words = vocabulary.agg(F.count(F.lit(1)), F.sum("n")).first()
     total = (in_words or 0) + ends
     kinds = words + (ends > 0)
-    rows = np.array([(r.word, r.n) for r in vocabulary.where(F.col("n") * exchanged >= total).collect()], np.int64).reshape(-1, 2)
-    hashes = rows[:, 0].copy().view(np.uint64)
-    order = np.argsort(hashes)
-    start = np.empty(len(rows), np.int64)
-    start[np.lexsort((hashes[order], -rows[order, 1]))] = np.arange(len(rows)) % classes
-    frequent = Frequent(hashes[order], rows[order, 1], start)
-    if len(rows):
-        for turn in range(rounds):
-            frequent = _exchange(chunks, frequent, classes, turn)
+    bits = max(1, (words // BUCKET_WORDS).bit_length())
+    placed = vocabulary.select(F.shiftrightunsigned("word", 64 - bits).alias("bucket"), "word", "n")
+    state = settled(placed.repartition("bucket").sortWithinPartitions("bucket", "word").mapInArrow(_packed(classes, least), _STATE), "classes")
+    if words:
+        state = _exchanged(chunks, state, bits, classes, rounds)
+    answers = settled(_answers(chunks, state, bits, classes, counts=True), "answers")
     wide, contexts = classes + 2, 2 * (classes + 1)
     pairs = np.zeros(contexts * wide)
-    for pair, n in chunks.select("words", "tokens", "n_tokens", "held").mapInArrow(_transitions(frequent, classes), "pair long, n long").groupBy("pair").agg(F.sum("n")).collect():
+    known = chunks.select("chunk", "words", "tokens", "n_tokens", "held").join(answers, "chunk", "left")
+    for pair, n in known.mapInArrow(_transitions(classes), "pair long, n long").groupBy("pair").agg(F.sum("n")).collect():
         pairs[pair] = n
     pairs = pairs.reshape(contexts, wide) + ADDED_CLASS
     transitions = np.log10(pairs / pairs.sum(axis=1, keepdims=True))
-    of_class = np.bincount(frequent.classes, frequent.counts, classes)
-    emission = np.log10(frequent.counts / of_class[frequent.classes])
-    rare_kinds, rare_total = words - len(rows), total - ends - int(frequent.counts.sum())
-    rare = np.log10(rare_total + ADDED * (rare_kinds + 1))
+    sums = np.zeros((classes + 1, 2))
+    for k, *each in state.mapInArrow(_class_sums(classes), "class long, kinds long, n long").groupBy("class").agg(F.sum("kinds"), F.sum("n")).collect():
+        sums[k] = each
+    # Of rare words with room for an unknown one; an end is the only one of its class.
+    of_class = np.append(np.log10(np.maximum(sums[:, 1], 1)), 0)
+    of_class[classes] = np.log10(sums[classes, 1] + ADDED * (sums[classes, 0] + 1))
     whole = np.log10(total + ADDED * (kinds + 1))
 
-    # Counts of rare words go back to the chunks that asked for them.
-    asked = chunks.select("chunk", F.posexplode("words").alias("place", "word"))
-    known = vocabulary.where(F.col("n") * exchanged < total)
-    answers = asked.join(known, "word").groupBy("chunk").agg(F.collect_list(F.struct("place", "n")).alias("answers"))
-    answers = settled(answers.select("chunk", "answers.place", "answers.n"), "answers")
-
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
             words, tokens, sizes, held = _tokens(row)
-            state, _ = _states(frequent, words, tokens, classes)
-            n = np.zeros(len(words) + 1, np.int64)
-            n[-1] = ends
-            n[row["place"]] = row["n"]
-            found = frequent.find(words)
-            common = np.flatnonzero(found >= 0)
-            n[common] = frequent.counts[found[common]]
+            of_word = _classes(row, classes).astype(np.int64)
+            state = of_word[tokens]
+            n = np.concatenate([*(np.frombuffer(a["uses"], "<i8") for a in row["answers"] or ()), [ends]]).astype(np.int64)
             base = np.log10(n + ADDED) - whole
-            word = np.log10(n + ADDED) - rare
-            word[common] = emission[found[common]]
+            word = np.log10(np.where(of_word == classes, n + ADDED, n + (n == 0))) - of_class[of_word]
             word[-1] = 0
             starts = np.cumsum(sizes) - sizes
             after = transitions[_contexts(state, classes), state]

@@ -42,6 +42,20 @@ def test_classes_help_on_held_out_texts(spark):
     assert scored[0] - scored[1] > 0.3 * scored[2]
 
 
+def test_rare_words_of_a_large_corpus_get_classes(spark, monkeypatch):
+    # Some four uses a word in 2.8 million tokens, most of them one word's.
+    monkeypatch.setattr(class_lm, "CHUNK_TOKENS", 200_000)
+    monkeypatch.setattr(class_lm, "BUCKET_WORDS", 100, raising=False)
+    rng = random.Random(5)
+    rows = [(i, "the " * 4000) for i in range(1000, 1700)]
+    kinds = [[f"{p}{i}" for i in range(300)] for p in "xy"]
+    for i in range(60):
+        rows.append((i, " ".join(f"{rng.choice(kinds[i % 2])}" for _ in range(80))))
+    got = score_documents(documents(spark, rows), classes=4).where("held_out and doc_id < 1000").agg(F.sum("score"), F.sum("base_score"), F.sum("n_tokens")).first()
+    # One class of all 600 words costs log10(600) a word, one for each kind log10(300).
+    assert -got[0] / got[2] < 2.7, got
+
+
 def test_quotation_links(spark):
     rows = [
         (1, 0, "a", "Hello  there.\nSecond line", "x"),
