@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from brightledger.functions.exprs import c
-from brightledger.operators.aggregate import CHART_ROWS, breakdown, scalar, trend, value_name
+from brightledger.operators.aggregate import breakdown, scalar, trend, value_name
 from brightledger.operators.joins import FanOutRefused, JoinSpec, join_identity
 from brightledger.operators.profile import TableProfile, profile_frame, profile_table
 from brightledger.operators.relationships import detect_relationships
@@ -114,7 +114,7 @@ def default_charts(df: DataFrame, profile: TableProfile, choice: Choice | None =
     name = profile.dataset_id
     if choice.dates and _months(profile, choice.dates[0]) >= 2:
         day = choice.dates[0]
-        points = trend(df, day, agg, metric, date_layout=profile.layout(day)).limit(CHART_ROWS)
+        points = trend(df, day, agg, metric, date_layout=profile.layout(day))
         label = chart_label("timeseries", F.lit(0))
         parts.append(_chart(points, F.col("period"), F.col("value"), name, label, agg, metric, "period", "value"))
     compared = None

@@ -302,3 +302,10 @@ def test_profile_in_parts(orders):
     for a, b in zip(whole.columns, bare.columns):
         assert {k: v for k, v in a.items() if k not in measured} == {k: v for k, v in b.items() if k not in measured}
         assert all(b[k] is None for k in measured)
+
+
+def test_trend_chart_has_all_months(spark):
+    rows = [(i, f"{1990 + i % 130 // 12}-{i % 130 % 12 + 1:02d}-15", 100.0 + i, "NS"[i % 2]) for i in range(260)]
+    table = spark.createDataFrame(rows, "order_id long, date string, amount double, region string")
+    months = [r.x_value for r in default_charts(table, profile_table(table, "orders")).where("chart_type = 'line'").collect()]
+    assert len(months) == 130 and max(months) == "2000-10"
