@@ -1,10 +1,11 @@
 """Quotation linking: reply trees from quoted passages, in DataFrame functions.
 
 A line's quote level is the number of `>` it begins with. Neighbouring lines of
-one level are a passage. Passages are normalised and hashed; those of level 0
-are a message's own, and the earliest message of a conversation that has one is
-its original. Quoted passages are joined with originals by conversation and
-hash; a message answers the latest original that it quotes at level 1.
+one level are a passage. Passages, their paragraphs and their lines are
+normalised and hashed; those of level 0 are a message's own, and the earliest
+message of a conversation that has one is its original. Quoted ones are joined
+with originals by conversation and hash, and the longest match of a passage
+tells its original; a message answers the latest one that it quotes at level 1.
 """
 
 from __future__ import annotations
@@ -41,6 +42,13 @@ def normal(passage: Column) -> Column:
     return F.trim(F.regexp_replace(low, r"[ \t\n\x0b\f\r]+", " "))
 
 
+def _units(passage: Column) -> Column:
+    """(size, hash) of a passage, its paragraphs and its lines, the passage first."""
+    parts = F.flatten(F.array(F.array(passage), F.split(passage, r"\n\s*\n"), F.split(passage, "\n")))
+    normals = F.array_distinct(F.filter(F.transform(parts, normal), lambda u: u != ""))
+    return F.transform(normals, lambda u: F.struct(F.length(u).alias("size"), F.sha2(u, 256).alias("hash")))
+
+
 def link_quotes(messages: DataFrame, conv_column: str = "conv_id", turn_column: str = "turn", role_column: str = "role", text_column: str = "text") -> DataFrame:
     """conv_id, turn, role, text (without quotes), parent_turn, depth,
     root_turn, n_quotes, n_linked, reply_order of each message; one row for each
@@ -49,10 +57,10 @@ def link_quotes(messages: DataFrame, conv_column: str = "conv_id", turn_column:
     `reply_order` sorts the messages of a conversation so that each follows what
     it answers, earlier answers first; sort by conv_id and reply_order to write
     conversations. A message that quotes nothing known is a root. n_quotes
-    counts quoted passages of all levels, n_linked those with an original of an
-    earlier turn. Null texts are empty; messages without conversation or turn
+    counts quoted passages of all levels, n_linked those of which the whole, a
+    paragraph or a line has an original of an earlier turn. Null texts are empty; messages without conversation or turn
     are roots and link nothing. Rows that share conversation and turn are one
-    message in the tree and keep their own texts. Passages are equal if the
+    message in the tree and keep their own texts. Texts are equal if the
     SHA-256 values of their normal forms are.
     """
     c = F.col
@@ -61,13 +69,15 @@ def link_quotes(messages: DataFrame, conv_column: str = "conv_id", turn_column:
     )
     deepest = F.array_max(F.transform("lines", lambda x: x["level"]))
     levels = F.when(deepest > 0, F.sequence(F.lit(1), deepest)).otherwise(F.array().cast("array<int>"))
-    quoted = F.flatten(F.transform(levels, lambda k: F.transform(_passages(c("lines"), k), lambda p: F.struct(k.alias("level"), F.sha2(normal(p), 256).alias("hash")))))
+    quoted = F.flatten(F.transform(levels, lambda k: F.transform(_passages(c("lines"), k), lambda p: F.struct(k.alias("level"), _units(p).alias("units")))))
     own = _passages(c("lines"), 0)
-    cut = rows.select("conv_id", "turn", "role", F.array_join(own, "\n").alias("text"), F.transform(own, lambda p: F.sha2(normal(p), 256)).alias("own"), quoted.alias("quoted"))
+    cut = rows.select("conv_id", "turn", "role", F.array_join(own, "\n").alias("text"), F.array_distinct(F.flatten(F.transform(own, lambda p: F.transform(_units(p), lambda u: u["hash"])))).alias("own"), quoted.alias("quoted"))
     cut = settled(cut, "passages")
     originals = settled(cut.select("conv_id", "turn", F.explode("own").alias("hash")).where("turn is not null").groupBy("conv_id", "hash").agg(F.min("turn").alias("original")), "originals")
-    quotes = cut.select("conv_id", "turn", F.explode("quoted").alias("q")).select("conv_id", "turn", "q.level", "q.hash")
-    linked = quotes.join(originals, ["conv_id", "hash"]).where("original < turn")
+    quotes = cut.select("conv_id", "turn", F.posexplode("quoted").alias("place", "q")).select("conv_id", "turn", "place", "q.level", F.get("q.units", F.lit(0))["hash"].alias("whole"), F.explode("q.units").alias("u"))
+    found = quotes.select("conv_id", "turn", "place", "level", "whole", "u.size", "u.hash").join(originals, ["conv_id", "hash"]).where("original < turn")
+    # The longest match of each passage; of equally long ones the latest.
+    linked = found.groupBy("conv_id", "turn", "place", "whole").agg(F.first("level").alias("level"), F.max(F.struct("size", "original"))["original"].alias("original"))
     parents = linked.groupBy("conv_id", "turn").agg(F.max(F.when(c("level") == 1, c("original"))).alias("parent_turn"), F.count(F.lit(1)).alias("n_linked"))
     nodes = cut.where("conv_id is not null and turn is not null").select("conv_id", "turn").distinct().join(parents, ["conv_id", "turn"], "left")
     paths = _paths(nodes.select("conv_id", "turn", "parent_turn", "n_linked"))

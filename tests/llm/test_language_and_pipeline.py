@@ -87,6 +87,22 @@ def test_quotation_links(spark):
     assert link_quotes(spark.createDataFrame([(1, 0, "a", deep)], "conv_id long, turn long, role string, text string")).first().n_quotes == 60
 
 
+def test_quoted_parts_are_linked(spark):
+    rows = [
+        (1, 0, "a", "Dear all,\n\nfirst paragraph\nof two lines\n\nsecond paragraph"),
+        (1, 1, "b", "> first paragraph\n> of two lines\nOne paragraph answered"),
+        (1, 2, "c", "> of two lines\nOne line answered"),
+        (1, 3, "d", "> Dear all,\n\n> second paragraph\nNo mark on the blank line"),
+        (1, 4, "e", "> One line answered\nyes\n> not his\nno"),
+        (1, 5, "f", "Dear all,\nsecond paragraph"),
+        (1, 6, "g", "> Dear all,\n> second paragraph\nThe longest match is of turn five"),
+        (1, 7, "h", "> unheard of\n> \n> No mark on the blank line\nPart of a passage"),
+    ]
+    got = {r.turn: r for r in link_quotes(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert {t: r.parent_turn for t, r in got.items()} == {0: None, 1: 0, 2: 0, 3: 0, 4: 2, 5: None, 6: 5, 7: 3}
+    assert (got[4].n_quotes, got[4].n_linked) == (2, 1) and (got[7].n_quotes, got[7].n_linked) == (1, 1)
+
+
 def test_every_operator_has_a_query():
     names = {f"op{n}" for n in range(1, 11)}
     assert {n.split("_")[0] for n in queries.QUERIES} == names and [n for n, _ in corpus_pipeline.STAGES][1] == "near duplicates"
