@@ -433,11 +433,11 @@ def profile_table(
     tops: dict[str, list] | None = {} if "top" in parts else None
     for row in sorted(done.get("top", []), key=lambda r: (r["column_name"], r["rank"])):
         tops.setdefault(row["column_name"], []).append({k: row[k] for k in ("value", "count", "percentage")})
-    columns = [_column(dataset_id, row, stats, spans, tops) for row in facts]
+    columns = [column_profile(dataset_id, row, stats, spans, tops) for row in facts]
     return TableProfile(dataset_id, rows, columns, done.get("dup"), duplicate_headers or [])
 
 
-def _column(dataset_id: str, row: dict, stats: dict, spans: dict, tops: dict | None) -> dict[str, Any]:
+def column_profile(dataset_id: str, row: dict, stats: dict, spans: dict, tops: dict | None) -> dict[str, Any]:
     name, kind = row["column_name"], row["inferred_type"]
     flags = []
     if row["numeric_stored_as_text"]:

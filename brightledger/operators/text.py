@@ -21,6 +21,9 @@ SEGMENTS = "array<struct<text:string,heading:string,line_start:int,line_end:int>
 
 # Heading lines of markdown and of Python code, ends of lines.
 TITLES = {"txt": None, "md": r"(?U)^#{1,6}\s+(.*)$", "py": r"(?U)^(def|class)\s+(\w+)"}
+#: A character that is no white space, and all white space (fixed values).
+FILLED = r"(?U)\S"
+BLANKS = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 LINE_END = r"\r\n|[\n\r\x0B\f\x1C-\x1E\x85\u2028\u2029]"
 
 
@@ -58,7 +61,7 @@ def segment_text(df: DataFrame, id_column: str, text_column: str, kind: str = "t
             (i + 1).alias("n"),
             line.alias("line"),
             (F.lit(kind == "py") | ~line.rlike(shape)).alias("own") if shape else F.lit(True).alias("own"),
-            (_strip(line) != "").alias("filled"),
+            line.rlike(FILLED).alias("filled"),
             _title(line, kind).alias("title"),
         ),
     )
@@ -95,7 +98,20 @@ def segment_text(df: DataFrame, id_column: str, text_column: str, kind: str = "t
 
         return F.transform(p["first"], block)
 
-    return df.select(id_column, _once(_once(numbered, parts), blocks).alias("segments"))
+    def plain(lines: Column) -> Column:
+        """The parts of lines without titles, from one flag a line."""
+
+        def bounds(filled: Column) -> Column:
+            at = F.sequence(F.lit(1), F.size(filled))
+            is_filled = lambda i: F.coalesce(F.get(filled, i - 1), F.lit(False))
+            return F.struct(
+                lines.alias("texts"), F.filter(at, lambda i: is_filled(i) & ~is_filled(i - 1)).alias("first"), F.filter(at, lambda i: is_filled(i) & ~is_filled(i + 1)).alias("last")
+            )
+
+        return _once(F.transform(lines, lambda line: line.rlike(FILLED)), bounds)
+
+    cut = _once(numbered, parts) if shape else _once(lines, plain)
+    return df.select(id_column, _once(cut, blocks).alias("segments"))
 
 
 def _once(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -259,13 +275,15 @@ def _merged(parts: list[dict]) -> list[dict]:
 
 
 def _strip(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    return F.btrim(text, F.lit(BLANKS))
 
 
-def chunk(df: DataFrame, id_column: str) -> DataFrame:
+def chunk(df: DataFrame, id_column: str, mergeable: bool = True) -> DataFrame:
     """(id, chunk_index, chunk_id, text, heading, line_start, line_end).
 
-    df: id and segments. Pieces above 800 characters become windows that
+    df: id and segments. Neighbours of one location merge, which Python does;
+    segments of `segment_text` have lines of their own and can't, so with
+    `mergeable` off nothing leaves the JVM. Pieces above 800 characters become windows that
     overlap by 100; their location goes with every window.
     """
     step = CHUNK_CHARS - OVERLAP_CHARS
@@ -284,7 +302,8 @@ def chunk(df: DataFrame, id_column: str) -> DataFrame:
             ),
         )
 
-    pieces = merge_neighbours(df, id_column).select(id_column, F.flatten(F.transform("segments", windows)).alias("pieces"))
+    whole = merge_neighbours(df, id_column) if mergeable else df
+    pieces = whole.select(id_column, F.flatten(F.transform("segments", windows)).alias("pieces"))
     kept = F.filter("pieces", lambda p: ~p["whole"] | (p["text"] != ""))
     return (
         pieces.select(id_column, F.posexplode(kept).alias("chunk_index", "p"))

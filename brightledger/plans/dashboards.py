@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import hashlib
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from brightledger.functions.exprs import c
-from brightledger.operators.aggregate import breakdown, scalar, trend, value_name
+from brightledger.functions.exprs import known, month_label, to_time
+from brightledger.operators.aggregate import scalars, value_name
+from brightledger.operators.groupings import cut_table
 from brightledger.operators.joins import FanOutRefused, JoinSpec, join_identity
 from brightledger.operators.profile import TableProfile, profile_frame, profile_table
 from brightledger.operators.relationships import detect_relationships
@@ -78,68 +80,121 @@ def chart_title(aggregation: Column, metric: Column, dimension: Column, chart_ty
     )
 
 
-def _chart(rows: DataFrame, x: Column, y: Column, dataset: str, chart_type: Column, agg: str, metric: str, x_column: str | None, y_column: str) -> DataFrame:
-    """One shape for all charts: a row per point, the chart's facts repeated."""
-    dimension = None if x_column == "period" else x_column
-    return rows.select(
-        F.lit(dataset).alias("dataset_id"),
-        chart_type.alias("chart_type"),
-        F.lit(x_column).cast("string").alias("x_column"),
-        F.lit(y_column).alias("y_column"),
-        F.lit(agg).alias("aggregation"),
-        chart_title(F.lit(agg), F.lit(metric), F.lit(dimension).cast("string"), chart_type).alias("title"),
-        x.cast("string").alias("x_value"),
-        y.cast("double").alias("y_value"),
-    )
-
-
-def _at_least_two(chart: DataFrame) -> DataFrame:
-    return chart.filter(chart.agg(F.count(F.lit(1))).scalar() >= 2)
+# --- charts of one table ---------------------------------------------------------------
 
 
-# --- charts of one table ---------------------------------------------------------------
+@dataclass
+class _Wanted:
+    """A chart asked for: a measure over one key."""
+
+    key: Column | None
+    x_column: str | None
+    agg: str
+    metric: str
+    chart_type: Column
+    y_column: str
+    top: int | None = None  # groups shown; None: all
+    filled: bool = True  # whether groups without a value are left out
+    few: int = 2  # points below which there is no chart
+
+    def cut(self) -> tuple[str | None, bool]:
+        """Months and a dimension of the name "period" are two keys."""
+        return self.x_column, self.filled
+
+
+def _points(df: DataFrame, wanted: list[_Wanted]) -> DataFrame:
+    """(chart, x_value, y_value, place) of all charts, from one pass over the
+    table. A chart of a key needs two points at least and shows its `top`
+    greatest; trends keep all their months. Groups are few here (a dimension has
+    at most 50, a trend its months), so a chart is ranked in one task."""
+    names = list(dict.fromkeys(w.cut() for w in wanted))
+    keys = [next(w.key for w in wanted if w.cut() == n) for n in names]
+    measures = list(dict.fromkeys((w.agg, w.metric) for w in wanted))
+    rows = cut_table(df, keys, measures)
+
+    def point(i: int, w: _Wanted) -> Column:
+        value = F.col(f"v{measures.index((w.agg, w.metric))}").cast("double")
+        here = F.col("cut") == names.index(w.cut())
+        here = here & value.isNotNull() if w.filled else here
+        return F.when(here, F.struct(F.lit(i).alias("chart"), value.alias("y_value")))
+
+    spread = rows.withColumn("p", F.explode(F.array_compact(F.array(*[point(i, w) for i, w in enumerate(wanted)]))))
+    spread = spread.select("p.chart", F.col("label").alias("x_value"), "p.y_value", *[f"k{i}" for i in range(len(keys))])
+    of_chart = Window.partitionBy("chart")
+    order = F.row_number().over(of_chart.orderBy(F.col("y_value").desc(), *[f"k{i}" for i in range(len(keys))]))
+    tops = _by_chart([w.top for w in wanted], "int")
+    ranked = spread.withColumns({"place": order, "points": F.count(F.lit(1)).over(of_chart)})
+    least = _by_chart([w.few for w in wanted], "int")
+    return ranked.filter((F.col("points") >= least) & (tops.isNull() | (F.col("place") <= tops))).select("chart", "x_value", "y_value", "place")
+
+
+def _by_chart(values: list, dtype: str) -> Column:
+    """The value of a row's chart."""
+    out = F.lit(None).cast(dtype)
+    for i, value in enumerate(values):
+        out = F.when(F.col("chart") == i, (value if isinstance(value, Column) else F.lit(value)).cast(dtype)).otherwise(out)
+    return out
+
+
+def _trend_of(df: DataFrame, profile: TableProfile, day: str, agg: str, metric: str) -> _Wanted:
+    period = month_label(to_time(df, day, profile.layout(day)))
+    return _Wanted(period, "period", agg, metric, chart_label("timeseries", F.lit(0)), "value", filled=False)
 
 
 def default_charts(df: DataFrame, profile: TableProfile, choice: Choice | None = None) -> DataFrame:
     """Trend, comparison, composition, else single figures; at most three.
 
-    Which charts apply is known from the profile, so the result is one lazy
-    union over the same table; each part scans only its own two columns.
+    Which charts apply is known from the profile. All of them come from one
+    pass over the table and one shuffle of grouped states.
     """
     choice = choice or choice_for(df, profile)
-    parts: list[DataFrame] = []
     if not choice.metrics:
         return _no_charts(df)
     metric, agg = choice.best()
-    name = profile.dataset_id
+    wanted: list[_Wanted] = []
     if choice.dates and _months(profile, choice.dates[0]) >= 2:
-        day = choice.dates[0]
-        points = trend(df, day, agg, metric, date_layout=profile.layout(day))
-        label = chart_label("timeseries", F.lit(0))
-        parts.append(_chart(points, F.col("period"), F.col("value"), name, label, agg, metric, "period", "value"))
+        wanted.append(_trend_of(df, profile, choice.dates[0], agg, metric))
     compared = None
     if choice.dimensions:
         first = choice.dimensions[0]
         groups = profile.column(first)["unique_count"]
         if 2 <= groups <= COMPARISON_GROUPS:
-            bars = breakdown(df, first, agg, metric, top_n=COMPARISON_TOP)
-            y = value_name(agg, metric)
-            parts.append(_at_least_two(_chart(bars, c(first), c(y), name, chart_label("table", F.lit(groups), True), agg, metric, first, y)))
+            label = chart_label("table", F.lit(groups), True)
+            wanted.append(_Wanted(known(df, first), first, agg, metric, label, value_name(agg, metric), COMPARISON_TOP))
             compared = first
         second = choice.dimensions[-1]
         slices = profile.column(second)["unique_count"]
         if second != compared and 2 <= slices <= COMPOSITION_GROUPS:
             metric2, agg2 = choice.metrics[1] if len(choice.metrics) > 1 else (metric, agg)
-            y = value_name(agg2, metric2)
-            donut = breakdown(df, second, agg2, metric2)
             label = chart_label("table", F.lit(slices), requested="donut")
-            parts.append(_at_least_two(_chart(donut, c(second), c(y), name, label, agg2, metric2, second, y)))
-    if not parts:
-        for metric, agg in choice.metrics[:2]:
-            figure = scalar(df, agg, metric).filter("status = 'ok'")
-            parts.append(_chart(figure, F.lit(None), F.col("value"), name, chart_label("scalar", F.lit(1)), agg, metric, None, metric))
-    numbered = [p.withColumn("chart_no", F.lit(i + 1)) for i, p in enumerate(parts[:MAX_CHARTS])]
-    return reduce(DataFrame.unionAll, numbered)
+            wanted.append(_Wanted(known(df, second), second, agg2, metric2, label, value_name(agg2, metric2)))
+    wanted = wanted[:MAX_CHARTS]
+    if wanted:
+        points = _points(df, wanted)
+    else:
+        pairs = [(a, m) for m, a in choice.metrics[:2]]
+        wanted = [_Wanted(None, None, a, m, chart_label("scalar", F.lit(1)), m) for a, m in pairs]
+        number = _by_pair(pairs)
+        points = scalars(df, pairs).filter("status = 'ok'").select(number.alias("chart"), F.lit(None).cast("string").alias("x_value"), F.col("value").alias("y_value"))
+    titles = [chart_title(F.lit(w.agg), F.lit(w.metric), F.lit(None if w.x_column == "period" else w.x_column).cast("string"), w.chart_type) for w in wanted]
+    return points.select(
+        F.lit(profile.dataset_id).alias("dataset_id"),
+        _by_chart([w.chart_type for w in wanted], "string").alias("chart_type"),
+        _by_chart([w.x_column for w in wanted], "string").alias("x_column"),
+        _by_chart([w.y_column for w in wanted], "string").alias("y_column"),
+        _by_chart([w.agg for w in wanted], "string").alias("aggregation"),
+        _by_chart(titles, "string").alias("title"),
+        "x_value",
+        "y_value",
+        (F.col("chart") + 1).cast("int").alias("chart_no"),
+    )
+
+
+def _by_pair(pairs: list[tuple[str, str]]) -> Column:
+    out = F.lit(None).cast("int")
+    for i, (agg, metric) in enumerate(pairs):
+        out = F.when((F.col("aggregation") == agg) & (F.col("metric") == metric), i).otherwise(out)
+    return out
 
 
 def _months(profile: TableProfile, name: str) -> int:
@@ -224,24 +279,27 @@ def merge_charts(charts: list[DataFrame]) -> DataFrame:
 
 
 def kpi_dashboard(df: DataFrame, profile: TableProfile) -> DataFrame:
-    """The results behind up to six KPIs, one row per point."""
+    """The results behind up to six KPIs, one row per point. Groups of all
+    KPIs come from one pass over the table."""
     choice = choice_for(df, profile)
     kpis = discover_kpis(df, profile, choice).limit(MAX_DASHBOARD_KPIS).collect()
-    parts = []
+    wanted, heads, figures = [], [], []
     for kpi in kpis:
-        metric, agg = kpi["metric_column"], kpi["aggregation"]
-        head = [F.lit(kpi["kpi_no"]).alias("kpi_no"), F.lit(kpi["name"]).alias("name")]
-        if kpi["date_column"]:
-            day = kpi["date_column"]
-            rows = trend(df, day, agg, metric, date_layout=profile.layout(day))
-            parts.append(rows.select(*head, F.lit("timeseries").alias("result_type"), F.col("period").alias("x_value"), F.col("value").alias("y_value")))
-        elif kpi["dimension_column"]:
-            dim = kpi["dimension_column"]
-            rows = breakdown(df, dim, agg, metric)
-            parts.append(
-                rows.select(*head, F.lit("table").alias("result_type"), c(dim).cast("string").alias("x_value"), c(value_name(agg, metric)).alias("y_value"))
-            )
+        metric, agg, day, dim = kpi["metric_column"], kpi["aggregation"], kpi["date_column"], kpi["dimension_column"]
+        head = (kpi["kpi_no"], kpi["name"])
+        if day:
+            wanted.append(_trend_of(df, profile, day, agg, metric))
+            heads.append((*head, "timeseries"))
+        elif dim:
+            wanted.append(_Wanted(known(df, dim), dim, agg, metric, F.lit(None), value_name(agg, metric), few=1))
+            heads.append((*head, "table"))
         else:
-            one = small_frame(df.sparkSession, [(kpi["preview_value"],)], "y_value double")
-            parts.append(one.select(*head, F.lit("scalar").alias("result_type"), F.lit(None).cast("string").alias("x_value"), "y_value"))
-    return reduce(DataFrame.unionAll, parts)
+            figures.append((*head, "scalar", None, kpi["preview_value"]))
+    out = small_frame(df.sparkSession, figures, "kpi_no int, name string, result_type string, x_value string, y_value double")
+    if not wanted:
+        return out
+    points = _points(df, wanted).select(
+        _by_chart([h[0] for h in heads], "int").alias("kpi_no"), _by_chart([h[1] for h in heads], "string").alias("name"),
+        _by_chart([h[2] for h in heads], "string").alias("result_type"), "x_value", "y_value",
+    )
+    return points.unionByName(out)

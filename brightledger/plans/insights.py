@@ -8,8 +8,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from brightledger.functions.exprs import c, known, share_pct, to_number_lenient, to_time
+from brightledger.functions.exprs import known, month_label, share_pct, to_number_lenient, to_time
 from brightledger.operators.aggregate import grouped, monthly
+from brightledger.operators.groupings import cut_table
 from brightledger.operators.profile import TableProfile, profile_frame, table_rows
 from brightledger.operators.quantiles import exact_quantiles
 from brightledger.plans.kpis import Choice, choice_for
@@ -209,30 +210,62 @@ def dominant_category(df: DataFrame, dimension: str) -> DataFrame:
     )
 
 
+def _row(category: str, subject: Column, finding: Column, **values: Column) -> Column:
+    return F.struct(*_finding(category, subject, finding, **values))
+
+
+def _grouped_findings(df: DataFrame, profile: TableProfile, choice: Choice, as_of: date) -> DataFrame:
+    """I1, I2, I3, I7 of a report from one pass over the table: the groups of
+    the first dimension, the months and the newest time share one shuffle. Months
+    and the groups of a dimension are few, so their one row holds the months."""
+    metric = choice.best()[0] if choice.metrics else None
+    dimension = choice.dimensions[0] if metric and choice.dimensions else None
+    day = choice.dates[0] if choice.dates else None
+    stamp = to_time(df, day, profile.layout(day)) if day else None
+    keys = ([known(df, dimension)] if dimension else []) + ([month_label(stamp)] if day else [])
+    cuts = cut_table(df, keys, [("sum", metric)] if metric else [("count", None)], {"latest": stamp} if day else None)
+    month = len(keys) - 1
+    in_group, in_month = F.col("cut") == 0 if dimension else F.lit(False), F.col("cut") == month if day else F.lit(False)
+    facts = cuts.agg(
+        F.min(F.when(in_group, F.struct((-F.col("v0")).alias("less"), F.col("k0"), "label"))).alias("first"),
+        F.sum(F.when(in_group, F.col("v0"))).alias("total"),
+        F.slice(F.sort_array(F.collect_list(F.when(in_month, F.struct(F.col("label").alias("period"), F.col("v0").alias("value")))), asc=False), 1, 2).alias("months"),
+        (F.max("latest") if day else F.lit(None).cast("timestamp")).alias("latest"),
+    )
+    found = []
+    if dimension:
+        group, value = F.col("first.label"), -F.col("first.less")
+        share = share_pct(value, F.col("total"))
+        sentence = F.concat(group, F.lit(f" leads {metric} by {dimension} with "), share, F.lit(" %"))
+        values = dict(top_value=value, total=F.col("total"), share_pct=share)
+        some = F.col("total") != 0
+        found += [F.when(some, _row("top_performer", group, sentence, **values)), F.when(some & (share > CONCENTRATION_PCT), _row("concentration_risk", group, sentence, **values))]
+    if metric and day:
+        last, prior = F.get("months", F.lit(0)), F.get("months", F.lit(1))
+        change = F.when(prior["value"] != 0, share_pct(last["value"] - prior["value"], prior["value"]))
+        sentence = F.concat(F.lit(f"{metric} changed by "), change, F.lit(" % from "), prior["period"], F.lit(" to "), last["period"])
+        values = dict(prior_period=prior["period"], prior_value=prior["value"], last_period=last["period"], last_value=last["value"], pct_change=change)
+        found.append(F.when(F.abs(change) >= CHANGE_PCT, _row("significant_change", F.lit(metric), sentence, **values)))
+    if day:
+        days = F.date_diff(F.lit(as_of), F.col("latest").cast("date"))
+        sentence = F.concat(F.lit(f"newest {day} is "), days, F.lit(" days old"))
+        values = dict(latest_date=F.date_format("latest", "yyyy-MM-dd"), days_old=days)
+        found.append(F.when(days >= STALE_DAYS, _row("data_quality", F.lit(day), sentence, **values)))
+    return facts.select(F.inline(F.array_compact(F.array(*found))))
+
+
 def generate_insights(
     df: DataFrame, profile: TableProfile, as_of: date, choice: Choice | None = None
 ) -> DataFrame:
-    """All findings that hold, in one shape; no rows when none does."""
+    """All findings that hold, in one shape; no rows when none does. Groups,
+    months and the newest time are read in one pass, quartiles in passes of
+    their own over one column."""
     spark = df.sparkSession
     rows = profile_frame(spark, [profile])
     choice = choice or choice_for(df, profile)
     parts: list[DataFrame] = []
-    if choice.metrics and choice.dimensions:
-        metric, dimension = choice.best()[0], choice.dimensions[0]
-        top = top_group(df, dimension, metric)
-        values = dict(top_value=F.col("top_value"), total=F.col("total"), share_pct=F.col("share_pct"))
-        sentence = F.concat(F.col("top_group"), F.lit(f" leads {metric} by {dimension} with "), F.col("share_pct"), F.lit(" %"))
-        kinds = F.when(F.col("share_pct") > CONCENTRATION_PCT, F.array(F.lit("top_performer"), F.lit("concentration_risk")))
-        both = top.withColumn("kind", F.explode(kinds.otherwise(F.array(F.lit("top_performer")))))
-        parts.append(both.select(*_finding(F.col("kind"), F.col("top_group"), sentence, **values)))
-    if choice.metrics and choice.dates:
-        metric, day = choice.best()[0], choice.dates[0]
-        change = significant_change(df, day, metric, profile.layout(day))
-        sentence = F.concat(
-            F.lit(f"{metric} changed by "), F.col("pct_change"), F.lit(" % from "), F.col("prior_period"), F.lit(" to "), F.col("last_period")
-        )
-        names = ("prior_period", "prior_value", "last_period", "last_value", "pct_change")
-        parts.append(change.select(*_finding("significant_change", F.lit(metric), sentence, **{n: F.col(n) for n in names})))
+    if choice.dates or (choice.metrics and choice.dimensions):
+        parts.append(_grouped_findings(df, profile, choice, as_of))
     if choice.metrics:
         metric = choice.best()[0]
         odd = anomaly(df, metric)
@@ -243,13 +276,6 @@ def generate_insights(
         names = ("lower_bound", "upper_bound", "outlier_count", "outlier_share_pct", "outlier_contribution_pct", "total_considered", "direction")
         parts.append(odd.select(*_finding("anomaly", F.lit(metric), sentence, **{n: F.col(n) for n in names})))
     parts.append(quality_findings(rows, table_rows(spark, [profile])))
-    if choice.dates:
-        day = choice.dates[0]
-        old = staleness(df, day, as_of, profile.layout(day))
-        sentence = F.concat(F.lit(f"newest {day} is "), F.col("days_old"), F.lit(" days old"))
-        parts.append(
-            old.select(*_finding("data_quality", F.lit(day), sentence, latest_date=F.col("latest_date"), days_old=F.col("days_old")))
-        )
     if not choice.metrics and choice.dimensions:
         dimension = choice.dimensions[0]
         main = dominant_category(df, dimension)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import csv
+import io
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from brightledger.functions.exprs import c
+from brightledger.sources.records import parse_records, quoted_records
 
 SEPARATORS = [",", ";", "\t", "|"]
 
@@ -81,13 +83,18 @@ def read_delimited(
     unless given; the files of a folder are brought together by column name.
 
     One line and two flags per kind of file reach the driver. Files are split
-    among tasks; set `multiline` for quoted line breaks, which reads each file
-    in one task. Without a schema Spark infers the types in a pass over the
-    data; columns whose types differ between files are read as numbers if all
-    are numbers, else as text.
+    among tasks, with `multiline` too: quoted line breaks are then kept, at the
+    price of one more pass (see `quoted_records`). Without a schema types are
+    inferred in a pass over the data; columns whose types differ between files
+    are read as numbers if all are numbers, else as text.
     """
     code = F.lit(encoding) if encoding else F.when(F.col("valid"), "UTF-8").otherwise("ISO-8859-1")
-    heads = file_heads(spark, path).groupBy(code.alias("code"), "header").agg(F.sort_array(F.collect_list("file")).alias("files"))
+    heads = file_heads(spark, path)
+    records = quoted_records(spark, path) if multiline else None
+    if multiline:
+        first = records.filter("at = 0 AND number = 0").select("file", F.col("record").alias("header"))
+        heads = heads.drop("header").join(first, "file", "left")
+    heads = heads.groupBy(code.alias("code"), "header").agg(F.sort_array(F.collect_list("file")).alias("files"))
     kinds = []
     for row in heads.collect():
         header = bytes(row["header"] or b"").decode(row["code"], "replace").lstrip("\ufeff").rstrip("\r")
@@ -98,11 +105,16 @@ def read_delimited(
     kinds.sort(key=lambda k: k[0][0])
     frames, repeated = [], set()
     for files, code, mark, header in kinds:
-        names, twice = unique_headers(next(csv.reader([header], delimiter=mark)))
+        names, twice = unique_headers(next(csv.reader(io.StringIO(header, newline=""), delimiter=mark)))
         repeated.update(twice)
         reader = spark.read.option("header", True).option("sep", mark).option("encoding", code)
-        reader = reader.option("multiLine", multiline).option("enforceSchema", True).option("ignoreTrailingWhiteSpace", True)
-        if schema is None:
+        reader = reader.option("enforceSchema", True).option("ignoreTrailingWhiteSpace", True)
+        if multiline:
+            mine = records.filter(F.col("file").isin(files) & ~((F.col("at") == 0) & (F.col("number") == 0)))
+            mine = mine.filter(F.octet_length("record") > 0)
+            given = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+            frames.append(parse_records(mine, code, mark, names, given))
+        elif schema is None:
             frame = reader.option("inferSchema", True).csv(files)
             names = names if len(frame.columns) == len(names) else [n.strip() for n in frame.columns]
             frames.append(frame.toDF(*names))

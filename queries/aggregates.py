@@ -20,6 +20,7 @@ from brightledger.operators.aggregate import (
 from brightledger.operators.filters import Condition
 from brightledger.operators.joins import JoinSpec, joined, key_difference, key_intersection
 from brightledger.operators.quantiles import exact_quantiles
+from brightledger.operators.ranges import Span, interval_join
 from brightledger.operators.sql import SqlRefused, sql_frame, sql_query, view_names
 from brightledger.operators.versions import next_versions, recent_turns
 from brightledger.plans.insights import last_change
@@ -359,3 +360,35 @@ def j12_non_equi_join(spark, d):
     """Tables of any number and any join condition, as SQL over named frames."""
     parts = load_table(spark, d, "part")
     return sql_frame({"brands": breakdown(parts, "p_brand", "mean", "p_retailprice").withColumnRenamed("mean_p_retailprice", "avg_price")}, _RANGE_SQL)
+
+
+@query(
+    "j12_interval_join",
+    """WITH w AS (SELECT event_id, ts AS opened, ts + to_seconds(value * 60) AS closed FROM events WHERE event_type = 'purchase'),
+         e AS (SELECT event_id AS error_id, ts, value FROM events WHERE event_type = 'error')
+       SELECT w.event_id, count(*) AS errors, round(sum(e.value), 2) AS cost, max(error_id) AS last_error
+       FROM w JOIN e ON e.ts >= w.opened AND e.ts <= w.closed GROUP BY 1""",
+)
+def j12_interval_join(spark, d):
+    """Errors in the minutes after each purchase, as many as its value says."""
+    events = load_table(spark, d, "events")
+    closed = F.timestamp_add("MICROSECOND", F.round(F.col("value") * 60_000_000).cast("bigint"), F.col("ts"))
+    windows = events.filter("event_type = 'purchase'").select("event_id", F.col("ts").alias("opened"), closed.alias("closed"))
+    errors = events.filter("event_type = 'error'").select(F.col("event_id").alias("error_id"), "ts", "value")
+    pairs = interval_join(windows, errors, Span("opened", "closed"), Span("ts"), unit=60)
+    return pairs.groupBy("event_id").agg(F.count(F.lit(1)).alias("errors"), F.round(F.sum("value"), 2).alias("cost"), F.max("error_id").alias("last_error"))
+
+
+@query(
+    "j12_overlapping_intervals",
+    """WITH v AS (SELECT user_id, event_id, ts AS opened, ts + to_seconds(value * 600) AS closed FROM events)
+       SELECT a.event_id, count(*) AS overlaps, min(b.event_id) AS first_other FROM v AS a JOIN v AS b
+         ON a.user_id = b.user_id AND b.opened < a.closed AND a.opened < b.closed AND a.event_id <> b.event_id GROUP BY 1""",
+)
+def j12_overlapping_intervals(spark, d):
+    """Intervals of one user that overlap, lengths from seconds to days."""
+    closed = F.timestamp_add("MICROSECOND", F.round(F.col("value") * 600_000_000).cast("bigint"), F.col("ts"))
+    spans = load_table(spark, d, "events").select("user_id", "event_id", F.col("ts").alias("opened"), closed.alias("closed"))
+    others = spans.select(F.col("user_id").alias("other_user"), F.col("event_id").alias("other"), F.col("opened").alias("from"), F.col("closed").alias("to"))
+    pairs = interval_join(spans, others, Span("opened", "closed"), Span("from", "to"), [("user_id", "other_user")], unit=3600, open_end=True)
+    return pairs.filter("event_id <> other").groupBy("event_id").agg(F.count(F.lit(1)).alias("overlaps"), F.min("other").alias("first_other"))

@@ -62,7 +62,7 @@ _CHUNKS = f"""base AS (SELECT doc_id, {_STRIP.format(x='text')} AS t FROM docume
 
 
 def _chunks(spark, d):
-    return chunk(segment_text(load_table(spark, d, "documents"), "doc_id", "text"), "doc_id")
+    return chunk(segment_text(load_table(spark, d, "documents"), "doc_id", "text"), "doc_id", mergeable=False)
 
 
 @query("x9_chunks", f"WITH {_CHUNKS} SELECT doc_id, chunk_index, chunk_id, text FROM chunks")

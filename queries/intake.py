@@ -44,6 +44,23 @@ def io1_mixed_files(spark, d):
     return frame.groupBy(F.col("o_orderstatus").alias("status"), "note").agg(F.count(F.lit(1)).alias("row_count"), F.round(F.sum("o_totalprice"), 2).alias("total"))
 
 
+@query(
+    "io1_quoted_line_breaks",
+    """SELECT lang, count(*) AS row_count, CAST(sum(doc_id) AS BIGINT) AS ids, CAST(sum(n) AS BIGINT) AS characters, CAST(sum(breaks) AS BIGINT) AS breaks FROM
+       (SELECT lang, doc_id, length(t) AS n, length(t) - length(replace(t, chr(10), '')) AS breaks
+        FROM (SELECT lang, doc_id, regexp_replace(coalesce(text, ''), '\\s+$', '') AS t FROM documents)) GROUP BY 1""",
+)
+def io1_quoted_line_breaks(spark, d):
+    """All documents as quoted cells with their line breaks, in files of several splits."""
+    path = work_folder(spark, "delimited")
+    docs = load_table(spark, d, "documents").select("doc_id", F.regexp_replace(F.coalesce("text", F.lit("")), r"\s+$", "").alias("text"), "lang")
+    docs.coalesce(2).write.option("header", True).option("escape", '"').option("quoteAll", True).csv(path)
+    breaks = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit("")))
+    return read_delimited(spark, path, multiline=True).frame.groupBy("lang").agg(
+        F.count(F.lit(1)).alias("row_count"), F.sum("doc_id").alias("ids"), F.sum(F.length("text")).alias("characters"), F.sum(breaks).alias("breaks")
+    )
+
+
 _FIRST = "string_split(string_split(text, chr(10))[1], ' ')"
 _CELLS = f"cells AS (SELECT doc_id AS file, i, trim({_FIRST}[i]) AS name FROM (SELECT *, unnest(range(1, len({_FIRST}) + 1)) AS i FROM documents))"
 

@@ -22,7 +22,8 @@ from brightledger.operators.profile import (
     top_values,
     typed_columns,
 )
-from brightledger.session import load_table
+from brightledger.operators.states import batch_states, load_states, profile_states, save_states
+from brightledger.session import load_table, work_folder
 from queries import query
 
 COLUMNS = {
@@ -280,13 +281,25 @@ def _profile_sql(position, column, kind):
 @query("p_full_profile", " UNION ALL ".join(_profile_sql(i, column, kind) for i, (column, kind) in enumerate(_LINE_KINDS)))
 def p_full_profile(spark, d):
     """P1-P9 together for one wide table; top values as value:count:hundredths of a percent."""
-    profile = profile_table(load_table(spark, d, "lineitem"), "lineitem")
+    return _whole_profile(spark, profile_table(load_table(spark, d, "lineitem"), "lineitem"))
+
+
+def _whole_profile(spark, profile):
     rows = profile_frame(spark, [profile])
     share = lambda t: F.round(t["percentage"] * 100).cast("bigint").cast("string")
     tops = F.array_join(F.transform("top_values", lambda t: F.concat_ws(":", t["value"], t["count"].cast("string"), share(t))), ",")
     return rows.withColumn("top_values", tops).withColumn("quality_flags", F.array_join("quality_flags", ","))
 
 
+@query("io8_incremental_profile", " UNION ALL ".join(_profile_sql(i, column, kind) for i, (column, kind) in enumerate(_LINE_KINDS)))
+def io8_incremental_profile(spark, d):
+    """The profile of a table that came in three batches, from their states alone."""
+    root, lines = work_folder(spark, "states"), load_table(spark, d, "lineitem")
+    for flag in ("A", "N", "R"):
+        save_states(batch_states(lines.filter(F.col("l_returnflag") == flag)), root, "lineitem", f"flag {flag}")
+    return _whole_profile(spark, profile_states(load_states(spark, root, "lineitem"), "lineitem"))
+
+
 @query(
     "io8_batch_reprofile",
     " UNION ALL ".join(
