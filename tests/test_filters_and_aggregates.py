@@ -26,6 +26,7 @@ from brightledger.operators.filters import (
     next_dimension,
     result_status,
 )
+from brightledger.operators import quantiles
 from brightledger.operators.quantiles import exact_quantiles, value_band
 from tests.conftest import as_dicts, order_rows
 
@@ -245,3 +246,24 @@ def test_bands_keep_the_order(spark):
     values = sorted([-1e12, -3.5, -1e-7, 0.0, 1e-9, 0.3, 0.30001, 7.0, 1e3, 1e12])
     bands = [r[0] for r in spark.createDataFrame([(v,) for v in values], "x double").select(value_band(F.col("x"))).collect()]
     assert bands == sorted(bands)
+
+
+@pytest.mark.parametrize("held", [1, 7, 1 << 20])
+def test_quantiles_of_few_groups_cut_ranges_until_they_are_small(spark, monkeypatch, held):
+    monkeypatch.setattr(quantiles, "SORTED_ROWS", held)
+    rng = random.Random(5)
+    rows = [("near", 1.7e9 + rng.random()) for _ in range(300)] + [("ties", float(rng.choice([1, 1, 1, 2, 50]))) for _ in range(301)]
+    rows += [("signs", rng.uniform(-1, 1) * 10 ** rng.randint(-9, 9)) for _ in range(200)] + [("one", 4.0), ("none", None), (None, 3.0), (None, 5.0)]
+    df = spark.createDataFrame(rows, "g string, x double")
+    wanted = [0.0, 0.25, 0.5, 0.9, 1.0]
+    got = {r.g: r.quantiles for r in exact_quantiles(df, ["g"], "x", wanted, few_groups=True).collect()}
+    assert set(got) == {"near", "ties", "signs", "one", None}
+    for group, values in got.items():
+        mine = sorted(x for g, x in rows if g == group and x is not None)
+        at = [p * (len(mine) - 1) for p in wanted]
+        assert values == pytest.approx([mine[int(a)] + (mine[min(int(a) + 1, len(mine) - 1)] - mine[int(a)]) * (a - int(a)) for a in at], rel=1e-12)
+    whole = exact_quantiles(df.filter("g = 'near'"), [], "x", [0.5]).first()[0]
+    assert whole == pytest.approx([got["near"][2]], rel=1e-15)
+    counted = df.groupBy("g", "x").agg(F.count(F.lit(1)).alias("n"))
+    assert {r.g: r.quantiles for r in exact_quantiles(counted, ["g"], "x", wanted, few_groups=True, times="n").collect()} == got
+    assert exact_quantiles(df.filter("false"), [], "x", [0.5]).count() == 0
