@@ -78,8 +78,8 @@ def _words(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
 
 
 def windows_of(items: DataFrame, window: int = WINDOW, id_column: str = "item_id", text_column: str = "text") -> DataFrame:
-    """Distinct windows (words joined by spaces) with their items' ids. An item
-    of fewer words than a window, but at least one, is one window."""
+    """Distinct windows (words joined by spaces) with their items' ids as texts,
+    in order. An item of fewer words than a window, but at least one, is one window."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
@@ -91,10 +91,10 @@ def windows_of(items: DataFrame, window: int = WINDOW, id_column: str = "item_id
                 for i in range(max(1, n - window + 1) if n else 0):
                     ids.append(item)
                     texts.append(" ".join(words[i : i + window]))
-            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), pa.array(ids, pa.int64())], ["window", "item"])
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), pa.array(ids, pa.string())], ["window", "item"])
 
-    texts = items.select(F.col(id_column).cast("long").alias("item"), F.col(text_column).alias("text"))
-    return texts.mapInArrow(cut, "window string, item long").groupBy("window").agg(F.sort_array(F.collect_set("item")).alias("items"))
+    texts = items.select(F.col(id_column).cast("string").alias("item"), F.col(text_column).alias("text"))
+    return texts.mapInArrow(cut, "window string, item string").groupBy("window").agg(F.sort_array(F.collect_set("item")).alias("items"))
 
 
 def find_windows(docs: DataFrame, items: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, block_windows: int = BLOCK_WINDOWS, id_column: str = "doc_id", text_column: str = "text", item_column: str = "item_id", item_text: str = "text", carry: bool = False) -> DataFrame:
@@ -112,7 +112,7 @@ def find_windows(docs: DataFrame, items: DataFrame, window: int = WINDOW, shingl
     windows = windows.withColumn("block", F.pmod(F.xxhash64("window"), F.lit(blocks)))
     found = docs.select(
         F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"), F.lit(0).cast("long").alias("n_words"),
-        F.array().cast("array<struct<start:long,end:long>>").alias("spans"), F.array().cast("array<long>").alias("items"),
+        F.array().cast("array<struct<start:long,end:long>>").alias("spans"), F.array().cast("array<string>").alias("items"),
         *([whole_row(docs)] if carry else []),
     )
     texts = docs.select(F.col(text_column).alias("text"))
@@ -180,7 +180,7 @@ def _searcher(index: Index):
                 spans[d] = _merged([(x["start"], x["end"]) for x in spans[d]] + [(s, e) for s, e, _ in found])
                 items[d] = sorted(set(items[d]) | {i for _, _, w in found for i in index.items[w]})
             spans = pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(counts, pa.int64()), spans, pa.array(items, pa.list_(pa.int64())), *batch.columns[5:]], batch.schema.names)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(counts, pa.int64()), spans, pa.array(items, pa.list_(pa.string())), *batch.columns[5:]], batch.schema.names)
 
     return search
 
@@ -200,7 +200,7 @@ def contamination(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
     document, from `find_windows`."""
     found = find_windows(docs, items, **options)
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
-    names = F.array_join(F.sort_array(F.transform("items", lambda i: i.cast("string"))), ",")
+    names = F.array_join("items", ",")
     return found.select(
         "doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
         F.sha2(names, 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"),

@@ -11,9 +11,10 @@ enough equal coordinates are compared by their full sets.
    s - t + 1; two classes with t equal values meet under one of them at least.
    Classes that meet are one cluster; clusters are made by label propagation
    and no pair is written.
-3. Inside a cluster collisions are counted over whole signatures; pairs of one
-   component are skipped, pairs with t or more equal values are confirmed on
-   full sets. Clusters too large for one task are compared with their most
+3. Inside a cluster a class merges its shortest posting lists only, those that
+   a partner with t equal values can't all miss; whoever is in one is looked up
+   in the longer lists to count collisions. Pairs of one component are skipped,
+   pairs with t or more equal values are confirmed on full sets. Clusters too large for one task are compared with their most
    common text first; whatever is not linked to it is dealt in blocks, and every
    pair of blocks meets in a task of its own.
 """
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brightledger.llm.arrays import LOWER, SPACED, mix, shingle_hashes, slices, text_bytes, word_bounds, word_hashes
-from brightledger.llm.graph import components
+from brightledger.llm.graph import components, spanning
 from brightledger.llm.tables import settled
 from brightledger.llm.url_filter import bloom_blocks, possible
 
@@ -105,7 +106,8 @@ def _clusters(classes: DataFrame, matches: int) -> DataFrame:
     prefix = settled(met.select("class", F.explode(F.slice("keys", F.lit(1), F.size("keys") - (matches - 1))).alias("k")).select("class", "k.key"), "prefixes")
     first = settled(prefix.groupBy("key").agg(F.min("class").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "first")
     edges = prefix.join(first, "key").where("class <> a").select("a", F.col("class").alias("b"))
-    return components(edges).select(F.col("node").alias("class"), F.col("label").alias("cluster"))
+    # A class has an edge under each of its prefix keys; one is enough.
+    return components(spanning(edges)).select(F.col("node").alias("class"), F.col("label").alias("cluster"))
 
 
 class _Links:
@@ -146,20 +148,46 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
+class _Postings:
+    """The posting lists of one task's classes, by coordinate and value."""
+
+    def __init__(self, values: np.ndarray, matches: int):
+        coordinates = values.shape[1]
+        keys = values.astype(np.int64) + (np.arange(coordinates, dtype=np.int64) << 33)
+        _, of, lengths = np.unique(keys.ravel(), return_inverse=True, return_counts=True)
+        self.of = of.reshape(values.shape)
+        self.classes = np.argsort(of.ravel(), kind="stable") // coordinates  # list after list
+        self.ends = np.cumsum(lengths)
+        self.starts = self.ends - lengths
+        # Whoever has `matches` equal values is in one of the shortest lists.
+        self.merged = np.argsort(lengths[self.of], axis=1, kind="stable")[:, : coordinates - matches + 1]
+
+    def later(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        """The classes after i in one of its shortest lists, and their numbers
+        of equal values; the long lists are not merged but looked up."""
+        there = np.zeros(len(self.of), bool)
+        short = self.of[i, self.merged[i]]
+        for start, end in zip(self.starts[short].tolist(), self.ends[short].tolist()):
+            there[self.classes[start:end]] = True
+        there[: i + 1] = False
+        js = np.flatnonzero(there)
+        return js, np.count_nonzero(self.of[js] == self.of[i], axis=1)
+
+
 def link(classes: list[int], values: np.ndarray, sets: list[np.ndarray], groups: np.ndarray, matches: int, percent: int) -> list[tuple[int, int]]:
     """Edges that join the similar classes of one task. With two groups given,
     pairs within one group are left to other tasks (0 alone: all pairs)."""
     links, sizes = _Links(len(classes)), np.array([len(s) for s in sets])
-    apart = bool(groups.any())
+    apart, postings = bool(groups.any()), _Postings(values, matches)
     for i in range(len(classes) - 1):
-        equal = np.count_nonzero(values[i + 1 :] == values[i], axis=1)
+        js, equal = postings.later(i)
         roots = links.roots()
-        near = (equal >= matches) & (roots[i + 1 :] != roots[i])
-        near &= (percent * sizes[i + 1 :] <= 100 * sizes[i]) & (percent * sizes[i] <= 100 * sizes[i + 1 :])
+        near = (equal >= matches) & (roots[js] != roots[i])
+        near &= (percent * sizes[js] <= 100 * sizes[i]) & (percent * sizes[i] <= 100 * sizes[js])
         if apart:
-            near &= groups[i + 1 :] != groups[i]
-        js = np.flatnonzero(near) + i + 1
-        for j in js[np.argsort(-equal[js - i - 1], kind="stable")].tolist():
+            near &= groups[js] != groups[i]
+        js, equal = js[near], equal[near]
+        for j in js[np.argsort(-equal, kind="stable")].tolist():
             if links.root(i) != links.root(j) and similar(sets[i], sets[j], percent):
                 links.join(i, j)
     return [(classes[i], classes[j]) for i, j in links.edges]

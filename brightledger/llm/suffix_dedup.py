@@ -23,6 +23,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from brightledger.llm.arrays import mix, slices, text_bytes
 from brightledger.llm.tables import settled, whole_row
@@ -409,8 +410,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_column: str = "doc_
     none = F.lit(None).cast("array<struct<start:long,n:long>>").alias("runs")
     free = possible(whole, "doc", touched, without=True).select("doc", "text", none, *row)
     joined = possible(whole, "doc", touched).join(runs, "doc", "left").select("doc", "text", "runs", *row)
-    schema = "doc long, spans array<struct<start:long,end:long>>, kept binary, kept_text string"
-    schema += f", row {joined.schema['row'].dataType.simpleString()}" if carry else ""
+    schema = T.StructType.fromDDL("doc long, spans array<struct<start:long,end:long>>, kept binary, kept_text string")
+    if carry:
+        schema = schema.add("row", joined.schema["row"].dataType)
     done = joined.unionByName(free).mapInArrow(_remove(length), schema)
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
     return done.select(F.when(F.col("doc") != least, F.col("doc")).alias("doc_id"), (F.octet_length("kept") + removed).cast("long").alias("n_bytes"), "spans", "kept", "kept_text", *row)

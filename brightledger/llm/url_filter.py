@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from brightledger.llm.tables import settled
+from brightledger.llm.tables import settled, whole_row
 
 #: Blocks of 256 bits: at most 65,536 * 32 bytes = 2 MB are broadcast.
 MAX_BLOCKS = 1 << 16
@@ -70,12 +70,12 @@ def possible(rows: DataFrame, key: str, blocks: DataFrame, max_blocks: int = MAX
     """The rows whose key may be in the filter; `without`: those whose key is
     surely not."""
     block, *words = _bits(F.col(key), max_blocks)
-    mine = rows.withColumns({"_block": block, **{f"_b{i}": w for i, w in enumerate(words)}})
-    hit = mine["_block"] == blocks["block"]
+    mine = rows.select(whole_row(rows), block.alias("at"), *[w.alias(f"b{i}") for i, w in enumerate(words)])
+    hit = mine["at"] == blocks["block"]
     for i in range(len(SALTS)):
-        hit = hit & (blocks[f"w{i}"].bitwiseAND(mine[f"_b{i}"]) != 0)
+        hit = hit & (blocks[f"w{i}"].bitwiseAND(mine[f"b{i}"]) != 0)
     # Its size is bounded by max_blocks rows of nine numbers.
-    return mine.join(F.broadcast(blocks), hit, "left_anti" if without else "left_semi").select(*[rows[c] for c in rows.columns])
+    return mine.join(F.broadcast(blocks), hit, "left_anti" if without else "left_semi").select("row.*")
 
 
 def listed(rows: DataFrame, key: str, keys: DataFrame, max_blocks: int = MAX_BLOCKS) -> DataFrame:
@@ -90,7 +90,9 @@ def not_listed(rows: DataFrame, key: str, keys: DataFrame, max_blocks: int = MAX
     the filter clears are not shuffled."""
     keys = settled(keys.select(key).where(F.col(key).isNotNull()).distinct(), "listed")
     blocks = bloom_blocks(keys, key, max_blocks)
-    return possible(rows, key, blocks, max_blocks, without=True).unionByName(possible(rows, key, blocks, max_blocks).join(keys, key, "left_anti").select(*rows.columns))
+    near = possible(rows, key, blocks, max_blocks)
+    left = near.select(whole_row(near), F.col(key).alias("key")).join(keys.select(F.col(key).alias("key")), "key", "left_anti").select("row.*")
+    return possible(rows, key, blocks, max_blocks, without=True).unionByName(left)
 
 
 def match_rules(urls: DataFrame, rules: DataFrame, max_blocks: int = MAX_BLOCKS) -> DataFrame:
