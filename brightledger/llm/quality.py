@@ -20,6 +20,7 @@ WINDOW = 5
 #: White space between words (fixed values).
 BLANK = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
+PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -66,6 +67,8 @@ def text_facts(docs: DataFrame, id_column: str = "doc_id", text_column: str = "t
         number(F.length("text") - F.length(F.translate("text", "0123456789", ""))).alias("n_digits"),
         number(F.length("text") - F.length(F.translate("text", ".!?", ""))).alias("n_stops"),
         number(F.length("text") - F.length(F.translate("text", "!", ""))).alias("n_exclaims"),
+        number(F.length("text") - F.length(F.translate("text", PUNCTUATION, ""))).alias("n_marks"),
+        number(F.size(F.filter("words", lambda w: F.length(w) == 1))).alias("n_lone"),
         *(["row"] if carry else []),
     )
 
@@ -93,42 +96,45 @@ def rules() -> dict[str, Column]:
         "exclaims": _vote(c("n_exclaims") <= 0.01 * n, c("n_exclaims") > 0.2 * n),
         "digits": _vote(c("n_digits") <= 0.05 * chars, c("n_digits") > 0.3 * chars),
         "stutter": _vote(c("n_stutters") <= 0.02 * n, c("n_stutters") > 0.15 * n),
+        "marks": _vote(c("n_marks") <= 0.08 * chars, c("n_marks") > 0.15 * chars),
+        "lone": _vote(c("n_lone") <= 0.08 * n, c("n_lone") > 0.25 * n),
         "length": _vote(c("n_words") >= 50, c("n_words") < 10),
     }
 
 
-#: Least and greatest probability that a vote on a good, and on a bad document
-#: is right. A rule is written so that it seldom speaks against a good one.
-GOOD_RANGE, BAD_RANGE = (0.99, 0.9999), (0.02, 0.98)
+#: Right and wrong votes that each rule is given for each class beforehand.
+PSEUDO = 1.0
 
 
-def fit_votes(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 50) -> tuple[float, list[tuple[float, float]]]:
+def fit_votes(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 500, settled_at: float = 1e-10) -> tuple[float, list[tuple[float, float]]]:
     """The share of good documents, and for each rule its accuracy on good and
     on bad documents (how likely its vote is right where it votes), by
     expectation-maximisation. Abstaining says nothing about a document.
 
-    `patterns` are distinct tuples of votes with counts. The start takes
-    documents with a vote against them for bad; the ranges keep the two classes
-    from changing places, and with one doubtful document of each kind they give
-    the result for no rows.
+    `patterns` are distinct tuples of votes with counts. The start takes the
+    share of a document's votes that are for it; from there the data decide, as
+    every rule gets the same pseudo-counts for right and wrong votes on either
+    class. A class is told by rules that agree beyond chance, so a rule on its
+    own is outvoted. Without rows every accuracy is a half.
     """
     k = len(patterns[0][0]) if patterns else 0
-    weights = [0.05 if -1 in votes else 0.95 for votes, _ in patterns]
-    share, accuracies = 0.5, [(0.99, 0.5)] * k
+    weights = [(1 + sum(v > 0 for v in votes)) / (2 + sum(v != 0 for v in votes)) for votes, _ in patterns]
+    share, accuracies = 0.5, [(0.5, 0.5)] * k
     total = sum(n for _, n in patterns)
     for _ in range(rounds):
-        share = (sum(w * n for w, (_, n) in zip(weights, patterns)) + 1) / (total + 2)
+        share = (sum(w * n for w, (_, n) in zip(weights, patterns)) + PSEUDO) / (total + 2 * PSEUDO)
         accuracies = []
         for j in range(k):
-            right = [1.0, 1.0]
-            voted = [2.0, 2.0]
+            right, voted = [PSEUDO, PSEUDO], [2 * PSEUDO, 2 * PSEUDO]
             for w, (votes, n) in zip(weights, patterns):
                 if votes[j]:
                     voted[0] += w * n
                     voted[1] += (1 - w) * n
                     right[votes[j] < 0] += (1 - w if votes[j] < 0 else w) * n
-            accuracies.append(tuple(min(high, max(low, r / v)) for r, v, (low, high) in zip(right, voted, (GOOD_RANGE, BAD_RANGE))))
-        weights = [_posterior(share, accuracies, votes) for votes, _ in patterns]
+            accuracies.append((right[0] / voted[0], right[1] / voted[1]))
+        before, weights = weights, [_posterior(share, accuracies, votes) for votes, _ in patterns]
+        if all(abs(a - b) < settled_at for a, b in zip(before, weights)):
+            break
     return share, accuracies
 
 

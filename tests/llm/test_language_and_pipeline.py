@@ -168,3 +168,17 @@ def test_pipeline_run(spark, folder):
     path, _, _ = folder
     assert corpus_pipeline.run(spark, path).columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
     assert corpus_pipeline.ORACLE_SQL is None
+
+
+def test_stages_with_columns_of_odd_names(spark, folder):
+    path, _, _ = folder
+    docs = spark.read.parquet(f"{path}/documents.parquet")
+    odd = ["_block", "a.b", "c`d", "row", "doc", "_b0", "b0", "at", "class", "spans", "kept", "n"]
+    for i, name in enumerate(odd):
+        docs = docs.withColumn(name, F.concat(F.lit(f"{i}-"), F.col("doc_id").cast("string")))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, path)
+        assert out.columns == docs.columns, name
+        for r in out.collect():
+            assert all(r[c] == (None if r.doc_id is None else f"{i}-{r.doc_id}") for i, c in enumerate(odd)), name
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, path).count() > 0

@@ -5,11 +5,13 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from brightledger.llm import quality
 from brightledger.llm.decontaminate import contamination, find_windows
-from brightledger.llm.quality import fit_votes, judge_quality
+from brightledger.llm.quality import fit_votes, judge_quality, rules
 from tests.llm.helpers import ALNUM, DOCS, LOW, SPACED, documents, texts
 
 
@@ -32,11 +34,44 @@ def test_base_counts(spark):
     assert judge_quality(docs.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("size", [100, 100_000])
-def test_votes_against_a_document_outweigh_many_for_it(size):
-    clean, junk = tuple([1] * 6), (-1, 1, 1, 1, 1, 1)
-    share, accuracies = fit_votes([(clean, 90 * size), (junk, 8 * size), ((1, 0, 0, 1, 1, 0), 2 * size)])
-    assert 0.9 < share < 0.95 and accuracies[0][0] >= 0.99 and accuracies[0][1] > 0.8
+def _plain_fit(rows, rounds=400):
+    """Expectation-maximisation document by document, in logarithms."""
+    votes = np.array(rows)
+    good = (1 + (votes > 0).sum(axis=1)) / (2 + (votes != 0).sum(axis=1))
+    for _ in range(rounds):
+        share = (good.sum() + 1) / (len(rows) + 2)
+        right_good = ((good[:, None] * (votes > 0)).sum(axis=0) + 1) / ((good[:, None] * (votes != 0)).sum(axis=0) + 2)
+        bad = 1 - good
+        right_bad = ((bad[:, None] * (votes < 0)).sum(axis=0) + 1) / ((bad[:, None] * (votes != 0)).sum(axis=0) + 2)
+        log_good = np.log(share) + np.where(votes > 0, np.log(right_good), np.where(votes < 0, np.log(1 - right_good), 0)).sum(axis=1)
+        log_bad = np.log(1 - share) + np.where(votes < 0, np.log(right_bad), np.where(votes > 0, np.log(1 - right_bad), 0)).sum(axis=1)
+        good = 1 / (1 + np.exp(np.clip(log_bad - log_good, -500, 500)))
+    return share, right_good, right_bad, good
+
+
+def test_a_noisy_rule_is_outvoted():
+    rng = random.Random(3)
+    rows = []
+    for i in range(1000):
+        truth = -1 if i < 100 else 1
+        sure = lambda: truth if rng.random() < 0.97 else rng.choice([0, -truth])  # noqa: B023, E731
+        rows.append((sure(), sure(), sure(), -1 if rng.random() < 0.4 else 1))
+    share, accuracies = fit_votes(sorted(Counter(rows).items()))
+    assert abs(share - 0.9) < 0.02
+    # Estimated near what it is: right on 60 % of the good, on 40 % of the bad.
+    assert abs(accuracies[3][0] - 0.6) < 0.04 and abs(accuracies[3][1] - 0.4) < 0.12
+    assert all(g > 0.95 and b > 0.85 for g, b in accuracies[:3])
+    kept = lambda votes: quality._posterior(share, accuracies, votes) >= 0.5
+    assert kept((1, 1, 1, -1)) and kept((1, 1, 0, -1)) and not kept((-1, -1, -1, 1)) and not kept((-1, -1, 0, 1))
+
+
+def test_fit_is_that_of_documents_one_by_one(spark):
+    rows = [(i, t) for i, t in enumerate(texts(300, 11))]
+    rows += [(1000 + i, " | ".join(f"w{j}" for j in range(i, i + 40))) for i in range(60)]
+    judged = [r for r in judge_quality(documents(spark, rows)).collect() if not r.base_failed]
+    *_, good = _plain_fit([[r[f"vote_{k}"] for k in rules()] for r in judged])
+    assert [r.p_good for r in judged] == pytest.approx(good.tolist(), abs=1e-6)
+    assert [r.kept for r in judged] == [g >= 0.5 for g in good]
     assert fit_votes([]) == (0.5, [])
 
 
@@ -95,3 +130,10 @@ def test_long_text(spark):
     docs = spark.createDataFrame([(1, text)], DOCS)
     bench = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(10)))], "item_id long, text string")
     assert tuple(contamination(docs, bench).first())[:4] == (1, 60_010, 10, 1)
+
+
+def test_item_ids_of_any_kind(spark):
+    docs = documents(spark, [(1, "x one two three four"), (2, "nothing here")])
+    bench = spark.createDataFrame([("q-10", "one two three"), ("q-9", "two three four"), (None, "nothing")], "item_id string, text string")
+    got = {r.doc_id: r for r in contamination(docs, bench).collect()}
+    assert got[1].n_items == 2 and got[1].items_sha256 == hashlib.sha256(b"q-10,q-9").hexdigest() and got[1].n_hit == 4
