@@ -4,9 +4,9 @@ Texts become chunks of word numbers with a dictionary each, so a word is sent
 once for a chunk and not once for a token. Every word of at least `LEAST`
 training tokens is assigned to a class by exchange: each round counts every
 word's neighbours by class over all training tokens, and moves the word to the
-class that gains most, until few words move. Counts, classes
-and neighbours of words are tables, packed by ranges of word hashes; each chunk
-gets the classes of its dictionary by a join, so no task and not the driver
+class that gains most, until few words move. Words are kept in buckets of
+their hashes; a chunk knows its words by their places there, so rounds send
+places, classes and counts, squeezed, and no words. No task and not the driver
 holds the vocabulary. Words below `LEAST` are one class of rare words, with room
 for unknown ones. A token's probability is that of its class after the classes
 before it, times that of the word in its class.
@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -27,24 +28,45 @@ from brightledger.llm.arrays import LOWER, SPACED, slices, text_bytes, word_boun
 from brightledger.llm.tables import settled
 from brightledger.session import work_folder
 
+#: Classes at least; a large vocabulary has the fourth root of its words.
 CLASSES = 32
 #: Words of fewer training tokens, at any size of the input, are rare.
 LEAST = 2
 #: Rounds end when two (each word has one turn) move less than one word in `FEW`.
+#: (Their gain is no measure: rare words add little to the likelihood of all.)
 FEW = 10
 #: Words in a bucket, about.
 BUCKET_WORDS = 8192
 #: Tokens in a chunk at least, but for a task's last.
 CHUNK_TOKENS = 1 << 20
+#: Chunks whose counts for a bucket meet in one task.
+PART_CHUNKS = 256
 #: Added to each count of a word, and of a class after another.
 ADDED, ADDED_CLASS = 0.1, 0.1
 
 _CHUNKS = "chunk long, doc_id binary, known_id binary, held binary, n_tokens binary, words array<long>, counts array<long>, tokens binary, ends long"
+_WORDS = "bucket long, words binary, counts binary"
+_STATE = "bucket long, classes binary, moved long"
+_MET = "bucket long, kind int, chunk long, places binary, one binary, two binary, three binary"
+_SUMS = "bucket long, classes binary, per binary, codes binary, sums binary"
 
 
-_STATE = "bucket long, words binary, counts binary, classes binary, moved long"
-_MET = "bucket long, kind int, chunk long, words binary, one binary, two binary, three binary"
-_SUMS = "bucket long, words binary, counts binary, classes binary, per binary, codes binary, sums binary"
+def _squeezed(values: np.ndarray, dtype: str) -> bytes:
+    raw = values.astype(dtype).tobytes()
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def _spread(data: bytes, dtype: str) -> np.ndarray:
+    return np.frombuffer(pa.decompress(data[8:], int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True), dtype)
+
+
+def _steps(places: np.ndarray) -> bytes:
+    """Places in ascending order, by their distances."""
+    return _squeezed(np.diff(places, prepend=0), "<u4")
+
+
+def _places(data: bytes) -> np.ndarray:
+    return np.cumsum(_spread(data, "<u4"), dtype=np.int64)
 
 
 def _names(schema: str) -> list[str]:
@@ -99,10 +121,9 @@ def _chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield close()
 
 
-def _tokens(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Words, tokens, tokens of each document, and which documents are held out."""
-    words = row["words"].view(np.uint64)
-    return words, np.frombuffer(row["tokens"], "<u4").astype(np.int64), np.frombuffer(row["n_tokens"], np.int64), np.frombuffer(row["held"], bool)
+def _tokens(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Tokens, tokens of each document, and which documents are held out."""
+    return np.frombuffer(row["tokens"], "<u4").astype(np.int64), np.frombuffer(row["n_tokens"], np.int64), np.frombuffer(row["held"], bool)
 
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
@@ -133,157 +154,256 @@ def _bucket(words: np.ndarray, bits: int) -> np.ndarray:
     return (words >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def _packed(classes: int, least: int):
-    """One row for each bucket, of rows ordered by (bucket, word), with a first
-    class for each word by its hash."""
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for each bucket, of rows ordered by (bucket, word)."""
+    key, held = None, []
 
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held = None, []
+    def close() -> pa.RecordBatch:
+        words, n = (np.concatenate(c) for c in zip(*held))
+        held.clear()
+        return _batch([(key, words.tobytes(), n.tobytes())], _WORDS)
 
-        def close() -> pa.RecordBatch:
-            words, n = (np.concatenate(c) for c in zip(*held))
-            held.clear()
-            first = np.where(n >= least, (words >> np.uint64(7)) % np.uint64(classes), classes)
-            return _batch([(key, words.tobytes(), n.tobytes(), first.astype("<i2").tobytes(), 0)], _STATE)
+    for batch in batches:
+        bucket, word, n = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+        for low, high in _ranges(bucket):
+            if held and bucket[low] != key:
+                yield close()
+            key = int(bucket[low])
+            held.append((word[low:high].astype(np.int64).view(np.uint64), n[low:high].astype(np.int64)))
+    if held:
+        yield close()
 
-        for batch in batches:
-            bucket, word, n = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
-            for low, high in _ranges(bucket):
-                if held and bucket[low] != key:
-                    yield close()
-                key = int(bucket[low])
-                held.append((word[low:high].astype(np.int64).view(np.uint64), n[low:high].astype(np.int64)))
-        if held:
-            yield close()
 
-    return pack
+def _first_classes(classes: int, least: int):
+    """A class for each word by its hash."""
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in _rows(batches):
+            words, n = np.frombuffer(row["words"], "<u8"), np.frombuffer(row["counts"], "<i8")
+            mine = np.where(n >= least, (words >> np.uint64(7)) % np.uint64(classes), classes)
+            yield _batch([(row["bucket"], _squeezed(mine, "<i2"), 0)], _STATE)
 
+    return first
 
-def _met(state: DataFrame, rows: DataFrame) -> DataFrame:
-    """The words of each bucket, and after them the rows that ask for them."""
-    none = F.lit(None)
-    words = state.select("bucket", F.lit(0).alias("kind"), none.cast("long").alias("chunk"), "words", F.col("counts").alias("one"), F.col("classes").alias("two"), none.cast("binary").alias("three"))
-    return words.unionByName(rows).repartition("bucket").sortWithinPartitions("bucket", "kind")
 
+def _met(words: DataFrame, columns: list[str], rows: DataFrame) -> DataFrame:
+    """The row of each bucket, and after it the rows that ask for it."""
+    none = F.lit(None).cast("binary")
+    given = [F.col(c) for c in columns] + [none] * (3 - len(columns))
+    held = words.select("bucket", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("chunk"), none.alias("places"), *[v.alias(n) for v, n in zip(given, ("one", "two", "three"))])
+    return held.unionByName(rows).repartition("bucket").sortWithinPartitions("bucket", "kind")
 
-def _answers(chunks: DataFrame, state: DataFrame, bits: int, classes: int, counts: bool = False) -> DataFrame:
-    """For each chunk, bucket by bucket, the classes (and counts) of its words;
-    words without training tokens are rare."""
+
+def _asked(chunks: DataFrame, words: DataFrame, bits: int) -> DataFrame:
+    """(bucket, kind, chunk, places, one): for each chunk and bucket which of the
+    chunk's words the bucket has (one, as flags), and their places there."""
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
-            words = row["words"].view(np.uint64)
-            bucket = _bucket(words, bits)
-            yield _batch([(int(bucket[i]), 1, row["chunk"], words[i:j].tobytes(), None, None, None) for i, j in _ranges(bucket)], _MET)
+            mine = row["words"].view(np.uint64)
+            bucket = _bucket(mine, bits)
+            yield _batch([(int(bucket[i]), 1, row["chunk"], None, mine[i:j].tobytes(), None, None) for i, j in _ranges(bucket)], _MET)
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, known = None, np.zeros(0, np.uint64)
+        for batch in batches:
+            out = []
+            for row in _rows([batch]):
+                mine = np.frombuffer(row["one"], "<u8")
+                if row["kind"] == 0:
+                    key, known = row["bucket"], mine
+                    continue
+                here = known if row["bucket"] == key else known[:0]
+                at = np.searchsorted(here, mine)
+                there = np.zeros(len(mine), bool)
+                inside = at < len(here)
+                there[inside] = here[at[inside]] == mine[inside]
+                out.append((row["bucket"], 1, row["chunk"], _steps(at[there]), _squeezed(np.packbits(there), "u1") + len(mine).to_bytes(4, "little"), None, None))
+            yield _batch(out, _MET)
+
+    return _met(words, ["words"], chunks.select("chunk", "words").mapInArrow(ask, _MET)).mapInArrow(answer, _MET)
+
+
+def _size(data: bytes) -> int:
+    return int.from_bytes(data[-4:], "little")
+
+
+def _flags(data: bytes) -> np.ndarray:
+    return np.unpackbits(_spread(data[:-4], "u1"), count=_size(data)).astype(bool)
+
+
+def _answers(asked: DataFrame, state: DataFrame, columns: list[str]) -> DataFrame:
+    """For each chunk, bucket by bucket, what the bucket has of its words: the
+    classes, and the counts if `columns` name them."""
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = None
+        key, of_word, n = None, np.zeros(0, "<i2"), np.zeros(0, "<i8") if len(columns) > 1 else None
         for batch in batches:
             out = []
             for row in _rows([batch]):
-                words = np.frombuffer(row["words"], "<u8")
                 if row["kind"] == 0:
-                    key, known = row["bucket"], words
-                    n, of_word = np.frombuffer(row["one"], "<i8"), np.frombuffer(row["two"], "<i2")
+                    key, of_word = row["bucket"], _spread(row["one"], "<i2")
+                    n = np.frombuffer(row["two"], "<i8") if len(columns) > 1 else None
                     continue
-                if row["bucket"] == key:
-                    at = np.minimum(np.searchsorted(known, words), len(known) - 1)
-                    there = known[at] == words
-                    mine, uses = np.where(there, of_word[at], classes), np.where(there, n[at], 0)
-                else:
-                    mine, uses = np.full(len(words), classes), np.zeros(len(words), np.int64)
-                out.append((row["chunk"], row["bucket"], mine.astype("<i2").tobytes(), uses.astype("<i8").tobytes() if counts else None))
-            yield _batch(out, schema)
-
-    schema = "chunk long, bucket long, classes binary, uses binary"
-    sent = _met(state, chunks.select("chunk", "words").mapInArrow(ask, _MET)).mapInArrow(answer, schema)
+                at = _places(row["places"]) if row["bucket"] == key else np.zeros(0, np.int64)
+                out.append((row["chunk"], row["bucket"], _squeezed(of_word[at], "<i2"), _squeezed(n[at], "<i8") if n is not None else None))
+            yield _batch(out, "chunk long, bucket long, classes binary, uses binary")
+
+    sent = _met(state, columns, asked).mapInArrow(answer, "chunk long, bucket long, classes binary, uses binary")
     return sent.groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("bucket", "classes", "uses"))).alias("answers"))
 
 
+def _known(row: dict) -> np.ndarray:
+    """Which words of a chunk are in the vocabulary."""
+    found = [_flags(p["flags"]) for p in row["places"] or ()]
+    return np.concatenate(found) if found else np.zeros(0, bool)
+
+
 def _classes(row: dict, classes: int) -> np.ndarray:
-    """The class of each word of a chunk; last, that of an end."""
-    found = [np.frombuffer(a["classes"], "<i2") for a in row["answers"] or ()]
-    return np.concatenate([*found, np.array([classes + 1], "<i2")])
+    """The class of each word of a chunk (words without training tokens are
+    rare); last, that of an end."""
+    known = _known(row)
+    out = np.full(len(known) + 1, classes, np.int16)
+    found = [_spread(a["classes"], "<i2") for a in row["answers"] or ()]
+    out[:-1][known] = np.concatenate(found) if found else 0
+    out[-1] = classes + 1
+    return out
+
+
+def _code(classes: int) -> str:
+    """The type of a class before or after a word."""
+    return "u1" if 2 * (classes + 2) < 256 else "<u2"
+
+
+def _sparse(table: np.ndarray, classes: int) -> tuple[np.ndarray, bytes, bytes, bytes]:
+    """Rows of a table that are not empty: their numbers, and squeezed how many
+    values each has, at which codes, and the values."""
+    at, codes = np.nonzero(table)
+    seen, per = np.unique(at, return_counts=True)
+    return seen, _squeezed(per, "<u2"), _squeezed(codes, _code(classes)), _squeezed(table[at, codes], "<u4" if table.size == 0 or table.max() < 1 << 32 else "<u8")
+
 
+def _values(data: bytes, entries: int) -> np.ndarray:
+    wide = int.from_bytes(data[:8], "little") == 8 * entries and entries > 0
+    return _spread(data, "<u8" if wide else "<u4").astype(np.int64)
 
-def _neighbours(classes: int, bits: int):
+
+def _add(table: np.ndarray, row: dict, classes: int) -> None:
+    per, codes = _spread(row["one"], "<u2"), _spread(row["two"], _code(classes))
+    table[np.repeat(_places(row["places"]), per), codes] += _values(row["three"], len(codes))
+
+
+def _neighbours(classes: int):
     """For each word that has a class, how often each class stands before and
     after it in the training tokens of a chunk, packed by bucket."""
     wide, block = classes + 2, 1 << 15
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
-            words, tokens, sizes, held = _tokens(row)
+            tokens, sizes, held = _tokens(row)
+            known, found = _known(row), [_places(p["places"]) for p in row["places"] or ()]
+            if not len(known):
+                continue
+            placed = np.zeros(len(known), np.int64)
+            placed[known] = np.concatenate(found)
             state = _classes(row, classes)[tokens]
             use = (state < classes) & ~np.repeat(held, sizes)
             place = tokens[use]
             before = np.append(np.int16(classes + 1), state[:-1])[use]
             after = np.append(state[1:], np.int16(classes + 1))[use] + np.int16(wide)
             del tokens, state, use
-            parts = []
-            for low in range(0, len(words), block):
+            entries = []
+            for low in range(0, len(known), block):
                 here = (place >= low) & (place < low + block)
                 at = (place[here] - low) * (2 * wide)
-                seen = np.bincount(at + before[here], minlength=2 * wide * min(block, len(words) - low))
-                seen += np.bincount(at + after[here], minlength=len(seen))
-                found = np.flatnonzero(seen)
-                parts.append((found // (2 * wide) + low, (found % (2 * wide)).astype("<u2"), seen[found].astype("<u4")))
-            if not parts:
-                continue
-            at, codes, n = (np.concatenate(c) for c in zip(*parts))
+                table = np.bincount(at + before[here], minlength=2 * wide * min(block, len(known) - low))
+                table += np.bincount(at + after[here], minlength=len(table))
+                filled = np.flatnonzero(table)
+                entries.append((filled // (2 * wide) + low, filled % (2 * wide), table[filled]))
+            at, codes, n = (np.concatenate(c) for c in zip(*entries))
             seen, first = np.unique(at, return_index=True)
-            first = np.append(first, len(at))
-            per = np.diff(first).astype("<u2")
-            yield _batch(
-                [
-                    (b, 1, None, words[seen[i:j]].tobytes(), per[i:j].tobytes(), codes[first[i] : first[j]].tobytes(), n[first[i] : first[j]].tobytes())
-                    for b, i, j in ((int(_bucket(words[seen[i : i + 1]], bits)[0]), i, j) for i, j in _ranges(_bucket(words[seen], bits)))
-                ],
-                _MET,
-            )
+            first, out, low = np.append(first, len(at)), [], 0
+            for part in row["places"]:
+                size = _size(part["flags"])
+                i, j = np.searchsorted(seen, (low, low + size))
+                low += size
+                if i < j:
+                    cut = slice(first[i], first[j])
+                    out.append((part["bucket"], 1, row["chunk"], _steps(placed[seen[i:j]]), _squeezed(np.diff(first[i : j + 1]), "<u2"), _squeezed(codes[cut], _code(classes)), _squeezed(n[cut], "<u4")))
+            yield _batch(out, _MET)
 
     return count
 
 
+def _combined(classes: int, parts: int):
+    """The sums of the rows of each bucket and part of the chunks."""
+    wide = classes + 2
+
+    def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, table = None, None
+
+        def close() -> pa.RecordBatch:
+            found, *packed = _sparse(table, classes)
+            return _batch([(key[0], 1, key[1], _steps(found), *packed)], _MET)
+
+        for row in _rows(batches):
+            here = row["bucket"], row["chunk"] % parts
+            if here != key:
+                if key is not None:
+                    yield close()
+                key, table = here, np.zeros((0, 2 * wide), np.int64)
+            last = int(_places(row["places"])[-1]) + 1
+            if last > len(table):
+                table = np.concatenate([table, np.zeros((last - len(table), 2 * wide), np.int64)])
+            _add(table, row, classes)
+        if key is not None:
+            yield close()
+
+    return combine
+
+
 def _summed(classes: int):
     """Each bucket's words with the sums of their neighbours; in the bucket -1,
     those of a task's words class by class."""
     wide = classes + 2
 
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pairs, row, table = np.zeros((classes, 2 * wide), np.int64), None, None
+        pairs, bucket, mine, table = np.zeros((classes, 2 * wide), np.int64), None, None, None
 
         def close() -> pa.RecordBatch:
-            mine = np.frombuffer(row["two"], "<i2")
             for k in range(classes):
                 pairs[k] += table[mine == k].sum(axis=0)
             at, codes = np.nonzero(table)
-            per = np.bincount(at, minlength=len(mine)).astype("<u2")
-            return _batch([(row["bucket"], row["words"], row["one"], row["two"], per.tobytes(), codes.astype("<u2").tobytes(), table[at, codes].astype("<i8").tobytes())], _SUMS)
+            per = np.bincount(at, minlength=len(mine))
+            return _batch([(bucket, _squeezed(mine, "<i2"), _squeezed(per, "<u2"), _squeezed(codes, _code(classes)), _squeezed(table[at, codes], "<i8"))], _SUMS)
 
-        for each in _rows(batches):
-            words = np.frombuffer(each["words"], "<u8")
-            if each["kind"] == 0:
-                if row is not None:
+        for row in _rows(batches):
+            if row["kind"] == 0:
+                if bucket is not None:
                     yield close()
-                row, known, table = each, words, np.zeros((len(words), 2 * wide), np.int64)
+                bucket, mine = row["bucket"], _spread(row["one"], "<i2")
+                table = np.zeros((len(mine), 2 * wide), np.int64)
             else:
-                at = np.repeat(np.searchsorted(known, words), np.frombuffer(each["one"], "<u2"))
-                table[at, np.frombuffer(each["two"], "<u2")] += np.frombuffer(each["three"], "<u4")
-        if row is not None:
+                _add(table, row, classes)
+        if bucket is not None:
             yield close()
-        yield _batch([(-1, None, None, None, None, None, pairs.tobytes())], _SUMS)
+        yield _batch([(-1, None, None, None, pairs.tobytes())], _SUMS)
 
     return total
 
 
-def _exchange(chunks: DataFrame, state: DataFrame, bits: int, classes: int, turn: int) -> tuple[DataFrame, float, int]:
+def _exchange(chunks: DataFrame, asked: DataFrame, state: DataFrame, classes: int, turn: int, parts: int) -> tuple[DataFrame, float, int]:
     """One round: half of the words, another half each time, may change. Also
     the log likelihood of the classes before it, and how many words moved."""
     wide, spark = classes + 2, chunks.sparkSession
-    asking = chunks.select("chunk", "words", "tokens", "n_tokens", "held").join(_answers(chunks, state, bits, classes), "chunk", "left")
+    asking = chunks.select("chunk", "tokens", "n_tokens", "held", "places").join(_answers(asked, state, ["classes"]), "chunk", "left")
+    counted = asking.mapInArrow(_neighbours(classes), _MET)
+    if parts > 1:
+        # Counts of many chunks for a bucket are summed up in parts first.
+        part = F.pmod(F.xxhash64("chunk"), F.lit(parts))
+        counted = counted.withColumn("chunk", part).repartition("bucket", "chunk").sortWithinPartitions("bucket", "chunk").mapInArrow(_combined(classes, parts), _MET)
     folder = work_folder(spark, "neighbours")
-    _met(state, asking.mapInArrow(_neighbours(classes, bits), _MET)).mapInArrow(_summed(classes), _SUMS).write.option("compression", "zstd").parquet(folder)
+    _met(state, ["classes"], counted).mapInArrow(_summed(classes), _SUMS).write.parquet(folder)
     summed = spark.read.schema(_SUMS).parquet(folder)
     pairs = np.zeros((classes, 2 * wide))  # class by class
     for row in summed.where("bucket < 0").select("sums").toLocalIterator():
@@ -295,10 +415,11 @@ def _exchange(chunks: DataFrame, state: DataFrame, bits: int, classes: int, turn
 
     def move(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
-            words, mine = np.frombuffer(row["words"], "<u8"), np.frombuffer(row["classes"], "<i2").astype(np.int64)
-            own = np.zeros((len(words), 2 * wide))
-            own[np.repeat(np.arange(len(words)), np.frombuffer(row["per"], "<u2")), np.frombuffer(row["codes"], "<u2")] = np.frombuffer(row["sums"], "<i8")
-            free = np.flatnonzero((mine < classes) & ((words >> np.uint64(17)) % np.uint64(2) == turn % 2))
+            mine = _spread(row["classes"], "<i2").astype(np.int64)
+            own = np.zeros((len(mine), 2 * wide))
+            own[np.repeat(np.arange(len(mine)), _spread(row["per"], "<u2")), _spread(row["codes"], _code(classes))] = _spread(row["sums"], "<i8")
+            # Places follow the words' hashes, so either half is any half.
+            free = np.flatnonzero((mine < classes) & (np.arange(len(mine)) % 2 == turn % 2))
             own, k = own[free], mine[free]
             n, uses = own[:, wide:].sum(axis=1), own.sum(axis=1)
             gains = own @ np.log(pairs + 0.5).T - uses[:, None] * np.log(size + 1)
@@ -307,27 +428,26 @@ def _exchange(chunks: DataFrame, state: DataFrame, bits: int, classes: int, turn
             gains[np.arange(len(k)), k] = (own * rest).sum(axis=1) - uses * np.log(np.maximum(size[k] - n, 0) + 1)
             new = mine.copy()
             new[free] = gains.argmax(axis=1) if len(free) else k
-            yield _batch([(row["bucket"], row["words"], row["counts"], new.astype("<i2").tobytes(), int(np.count_nonzero(new != mine)))], _STATE)
+            yield _batch([(row["bucket"], _squeezed(new, "<i2"), int(np.count_nonzero(new != mine)))], _STATE)
 
     new = settled(summed.where("bucket >= 0").mapInArrow(move, _STATE), "classes")
-    moved = new.agg(F.sum("moved")).first()[0] or 0
-    # Neither the sums nor the shuffles of this round are read again.
+    # The sums of this round are not read again.
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-    spark._jvm.System.gc()
-    return new, likelihood, moved
+    return new, likelihood, new.agg(F.sum("moved")).first()[0] or 0
 
 
-def _exchanged(chunks: DataFrame, state: DataFrame, bits: int, classes: int, rounds: int | None) -> DataFrame:
-    """Rounds until two move less than one word in `FEW`, or gain nothing (words
-    that move at once may undo each other); at most `rounds`, if given."""
-    words = state.agg(F.sum(F.octet_length("words") / 8)).first()[0] or 0
-    seen, moves = [], []
+def _exchanged(chunks: DataFrame, asked: DataFrame, state: DataFrame, words: int, classes: int, rounds: int | None) -> DataFrame:
+    """Rounds until two move less than one word in `FEW`, or leave the likelihood
+    below what it was (words that move at once may undo each other, most of all
+    in the first rounds, of which there are five at least); at most `rounds`,
+    if given."""
+    parts, seen, moves = -(-chunks.count() // PART_CHUNKS), [], []
     while rounds is None or len(seen) < rounds:
-        state, likelihood, moved = _exchange(chunks, state, bits, classes, len(seen))
+        state, likelihood, moved = _exchange(chunks, asked, state, classes, len(seen), parts)
         seen.append(likelihood)
         moves.append(moved)
-        if len(seen) > 2 and (sum(moves[-2:]) * FEW < words or likelihood <= seen[-3]):
+        if len(seen) > 4 and (sum(moves[-2:]) * FEW < words or max(seen[-2:]) <= max(seen[:-2])):
             break
     return state
 
@@ -349,7 +469,7 @@ def _transitions(classes: int):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(contexts * wide, np.int64)
         for row in _rows(batches):
-            words, tokens, sizes, held = _tokens(row)
+            tokens, sizes, held = _tokens(row)
             state = _classes(row, classes)[tokens].astype(np.int64)
             use = ~np.repeat(held, sizes)
             total += np.bincount((_contexts(state, classes) * wide + state)[use], minlength=len(total))
@@ -365,7 +485,7 @@ def _class_sums(classes: int):
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds, total = np.zeros(classes + 1, np.int64), np.zeros(classes + 1, np.int64)
         for row in _rows(batches):
-            mine = np.frombuffer(row["classes"], "<i2")
+            mine = _spread(row["classes"], "<i2")
             kinds += np.bincount(mine, minlength=classes + 1)
             np.add.at(total, mine, np.frombuffer(row["counts"], "<i8"))
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(classes + 1)), pa.array(kinds), pa.array(total)], ["class", "kinds", "n"])
@@ -373,7 +493,55 @@ def _class_sums(classes: int):
     return add
 
 
-def score_documents(docs: DataFrame, classes: int = CLASSES, rounds: int | None = None, least: int = LEAST, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+@dataclass
+class ClassModel:
+    """Chunks of all texts (with the places of their words), the vocabulary by
+    buckets, and the classes of its words."""
+
+    chunks: DataFrame
+    asked: DataFrame
+    words: DataFrame
+    state: DataFrame
+    classes: int
+    ends: int  # training documents
+    tokens: int  # training tokens, ends included
+    kinds: int  # distinct words, and the end if there is one
+
+    def of_words(self) -> DataFrame:
+        """(word, n, class) of the vocabulary, words by their hashes; the class
+        after the last is that of rare words."""
+
+        def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for row in _rows(batches):
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(row["words"], "<i8")), pa.array(np.frombuffer(row["counts"], "<i8")), pa.array(_spread(row["classes"], "<i2").astype(np.int64))], ["word", "n", "class"])
+
+        return self.words.join(self.state, "bucket").mapInArrow(spread, "word long, n long, class long")
+
+
+def train_classes(docs: DataFrame, classes: int | None = None, rounds: int | None = None, least: int = LEAST, id_column: str = "doc_id", text_column: str = "text") -> ClassModel:
+    """Classes of the words of training documents, those whose crc32 of the id
+    as text isn't divisible by ten."""
+    texts = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
+    chunks = settled(texts.mapInArrow(_chunked, _CHUNKS), "chunks")
+    counted = chunks.select(F.explode(F.arrays_zip("words", "counts")).alias("w")).select(F.col("w.words").alias("word"), F.col("w.counts").alias("n"))
+    vocabulary = settled(counted.where("n > 0").groupBy("word").agg(F.sum("n").alias("n")), "vocabulary")
+    ends = chunks.agg(F.sum("ends")).first()[0] or 0
+    kinds, in_words = vocabulary.agg(F.count(F.lit(1)), F.sum("n")).first()
+    classes = classes or max(CLASSES, round(kinds**0.25))
+    bits = max(1, (kinds // BUCKET_WORDS).bit_length())
+    placed = vocabulary.select(F.shiftrightunsigned("word", 64 - bits).alias("bucket"), "word", "n")
+    words = settled(placed.repartition("bucket").sortWithinPartitions("bucket", "word").mapInArrow(_packed, _WORDS), "words")
+    asked = settled(_asked(chunks, words, bits), "asked")
+    of_chunk = asked.groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("bucket", "places", F.col("one").alias("flags")))).alias("places"))
+    chunks = settled(chunks.drop("words", "counts", "ends").join(of_chunk, "chunk", "left"), "placed")
+    asked = asked.withColumn("one", F.lit(None).cast("binary"))
+    state = settled(words.mapInArrow(_first_classes(classes, least), _STATE), "classes")
+    if kinds:
+        state = _exchanged(chunks, asked, state, kinds, classes, rounds)
+    return ClassModel(chunks, asked, words, state, classes, ends, (in_words or 0) + ends, kinds + (ends > 0))
+
+
+def score_documents(docs: DataFrame, classes: int | None = None, rounds: int | None = None, least: int = LEAST, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score (smoothed
     unigrams) and score (the class model), both log10 probabilities of the whole
     text and its end. One row for each input row.
@@ -384,41 +552,33 @@ def score_documents(docs: DataFrame, classes: int = CLASSES, rounds: int | None
     tokens every score is that of an empty model, never an error. The driver
     gets tables of class pairs, no words.
     """
-    texts = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
-    chunks = settled(texts.mapInArrow(_chunked, _CHUNKS), "chunks")
-    counted = chunks.select(F.explode(F.arrays_zip("words", "counts")).alias("w")).select(F.col("w.words").alias("word"), F.col("w.counts").alias("n"))
-    vocabulary = settled(counted.where("n > 0").groupBy("word").agg(F.sum("n").alias("n")), "vocabulary")
-    ends = chunks.agg(F.sum("ends")).first()[0] or 0
-    words, in_words = vocabulary.agg(F.count(F.lit(1)), F.sum("n")).first()
-    total = (in_words or 0) + ends
-    kinds = words + (ends > 0)
-    bits = max(1, (words // BUCKET_WORDS).bit_length())
-    placed = vocabulary.select(F.shiftrightunsigned("word", 64 - bits).alias("bucket"), "word", "n")
-    state = settled(placed.repartition("bucket").sortWithinPartitions("bucket", "word").mapInArrow(_packed(classes, least), _STATE), "classes")
-    if words:
-        state = _exchanged(chunks, state, bits, classes, rounds)
-    answers = settled(_answers(chunks, state, bits, classes, counts=True), "answers")
+    model = train_classes(docs, classes, rounds, least, id_column, text_column)
+    classes, chunks, ends, total = model.classes, model.chunks, model.ends, model.tokens
+    known = settled(_answers(model.asked, model.words.join(model.state, "bucket"), ["classes", "counts"]), "answers")
     wide, contexts = classes + 2, 2 * (classes + 1)
     pairs = np.zeros(contexts * wide)
-    known = chunks.select("chunk", "words", "tokens", "n_tokens", "held").join(answers, "chunk", "left")
-    for pair, n in known.mapInArrow(_transitions(classes), "pair long, n long").groupBy("pair").agg(F.sum("n")).collect():
+    answered = chunks.join(known, "chunk", "left")
+    for pair, n in answered.select("chunk", "tokens", "n_tokens", "held", "places", "answers").mapInArrow(_transitions(classes), "pair long, n long").groupBy("pair").agg(F.sum("n")).collect():
         pairs[pair] = n
     pairs = pairs.reshape(contexts, wide) + ADDED_CLASS
     transitions = np.log10(pairs / pairs.sum(axis=1, keepdims=True))
     sums = np.zeros((classes + 1, 2))
-    for k, *each in state.mapInArrow(_class_sums(classes), "class long, kinds long, n long").groupBy("class").agg(F.sum("kinds"), F.sum("n")).collect():
+    for k, *each in model.words.join(model.state, "bucket").mapInArrow(_class_sums(classes), "class long, kinds long, n long").groupBy("class").agg(F.sum("kinds"), F.sum("n")).collect():
         sums[k] = each
     # Of rare words with room for an unknown one; an end is the only one of its class.
     of_class = np.append(np.log10(np.maximum(sums[:, 1], 1)), 0)
     of_class[classes] = np.log10(sums[classes, 1] + ADDED * (sums[classes, 0] + 1))
-    whole = np.log10(total + ADDED * (kinds + 1))
+    whole = np.log10(total + ADDED * (model.kinds + 1))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
-            words, tokens, sizes, held = _tokens(row)
+            tokens, sizes, held = _tokens(row)
             of_word = _classes(row, classes).astype(np.int64)
             state = of_word[tokens]
-            n = np.concatenate([*(np.frombuffer(a["uses"], "<i8") for a in row["answers"] or ()), [ends]]).astype(np.int64)
+            n = np.zeros(len(of_word), np.int64)
+            uses = [_spread(a["uses"], "<i8") for a in row["answers"] or ()]
+            n[:-1][_known(row)] = np.concatenate(uses) if uses else 0
+            n[-1] = ends
             base = np.log10(n + ADDED) - whole
             word = np.log10(np.where(of_word == classes, n + ADDED, n + (n == 0))) - of_class[of_word]
             word[-1] = 0
@@ -433,5 +593,4 @@ def score_documents(docs: DataFrame, classes: int = CLASSES, rounds: int | None
                 ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
             )
 
-    whole_chunks = chunks.drop("counts", "ends").join(answers, "chunk", "left")
-    return whole_chunks.mapInArrow(score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return answered.mapInArrow(score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
