@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from brightledger.llm.ranks import ranked
 from brightledger.llm.tables import settled
 
 _MARK = r"^(?:>[ \t]?)*"
@@ -54,9 +55,9 @@ def link_quotes(messages: DataFrame, conv_column: str = "conv_id", turn_column:
     root_turn, n_quotes, n_linked, reply_order of each message; one row for each
     input row.
 
-    `reply_order` sorts the messages of a conversation so that each follows what
-    it answers, earlier answers first; sort by conv_id and reply_order to write
-    conversations. A message that quotes nothing known is a root. n_quotes
+    `reply_order` numbers the messages of a conversation from 0 so that each
+    follows what it answers, earlier answers first; sort by conv_id and
+    reply_order to write conversations. A message that quotes nothing known is a root. n_quotes
     counts quoted passages of all levels, n_linked those of which the whole, a
     paragraph or a line has an original of an earlier turn. Null texts are empty; messages without conversation or turn
     are roots and link nothing. Rows that share conversation and turn are one
@@ -80,24 +81,44 @@ def link_quotes(messages: DataFrame, conv_column: str = "conv_id", turn_column:
     linked = found.groupBy("conv_id", "turn", "place", "whole").agg(F.first("level").alias("level"), F.max(F.struct("size", "original"))["original"].alias("original"))
     parents = linked.groupBy("conv_id", "turn").agg(F.max(F.when(c("level") == 1, c("original"))).alias("parent_turn"), F.count(F.lit(1)).alias("n_linked"))
     nodes = cut.where("conv_id is not null and turn is not null").select("conv_id", "turn").distinct().join(parents, ["conv_id", "turn"], "left")
-    paths = _paths(nodes.select("conv_id", "turn", "parent_turn", "n_linked"))
-    code = F.array_join(F.transform("path", lambda t: F.lpad(F.conv(t.cast("string"), 10, 16), 16, "0")), "/")
-    out = cut.join(paths, ["conv_id", "turn"], "left").withColumn("path", F.coalesce("path", F.array("turn")))
-    return out.select(
-        "conv_id", "turn", "role", "text", "parent_turn", (F.size("path") - 1).cast("long").alias("depth"), F.get("path", F.lit(0)).alias("root_turn"),
-        F.size("quoted").cast("long").alias("n_quotes"), F.coalesce("n_linked", F.lit(0)).cast("long").alias("n_linked"), code.alias("reply_order"),
+    placed = _ordered(settled(nodes.select("conv_id", "turn", "parent_turn", "n_linked"), "nodes"))
+    none = F.lit(0).cast("long")
+    return cut.join(placed, ["conv_id", "turn"], "left").select(
+        "conv_id", "turn", "role", "text", "parent_turn", F.coalesce("depth", none).alias("depth"), F.coalesce("root_turn", "turn").alias("root_turn"),
+        F.size("quoted").cast("long").alias("n_quotes"), F.coalesce("n_linked", none).cast("long").alias("n_linked"), F.coalesce("reply_order", none).alias("reply_order"),
     )
 
 
-def _paths(nodes: DataFrame) -> DataFrame:
-    """The turns from the root to each message. Each round joins the paths that
-    have not reached a root with those that end where they begin, so paths
-    double: a chain of n answers takes log n rounds, and a round costs as many
-    rows as are still open. A path is as long as its chain of answers."""
-    paths = settled(nodes.withColumn("path", F.array("turn")).withColumn("next", F.col("parent_turn")), "paths")
-    while paths.where("next is not null").limit(1).count():
-        above = paths.select("conv_id", F.col("turn").alias("next"), F.col("path").alias("head"), F.col("next").alias("further"))
-        longer = paths.where("next is not null").join(above, ["conv_id", "next"])
-        longer = longer.select("conv_id", "turn", "parent_turn", "n_linked", F.concat("head", "path").alias("path"), F.col("further").alias("next"))
-        paths = settled(paths.where("next is null").unionByName(longer), "paths")
-    return paths.drop("next")
+def _followed(links: DataFrame) -> DataFrame:
+    """(conv_id, turn, end, steps): where following `next` from each message
+    ends, and after how many steps. Each round joins what has not ended with
+    what it points to, so steps double: a chain of n takes log n rounds. A row
+    has a fixed size, however long its chain."""
+    rows = settled(links.select("conv_id", "turn", "next", F.col("turn").alias("end"), F.lit(0).cast("long").alias("steps")), "links")
+    while rows.where("next is not null").limit(1).count():
+        ahead = rows.select("conv_id", F.col("turn").alias("next"), F.col("next").alias("further"), F.col("end").alias("new_end"), F.col("steps").alias("more"))
+        moved = rows.where("next is not null").join(ahead, ["conv_id", "next"])
+        moved = moved.select("conv_id", "turn", F.col("further").alias("next"), F.col("new_end").alias("end"), (F.col("steps") + 1 + F.col("more")).alias("steps"))
+        rows = settled(rows.where("next is null").unionByName(moved), "links")
+    return rows.drop("next")
+
+
+def _ordered(nodes: DataFrame) -> DataFrame:
+    """The nodes with depth, root_turn and reply_order.
+
+    A message comes right after its parent if it is the first answer, else after
+    the last message below the answer before it. The last one below is found by
+    following last answers; how many messages come before, by following these
+    predecessors. Answers of one message are numbered by ranges, so a message
+    with any number of them is no single task.
+    """
+    c, keys = F.col, ["conv_id", "turn"]
+    roots = _followed(nodes.select(*keys, c("parent_turn").alias("next"))).select(*keys, c("end").alias("root_turn"), c("steps").alias("depth"))
+    newest = nodes.where("parent_turn is not null").groupBy("conv_id", c("parent_turn").alias("turn")).agg(F.max("turn").alias("next"))
+    ends = _followed(nodes.select(*keys).join(newest, keys, "left")).select("conv_id", c("turn").alias("before"), c("end").alias("last"))
+    family = F.concat(c("conv_id").cast("string"), F.lit(":"), F.coalesce(c("parent_turn").cast("string"), F.lit("")))
+    answers = ranked(nodes.select(*keys, "parent_turn", family.alias("family")), "family", ["turn"], "answers")
+    earlier = answers.select("family", (c("place") + 1).alias("place"), c("turn").alias("before"))
+    before = answers.join(earlier, ["family", "place"], "left").join(ends, ["conv_id", "before"], "left")
+    numbered = _followed(before.select(*keys, F.coalesce("last", "parent_turn").alias("next"))).select(*keys, c("steps").alias("reply_order"))
+    return nodes.join(roots, keys).join(numbered, keys)

@@ -5,13 +5,14 @@ import random
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from brightledger.llm import class_lm, queries
 from brightledger.llm.class_lm import score_documents
-from brightledger.llm.quotes import link_quotes
+from brightledger.llm.quotes import _ordered, link_quotes
 from tests.llm.helpers import LOW, SPACED, documents, texts
 from tests.llm.test_duplicates import _linked, _removed
 from tests.llm.test_quality_and_benchmarks import _contaminated
@@ -33,6 +34,57 @@ def test_base_scores(spark, monkeypatch):
     assert all(math.isfinite(r.score) and r.train_tokens == 0 for r in score_documents(documents(spark, only_held)).collect())
 
 
+def test_scores_from_the_classes_of_words(spark, monkeypatch):
+    monkeypatch.setattr(class_lm, "CHUNK_TOKENS", 400)
+    monkeypatch.setattr(class_lm, "PART_CHUNKS", 2)
+    monkeypatch.setattr(class_lm, "BUCKET_WORDS", 40)
+    rows = [*enumerate(texts(90, 12)), (3, "one two"), (None, "one")]
+    docs, k = documents(spark, rows).coalesce(1), 3
+    model = class_lm.train_classes(docs, classes=k, rounds=3)
+    of_hash = {r.word: (r.n, r["class"]) for r in model.of_words().collect()}
+    held = lambda d: zlib.crc32(b"" if d is None else str(d).encode()) % 10 == 0
+    tokens = [(d, SPACED.findall((t or "").translate(LOW))) for d, t in rows]
+    counts = Counter(w for d, ws in tokens if not held(d) for w in ws)
+    hashes = lambda w: int(class_lm.word_hashes(np.frombuffer(w.encode(), np.uint8), np.array([0]), np.array([len(w.encode())])).view(np.int64)[0])
+    assert {hashes(w): n for w, n in counts.items()} == {w: n for w, (n, _) in of_hash.items()}
+    of_word = {w: of_hash[hashes(w)][1] for w in counts}
+    assert all((of_word[w] == k) == (n < 2) for w, n in counts.items()) and set(of_word.values()) <= set(range(k + 1))
+    rare, end = k, k + 1
+    follow, sums, kinds = Counter(), Counter(), Counter(of_word.values())
+    for w, n in counts.items():
+        sums[of_word[w]] += n
+
+    def contexts(ws):
+        """(context, class) of each token and the end."""
+        last, gap, out = end, False, []
+        for w in [*ws, None]:
+            c = end if w is None else of_word.get(w, rare)
+            out.append(((last if last != end else "start", gap), c))
+            last, gap = (last, True) if c == rare else (c, False)
+        return out
+
+    for d, ws in tokens:
+        if not held(d):
+            follow.update(contexts(ws))
+    seen = Counter()
+    for (context, _), n in follow.items():
+        seen[context] += n
+
+    def score(ws):
+        total = 0.0
+        for w, (context, c) in zip([*ws, None], contexts(ws)):
+            total += math.log10((follow[context, c] + 0.1) / (seen[context] + 0.1 * (k + 2)))
+            if c == rare:
+                total += math.log10((counts[w] + 0.1) / (sums[rare] + 0.1 * (kinds[rare] + 1)))
+            elif w is not None:
+                total += math.log10(counts[w] / sums[c])
+        return round(total, 6)
+
+    got = score_documents(docs, classes=k, rounds=3).collect()
+    have, want = sorted((str(r.doc_id), r.score) for r in got), sorted((str(d), score(ws)) for d, ws in tokens)
+    assert [d for d, _ in have] == [d for d, _ in want] and [x for _, x in have] == pytest.approx([x for _, x in want], abs=1e-5)
+
+
 def test_classes_help_on_held_out_texts(spark):
     rng = random.Random(9)
     tongues = [[f"{p}{i}" for i in range(40)] for p in "xyz"]
@@ -103,8 +155,30 @@ def test_quoted_parts_are_linked(spark):
     assert (got[4].n_quotes, got[4].n_linked) == (2, 1) and (got[7].n_quotes, got[7].n_linked) == (1, 1)
 
 
+def test_long_chains_and_wide_threads_are_ordered(spark):
+    rng = random.Random(4)
+    parent = {0: None}
+    for t in range(1, 900):
+        # A chain of 600 answers, then answers to anything, some with no parent.
+        parent[t] = t - 1 if t < 600 else rng.choice([None, rng.randrange(t), 3])
+    nodes = spark.createDataFrame([(c, t, p, 0) for c in (1, 2) for t, p in parent.items()], "conv_id long, turn long, parent_turn long, n_linked long")
+    got = {(r.conv_id, r.turn): r for r in _ordered(nodes.repartition(3)).collect()}
+    answers = {}
+    for t, p in parent.items():
+        answers.setdefault(p, []).append(t)
+    order, open_ = [], [(t, 0, t) for t in reversed(answers[None])]
+    while open_:
+        t, depth, root = open_.pop()
+        order.append((t, depth, root))
+        open_ += [(a, depth + 1, root) for a in reversed(answers.get(t, []))]
+    for c in (1, 2):
+        for i, (t, depth, root) in enumerate(order):
+            r = got[c, t]
+            assert (r.reply_order, r.depth, r.root_turn) == (i, depth, root)
+
+
 def test_every_operator_has_a_query():
-    names = {f"op{n}" for n in range(1, 11)}
+    names = {f"op{n}" for n in range(1, 14)}
     assert {n.split("_")[0] for n in queries.QUERIES} == names and [n for n, _ in corpus_pipeline.STAGES][1] == "near duplicates"
 
 
