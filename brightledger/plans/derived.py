@@ -32,15 +32,17 @@ def derive_dataset(
     derived_id: str,
     created_by: str,
     lineage: DataFrame | None = None,
+    lineage_root: str | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """(dataset, its lineage row). The join is written once under `root` and
     read back, so later passes scan columns instead of joining again; its lineage
-    row is kept there, too. Where the lineage (by default that of `root`) already
-    holds the same join, that dataset is read instead.
+    row is kept there, too. Where the lineage (by default that of `lineage_root`,
+    or else of `root`) already holds the same join, that dataset is read from
+    where the lineage is kept.
     """
     spark = left.sparkSession
     if lineage is None:
-        lineage = read_lineage(spark, root)
+        lineage = read_lineage(spark, lineage_root or root)
     keys = "left_id string, left_column string, right_id string, right_column string, join_type string"
     request = small_frame(spark, [(spec.left_name, spec.left_key, spec.right_name, spec.right_key, spec.how)], keys)
     existing = find_existing_join(lineage, request).first()["existing_id"]
@@ -48,9 +50,9 @@ def derive_dataset(
         write_dataset(safe_join(left, right, spec), root, derived_id)
         made = lineage_row(spark, derived_id, spec.left_name, spec.right_name, spec, created_by)
         made.write.mode("append").parquet(dataset_path(root, LINEAGE))
-        existing = derived_id
+        existing, lineage_root = derived_id, root
     row = lineage_row(spark, existing, spec.left_name, spec.right_name, spec, created_by)
-    return read_dataset(spark, root, existing), row
+    return read_dataset(spark, lineage_root or root, existing), row
 
 
 def derive_profiled(

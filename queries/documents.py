@@ -11,6 +11,7 @@ from brightledger.operators.search import (
     with_fallback,
 )
 from brightledger.operators.text import chunk, document_summary, extract_html, segment_text
+from brightledger.operators.vector_index import build_vector_index, search_index
 from brightledger.session import load_table
 from queries import query
 
@@ -204,6 +205,43 @@ def e3_search_embeddings(spark, d):
     return _vector_hits(spark, d)
 
 
+_NEAR = """hits AS (SELECT a.vec_id AS query_id, b.vec_id AS chunk_id, list_cosine_similarity(CAST(b.embedding AS DOUBLE[]), CAST(a.embedding AS DOUBLE[])) AS score
+    FROM embeddings AS a, embeddings AS b WHERE a.vec_id % 20 = 0),
+  top AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS INTEGER) AS rank, chunk_id, round(score, 4) AS relevance_score FROM hits WHERE score > 0)"""
+
+
+def _asked_vectors(vectors):
+    return vectors.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+
+
+@query("e3_nearest_vectors", f"WITH {_NEAR} SELECT * FROM top WHERE rank <= 5")
+def e3_nearest_vectors(spark, d):
+    """The vectors nearest to each whose id is divisible by 20, all compared."""
+    vectors = load_table(spark, d, "embeddings")
+    return search_embeddings(vectors, "vec_id", "embedding", _asked_vectors(vectors), 5)
+
+
+@query("e3_search_index")
+def e3_search_index(spark, d):
+    """The same through an inverted file; tests hold its recall against all pairs."""
+    vectors = load_table(spark, d, "embeddings")
+    return search_index(build_vector_index(vectors, "vec_id", "embedding"), _asked_vectors(vectors), 5)
+
+
+_ASKED_DOCUMENTS = _ASKED[_ASKED.index("qw AS"):]
+
+
+@query(
+    "e2_search_documents",
+    f"WITH {_SRC}, {_TERMS}, q AS (SELECT doc_id AS query_id, text AS phrase FROM documents WHERE doc_id % 20 = 0), {_ASKED_DOCUMENTS} SELECT * FROM rk WHERE rank <= 5",
+)
+def e2_search_documents(spark, d):
+    """The documents most like each whose id is divisible by 20, by their words."""
+    vocab, postings = _index(spark, d)
+    asked = load_table(spark, d, "documents").filter("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), F.col("text").alias("query"))
+    return search_text(vocab, postings, asked, 5, STOP_WORDS)
+
+
 def _letter_counts(texts):
     return [[float(len(t)), float(t.count("e")), float(t.count("\n"))] for t in texts]
 
