@@ -11,7 +11,7 @@ from brightledger.llm.near_dup import near_duplicates
 from brightledger.llm.packing import pack
 from brightledger.llm.quality import judge_quality
 from brightledger.llm.suffix_dedup import remove_repeats
-from brightledger.llm.tables import settled
+from brightledger.llm.tables import settled, whole_row
 from brightledger.llm.url_filter import not_listed
 from brightledger.session import load_table, ship_package
 
@@ -32,7 +32,7 @@ def near_dup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     repeated = settled(judged.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
     if not repeated.limit(1).count():
         return kept
-    once = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).select(*docs.columns)
+    once = kept.select("doc_id", "text", whole_row(kept)).join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).select("row.*")
     return not_listed(kept, "doc_id", repeated).unionByName(once)
 
 
