@@ -51,22 +51,31 @@ _MET = "bucket long, kind int, chunk long, places binary, one binary, two binary
 _SUMS = "bucket long, classes binary, per binary, codes binary, sums binary"
 
 
-def _squeezed(values: np.ndarray, dtype: str) -> bytes:
-    raw = values.astype(dtype).tobytes()
-    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+def _squeezed(values: np.ndarray) -> bytes:
+    """Numbers from 0 up in the least width that holds them all; many small
+    arrays leave a task, and the shuffle compresses them together."""
+    most = int(values.max()) if len(values) else 0
+    width = next(w for w in (1, 2, 4, 8) if most < 1 << 8 * w)
+    return bytes([width]) + values.astype(f"<u{width}").tobytes()
+
 
+def _spread(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, f"<u{data[0]}", offset=1)
 
-def _spread(data: bytes, dtype: str) -> np.ndarray:
-    return np.frombuffer(pa.decompress(data[8:], int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True), dtype)
+
+def _compressed(tokens: np.ndarray) -> bytes:
+    """The tokens of a chunk, which travel each round."""
+    raw = tokens.astype("<u4").tobytes()
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
 
 
 def _steps(places: np.ndarray) -> bytes:
     """Places in ascending order, by their distances."""
-    return _squeezed(np.diff(places, prepend=0), "<u4")
+    return _squeezed(np.diff(places, prepend=0))
 
 
 def _places(data: bytes) -> np.ndarray:
-    return np.cumsum(_spread(data, "<u4"), dtype=np.int64)
+    return np.cumsum(_spread(data), dtype=np.int64)
 
 
 def _names(schema: str) -> list[str]:
@@ -100,7 +109,7 @@ def _chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             [
                 pa.array([(task << 32) + made], pa.int64()), pa.array([np.array([i or 0 for i in ids], np.int64).tobytes()]), pa.array([np.array([i is not None for i in ids], bool).tobytes()]),
                 pa.array([held.tobytes()]), pa.array([(counts + 1).tobytes()]), pa.array([words.view(np.int64)], pa.list_(pa.int64())), pa.array([seen], pa.list_(pa.int64())),
-                pa.array([tokens.astype("<u4").tobytes()]), pa.array([int(np.count_nonzero(~held))], pa.int64()),
+                pa.array([_compressed(tokens)]), pa.array([int(np.count_nonzero(~held))], pa.int64()),
             ],
             [c.split()[0] for c in _CHUNKS.split(", ")],
         )
@@ -123,7 +132,9 @@ def _chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _tokens(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Tokens, tokens of each document, and which documents are held out."""
-    return np.frombuffer(row["tokens"], "<u4").astype(np.int64), np.frombuffer(row["n_tokens"], np.int64), np.frombuffer(row["held"], bool)
+    raw = row["tokens"]
+    tokens = np.frombuffer(pa.decompress(raw[8:], int.from_bytes(raw[:8], "little"), codec="zstd"), "<u4")
+    return tokens.astype(np.int64), np.frombuffer(row["n_tokens"], np.int64), np.frombuffer(row["held"], bool)
 
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
@@ -181,7 +192,7 @@ def _first_classes(classes: int, least: int):
         for row in _rows(batches):
             words, n = np.frombuffer(row["words"], "<u8"), np.frombuffer(row["counts"], "<i8")
             mine = np.where(n >= least, (words >> np.uint64(7)) % np.uint64(classes), classes)
-            yield _batch([(row["bucket"], _squeezed(mine, "<i2"), 0)], _STATE)
+            yield _batch([(row["bucket"], _squeezed(mine), 0)], _STATE)
 
     return first
 
@@ -218,7 +229,7 @@ def _asked(chunks: DataFrame, words: DataFrame, bits: int) -> DataFrame:
                 there = np.zeros(len(mine), bool)
                 inside = at < len(here)
                 there[inside] = here[at[inside]] == mine[inside]
-                out.append((row["bucket"], 1, row["chunk"], _steps(at[there]), _squeezed(np.packbits(there), "u1") + len(mine).to_bytes(4, "little"), None, None))
+                out.append((row["bucket"], 1, row["chunk"], _steps(at[there]), _squeezed(np.packbits(there)) + len(mine).to_bytes(4, "little"), None, None))
             yield _batch(out, _MET)
 
     return _met(words, ["words"], chunks.select("chunk", "words").mapInArrow(ask, _MET)).mapInArrow(answer, _MET)
@@ -229,7 +240,7 @@ def _size(data: bytes) -> int:
 
 
 def _flags(data: bytes) -> np.ndarray:
-    return np.unpackbits(_spread(data[:-4], "u1"), count=_size(data)).astype(bool)
+    return np.unpackbits(_spread(data[:-4]), count=_size(data)).astype(bool)
 
 
 def _answers(asked: DataFrame, state: DataFrame, columns: list[str]) -> DataFrame:
@@ -242,11 +253,11 @@ def _answers(asked: DataFrame, state: DataFrame, columns: list[str]) -> DataFram
             out = []
             for row in _rows([batch]):
                 if row["kind"] == 0:
-                    key, of_word = row["bucket"], _spread(row["one"], "<i2")
+                    key, of_word = row["bucket"], _spread(row["one"])
                     n = np.frombuffer(row["two"], "<i8") if len(columns) > 1 else None
                     continue
                 at = _places(row["places"]) if row["bucket"] == key else np.zeros(0, np.int64)
-                out.append((row["chunk"], row["bucket"], _squeezed(of_word[at], "<i2"), _squeezed(n[at], "<i8") if n is not None else None))
+                out.append((row["chunk"], row["bucket"], _squeezed(of_word[at]), _squeezed(n[at]) if n is not None else None))
             yield _batch(out, "chunk long, bucket long, classes binary, uses binary")
 
     sent = _met(state, columns, asked).mapInArrow(answer, "chunk long, bucket long, classes binary, uses binary")
@@ -264,33 +275,22 @@ def _classes(row: dict, classes: int) -> np.ndarray:
     rare); last, that of an end."""
     known = _known(row)
     out = np.full(len(known) + 1, classes, np.int16)
-    found = [_spread(a["classes"], "<i2") for a in row["answers"] or ()]
+    found = [_spread(a["classes"]) for a in row["answers"] or ()]
     out[:-1][known] = np.concatenate(found) if found else 0
     out[-1] = classes + 1
     return out
 
 
-def _code(classes: int) -> str:
-    """The type of a class before or after a word."""
-    return "u1" if 2 * (classes + 2) < 256 else "<u2"
-
-
-def _sparse(table: np.ndarray, classes: int) -> tuple[np.ndarray, bytes, bytes, bytes]:
+def _sparse(table: np.ndarray) -> tuple[np.ndarray, bytes, bytes, bytes]:
     """Rows of a table that are not empty: their numbers, and squeezed how many
     values each has, at which codes, and the values."""
     at, codes = np.nonzero(table)
     seen, per = np.unique(at, return_counts=True)
-    return seen, _squeezed(per, "<u2"), _squeezed(codes, _code(classes)), _squeezed(table[at, codes], "<u4" if table.size == 0 or table.max() < 1 << 32 else "<u8")
-
-
-def _values(data: bytes, entries: int) -> np.ndarray:
-    wide = int.from_bytes(data[:8], "little") == 8 * entries and entries > 0
-    return _spread(data, "<u8" if wide else "<u4").astype(np.int64)
+    return seen, _squeezed(per), _squeezed(codes), _squeezed(table[at, codes])
 
 
-def _add(table: np.ndarray, row: dict, classes: int) -> None:
-    per, codes = _spread(row["one"], "<u2"), _spread(row["two"], _code(classes))
-    table[np.repeat(_places(row["places"]), per), codes] += _values(row["three"], len(codes))
+def _add(table: np.ndarray, row: dict) -> None:
+    table[np.repeat(_places(row["places"]), _spread(row["one"])), _spread(row["two"])] += _spread(row["three"]).astype(np.int64)
 
 
 def _neighbours(classes: int):
@@ -329,7 +329,7 @@ def _neighbours(classes: int):
                 low += size
                 if i < j:
                     cut = slice(first[i], first[j])
-                    out.append((part["bucket"], 1, row["chunk"], _steps(placed[seen[i:j]]), _squeezed(np.diff(first[i : j + 1]), "<u2"), _squeezed(codes[cut], _code(classes)), _squeezed(n[cut], "<u4")))
+                    out.append((part["bucket"], 1, row["chunk"], _steps(placed[seen[i:j]]), _squeezed(np.diff(first[i : j + 1])), _squeezed(codes[cut]), _squeezed(n[cut])))
             yield _batch(out, _MET)
 
     return count
@@ -343,7 +343,7 @@ def _combined(classes: int, parts: int):
         key, table = None, None
 
         def close() -> pa.RecordBatch:
-            found, *packed = _sparse(table, classes)
+            found, *packed = _sparse(table)
             return _batch([(key[0], 1, key[1], _steps(found), *packed)], _MET)
 
         for row in _rows(batches):
@@ -355,7 +355,7 @@ def _combined(classes: int, parts: int):
             last = int(_places(row["places"])[-1]) + 1
             if last > len(table):
                 table = np.concatenate([table, np.zeros((last - len(table), 2 * wide), np.int64)])
-            _add(table, row, classes)
+            _add(table, row)
         if key is not None:
             yield close()
 
@@ -375,16 +375,16 @@ def _summed(classes: int):
                 pairs[k] += table[mine == k].sum(axis=0)
             at, codes = np.nonzero(table)
             per = np.bincount(at, minlength=len(mine))
-            return _batch([(bucket, _squeezed(mine, "<i2"), _squeezed(per, "<u2"), _squeezed(codes, _code(classes)), _squeezed(table[at, codes], "<i8"))], _SUMS)
+            return _batch([(bucket, _squeezed(mine), _squeezed(per), _squeezed(codes), _squeezed(table[at, codes]))], _SUMS)
 
         for row in _rows(batches):
             if row["kind"] == 0:
                 if bucket is not None:
                     yield close()
-                bucket, mine = row["bucket"], _spread(row["one"], "<i2")
+                bucket, mine = row["bucket"], _spread(row["one"])
                 table = np.zeros((len(mine), 2 * wide), np.int64)
             else:
-                _add(table, row, classes)
+                _add(table, row)
         if bucket is not None:
             yield close()
         yield _batch([(-1, None, None, None, pairs.tobytes())], _SUMS)
@@ -415,9 +415,9 @@ def _exchange(chunks: DataFrame, asked: DataFrame, state: DataFrame, classes: in
 
     def move(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
-            mine = _spread(row["classes"], "<i2").astype(np.int64)
+            mine = _spread(row["classes"]).astype(np.int64)
             own = np.zeros((len(mine), 2 * wide))
-            own[np.repeat(np.arange(len(mine)), _spread(row["per"], "<u2")), _spread(row["codes"], _code(classes))] = _spread(row["sums"], "<i8")
+            own[np.repeat(np.arange(len(mine)), _spread(row["per"])), _spread(row["codes"])] = _spread(row["sums"])
             # Places follow the words' hashes, so either half is any half.
             free = np.flatnonzero((mine < classes) & (np.arange(len(mine)) % 2 == turn % 2))
             own, k = own[free], mine[free]
@@ -428,7 +428,7 @@ def _exchange(chunks: DataFrame, asked: DataFrame, state: DataFrame, classes: in
             gains[np.arange(len(k)), k] = (own * rest).sum(axis=1) - uses * np.log(np.maximum(size[k] - n, 0) + 1)
             new = mine.copy()
             new[free] = gains.argmax(axis=1) if len(free) else k
-            yield _batch([(row["bucket"], _squeezed(new, "<i2"), int(np.count_nonzero(new != mine)))], _STATE)
+            yield _batch([(row["bucket"], _squeezed(new), int(np.count_nonzero(new != mine)))], _STATE)
 
     new = settled(summed.where("bucket >= 0").mapInArrow(move, _STATE), "classes")
     # The sums of this round are not read again.
@@ -485,7 +485,7 @@ def _class_sums(classes: int):
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds, total = np.zeros(classes + 1, np.int64), np.zeros(classes + 1, np.int64)
         for row in _rows(batches):
-            mine = _spread(row["classes"], "<i2")
+            mine = _spread(row["classes"])
             kinds += np.bincount(mine, minlength=classes + 1)
             np.add.at(total, mine, np.frombuffer(row["counts"], "<i8"))
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(classes + 1)), pa.array(kinds), pa.array(total)], ["class", "kinds", "n"])
@@ -513,7 +513,7 @@ class ClassModel:
 
         def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for row in _rows(batches):
-                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(row["words"], "<i8")), pa.array(np.frombuffer(row["counts"], "<i8")), pa.array(_spread(row["classes"], "<i2").astype(np.int64))], ["word", "n", "class"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(row["words"], "<i8")), pa.array(np.frombuffer(row["counts"], "<i8")), pa.array(_spread(row["classes"]).astype(np.int64))], ["word", "n", "class"])
 
         return self.words.join(self.state, "bucket").mapInArrow(spread, "word long, n long, class long")
 
@@ -576,7 +576,7 @@ def score_documents(docs: DataFrame, classes: int | None = None, rounds: int | N
             of_word = _classes(row, classes).astype(np.int64)
             state = of_word[tokens]
             n = np.zeros(len(of_word), np.int64)
-            uses = [_spread(a["uses"], "<i8") for a in row["answers"] or ()]
+            uses = [_spread(a["uses"]) for a in row["answers"] or ()]
             n[:-1][_known(row)] = np.concatenate(uses) if uses else 0
             n[-1] = ends
             base = np.log10(n + ADDED) - whole
