@@ -51,10 +51,11 @@ def io1_mixed_files(spark, d):
         FROM (SELECT lang, doc_id, regexp_replace(coalesce(text, ''), '\\s+$', '') AS t FROM documents)) GROUP BY 1""",
 )
 def io1_quoted_line_breaks(spark, d):
-    """All documents as quoted cells with their line breaks, in files of several splits."""
+    """All documents as quoted cells with their line breaks, a file for each
+    task that reads them; files longer than a split are cut."""
     path = work_folder(spark, "delimited")
     docs = load_table(spark, d, "documents").select("doc_id", F.regexp_replace(F.coalesce("text", F.lit("")), r"\s+$", "").alias("text"), "lang")
-    docs.coalesce(2).write.option("header", True).option("escape", '"').option("quoteAll", True).csv(path)
+    docs.write.option("header", True).option("escape", '"').option("quoteAll", True).csv(path)
     breaks = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit("")))
     return read_delimited(spark, path, multiline=True).frame.groupBy("lang").agg(
         F.count(F.lit(1)).alias("row_count"), F.sum("doc_id").alias("ids"), F.sum(F.length("text")).alias("characters"), F.sum(breaks).alias("breaks")

@@ -65,3 +65,25 @@ def test_quoted_header_and_types(spark, tmp_path):
     assert read_delimited(spark, _write(tmp_path / "e.csv", rows[:1]), multiline=True).warnings == ["a header but no data rows"]
     typed = read_delimited(spark, _write(tmp_path / "t.csv", [("k", "v"), ("1", "p\nq")]), multiline=True, schema="k long, v string")
     assert typed.frame.collect() == [(1, "p\nq")]
+
+
+def test_quoted_line_break_query_writes_a_file_a_task(spark, tmp_path):
+    """Few tasks that each write much would read much, too."""
+    from queries.intake import io1_quoted_line_breaks
+
+    docs = spark.createDataFrame([(i, f'one "{i}"\ntwo, three\n', "en" if i % 2 else None) for i in range(60)], "doc_id long, text string, lang string")
+    docs.repartition(6).write.parquet(f"{tmp_path}/documents.parquet")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1k")
+    seen = []
+    try:
+        import queries.intake as intake
+
+        kept = intake.read_delimited
+        intake.read_delimited = lambda spark, path, **more: seen.append(spark.read.text(path).inputFiles()) or kept(spark, path, **more)
+        rows = io1_quoted_line_breaks(spark, str(tmp_path)).collect()
+    finally:
+        intake.read_delimited = kept
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert sum(r["row_count"] for r in rows) == 60 and sum(r["breaks"] for r in rows) == 60
+    assert len(seen[0]) > 2
