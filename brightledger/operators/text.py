@@ -6,11 +6,12 @@ until the last step spreads them out.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from html.parser import HTMLParser
 from itertools import accumulate
+from typing import Any
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +19,10 @@ CHUNK_CHARS = 800
 OVERLAP_CHARS = 100
 
 SEGMENTS = "array<struct<text:string,heading:string,line_start:int,line_end:int>>"
+_PARTS = pa.list_(pa.struct([("text", pa.string()), ("heading", pa.string()), ("line_start", pa.int32()), ("line_end", pa.int32())]))
+#: Characters of segments that a Python task hands over at a time, and what a
+#: segment counts beside its text.
+SLICE_CHARS, PART_CHARS = 1 << 20, 200
 
 # Heading lines of markdown and of Python code, ends of lines.
 TITLES = {"txt": None, "md": r"(?U)^#{1,6}\s+(.*)$", "py": r"(?U)^(def|class)\s+(\w+)"}
@@ -27,17 +32,25 @@ BLANKS = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B
 LINE_END = r"\r\n|[\n\r\x0B\f\x1C-\x1E\x85\u2028\u2029]"
 
 
-def _map_texts(df: DataFrame, id_column: str, text_column: str, split: Callable[[str], list[tuple]]) -> DataFrame:
-    """(id, segments) from a per-document function, in Arrow batches."""
+def _map_rows(df: DataFrame, id_column: str, column: str, split: Callable[[Any], list[dict]]) -> DataFrame:
+    """(id, segments) from a function of one row's value, in Arrow batches."""
     schema = f"`{id_column}` {df.schema[id_column].dataType.simpleString()}, segments {SEGMENTS}"
+    return df.select(id_column, column).mapInArrow(lambda batches: _in_slices(batches, split), schema)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = ("text", "heading", "line_start", "line_end")
-        for batch in batches:
-            parts = [[dict(zip(names, part)) for part in split(text or "")] for text in batch[text_column]]
-            yield pd.DataFrame({id_column: batch[id_column], "segments": parts})
 
-    return df.select(id_column, text_column).mapInPandas(run, schema)
+def _in_slices(batches: Iterable[pa.RecordBatch], split: Callable[[Any], list[dict]]) -> Iterator[pa.RecordBatch]:
+    """Rows become Python objects one at a time and leave as soon as their
+    segments hold `SLICE_CHARS`, however many rows a batch has."""
+    for batch in batches:
+        ids, values = batch.columns
+        held: list[list[dict]] = []
+        low = size = 0
+        for i in range(batch.num_rows):
+            held.append(split(values[i].as_py()))
+            size += sum(len(part["text"]) + PART_CHARS for part in held[-1])
+            if size >= SLICE_CHARS or i + 1 == batch.num_rows:
+                yield pa.RecordBatch.from_arrays([ids.slice(low, len(held)), pa.array(held, _PARTS)], [batch.schema.names[0], "segments"])
+                held, low, size = [], i + 1, 0
 
 
 # --- plain text, markdown, code -----------------------------------------------------
@@ -130,13 +143,20 @@ def _title(line: Column, kind: str) -> Column:
 # --- HTML ---------------------------------------------------------------------------
 
 
-def extract_html(df: DataFrame, id_column: str, html_column: str) -> DataFrame:
+def extract_html(df: DataFrame, id_column: str, html_column: str, merged: bool = False) -> DataFrame:
     """Paragraphs, list items and tables with their heading, as an array.
 
     Scripts, styles, templates and comments are dropped. Where no heading came
-    before, line_start and line_end hold the element's number.
+    before, line_start and line_end hold the element's number. With `merged`
+    neighbours are joined as `merge_neighbours` does, in the same pass.
     """
-    return _map_texts(df, id_column, html_column, html_blocks)
+    names = ("text", "heading", "line_start", "line_end")
+
+    def split(html: str | None) -> list[dict]:
+        parts = [dict(zip(names, part)) for part in html_blocks(html or "")]
+        return _merged(parts) if merged else parts
+
+    return _map_rows(df, id_column, html_column, split)
 
 
 _DROPPED = {"script", "style", "noscript", "template"}
@@ -249,14 +269,7 @@ def html_blocks(html: str) -> list[tuple]:
 
 def merge_neighbours(df: DataFrame, id_column: str) -> DataFrame:
     """X9, first half: neighbours with the same location joined up to 800 characters."""
-    schema = f"`{id_column}` {df.schema[id_column].dataType.simpleString()}, segments {SEGMENTS}"
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            batch["segments"] = [_merged(list(parts)) for parts in batch["segments"]]
-            yield batch
-
-    return df.select(id_column, "segments").mapInPandas(run, schema)
+    return _map_rows(df, id_column, "segments", _merged)
 
 
 def _merged(parts: list[dict]) -> list[dict]:
@@ -282,7 +295,8 @@ def chunk(df: DataFrame, id_column: str, mergeable: bool = True) -> DataFrame:
     """(id, chunk_index, chunk_id, text, heading, line_start, line_end).
 
     df: id and segments. Neighbours of one location merge, which Python does;
-    segments of `segment_text` have lines of their own and can't, so with
+    segments of `segment_text` have lines of their own and can't, those of
+    `extract_html` may have been merged where they were found: with
     `mergeable` off nothing leaves the JVM. Pieces above 800 characters become windows that
     overlap by 100; their location goes with every window.
     """

@@ -4,6 +4,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -188,3 +189,29 @@ def test_fallback_per_query(spark):
     second = spark.createDataFrame([(1, 1, "b", 0.5), (2, 1, "c", 0.4)], shape)
     got = {(r["query_id"], r["chunk_id"], r["method"]) for r in as_dicts(with_fallback(first, second))}
     assert got == {(1, "a", "embedding"), (2, "c", "tfidf")}
+
+
+def test_pages_leave_python_in_small_slices():
+    import brightledger.operators.text as text
+
+    pages = pa.record_batch({"id": list(range(300)), "html": [f"<p>{i}</p><p>{'x' * 20_000}</p>" for i in range(300)]})
+    split = lambda html: [dict(zip(("text", "heading", "line_start", "line_end"), part)) for part in html_blocks(html)]
+    out = list(text._in_slices([pages], split))
+    assert max(batch.nbytes for batch in out) < 2 * text.SLICE_CHARS
+    assert pa.Table.from_batches(out).to_pydict() == {"id": list(range(300)), "segments": [split(html) for html in pages["html"].to_pylist()]}
+
+
+@pytest.mark.parametrize("name", ["x9_html_chunks", "x9_html_part_chunks"])
+def test_pages_pass_python_once(spark, name, capsys):
+    import queries.documents as documents
+
+    getattr(documents, name)(spark, "/root/testdata/sf0.001").explain()
+    assert len(re.findall(r"\b(?:PythonMapInArrow|MapInArrow|MapInPandas)\b", capsys.readouterr().out)) == 1
+
+
+def test_merged_pages_match_both_steps(spark):
+    html = "<p>a</p><p>b</p><h2>T</h2><p>" + "x" * 500 + "</p><ul><li>y</li></ul><p>" + "z" * 900 + "</p><p>c</p>"
+    df = spark.createDataFrame([(1, html), (None, html), (2, None), (3, "")], "id long, html string")
+    apart = chunk(extract_html(df, "id", "html"), "id")
+    once = chunk(extract_html(df, "id", "html", merged=True), "id", mergeable=False)
+    assert sorted(map(tuple, once.collect()), key=str) == sorted(map(tuple, apart.collect()), key=str)
