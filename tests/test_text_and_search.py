@@ -9,11 +9,15 @@ import pytest
 from pyspark.sql import functions as F
 
 from brightledger.operators.search import (
+    best_hits,
     embed_missing,
     save_postings,
     search_embeddings,
     search_text,
+    search_texts,
+    term_counts,
     tfidf_index,
+    weights,
     with_fallback,
 )
 from brightledger.operators.text import chunk, document_summary, extract_html, html_blocks, merge_neighbours, segment_text
@@ -215,3 +219,50 @@ def test_merged_pages_match_both_steps(spark):
     apart = chunk(extract_html(df, "id", "html"), "id")
     once = chunk(extract_html(df, "id", "html", merged=True), "id", mergeable=False)
     assert sorted(map(tuple, once.collect()), key=str) == sorted(map(tuple, apart.collect()), key=str)
+
+
+def test_words_are_counted_once_for_an_id(spark):
+    rows = [(1, "Ab_1 ab_1, x! Größe-GRÖSSE"), (2, "one\ttwo\x0bone\x7f"), (1, "ab_1 \u00b2\u00b2 \U0001d7d8\U0001d7d8 \u4e2d\u6587 é ÉÉ"), (None, "one"), (None, "One two"), (3, None), (4, " . a b")]
+    df = spark.createDataFrame(rows, "id long, text string")
+    words = df.select("id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0))).alias("term"))
+    wanted = words.filter("term <> 'two'").groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"))
+    found = term_counts(df, "id", "text", ["two"])
+    assert sorted(map(tuple, found.collect()), key=str) == sorted(map(tuple, wanted.collect()), key=str)
+
+
+def brute_hits(spark, vocab, postings, asked, k):
+    mine = weights(term_counts(asked, "query_id", "query", []), "query_id", vocab).withColumnRenamed("weight", "w")
+    scores = postings.join(mine, "term").groupBy("query_id", "chunk_id").agg(F.sum(F.col("weight") * F.col("w")).alias("score"))
+    return sorted(map(tuple, best_hits(scores, k).collect()), key=str)
+
+
+@pytest.mark.parametrize("block, dense", [(1 << 18, 1 / 256), (40, 1 / 256), (40, 2.0), (1 << 18, 0.0)])
+def test_block_search_matches_all_pairs(spark, monkeypatch, block, dense):
+    import brightledger.operators.search as search
+
+    monkeypatch.setattr(search, "BLOCK_POSTINGS", block)
+    monkeypatch.setattr(search, "DENSE_SHARE", dense)
+    draw = random.Random(3)
+    texts = [" ".join(f"w{min(draw.randrange(40), draw.randrange(40))}" for _ in range(draw.randrange(30))) for _ in range(90)]
+    chunks = spark.createDataFrame([(i // 2 if i < 8 else i, t) for i, t in enumerate(texts)] + [(None, "w1 w2"), (None, "w3"), (500, None), (501, texts[9]), (502, texts[9])], "chunk_id long, text string")
+    asked = chunks.filter("chunk_id % 3 = 0 OR chunk_id IS NULL").select(F.col("chunk_id").alias("query_id"), F.col("text").alias("query"))
+    vocab, postings = tfidf_index(chunks, "chunk_id", "text", [])
+    wanted = brute_hits(spark, vocab, postings, asked, 4)
+    assert len(wanted) > 100
+    assert sorted(map(tuple, search_text(vocab, postings, asked, 4, []).collect()), key=str) == wanted
+    assert sorted(map(tuple, search_texts(chunks, "chunk_id", "text", asked, 4, []).collect()), key=str) == wanted
+    some = chunks.filter("chunk_id % 5 = 1 OR chunk_id IS NULL").select("chunk_id")
+    within = brute_hits(spark, vocab, postings.join(some, "chunk_id", "left_semi"), asked, 4)
+    assert sorted(map(tuple, search_texts(chunks, "chunk_id", "text", asked, 4, [], some).collect()), key=str) == within
+
+
+def test_search_by_documents_shuffles_no_pairs(spark):
+    """Documents of the same words: each pair of them shares each word."""
+    same = " ".join(f"w{i}" for i in range(40))
+    chunks = spark.range(400).select(F.col("id").alias("chunk_id"), F.concat(F.lit(same + " u"), F.col("id")).alias("text"))
+    asked = chunks.select(F.col("chunk_id").alias("query_id"), F.col("text").alias("query"))
+    vocab, postings = tfidf_index(chunks, "chunk_id", "text", [])
+    hits = search_text(vocab, postings, asked, 2, [])
+    assert {(r["query_id"], r["chunk_id"]) for r in hits.filter("rank = 1").collect()} == {(i, i) for i in range(400)}
+    plan = hits._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "Aggregate [query_id" not in plan
