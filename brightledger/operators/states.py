@@ -65,8 +65,13 @@ def batch_states(df: DataFrame) -> States:
     merge before they are shuffled; of long values a SHA-256 is the key."""
     states = [_column_state(df, i, f).alias(f"s{i}") for i, f in enumerate(df.schema)]
     columns = df.agg(*states).select(F.inline(F.array(*[F.col(f"s{i}") for i in range(len(states))])))
-    cells = F.array(*[F.struct(F.lit(n).alias("column_name"), compact_value(df, n).alias("value_key"), as_text(df, n).alias("value")) for n in df.columns])
-    values = df.select(F.inline(cells)).filter("value_key IS NOT NULL").groupBy("column_name", "value_key").agg(F.count(F.lit(1)).alias("n"), F.any_value("value").alias("value"))
+    # Values are grouped by their text alone: counts then stay in a hash table,
+    # where a text carried along would have every cell sorted.
+    hashed = [f.name for f in df.schema if isinstance(f.dataType, (T.StringType, T.ArrayType, T.MapType, T.StructType))]
+    cells = F.array(*[F.struct(F.lit(n).alias("column_name"), (as_text if n in hashed else compact_value)(df, n).alias("value")) for n in df.columns])
+    counts = df.select(F.inline(cells)).filter("value IS NOT NULL").groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("n"))
+    key = F.when(F.col("column_name").isin(hashed), F.sha2("value", 256)).otherwise(F.col("value"))
+    values = counts.select("column_name", key.alias("value_key"), "n", "value")
     rows = df.groupBy(F.unhex(row_print(df)).alias("row_key")).agg(F.count(F.lit(1)).alias("n"))
     return States(columns, values, rows)
 
@@ -105,9 +110,11 @@ def merge_states(parts: list[States]) -> States:
         ),
     )
     merged = merged.withColumn("fits", each).drop("all_fits", "width")
+    # A key has one value, but for states kept when -0.0 could stand for zero.
+    value = F.when((F.col("value_key") == "0.0") & (F.col("value") == "-0.0"), F.col("value_key")).otherwise(F.col("value"))
     return States(
         merged,
-        values.groupBy("column_name", "value_key").agg(F.sum("n").alias("n"), F.any_value("value").alias("value")),
+        values.groupBy("column_name", "value_key", value.alias("value")).agg(F.sum("n").alias("n")).select("column_name", "value_key", "n", "value"),
         rows.groupBy("row_key").agg(F.sum("n").alias("n")),
     )
 

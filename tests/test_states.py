@@ -1,12 +1,13 @@
 """Profiles of merged states against profiles of the rows."""
 
+from collections import Counter
 from datetime import date, datetime
 
 import pytest
 from pyspark.sql import functions as F
 
-from brightledger.operators.profile import PROFILE_SCHEMA, profile_table
-from brightledger.operators.states import batch_states, load_states, merge_states, profile_states, save_states
+from brightledger.operators.profile import PROFILE_SCHEMA, compact_value, profile_table
+from brightledger.operators.states import States, batch_states, load_states, merge_states, profile_states, save_states
 
 SCHEMA = "id long, name string, price string, day string, when timestamp_ntz, born date, ratio double, small float, flag boolean, tags array<string>, gone string"
 
@@ -63,3 +64,24 @@ def test_columns_of_other_types_are_refused(spark):
 def test_no_rows(spark):
     empty = spark.createDataFrame([], SCHEMA)
     _same(profile_states(merge_states([batch_states(empty)]), "t"), profile_table(empty, "t"))
+
+
+def test_values_are_counted_without_sorting_cells(spark):
+    rows = [(1, "a", -0.0, [1]), (1, "a", 0.0, [1]), (None, None, float("nan"), None), (2, "0.0", 2.5, [])]
+    df = spark.createDataFrame(rows, "id int, name string, ratio double, list array<int>")
+    states = batch_states(df)
+    merged = merge_states([states, batch_states(df)])
+    for values, times in ((states.values, 1), (merged.values, 2)):
+        assert "SortAggregate" not in values._jdf.queryExecution().executedPlan().toString()
+        keys = df.select(*[compact_value(df, n).alias(n) for n in df.columns]).collect()
+        wanted = Counter((n, r[n]) for r in keys for n in df.columns if r[n] is not None)
+        assert {(r["column_name"], r["value_key"]): r["n"] for r in values.collect()} == {k: n * times for k, n in wanted.items()}
+        assert {(r["column_name"], r["value"]) for r in values.collect()} == {
+            ("id", "1"), ("id", "2"), ("name", "a"), ("name", "0.0"), ("ratio", "0.0"), ("ratio", "2.5"), ("list", "[1]"), ("list", "[]"),
+        }
+
+
+def test_zeros_kept_with_a_sign_are_zeros(spark):
+    states = batch_states(spark.createDataFrame([(0.0,)], "x double"))
+    signed = States(states.columns, states.values.withColumn("value", F.lit("-0.0")), states.rows)
+    assert merge_states([states, signed]).values.select("value_key", "n", "value").collect() == [("0.0", 2, "0.0")]
