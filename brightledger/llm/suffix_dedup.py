@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,8 +38,11 @@ PIECE = 4096
 COMBINED = 500_000
 #: Bytes of pieces that are merged at once, and shards they make.
 BATCH_BYTES, SHARDS = 192 << 10, 4
-#: A hash with more different pieces is dealt by its single strings.
-HOT_PIECES = 2000
+#: A hash with more different pieces, or more bytes of them, is hot: its strings
+#: are dealt one by one, not merged.
+HOT_PIECES, HOT_BYTES = 2000, 512 << 10
+#: Strings that a task compares at once before it sends them on.
+HELD_STRINGS = 1 << 17
 
 _ODD = np.random.default_rng(524287).integers(1, 2**63, GRAM // 8, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -286,56 +290,104 @@ def repeats(strings: list[bytes], docs: np.ndarray, starts: np.ndarray, length:
 # --- Spark -----------------------------------------------------------------------
 
 
+def _runs(doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Document, start and number of the runs that neighbouring strings make."""
+    order = np.lexsort((start, doc))
+    doc, start = doc[order], start[order]
+    new = np.ones(len(doc), bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (start[1:] != start[:-1] + 1)
+    at = np.flatnonzero(new)
+    return doc[at], start[at], np.diff(np.append(at, len(doc)))
+
+
+#: Pieces to merge have no digest, strings of hot buckets have one, and what is
+#: covered already has no bytes.
+_STRINGS = "bucket long, digest long, doc long, start long, n long, piece binary"
+
+
 def _extract(length: int):
-    """The bytes of wanted pieces; those of hot buckets string by string."""
-    schema = pa.schema([("bucket", pa.int64()), ("part", pa.int64()), ("doc", pa.int64()), ("start", pa.int64()), ("piece", pa.binary())])
+    """The bytes of wanted pieces; those of hot buckets string by string. Of
+    equal strings that a task sees together, only the earliest can be the first
+    of all; the others are covered already."""
+    schema = pa.schema([*[(c, pa.int64()) for c in ("bucket", "digest", "doc", "start", "n")], ("piece", pa.binary())])
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first: dict[bytes, tuple[int, int]] = {}  # (document, start) by string
+        later: list[tuple[int, int]] = []
+
+        def flush() -> pa.RecordBatch:
+            out = [(0, xxhash.xxh3_64_intdigest(x) - (1 << 63), doc, start, 1, x) for x, (doc, start) in first.items()]
+            if later:
+                out += [(0, None, doc, start, n, None) for doc, start, n in zip(*(c.tolist() for c in _runs(*np.array(later, np.int64).T)))]
+            first.clear(), later.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
+
         for batch in slices(batches):
             out = []
             for doc, text, wanted in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 data = text.encode()
                 for w in wanted:
-                    s, n = w["start"], w["n"]
-                    if w["parts"] <= 1:
-                        out.append((w["bucket"], 0, doc, s, data[s : s + n + length - 1]))
-                    else:
-                        strings = [data[s + k : s + k + length] for k in range(n)]
-                        out += [(w["bucket"], xxhash.xxh3_64_intdigest(x) % w["parts"], doc, s + k, x) for k, x in enumerate(strings)]
+                    bucket, s, n = w["bucket"], w["start"], w["n"]
+                    if not w["hot"]:
+                        out.append((bucket, None, doc, s, n, data[s : s + n + length - 1]))
+                        continue
+                    for k in range(s, min(s + n, len(data) - length + 1)):
+                        x, mine = data[k : k + length], (doc, k)
+                        known = first.setdefault(x, mine)
+                        if mine < known:
+                            first[x] = mine
+                            later.append(known)
+                        elif mine > known:
+                            later.append(mine)
+                    if len(first) + len(later) >= HELD_STRINGS:
+                        yield flush()
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
+        if first:
+            yield flush()
 
     return extract
 
 
 def _merge(length: int):
-    """Repeats among the pieces of whole (bucket, part) groups, which come one
-    after another."""
+    """Repeats among the pieces of whole buckets, which come one after another,
+    and among strings of hot buckets, of which equal ones follow each other by
+    (document, start); of those only the last one is kept between batches."""
+    names = ["doc", "start", "n"]
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         strings: list[bytes] = []
         docs: list[int] = []
         starts: list[int] = []
         size, key = 0, None
+        last, head = b"", (0, 0)  # a hot string, and where it is first
 
         def flush() -> pa.RecordBatch:
             doc, start = repeats(strings, np.array(docs, np.int64), np.array(starts, np.int64), length)
-            # Neighbouring strings make one run.
-            order = np.lexsort((start, doc))
-            doc, start = doc[order], start[order]
-            new = np.ones(len(doc), bool)
-            new[1:] = (doc[1:] != doc[:-1]) | (start[1:] != start[:-1] + 1)
-            at = np.flatnonzero(new)
-            counts = np.diff(np.append(at, len(doc)))
             strings.clear(), docs.clear(), starts.clear()
-            return pa.RecordBatch.from_arrays([pa.array(doc[at]), pa.array(start[at]), pa.array(counts)], ["doc", "start", "n"])
+            return pa.RecordBatch.from_arrays([*map(pa.array, _runs(doc, start))], names)
 
         for batch in slices(batches, "piece"):
-            for bucket, part, doc, start, piece in zip(*(batch.column(i).to_pylist() for i in range(5))):
-                if (bucket, part) != key and size >= BATCH_BYTES:
+            kept, single = batch.column(5).is_valid(), batch.column(1).is_valid()
+            yield batch.filter(pc.invert(kept)).select(names)
+            hot = batch.filter(single)
+            if hot.num_rows:
+                doc, start = (hot.column(i).to_numpy() for i in (2, 3))
+                rows = text_bytes(hot.column(5))[0].reshape(-1, length)
+                new = np.ones(len(rows), bool)
+                new[1:] = (rows[1:] != rows[:-1]).any(axis=1)
+                new[0] = rows[0].tobytes() != last
+                at = np.maximum.accumulate(np.where(new, np.arange(len(rows)), -1))
+                first_doc, first_start = np.where(at < 0, head[0], doc[at]), np.where(at < 0, head[1], start[at])
+                covered = (doc != first_doc) | (start != first_start)
+                last, head = rows[-1].tobytes(), (first_doc[-1], first_start[-1])
+                yield pa.RecordBatch.from_arrays([*map(pa.array, _runs(doc[covered], start[covered]))], names)
+            batch = batch.filter(pc.and_not(kept, single))
+            for bucket, doc, start, piece in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3, 5))):
+                if bucket != key and size >= BATCH_BYTES:
                     yield flush()
                     size = 0
-                key = (bucket, part)
+                key = bucket
                 strings.append(piece)
                 docs.append(doc)
                 starts.append(start)
@@ -396,12 +448,15 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_column: str = "doc_
     dealt = cut.repartition(place).sortWithinPartitions("bucket", "digest", "doc", "start")
     found = settled(dealt.mapInArrow(_sorted_out, _PIECES), "sorted")
     wanted = found.where("not covered").select("bucket", "doc", "start", "n")
-    hot = settled(wanted.groupBy("bucket").agg(F.count(F.lit(1)).alias("pieces")).where(F.col("pieces") > HOT_PIECES), "hot")
-    wanted = wanted.join(hot, "bucket", "left").withColumn("parts", F.coalesce(F.ceil(F.col("pieces") * 64 / HOT_PIECES), F.lit(1)).cast("long"))
-    of_doc = settled(wanted.groupBy("doc").agg(F.collect_list(F.struct("bucket", "start", "n", "parts")).alias("wanted")), "wanted")
+    large = (F.count(F.lit(1)) > HOT_PIECES) | (F.sum(F.col("n") + length - 1) > HOT_BYTES)
+    hot = settled(wanted.groupBy("bucket").agg(large.alias("hot")).where("hot"), "hot")
+    wanted = wanted.join(hot, "bucket", "left").withColumn("hot", F.col("hot").isNotNull())
+    of_doc = settled(wanted.groupBy("doc").agg(F.collect_list(F.struct("bucket", "start", "n", "hot")).alias("wanted")), "wanted")
     texts = possible(keyed.where("text is not null"), "doc", bloom_blocks(of_doc.select("doc"), "doc"))
-    strings = texts.join(of_doc, "doc").select("doc", "text", "wanted").mapInArrow(_extract(length), "bucket long, part long, doc long, start long, piece binary")
-    groups = strings.repartition("bucket", "part").sortWithinPartitions("bucket", "part")
+    strings = texts.join(of_doc, "doc").select("doc", "text", "wanted").mapInArrow(_extract(length), _STRINGS)
+    # Pieces of a bucket meet, of a hot one only equal strings; the rest goes anywhere.
+    place = F.when(F.col("piece").isNull(), F.xxhash64("doc", "start")).otherwise(F.coalesce("digest", "bucket"))
+    groups = strings.repartition(place).sortWithinPartitions("bucket", "digest", "piece", "doc", "start")
     apart = settled(groups.mapInArrow(_merge(length), "doc long, start long, n long"), "repeats")
     covered = found.where("covered").select("doc", "start", "n").unionByName(apart)
     runs = settled(covered.groupBy("doc").agg(F.collect_list(F.struct("start", "n")).alias("runs")), "runs")

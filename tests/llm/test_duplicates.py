@@ -4,6 +4,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -173,3 +174,46 @@ def test_removed_repeats_of_every_period(spark):
             unit = "".join(rng.choices("abcdefghijklmnop", k=period))
             rows.append((len(rows), (unit * (size // period + 1))[:size]))
     assert sorted(map(tuple, repeat_counts(documents(spark, rows)).collect())) == sorted(_removed(rows))
+
+
+def _unlike_around(n, seed=21):
+    """One passage between bytes that no other text has."""
+    rng = random.Random(seed)
+    passage = "".join(rng.choices("abcdefghijkl ", k=140))
+    return passage, ["".join(rng.choices("0123456789", k=140)) + passage + "".join(rng.choices("0123456789", k=120)) for _ in range(n)]
+
+
+def test_strings_of_hot_buckets_leave_a_task_once():
+    passage, rows = _unlike_around(400)
+    wanted = [[{"bucket": 1, "start": 140, "n": 41, "hot": True}]] * len(rows)
+    ids = [i * 7 % 400 for i in range(400)]
+    kind = pa.list_(pa.struct([("bucket", pa.int64()), ("start", pa.int64()), ("n", pa.int64()), ("hot", pa.bool_())]))
+    batch = pa.RecordBatch.from_arrays([pa.array(ids), pa.array(rows), pa.array(wanted, kind)], ["doc", "text", "wanted"])
+    out = [r for b in suffix_dedup._extract(100)(iter([batch])) for r in b.to_pylist()]
+    sent = [r for r in out if r["piece"] is not None]
+    assert sorted((r["doc"], r["start"], r["piece"].decode()) for r in sent) == [(0, 140 + k, passage[k : k + 100]) for k in range(41)]
+    assert sorted((r["doc"], r["start"], r["n"]) for r in out if r["piece"] is None) == [(i, 140, 41) for i in range(1, 400)]
+
+
+def test_one_hot_string_is_not_held(monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "merged_blocks", None)
+    n, held = 3000, []
+    fields = [(c, pa.int64()) for c in ("bucket", "digest", "doc", "start", "n")]
+    schema = pa.schema([*fields, ("piece", pa.binary())])
+
+    def batches():
+        for low in range(0, n, 500):
+            yield pa.RecordBatch.from_arrays([pa.array([x] * 500) for x in (0, 5)] + [pa.array(range(low, low + 500)), pa.array([3] * 500), pa.array([1] * 500), pa.array([b"q" * 100] * 500, pa.binary())], schema=schema)
+
+    for out in suffix_dedup._merge(100)(batches()):
+        held += zip(*(out.column(i).to_pylist() for i in range(3)))
+    assert held == [(i, 3, 1) for i in range(1, n)]
+
+
+@pytest.mark.parametrize("limit", ["HOT_PIECES", "HOT_BYTES"])
+def test_hot_buckets_of_many_texts(spark, monkeypatch, limit):
+    monkeypatch.setattr(suffix_dedup, limit, 20)
+    monkeypatch.setattr(suffix_dedup, "HELD_STRINGS", 300)  # so that tasks send equal strings more than once
+    rows = list(enumerate(_unlike_around(90)[1]))
+    rows += [(200, None), (201, "ab" * 400), (202, "ab" * 300 + "c"), (203, rows[5][1])]
+    assert sorted(map(tuple, repeat_counts(documents(spark, rows)).collect())) == sorted(_removed(rows))
