@@ -16,7 +16,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -44,7 +44,24 @@ HOT_PIECES, HOT_BYTES = 2000, 512 << 10
 #: Strings that a task compares at once before it sends them on.
 HELD_STRINGS = 1 << 17
 
-_ODD = np.random.default_rng(524287).integers(1, 2**63, GRAM // 8, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_ODD = np.random.default_rng(524287).integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def _hashes(data: np.ndarray, size: int) -> np.ndarray:
+    """64-bit hashes of the `size` bytes (eight or more) from each place on."""
+    n = len(data)
+    padded = np.zeros(n + 16, np.uint8)
+    padded[:n] = data
+    whole = padded.tobytes()
+    words = np.empty(n, np.uint64)
+    for k in range(8):
+        words[k::8] = np.frombuffer(whole, "<u8", len(range(k, n, 8)), k)
+    hashes = words[: n - size + 1] * _ODD[0]
+    for k, at in enumerate([*range(8, size - 7, 8), *[size - 8] * (size % 8 > 0)], 1):
+        hashes ^= words[at : at + len(hashes)] * _ODD[k % len(_ODD)] + np.uint64(k)
+        hashes = (hashes << np.uint64(23)) | (hashes >> np.uint64(41))
+    return mix(hashes)
+
 
 # --- pieces --------------------------------------------------------------------
 
@@ -56,17 +73,7 @@ def pieces(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH) -> tuple
     span = length - GRAM + 1
     if n < length:
         return (*[np.zeros(0, np.int64)] * 3, np.zeros(0, np.uint64), np.zeros(0, bool))
-    padded = np.zeros(n + 16, np.uint8)
-    padded[:n] = data
-    whole = padded.tobytes()
-    words = np.empty(n, np.uint64)
-    for k in range(8):
-        words[k::8] = np.frombuffer(whole, "<u8", len(range(k, n, 8)), k)
-    hashes = words[: n - GRAM + 1] * _ODD[0]
-    for k in range(1, GRAM // 8):
-        hashes ^= words[8 * k : 8 * k + len(hashes)] * _ODD[k] + np.uint64(k)
-        hashes = (hashes << np.uint64(23)) | (hashes >> np.uint64(41))
-    hashes = mix(hashes)
+    hashes = _hashes(data, GRAM)
     least, size = hashes, 1
     while 2 * size <= span:
         least, size = np.minimum(least[:-size], least[size:]), 2 * size
@@ -188,29 +195,48 @@ def _sorted_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 # --- transforms ------------------------------------------------------------------
 
 
-def _grams(text: np.ndarray, ahead: np.ndarray, size: int) -> np.ndarray:
-    """The next `size` symbols of each rotation as one number (9 bits each)."""
-    out, at = np.zeros(len(text), np.uint64), np.arange(len(text))
-    for _ in range(size):
-        out = (out << np.uint64(9)) | text[at]
-        at = ahead[at]
-    return out
-
-
 def _ranks(values: np.ndarray) -> np.ndarray:
-    return np.unique(values, return_inverse=True)[1]
-
-
-def shard_order(text: np.ndarray, ahead: np.ndarray, length: int) -> np.ndarray:
+    order = np.argsort(values)
+    values = values[order]
+    new = np.ones(len(order), bool)
+    new[1:] = values[1:] != values[:-1]
+    ranks = np.empty(len(order), np.int64)
+    ranks[order] = np.cumsum(new) - 1
+    return ranks
+
+
+def _in_order(ranks: np.ndarray) -> np.ndarray:
+    """A stable order by small numbers, 16 bits at a time."""
+    order, most, shift = np.argsort(ranks.astype(np.uint16), kind="stable"), int(ranks.max()), 16
+    while most >> shift:
+        order = order[np.argsort((ranks >> shift).astype(np.uint16)[order], kind="stable")]
+        shift += 16
+    return order
+
+
+def _leading(text: np.ndarray, on: Callable[[int], np.ndarray], width: int) -> np.ndarray:
+    """The ranks of all rotations by their `width` leading symbols (9 bits each).
+    on: the places so many symbols on."""
+    known = min(7, width)
+    grams = text
+    for k in range(1, known):
+        grams = (grams << np.uint64(9)) | text[on(k)]
+    rank = _ranks(grams)
+    while known < width:
+        more = min(known, width - known)
+        rank = _ranks(rank * len(text) + rank[on(more)])
+        known += more
+    return rank
+
+
+def shard_order(rank: np.ndarray, known: int, ahead: np.ndarray, length: int) -> np.ndarray:
     """The rotations of a shard's strings, in the order of at least `length`
-    leading symbols; equal ones in the order of their places."""
-    rank, known, step = _ranks(_grams(text, ahead, 7)), 7, ahead
-    for _ in range(6):
-        step = ahead[step]  # seven symbols on
+    leading symbols; equal ones in the order of their places. Their ranks by
+    `known` symbols and the places so many symbols on are given."""
     while known < length:
-        rank = _ranks(rank * np.int64(len(text)) + rank[step])
-        known, step = 2 * known, step[step]
-    return np.argsort(rank, kind="stable")
+        rank = _ranks(rank * (int(rank.max()) + 1) + rank[ahead])
+        known, ahead = 2 * known, ahead[ahead]
+    return _in_order(rank)
 
 
 def merged_blocks(strings: list[bytes], shards: int = SHARDS, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -219,8 +245,8 @@ def merged_blocks(strings: list[bytes], shards: int = SHARDS, length: int = LENG
     symbols are equal.
 
     Strings are dealt to shards, whose rotations are sorted alone. A shard's
-    transform holds, for each rotation, the symbols before it (a few at once, as
-    many as keep their kinds within 16 bits). The interleave says which shard the
+    transform holds, for each rotation, the symbols before it (a quarter of the
+    length at once, as one rank). The interleave says which shard the
     next rotation comes from; it starts as one block and after each round is
     right by so many more leading symbols.
     """
@@ -231,37 +257,36 @@ def merged_blocks(strings: list[bytes], shards: int = SHARDS, length: int = LENG
     inside[ends - 1] = False
     text[inside] = np.frombuffer(b"".join(strings), np.uint8).astype(np.uint64) + np.uint64(1)
     places = np.arange(len(text))
-    ahead, behind = places + 1, places - 1
-    ahead[ends - 1], behind[ends - sizes] = ends - sizes, ends - 1
+    begins, size_of = np.repeat(ends - sizes, sizes), np.repeat(sizes, sizes)
+    inner = places - begins
+
+    def on(steps: int) -> np.ndarray:
+        return begins + (inner + steps) % size_of
+
+    width = -(-length // 4)
+    rank = _leading(text, on, width)
+    ahead = on(width)
     # Shards are runs of whole strings of about the same size.
     shard_of = np.minimum(ends * shards // (ends[-1] + 1), shards - 1)
     bounds = np.append(0, ends)[np.searchsorted(shard_of, np.arange(shards + 1))]
     orders = []
     for low, high in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
         if high > low:
-            orders.append(shard_order(text[low:high], ahead[low:high] - low, length) + low)
+            orders.append(shard_order(rank[low:high], width, ahead[low:high] - low, length) + low)
     order = np.concatenate(orders)
     interleave = np.repeat(np.arange(len(orders), dtype=np.uint8), [len(o) for o in orders])
     # A block is told by a bound at its first rotation.
     bound = np.zeros(len(order), bool)
     bound[0] = True
-    left, width, transform = length, 7, None
+    left, transform = length, rank[on(-width)[order]]  # shard after shard
     while left:
-        if transform is None or left < width:
-            width = min(width, left)
-            while True:
-                back = places
-                for _ in range(width):
-                    back = behind[back]
-                kinds, symbol = np.unique(_grams(text, ahead, width), return_inverse=True)
-                if len(kinds) <= 1 << 16:
-                    break
-                width -= 1
-            transform = symbol.astype(np.uint16)[back[order]]  # shard after shard
+        if left < width:
+            width = left
+            transform = _leading(text, on, width)[on(-width)[order]]
         # The next rotation of each shard, dealt out by the interleave.
-        seen = np.empty(len(order), np.uint16)
+        seen = np.empty_like(transform)
         seen[np.argsort(interleave, kind="stable")] = transform
-        source = np.argsort(seen, kind="stable")
+        source = _in_order(seen)
         interleave, symbols = interleave[source], seen[source]
         block = np.cumsum(bound)[source]
         bound[1:] = (symbols[1:] != symbols[:-1]) | (block[1:] != block[:-1])
@@ -272,9 +297,39 @@ def merged_blocks(strings: list[bytes], shards: int = SHARDS, length: int = LENG
     return string, merged - (ends - sizes)[string], np.cumsum(bound) - 1
 
 
+def _shared(strings: list[bytes], docs: np.ndarray, starts: np.ndarray, length: int) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """The parts of the strings whose `length`-byte strings have a hash that
+    occurs twice; no others can be equal."""
+    sizes = np.array([len(s) for s in strings], np.int64)
+    whole = b"".join(strings)
+    begins = np.cumsum(sizes) - sizes
+    counts = np.maximum(sizes - length + 1, 0)
+    at = np.arange(counts.sum()) + np.repeat(begins - (np.cumsum(counts) - counts), counts)
+    if not len(at):
+        return [], docs[:0], starts[:0]
+    values = _hashes(np.frombuffer(whole, np.uint8), length)[at]
+    order = np.argsort(values)
+    values = values[order]
+    twice = np.zeros(len(at), bool)
+    twice[1:] = values[1:] == values[:-1]
+    twice[:-1] |= twice[1:]
+    kept = np.zeros(len(at), bool)
+    kept[order] = twice
+    of, at = np.repeat(np.arange(len(strings)), counts)[kept], at[kept]
+    new = np.ones(len(at), bool)
+    new[1:] = (at[1:] != at[:-1] + 1) | (of[1:] != of[:-1])
+    first = np.flatnonzero(new)
+    of, low, n = of[first], at[first], np.diff(np.append(first, len(at)))
+    cut = [whole[b : b + k + length - 1] for b, k in zip(low.tolist(), n.tolist())]
+    return cut, docs[of], starts[of] + low - begins[of]
+
+
 def repeats(strings: list[bytes], docs: np.ndarray, starts: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
     """Document and start of every `length`-byte string inside the strings that
     is also found at an earlier (document, start)."""
+    strings, docs, starts = _shared(strings, docs, starts, length)
+    if not strings:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     string, place, block = merged_blocks(strings, length=length)
     inside = place + length <= np.array([len(s) for s in strings])[string]
     doc, start, block = docs[string[inside]], starts[string[inside]] + place[inside], block[inside]

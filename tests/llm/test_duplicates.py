@@ -217,3 +217,13 @@ def test_hot_buckets_of_many_texts(spark, monkeypatch, limit):
     rows = list(enumerate(_unlike_around(90)[1]))
     rows += [(200, None), (201, "ab" * 400), (202, "ab" * 300 + "c"), (203, rows[5][1])]
     assert sorted(map(tuple, repeat_counts(documents(spark, rows)).collect())) == sorted(_removed(rows))
+
+
+def test_only_shared_parts_are_merged(monkeypatch):
+    seen = []
+    monkeypatch.setattr(suffix_dedup, "merged_blocks", lambda strings, **o: seen.extend(strings) or merged_blocks(strings, **o))
+    passage, rows = _unlike_around(3)
+    doc, start = repeats([r.encode() for r in rows] + [bytes(range(150))], np.arange(4), np.zeros(4, np.int64))
+    assert seen == [passage.encode()] * 3
+    assert sorted(zip(doc.tolist(), start.tolist())) == [(i, 140 + k) for i in (1, 2) for k in range(41)]
+    assert all(map(np.array_equal, repeats([b"x" * 99], np.arange(1), np.arange(1)), ([], [])))
