@@ -266,3 +266,31 @@ def test_search_by_documents_shuffles_no_pairs(spark):
     assert {(r["query_id"], r["chunk_id"]) for r in hits.filter("rank = 1").collect()} == {(i, i) for i in range(400)}
     plan = hits._jdf.queryExecution().optimizedPlan().toString()
     assert "MapInArrow" in plan and "Aggregate [query_id" not in plan
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_packed_search_in_rounds(spark, monkeypatch, kind):
+    import brightledger.operators.search as search
+
+    for name, value in (("BLOCK_POSTINGS", 60), ("BLOCK_ROWS", 3), ("ROUND_POSTINGS", 50)):
+        monkeypatch.setattr(search, name, value)
+    draw = random.Random(8)
+    texts = [" ".join(f"w{min(draw.randrange(30), draw.randrange(30))}" for _ in range(draw.randrange(20))) + " common" * draw.choice([0, 1, 300]) for _ in range(50)]
+    chunks = spark.createDataFrame([(i // 2 if i < 6 else i, t) for i, t in enumerate(texts)] + [(None, "w1 w2"), (700, None), (701, texts[9]), (702, texts[9])], "chunk_id long, text string")
+    chunks = chunks.withColumn("chunk_id", F.col("chunk_id").cast(kind))
+    asked = chunks.filter("chunk_id % 2 = 0 OR chunk_id IS NULL").select(F.col("chunk_id").alias("query_id"), F.concat("text", F.lit(" unknown")).alias("query"))
+    vocab, postings = tfidf_index(chunks, "chunk_id", "text", [])
+    wanted = brute_hits(spark, vocab, postings, asked, 3)
+    assert len(wanted) > 60
+    assert sorted(map(tuple, search_texts(chunks, "chunk_id", "text", asked, 3, []).collect()), key=str) == wanted
+    assert search_texts(chunks, "chunk_id", "text", asked.limit(0), 3, []).count() == 0
+
+
+def test_words_stay_packed(spark):
+    import brightledger.operators.search as search
+
+    same = " ".join(f"w{i}" for i in range(40))
+    chunks = spark.range(400).coalesce(1).select("id", F.concat(F.lit(same + " u"), F.col("id")).alias("text"))
+    rows = search._packed(chunks, "id", "text", []).collect()
+    assert len(rows) == 1 + 40 + 400  # postings: 41 x 400
+    assert sum(len(r["rows"]) + len(r["uses"]) for r in rows if r["term"]) == 3 * 41 * 400
